@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, mixing, secrets
+from panelspark.llm import chat, decontam, mixing, secrets, simhash
 from panelspark.llm.common import table
 
 
@@ -28,11 +28,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_chat_formatting": op3_chat_formatting,
         "op4_secret_scans": op4_secret_scans,
         "op6_mixing": op6_mixing,
+        "op7_simhash": op7_simhash,
+        "op8_decontamination": op8_decontamination,
     }
 
 
@@ -85,9 +95,31 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN found f ON d.doc_id = f.doc_id
 """
 
+OP8_SQL = r"""
+WITH item_lists AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+phrases AS (
+  SELECT item_id, least(len(ws), 10) AS k, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS p
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM item_lists WHERE len(ws) > 0)),
+doc_lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+grams AS (
+  SELECT doc_id, k, i, array_to_string(ws[i : i + k - 1], ' ') AS p
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM doc_lists, (SELECT DISTINCT k FROM phrases) WHERE len(ws) >= k)),
+hits AS (SELECT DISTINCT g.doc_id, g.i, g.k, item_id FROM grams g JOIN phrases USING (k, p)),
+words_hit AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS w FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_lists d LEFT JOIN words_hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": OP3_SQL,
         "op4_secret_scans": OP4_SQL,
+        "op8_decontamination": OP8_SQL,
     }
