@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+_shipped: set[str] = set()
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -32,6 +35,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application
+    (as ``--py-files`` does): tasks import it by name."""
+    import panelspark
+
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(panelspark.__file__).parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / "panelspark.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a folder of our own where none is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)

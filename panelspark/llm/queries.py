@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import chat, decontam, lmscore, mixing, quality, secrets, simhash, toxicity
-from panelspark.llm.common import table
+from panelspark.llm.common import ship, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +49,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(lmscore.with_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    named = {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_toxicity": op2_toxicity,
         "op3_chat_formatting": op3_chat_formatting,
@@ -59,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op10_lm_scoring": op10_lm_scoring,
     }
+    return {name: _shipping(query) for name, query in named.items()}
 
 
 _CONTROL_SQL = r"""(?i)(<)(\||/?s>|</?SYS>>|(?:start|end)_of_turn>|(?:bos|eos|pad|unk)>)|(\[)(/?INST\])"""

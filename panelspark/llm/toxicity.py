@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import saved
 
 FIT_ROWS = 12_000
-LEXICON = 400
-PREFIXES = (4, 5, 6)
+LEXICON = 600
+PREFIXES = (4, 5, 6, 7, 8)
+#: Log odds from which a term counts as a lexicon word; below it, terms only add weight.
+STRONG = 2.5
 
 #: Second-person words of the languages at hand.
 SECOND_PERSON = frozenset("you your yours yourself u ya tu te toi ton ta tes vous votre vos du dich dir dein deine deiner ihr euch euer sie ihnen usted ustedes ti tuyo tus vosotros su sus".encode().split())
@@ -46,7 +48,7 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else
 _LEET = bytes(_LOOKS.get(b, _PLAIN[b]) for b in range(256))
 _MARKS = b"*.-_~^'+|"
 
-FEATURES = ("lexicon", "lexicon_any", "lexicon_count", "hidden", "near_second", "second", "capitals", "shouting", "punctuation", "exclamation", "obfuscated", "spaced", "length")
+FEATURES = ("lexicon", "lexicon_any", "lexicon_count", "weight", "weight_density", "hidden", "near_second", "second", "capitals", "shouting", "punctuation", "exclamation", "obfuscated", "spaced", "length")
 
 
 def terms(words: list[bytes]) -> set[bytes]:
@@ -57,17 +59,32 @@ def terms(words: list[bytes]) -> set[bytes]:
     return out
 
 
-def features(text: str | None, lexicon: frozenset[bytes]) -> tuple[float, ...]:
+class Lexicon:
+    """Terms and their log odds."""
+
+    def __init__(self, terms: dict[bytes, float]):
+        self.terms = terms
+        self.known: dict[bytes, float] = {}
+
+    def odds(self, w: bytes) -> float:
+        """The highest log odds of a word or its beginnings; 0 if unlisted."""
+        found = self.known.get(w)
+        if found is None:
+            get = self.terms.get
+            found = max(get(w, 0.0), *(get(w[:k] + b"*", 0.0) for k in PREFIXES if len(w) > k), 0.0)
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[w] = found
+        return found
+
+
+def features(text: str | None, lexicon: Lexicon) -> tuple[float, ...]:
     data = (text or "").encode()
     words = data.translate(_PLAIN).split()
     n = max(1, len(words))
-    prefixes = lexicon_prefixes(lexicon)
-
-    def listed(w: bytes) -> bool:
-        return w in lexicon or any(w[:k] in p for k, p in prefixes)
-
-    known = {w for w in set(words) if listed(w)}
-    hits = [i for i, w in enumerate(words) if w in known] if known else []
+    odds = {w: x for w in set(words) if (x := lexicon.odds(w))}
+    hits = [i for i, w in enumerate(words) if odds.get(w, 0.0) >= STRONG] if odds else []
+    weight = sum(odds.values())
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     near, k = 0, 0
     for i in hits:
@@ -79,30 +96,20 @@ def features(text: str | None, lexicon: frozenset[bytes]) -> tuple[float, ...]:
     hidden = 0
     for w, times in Counter(odd).items():
         plain = w.translate(_LEET, _MARKS).replace(b" ", b"")
-        hidden += times * (plain in lexicon and w.lower() not in lexicon)
+        hidden += times * (lexicon.odds(plain) >= STRONG > lexicon.odds(w.lower()))
     singles = sum(len(a) == len(b) == len(c) == 1 for a, b, c in zip(words, words[1:], words[2:], strict=False))
     chars = max(1, len(data))
     upper = sum(map(data.count, _UPPER))
     shouting = sum(len(w) > 2 and w.isupper() for w in raw)
     marks = sum(map(data.count, _PUNCTUATION))
     return (
-        len(hits) / n, float(bool(hits)), float(min(len(hits), 10)), hidden / n, near / n, len(second) / n, upper / chars, shouting / n,
+        len(hits) / n, float(bool(hits)), float(min(len(hits), 10)), weight, weight / n, hidden / n, near / n, len(second) / n, upper / chars, shouting / n,
         marks / chars, (data.count(b"!") + data.count(b"?")) / chars, len(odd) / n, singles / n, float(np.log1p(n)),
     )
 
 
 _UPPER = [bytes([b]) for b in range(65, 91)]
 _PUNCTUATION = [bytes([b]) for b in b".,;:!?*#$%&@|~^_-+=<>/\\()[]{}'\""]
-_split: dict[frozenset, list] = {}
-
-
-def lexicon_prefixes(lexicon: frozenset[bytes]) -> list[tuple[int, frozenset[bytes]]]:
-    """The lexicon's beginnings by length."""
-    if lexicon not in _split:
-        _split.clear()
-        _split[lexicon] = [(k, frozenset(t[:-1] for t in lexicon if t.endswith(b"*") and len(t) == k + 1)) for k in PREFIXES]
-    return _split[lexicon]
-
 
 def held_out(doc_id: Column) -> Column:
     """Rows of the fold that no label is learned from."""
@@ -121,7 +128,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     return rows.select("text", F.col("toxic").cast("double").alias("label"), F.pmod(F.xxhash64("known_id", F.lit("fold")), F.lit(4)).alias("fold"))
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> frozenset[bytes]:
+def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> Lexicon:
     """Terms whose share of toxic texts is far above their share of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +145,11 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> frozenset[bytes]:
     classes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     yes, no = classes.get(1.0, 0) + 1.0, classes.get(0.0, 0) + 1.0
     odds = F.log((F.col("toxic") + 0.5) / yes) - F.log((F.col("other") + 0.5) / no)
-    best = counts.where(F.col("toxic") >= 4).withColumn("odds", odds).where("odds > 2.5").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(size)
-    return frozenset(bytes(r.term) for r in best.select("term").collect())
+    best = counts.where(F.col("toxic") >= 4).withColumn("odds", odds).where("odds > 1.2").orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "term").limit(size)
+    return Lexicon({bytes(r.term): r.odds for r in best.select("term", "odds").collect()})
 
 
-def with_features(rows: DataFrame, lexicon: frozenset[bytes]) -> DataFrame:
+def with_features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``rows`` with a column for each feature in the place of ``text``."""
     kept = [c for c in rows.columns if c != "text"]
     schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{f} double" for f in FEATURES])

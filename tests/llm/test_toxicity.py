@@ -7,9 +7,9 @@ from panelspark.llm import toxicity
 
 
 def test_features():
-    lexicon = frozenset([b"fool", b"lowei*"])
+    lexicon = toxicity.Lexicon({b"fool": 3.0, b"lowei*": 4.0, b"here": 1.5})
     plain = dict(zip(toxicity.FEATURES, toxicity.features("You FOOL! And loweixyz here", lexicon), strict=True))
-    assert plain["lexicon"] == 2 / 5 and plain["near_second"] == 2 / 5 and plain["shouting"] == 1 / 5
+    assert plain["lexicon"] == 2 / 5 and plain["near_second"] == 2 / 5 and plain["shouting"] == 1 / 5 and plain["weight"] == 8.5
     assert dict(zip(toxicity.FEATURES, toxicity.features("what a f00l and f.o-ol", lexicon), strict=True))["hidden"] > 0
     assert len(toxicity.features(None, lexicon)) == len(toxicity.FEATURES)
 
