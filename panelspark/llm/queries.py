@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, lmscore, mixing, quality, secrets, simhash, toxicity
+from panelspark.llm import chat, decontam, lmscore, mixing, quality, secrets, simhash, substrings, toxicity, vectors
 from panelspark.llm.common import ship, table
 
 
@@ -32,6 +32,10 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -45,6 +49,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(lmscore.with_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
@@ -64,9 +72,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_chat_formatting": op3_chat_formatting,
         "op4_secret_scans": op4_secret_scans,
+        "op5_substring_dedup": op5_substring_dedup,
         "op6_mixing": op6_mixing,
         "op7_simhash": op7_simhash,
         "op8_decontamination": op8_decontamination,
+        "op9_vector_links": op9_vector_links,
         "op10_lm_scoring": op10_lm_scoring,
     }
     return {name: _shipping(query) for name, query in named.items()}
@@ -142,10 +152,26 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_h
 FROM doc_lists d LEFT JOIN words_hit h ON d.doc_id = h.doc_id LEFT JOIN items t ON d.doc_id = t.doc_id
 """
 
+OP9_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT u, w FROM links UNION SELECT r.u, l.w FROM reach r JOIN links l ON r.w = l.u),
+low AS (SELECT u, min(w) AS low FROM reach GROUP BY u),
+n AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON vec_id = n.u LEFT JOIN low ON vec_id = low.u
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": OP3_SQL,
         "op4_secret_scans": OP4_SQL,
         "op8_decontamination": OP8_SQL,
+        "op9_vector_links": OP9_SQL,
     }
