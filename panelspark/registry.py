@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.operators import book
+from panelspark.plans import catalog
+from panelspark.sources.panels import run_sql
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Ticks to bars, grid, reversal scores, neutral weights, equity and metrics."""
+    return run_sql(spark, sf_dir, book.flagship_sql())
+
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: _query(sql) for name, sql in catalog.all_sql().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return catalog.all_sql()
