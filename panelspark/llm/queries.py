@@ -54,7 +54,7 @@ def op9_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.score(lmscore.with_targets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return lmscore.score(table(spark, sf_dir, "documents"), lmscore.good_ids(table(spark, sf_dir, "labels")))
 
 
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
