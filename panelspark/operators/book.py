@@ -81,7 +81,7 @@ def performance(per_year: int = PER_YEAR, cash: float = 10_000.0) -> Steps:
             avg(r) * sqrt({per_year}) / nullif(sqrt(avg(CASE WHEN r < 0 THEN r * r END)), 0) AS sortino,
             stddev_samp(r) * sqrt({per_year}) AS volatility, min(drawdown) AS max_drawdown,
             power(max(CASE WHEN back = 1 THEN equity END) / {cash}, {per_year} / nullif(count(*) - 1, 0) * 1.0) - 1 AS cagr,
-            sum(CASE WHEN turnover > 0 THEN 1 ELSE 0 END) AS n_trades, avg(CASE WHEN r > 0 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END) AS win_rate,
+            sum(CASE WHEN turnover > 0 THEN 1 ELSE 0 END) AS n_trades, avg(CASE WHEN r > 1e-12 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END) AS win_rate,
             sum(CASE WHEN r > 0 THEN r END) / nullif(-sum(CASE WHEN r < 0 THEN r END), 0) AS profit_factor, max(r) AS best, min(r) AS worst
             FROM bar_returns GROUP BY run_id""",
         ),
