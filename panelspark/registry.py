@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import book
-from panelspark.plans import catalog
+from panelspark.plans import catalog, studies
 from panelspark.sources.panels import run_sql
 
 
@@ -21,8 +21,10 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(sql) for name, sql in catalog.all_sql().items()}
+    sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("spark")
+    return {name: _query(studies.spoken(text, "spark")) for name, text in sql.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalog.all_sql()
+    sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("duckdb")
+    return {name: studies.spoken(text, "duckdb") for name, text in sql.items()}
