@@ -107,7 +107,7 @@ def _ic(horizon: int = 1) -> Steps:
         ("ahead", f"SELECT *, round(lead(close, {horizon}) OVER (PARTITION BY run_id, symbol ORDER BY bar_idx) / nullif(close, 0) - 1, 10) AS fwd FROM scored"),
         ("ranked", f"SELECT run_id, bar_idx, {rank('score')} AS a, {rank('fwd')} AS b FROM ahead"),
         ("ic", "SELECT run_id, bar_idx, count(*) AS n, CASE WHEN count(*) >= 5 THEN covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) END AS ic FROM ranked WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY run_id, bar_idx"),
-        ("ic_stats", "SELECT run_id, count(ic) AS n, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) AS t, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(CASE WHEN ic > 0 THEN 1e0 WHEN ic IS NOT NULL THEN 0e0 END) AS hit FROM ic WHERE bar_idx >= 8 GROUP BY run_id"),
+        ("ic_stats", "SELECT run_id, count(ic) AS n, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) AS t, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(CASE WHEN ic > 1e-12 THEN 1e0 WHEN ic IS NOT NULL THEN 0e0 END) AS hit FROM ic WHERE bar_idx >= 8 GROUP BY run_id"),
         ("verdicts", "SELECT *, CASE WHEN n < 30 THEN 'dead' WHEN mean_ic > 0.02 AND t > 2 AND hit >= 0.55 THEN 'alive' WHEN mean_ic < -0.02 AND t < -2 THEN 'reversed' ELSE 'dead' END AS verdict FROM ic_stats"),
     ]
 

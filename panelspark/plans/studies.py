@@ -22,17 +22,6 @@ _TOKENS = {
 
 SYMBOL = "PARTITION BY symbol ORDER BY bar_idx"
 
-#: Hourly bars of the event stream.
-EVENT_BARS = """event_numbered AS (
-  SELECT event_type AS symbol, date_trunc('hour', ts) AS hour, value, event_id,
-         row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS up,
-         row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts DESC, event_id DESC) AS down
-  FROM events),
-event_bars AS (
-  SELECT symbol, hour AS ts, max(CASE WHEN up = 1 THEN value END) AS open, max(value) AS high, min(value) AS low,
-         max(CASE WHEN down = 1 THEN value END) AS close, count(*) * 1e0 AS volume
-  FROM event_numbered GROUP BY symbol, hour)"""
-
 #: An overlay seen every third bar, filled forward on the bar timeline.
 OVERLAY: Steps = [
     ("sparse", "SELECT *, CASE WHEN bar_idx % 3 = 0 THEN traded END AS seen FROM grid"),

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.operators import book
+from panelspark.operators import book, significance
 from panelspark.plans import catalog, studies
 from panelspark.sources.panels import run_sql
+from panelspark.streaming import bars
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("spark")
-    return {name: _query(studies.spoken(text, "spark")) for name, text in sql.items()}
+    return {name: _query(studies.spoken(text, "spark")) for name, text in sql.items()} | significance.queries() | bars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
