@@ -22,7 +22,6 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -181,12 +180,16 @@ def bands_for(distinct: int, radius: int) -> int:
 def links(nodes: DataFrame, radius: int = 4, bands: int | None = None, chunk: int = 4096) -> DataFrame:
     """``u, v``: edges between the ``node`` of fingerprints ``fp`` within
     ``radius`` that connect all that any chain of close pairs connects.
-    ``nodes`` has each fingerprint once."""
-    bands = bands or bands_for(nodes.count(), radius)
+    ``nodes`` has each fingerprint once. With a column ``family``, fingerprints
+    of one family are compared, each there once."""
+    family = ["family"] if "family" in nodes.columns else []
+    if not bands:
+        sizes = nodes.groupBy(*family).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
+        bands = bands_for(sizes[0] or 0, radius)
     keys = []
     for number, chosen in enumerate(combinations(_bands(bands), bands - radius)):
         parts = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1)) for lo, width in chosen]
-        keys.append(F.xxhash64(F.lit(number), *parts))
+        keys.append(F.xxhash64(F.lit(number), *family, *parts))
     rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
     full = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = rows.join(full, "bucket").withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
@@ -245,11 +248,10 @@ def keep_first(docs: DataFrame, width: int = 5, radius: int = 8, seeds: tuple[in
     at a similarity near the threshold misses about one time in four, three of
     them together about one time in fifty.
     """
-    fps = saved(fingerprints(docs.where("doc_id is not null"), width, seeds))
-    edges = []
-    for k in range(len(seeds)):
-        own = fps.select("doc_id", F.col(f"fp{k}").alias("fp"))
-        nodes = saved(own.groupBy("fp").agg(F.min("doc_id").alias("node")))
-        edges += [links(nodes, radius), own.join(nodes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))]
-    gone = saved(components(reduce(DataFrame.unionAll, edges)).where("node <> component").select(F.col("node").alias("gone")))
+    fps = fingerprints(docs.where("doc_id is not null"), width, seeds)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp")) for k in range(len(seeds)))))
+    own = saved(fps.select("doc_id", each.alias("f")).select("doc_id", "f.family", "f.fp"))
+    nodes = saved(own.groupBy("family", "fp").agg(F.min("doc_id").alias("node")))
+    copies = own.join(nodes, ["family", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    gone = saved(components(links(nodes, radius).unionAll(copies)).where("node <> component").select(F.col("node").alias("gone")))
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
