@@ -190,10 +190,11 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     return [sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).select("item_id", "text") for i in range(n)]
 
 
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, cut: bool = False) -> DataFrame:
     """``docs`` (with ``text``) and the columns ``n_words``, ``spans`` (merged
     [first, end) word ranges that occurrences cover, in order) and ``items``
-    (ids that occur, distinct)."""
+    (ids that occur, distinct). With ``cut``, ``docs`` without the spans' words
+    instead, by the task that finds them."""
     spark = docs.sparkSession
     added = ["n_words", "spans", "items"]
     docs = docs.drop(*added)
@@ -201,16 +202,20 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
     schema, blocks = out.schema, _blocks(benchmark, block_words)
     for number, block in enumerate(blocks):
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()], window))
-        out = out.mapInArrow(_scan(phrases, shard_words), schema)
-        if number + 1 < len(blocks):
+        last = number + 1 == len(blocks)
+        out = out.mapInArrow(_scan(phrases, shard_words, cut and last), docs.schema if cut and last else schema)
+        if not last:
             out = saved(out)
+    if cut and not blocks:
+        return docs
     if not blocks:
         out = out.withColumn("n_words", F.coalesce(F.regexp_count(F.col("text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long"))
     return out
 
 
-def _scan(phrases, shard_words: int):  # noqa: ANN001, ANN202
-    """Adds what one block of phrases finds to what stands in the rows."""
+def _scan(phrases, shard_words: int, cut: bool = False):  # noqa: ANN001, ANN202
+    """Adds what one block of phrases finds to what stands in the rows; with
+    ``cut``, takes the spans from the texts in their place."""
 
     def shard(rows: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
         starts = np.cumsum([0] + [len(x) for x in ids])
@@ -230,6 +235,8 @@ def _scan(phrases, shard_words: int):  # noqa: ANN001, ANN202
                 else:
                     merged.append([a, b])
             spans[d] = [{"first": a, "end": b} for a, b in merged]
+        if cut:
+            return without_spans(rows.select([n for n in rows.schema.names if n not in ("n_words", "spans", "items")]), spans)
         new = {"n_words": pa.array(np.diff(starts)), "spans": pa.array(spans, rows.schema.field("spans").type), "items": pa.array(items, rows.schema.field("items").type)}
         return pa.RecordBatch.from_arrays([new.get(n, rows.column(n)) for n in rows.schema.names], names=rows.schema.names)
 
@@ -271,19 +278,24 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` with every removal span cut from its text; ``n_chars`` follows."""
-    columns = docs.columns
-    schema = docs.schema
+def without_spans(rows: pa.RecordBatch, spans: list[list[dict]]) -> pa.RecordBatch:
+    """``rows`` with the spans of each cut from its text; ``n_chars`` follows."""
+    names, touched = rows.schema.names, [i for i, s in enumerate(spans) if s]
+    if not touched:
+        return rows
+    texts = rows.column("text").to_pylist()
+    for i in touched:
+        texts[i] = cut_words(texts[i], [(x["first"], x["end"]) for x in spans[i]])
+    new = {"text": pa.array(texts, rows.schema.field("text").type)}
+    if "n_chars" in names:
+        chars = rows.column("n_chars").to_pylist()
+        for i in touched:
+            chars[i] = len(texts[i])
+        new["n_chars"] = pa.array(chars, rows.schema.field("n_chars").type)
+    return pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in names], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t if not s else cut_words(t, [(x["first"], x["end"]) for x in s]) for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True)]
-            new = {"text": pa.array(texts, b.schema.field("text").type)}
-            if "n_chars" in columns:
-                old = b.column("n_chars").to_pylist()
-                new["n_chars"] = pa.array([len(t) if s else n for t, s, n in zip(texts, b.column("spans").to_pylist(), old, strict=True)], b.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], names=columns)
-
-    found = occurrences(docs, benchmark)
-    return found.mapInArrow(run, schema)
+
+def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` with every removal span cut from its text; ``n_chars`` follows.
+    Columns named ``n_words``, ``spans`` or ``items`` are dropped."""
+    return occurrences(docs, benchmark, cut=True)
