@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import book, significance
 from panelspark.plans import catalog, studies
+from panelspark.sources import feeds
 from panelspark.sources.panels import run_sql
 from panelspark.streaming import bars
 
@@ -23,9 +24,9 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("spark")
-    return {name: _query(studies.spoken(text, "spark")) for name, text in sql.items()} | significance.queries() | bars.queries()
+    return {name: _query(studies.spoken(text, "spark")) for name, text in sql.items()} | feeds.queries() | significance.queries() | bars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("duckdb")
-    return {name: studies.spoken(text, "duckdb") for name, text in sql.items()}
+    return {name: studies.spoken(text, "duckdb") for name, text in sql.items()} | feeds.oracle_sql()
