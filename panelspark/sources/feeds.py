@@ -33,6 +33,26 @@ def funding(pages: DataFrame) -> DataFrame:
     return _first(pages, "array<struct<fundingTime:string,fundingRate:string>>", F.col("e.fundingTime"), {"rate": F.col("e.fundingRate")})
 
 
+def _seconds(time: Column) -> Column:
+    return time.try_cast("long") * 1000
+
+
+def locked_value(pages: DataFrame) -> DataFrame:
+    """``symbol, millis, tvl`` of ``{date, totalLiquidityUSD}`` objects; ``date`` is in seconds."""
+    return _first(pages, "array<struct<date:string,totalLiquidityUSD:string>>", _seconds(F.col("e.date")), {"tvl": F.col("e.totalLiquidityUSD")})
+
+
+def fees(pages: DataFrame) -> DataFrame:
+    """``symbol, millis, fees`` of ``[seconds, value]`` pairs."""
+    return _first(pages, "array<array<string>>", _seconds(F.get("e", F.lit(0))), {"fees": F.get("e", F.lit(1))})
+
+
+def supply(pages: DataFrame) -> DataFrame:
+    """``symbol, millis, supply`` of ``{date, totalCirculating: {peggedUSD}}`` objects; 0 where there is none."""
+    schema = "array<struct<date:string,totalCirculating:struct<peggedUSD:string>>>"
+    return _first(pages, schema, _seconds(F.col("e.date")), {"supply": F.coalesce(F.col("e.totalCirculating.peggedUSD"), F.lit("0"))})
+
+
 def check_bars(bars: DataFrame, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
     """``bars`` in the order of the bar columns; an error if a column lacks, there are no rows, or a key repeats."""
     lacking = [c for c in (*key, *BAR) if c not in bars.columns]
@@ -53,8 +73,16 @@ def read_bars(spark: SparkSession, path: str, key: tuple[str, ...] = ("symbol",
     return check_bars(spark.read.parquet(path), key)
 
 
+def stack_files(spark: SparkSession, path: str) -> DataFrame:
+    """The bar files ``symbol.parquet`` in a folder as one panel, in one read; ``symbol`` is the file's name."""
+    bars = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.parquet(?:/[^/]*)?$", 1)
+    return bars.withColumn("symbol", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
+
+
 _ROWS = "SELECT symbol, MILLIS AS millis, {} FROM bars WHERE close IS NOT NULL"
 _BARS = _ROWS.format(", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in BAR))
+_TVL = _ROWS.format("CAST(traded AS DOUBLE) AS tvl")
 _RATES = _ROWS.format("CAST(discount AS DOUBLE) AS rate")
 
 
@@ -73,9 +101,13 @@ def _funding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return funding(_landed(spark, sf_dir, _RATES, F.struct(F.col("millis").alias("fundingTime"), F.col("rate").cast("string").alias("fundingRate"))))
 
 
+def _locked_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locked_value(_landed(spark, sf_dir, _TVL, F.struct(F.expr("millis div 1000").alias("date"), F.col("tvl").cast("string").alias("totalLiquidityUSD"))))
+
+
 def queries() -> dict:
-    return {"a15_klines": _klines, "a16_funding": _funding}
+    return {"a15_klines": _klines, "a16_funding": _funding, "a17_locked_value": _locked_value}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: steps_sql("w", [], sql.replace("MILLIS", "epoch_ms(ts)")) for name, sql in (("a15_klines", _BARS), ("a16_funding", _RATES))}
+    return {name: steps_sql("w", [], sql.replace("MILLIS", "epoch_ms(ts)")) for name, sql in (("a15_klines", _BARS), ("a16_funding", _RATES), ("a17_locked_value", _TVL))}

@@ -13,6 +13,20 @@ def test_pages(spark):
     assert [tuple(r) for r in feeds.funding(spark.createDataFrame(rates, "symbol string, page int, body string")).collect()] == [("A", 3, 0.01)]
 
 
+def test_overlays(spark):
+    page = lambda body: spark.createDataFrame([("A", 0, body)], "symbol string, page int, body string")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(feeds.locked_value(page('[{"date":5,"totalLiquidityUSD":2.5},{"date":"6","totalLiquidityUSD":1}]'))) == [("A", 5000, 2.5), ("A", 6000, 1.0)]
+    assert rows(feeds.fees(page("[[5,2.5],[5,9],[7,3]]"))) == [("A", 5000, 2.5), ("A", 7000, 3.0)]
+    assert rows(feeds.supply(page('[{"date":5,"totalCirculating":{"peggedUSD":4}},{"date":6,"totalCirculating":{}},{"date":7}]'))) == [("A", 5000, 4.0), ("A", 6000, 0.0), ("A", 7000, 0.0)]
+
+
+def test_stacked_files(spark, tmp_path):
+    for name, close in (("A", 1.0), ("B C+", 2.0)):
+        spark.createDataFrame([(1, close)], "ts int, close double").coalesce(1).toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    assert sorted(map(tuple, feeds.stack_files(spark, str(tmp_path)).select("symbol", "close").collect())) == [("A", 1.0), ("B C+", 2.0)]
+
+
 def test_bar_files(spark, tmp_path):
     bars = spark.createDataFrame([(1, "A", 1.0, 1.0, 1.0, 1.0, 5.0), (2, "A", 1.0, 1.0, 1.0, 1.0, 5.0)], "ts int, symbol string, open double, high double, low double, close double, volume double")
     feeds.write_bars(bars, f"{tmp_path}/bars")
