@@ -1,17 +1,20 @@
 """LM scoring by cross-entropy difference.
 
 A target and a background bigram model of the same form share one vocabulary:
-the ``vocabulary`` most frequent words of the whole corpus, all other words
-being one unknown word (and a begin-of-text mark). Both models count all of
-their documents. Each token has a loss under either model, smoothed with
-Witten-Bell interpolation down to the uniform distribution; the score of a
-document is the mean of background loss minus target loss per token, so the
-higher it is, the more the text is like the target.
-
-The counts follow the corpus: words, then word pairs, are counted in the tasks
-and summed in shuffles. What scoring needs afterwards is one number for each
-pair of vocabulary words, ``(vocabulary + 2) ** 2`` four-byte floats whatever the
-corpus, and that bounded table goes to all tasks.
+every word of the corpus (with one unknown word that has no counts, and a
+begin-of-text mark). Both models count all of their documents. Each token has a
+loss under either model, smoothed with Witten-Bell interpolation down to the
+uniform distribution; the score of a document is the mean of background loss
+minus target loss per token, so the higher it is, the more the text is like the
+target. A ``vocabulary`` can be given: then only so many of the most frequent
+words are known, and all others are the unknown word.
+
+All tables follow the corpus and stay in Spark: the pairs of words with their
+counts, what each word adds to the losses of its pairs, and the losses of each
+pair. A bounded number of the most frequent words and pairs goes to the tasks,
+which look them up; every rarer one meets its table in a sort-merge join, where
+no key has many rows. Which of the two ways a word or pair takes changes no
+result. Words are known by 64-bit hashes, and so are pairs in the last join.
 
 Defined cases: a null or empty text has no tokens and null losses and score;
 repeated rows count and are scored each; with no target documents the target
@@ -24,12 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import HashIndex, lowered, pieces, prefix_sums, range_hashes, saved, text_bytes, word_bounds
+from panelspark.llm.common import HashIndex, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, word_bounds
 
-VOCABULARY = 4094
+#: Words and pairs that go to the tasks; all others are joined.
+FREQUENT_WORDS, FREQUENT_PAIRS = 1_000_000, 2_000_000
+#: Occurrences from which a word or pair is frequent in any case: a corpus has few such.
+ALWAYS = 1 << 16
+#: What a word adds to the losses of the pairs that it begins (tokens and kinds of
+#: words after it) and that it ends (its tokens), for the background and the target.
+PARTS = ("after_b", "kinds_b", "after_t", "kinds_t", "own_b", "own_t")
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,91 +75,176 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Numbers of words: 0 begins a text, 1 is any unknown word."""
+    """Hashes of words: 0 begins a text, 1 is any unknown word."""
 
-    def __init__(self, words: list[int]):
-        self.index = HashIndex(np.array(words, np.int64).view(np.uint64))
-        self.size = len(words) + 2
+    def __init__(self, words: list[int] | None):
+        self.index = None if words is None else HashIndex(np.array(words, np.int64).view(np.uint64))
 
-    def numbers(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word before, word, and row of every token."""
-        hashes, row = word_hashes(column)
-        word = self.index.find(hashes) + 2
-        word[word < 2] = 1
-        before = np.r_[0, word[:-1]][: len(word)]
+        word, row = word_hashes(column)
+        if self.index:
+            word = np.where(self.index.find(word) < 0, np.uint64(1), word)
+        before = np.r_[np.uint64(0), word[:-1]][: len(word)]
         before[np.flatnonzero(np.r_[True, row[1:] != row[:-1]])[: len(word)]] = 0
         return before, word, row
 
 
+def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before) + word
+
+
 def count_pairs(docs: DataFrame, vocabulary) -> DataFrame:  # noqa: ANN001
-    """``pair`` (before * size + word), ``background``, ``target`` counts of ``docs``
+    """``before``, ``word``, ``background``, ``target`` counts of ``docs``
     (``text``, ``is_target``): all documents are background."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = vocabulary.value.size
-        totals = np.zeros((2, size * size), np.uint32)
+        held, tokens = [], 0
         for batch in batches:
             for part in pieces(batch):
-                before, word, row = vocabulary.value.numbers(part.column("text"))
-                pair = before * size + word
+                before, word, row = vocabulary.value.tokens(part.column("text"))
                 wanted = part.column("is_target").to_numpy(zero_copy_only=False).astype(bool)[row]
-                for k, some in enumerate((pair, pair[wanted])):
-                    at, n = np.unique(some, return_counts=True)
-                    totals[k, at] += n.astype(np.uint32)
-        for lo in range(0, size * size, 1 << 21):
-            at = np.flatnonzero(totals[0, lo : lo + (1 << 21)]) + lo
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(totals[0, at].astype(np.int64)), pa.array(totals[1, at].astype(np.int64))], names=["pair", "background", "target"])
-
-    counts = docs.mapInArrow(run, "pair long, background long, target long")
-    return counts.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(counts: np.ndarray, size: int) -> np.ndarray:
-    """-log of the Witten-Bell probability of each word after each word, from a
-    size x size table of counts, which it replaces."""
-    counts = counts.reshape(size, size)
-    after, kinds = counts.sum(0, dtype=np.float64), float((counts.sum(0) > 0).sum())
-    total = after.sum()
-    single = (after + max(kinds, 1.0) / size) / (total + max(kinds, 1.0))
-    seen, types = counts.sum(1, dtype=np.float64), (counts > 0).sum(1)
-    types = np.maximum(types, 1)
-    for h in range(size):  # row by row, in place
-        counts[h] = -np.log((counts[h] + types[h] * single) / (seen[h] + types[h]))
-    return counts
-
-
-def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+                held.append((before, word, wanted))
+                tokens += len(word)
+                if tokens > 1 << 21:
+                    yield from summed(held)
+                    held, tokens = [], 0
+        yield from summed(held)
+
+    def summed(held: list) -> Iterator[pa.RecordBatch]:
+        before, word, wanted = (np.concatenate(x) for x in zip(*held, strict=True)) if held else ([],) * 3
+        if len(word):
+            key = pair_keys(before, word)
+            order = np.argsort(key)
+            key, before, word, wanted = key[order], before[order], word[order], wanted[order]
+            new = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])])
+            n, target = np.diff(np.r_[new, len(key)]), np.add.reduceat(wanted.astype(np.int64), new)
+            for lo in range(0, len(new), 1 << 18):
+                at = new[lo : lo + (1 << 18)]
+                columns = [before[at].view(np.int64), word[at].view(np.int64), n[lo : lo + len(at)], target[lo : lo + len(at)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["before", "word", "background", "target"])
+
+    counts = docs.mapInArrow(run, "before long, word long, background long, target long")
+    return counts.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+def word_parts(pairs: DataFrame) -> DataFrame:
+    """``id`` and its :data:`PARTS`, for each word and the begin-of-text mark."""
+    b, t, none = F.col("background"), F.col("target"), F.lit(0).cast("long")
+    first = (b, (b > 0).cast("long"), t, (t > 0).cast("long"), none, none)
+    last = (none, none, none, none, b, t)
+    both = [pairs.select(F.col(of).alias("id"), *(c.alias(name) for c, name in zip(cols, PARTS, strict=True))) for of, cols in (("before", first), ("word", last))]
+    return both[0].unionAll(both[1]).groupBy("id").agg(*(F.sum(name).alias(name) for name in PARTS))
+
+
+def frequent_from(table: DataFrame, count: Column, most: int) -> int:
+    """The smallest count that at most ``most`` rows reach (or :data:`ALWAYS`)."""
+    sizes = {r.n: r.rows for r in table.groupBy(F.least(count, F.lit(ALWAYS)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    total, low = 0, ALWAYS
+    for n in sorted(sizes, reverse=True):
+        total += sizes[n]
+        if total > most:
+            break
+        low = n
+    return low
+
+
+class Smoothing:
+    """Witten-Bell losses of the background (0) and the target (1)."""
+
+    def __init__(self, size: int, tokens: tuple[int, int], kinds: tuple[int, int]):
+        self.size, self.tokens, self.kinds = size, tokens, [max(k, 1) for k in kinds]
+
+    def loss(self, k: int, n, after, kinds, own, log, at_least_1):  # noqa: ANN001, ANN201
+        """-log of the probability of a word after a word: of arrays or of columns."""
+        single = (own + self.kinds[k] / self.size) / (self.tokens[k] + self.kinds[k])
+        kinds = at_least_1(kinds)
+        return log(after + kinds) - log(n + kinds * single)
+
+
+def pair_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothing) -> DataFrame:  # noqa: ANN001
+    """``pair, background, target``: key and losses of each of ``pairs``.
+    ``frequent`` has the index and the parts of frequent words."""
+
+    def found(batch: pa.RecordBatch) -> tuple:
+        index, parts = frequent.value
+        before, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
+        return before, word, index.find(before), index.find(word), parts
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, word, i, j, parts = found(batch)
+            on = (i >= 0) & (j >= 0)
+            first, last = parts[i[on]], parts[j[on]]
+            out = [smoothing.loss(k, batch.column(c).to_numpy()[on], first[:, 2 * k], first[:, 2 * k + 1], last[:, 4 + k], np.log, lambda x: np.maximum(x, 1)) for k, c in enumerate(("background", "target"))]
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)[on].view(np.int64)), *(pa.array(x.astype(np.float32)) for x in out)], names=["pair", "background", "target"])
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, word, i, j, parts = found(batch)
+            on = np.flatnonzero((i < 0) | (j < 0))
+            key, i, j = pair_keys(before, word)[on], i[on], j[on]
+            # a word that is known here joins under the pair's key: no frequent word is a key of the joins
+            left, right = np.where(i < 0, before[on], key), np.where(j < 0, word[on], key)
+            values = [pa.array(parts[at, c], mask=at < 0) for c, at in zip(range(6), (i, i, i, i, j, j), strict=True)]
+            keys = [pa.array(x.view(np.int64)) for x in (key, left, right)]
+            yield pa.RecordBatch.from_arrays([*keys, *(batch.column(c).take(pa.array(on)) for c in ("background", "target")), *values], names=["pair", "left", "right", "n_b", "n_t", *PARTS])
+
+    rows = pairs.mapInArrow(rest, "pair long, left long, right long, n_b long, n_t long, " + ", ".join(f"{p} long" for p in PARTS))
+    for key, names in (("left", PARTS[:4]), ("right", PARTS[4:])):
+        other = words.select(F.col("id"), *(F.col(p).alias(f"joined_{p}") for p in names)).hint("merge")
+        rows = rows.join(other, F.col(key) == F.col("id"), "left").drop("id")
+        rows = rows.withColumns({p: F.coalesce(p, f"joined_{p}") for p in names}).drop(*(f"joined_{p}" for p in names))
+    out = [smoothing.loss(k, F.col(f"n_{x}"), F.col(f"after_{x}"), F.col(f"kinds_{x}"), F.col(f"own_{x}"), F.log, lambda c: F.greatest(c, F.lit(1))).cast("float") for k, x in enumerate("bt")]
+    return pairs.mapInArrow(known, "pair long, background float, target float").unionAll(rows.select("pair", out[0].alias("background"), out[1].alias("target")))
+
+
+def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None) -> DataFrame:
     """``doc_id, n_tokens, background_loss, target_loss, score`` of each row of
     ``docs`` (``doc_id, text``); ``target_ids`` (``target_id``) name the target documents."""
-    spark = docs.sparkSession
-    words = count_words(docs).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
-    shared = spark.sparkContext.broadcast(Vocabulary([r.word for r in words]))
-    size = shared.value.size
+    context = docs.sparkSession.sparkContext
+    known = None
+    if vocabulary is not None:
+        known = [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()]
+    shared = context.broadcast(Vocabulary(known))
     pairs = saved(count_pairs(with_targets(docs, target_ids), shared))
-    both = np.empty((size, size, 2), np.float16)
-    for k, name in enumerate(("background", "target")):
-        counts = np.zeros(size * size, np.float32)
-        for part in range(8):  # at most size ** 2 / 8 rows at a time
-            got = pairs.where((F.col("pair") * 8 / (size * size)).cast("int") == part).select("pair", name).toArrow()
-            counts[got.column("pair").to_numpy()] = got.column(name).to_numpy()
-            del got
-        both[:, :, k] = losses(counts, size)
-    table = spark.sparkContext.broadcast(both)
-    del both, counts
+    words = saved(word_parts(pairs))
+    own = [F.col("own_b"), F.col("own_t")]
+    sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in own), *(F.count(F.when(c > 0, 1)) for c in own)).first()
+    smoothing = Smoothing((sums[2] if known is None else len(known)) + 2, sums[:2], sums[2:])
+    often = F.col("after_b") + F.col("own_b")
+    some = words.where(often >= frequent_from(words, often, FREQUENT_WORDS)).toArrow()
+    parts = np.stack([np.r_[some.column(p).to_numpy(), 0] for p in PARTS], axis=1)  # the last row is for words that are not there
+    frequent = context.broadcast((HashIndex(some.column("id").to_numpy().view(np.uint64)), parts))
+    least = frequent_from(pairs, F.col("background"), FREQUENT_PAIRS)
+    some = pair_losses(pairs.where(F.col("background") >= least), words, frequent, smoothing).toArrow()
+    table = context.broadcast((HashIndex(some.column("pair").to_numpy().view(np.uint64)), np.stack([some.column(c).to_numpy() for c in ("background", "target")], axis=1)))
+    del some, parts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, losses = table.value
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch):
-                before, word, row = shared.value.numbers(part.column("text"))
-                loss = table.value[before, word]
-                n = np.bincount(row, minlength=part.num_rows)
-                means = [np.bincount(row, loss[:, k].astype(np.float64), minlength=part.num_rows) / np.maximum(n, 1) for k in (0, 1)]
-                empty = n == 0
-                columns = [part.column("doc_id"), pa.array(n), *(pa.array(x, mask=empty) for x in (*means, means[0] - means[1]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "background_loss", "target_loss", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, background_loss double, target_loss double, score double")
+                before, word, row = shared.value.tokens(part.column("text"))
+                pair, rows = pair_keys(before, word), part.num_rows
+                at = index.find(pair)
+                on, off = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+                found = [np.bincount(row[on], losses[at[on], k].astype(np.float64), minlength=rows).astype(np.float64) for k in (0, 1)]
+                ends = np.r_[0, np.cumsum(np.bincount(row[off], minlength=rows))].astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[off].view(np.int64)))
+                columns = [pa.array(np.arange(number, number + rows)), part.column("doc_id"), pa.array(np.bincount(row, minlength=rows)), *map(pa.array, found), others]
+                number += rows
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "b", "t", "others"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = saved(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, b double, t double, others array<long>"))
+    rare = pair_losses(pairs.where(F.col("background") < least), words, frequent, smoothing)
+    tokens = found.select("row", F.explode("others").alias("other")).hint("merge")
+    rest = tokens.join(rare, F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("background").alias("more_b"), F.sum("target").alias("more_t"))
+    both = found.drop("others").join(rest, F.col("row") == F.col("of"), "left")
+    means = [F.when(F.col("n_tokens") > 0, (F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0))) / F.col("n_tokens")) for k in "bt"]
+    return both.select("doc_id", "n_tokens", means[0].alias("background_loss"), means[1].alias("target_loss"), (means[0] - means[1]).alias("score"))
 
 
 def with_targets(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
