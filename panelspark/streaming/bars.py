@@ -9,14 +9,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: State of an account: equity, time of the last update, value at that time.
-STATE = "equity double, last long, price double"
+#: State of an account: value at its first update, time (microseconds) of its last one.
+STATE = "account string, first double, last long"
 MARKS = "account string, at long, price double, equity double"
 
 
@@ -35,41 +33,59 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour")
     )
 
 
-def mark_account(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Mark one account forward: equity moves with the price since the last update.
+def marked(updates: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of one batch of ``(account, at, price)`` updates in any order, and
+    the accounts' state after it.
 
-    An update no newer than the last one is no news and changes nothing."""
-    equity, last, price = state.get if state.exists else (10_000.0, None, None)
-    out = []
-    for row in pd.concat(list(batches)).sort_values(["at", "price"]).itertuples():
-        if last is not None and row.at <= last:
-            continue
-        equity *= row.price / price if price else 1.0
-        last, price = int(row.at), float(row.price)
-        out.append((key[0], last, price, equity))
-    if out:
-        state.update((equity, last, price))
-    yield pd.DataFrame(out, columns=["account", "at", "price", "equity"])
+    Equity moves with the price since the last update, from 10,000 at the first
+    one, so it is 10,000 x price / first price. An update no newer than the last
+    one of an earlier batch is no news and changes nothing; of updates at the
+    same time, that with the lowest price counts."""
+    rows = updates.where("price > 0 AND at IS NOT NULL").groupBy("account", "at").agg(F.min("price").alias("price")).alias("r")
+    rows = rows.join(state.alias("s"), F.expr("r.account <=> s.account"), "left").where("s.last IS NULL OR at > s.last").selectExpr("r.account", "at", "price", "first")
+    ends = rows.groupBy("account").agg(F.coalesce(F.max("first"), F.min_by("price", "at")).alias("first"), F.max("at").alias("last"))
+    marks = rows.drop("first").alias("r").join(ends.alias("e"), F.expr("r.account <=> e.account")).selectExpr("r.account", "at", "price", "10000 * price / first AS equity")
+    rest = state.alias("s").join(ends.alias("e"), F.expr("s.account <=> e.account"), "left_anti")
+    return marks, ends.unionAll(rest)
 
 
-def accounts(updates: DataFrame) -> DataFrame:
-    """``(account, at, price)`` updates to marks, one state row for each account."""
-    return updates.where("price > 0 AND at IS NOT NULL").groupBy("account").applyInPandasWithState(mark_account, MARKS, STATE, "append", "NoTimeout")
+def accounts(spark: SparkSession, updates: DataFrame) -> DataFrame:
+    """A stream of ``(account, at, price)`` updates, as far as it is there now, to
+    marks. Marks and state of each batch are tables in the shared folder."""
+    path, done = _folder(spark), []
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        state = session.read.schema(STATE).parquet(f"{path}-accounts/{number - 1}") if number else session.createDataFrame([], STATE)
+        batch = batch.persist()  # marks and state are of the same rows
+        marks, after = marked(batch, state)
+        marks.write.mode("overwrite").parquet(f"{path}/{number}")
+        after.write.mode("overwrite").parquet(f"{path}-accounts/{number}")
+        batch.unpersist()
+        done.append(f"{path}/{number}")
+
+    updates.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(MARKS).parquet(*sorted(set(done))) if done else spark.createDataFrame([], MARKS)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new name in the shared folder."""
+    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
+    return f"{root}/stream-{uuid.uuid4().hex}"
 
 
 def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All rows that ``stream`` gives for the input that is there now, as a table in the shared folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-    path = f"{root}/stream-{uuid.uuid4().hex}"
+    path = _folder(spark)
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a file stream of ticks."""
+    """The events table as a file stream of ticks, with the user of each."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return events.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type AS symbol", "value AS price")
+    return events.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type AS symbol", "value AS price", "user_id")
 
 
 def streaming_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +94,8 @@ def streaming_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user is an account that is marked at its events."""
-    updates = event_stream(spark, sf_dir).selectExpr("symbol AS account", "unix_millis(ts) AS at", "1 + price AS price")
-    return finished(spark, accounts(updates))
+    updates = event_stream(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS account", "unix_micros(ts) AS at", "1 + price AS price")
+    return accounts(spark, updates)
 
 
 def queries() -> dict:

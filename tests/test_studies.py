@@ -62,6 +62,27 @@ def test_streamed_accounts(spark):
     assert len({(r.account, r.at) for r in marks}) == len(marks)
 
 
+@needs_tables
+def test_every_update_of_a_user_is_marked(spark):
+    want = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").selectExpr("CAST(user_id AS STRING) AS u", "unix_micros(CAST(ts AS TIMESTAMP)) AS at", "1 + value AS price").collect():
+        if r.price is not None and r.price > 0 and r.at is not None:
+            want[r.u, r.at] = min(r.price, want.get((r.u, r.at), r.price))
+    got = bars.streaming_accounts(spark, SF).collect()
+    assert len({r.account for r in got}) > 5
+    assert {(r.account, r.at): r.price for r in got} == want and len(got) == len(want)
+
+
+def test_accounts_go_on_from_their_state(spark):
+    schema = "account string, at long, price double"
+    rows = [("a", 2_000_001, 3.0), ("a", 2_000_000, 2.0), ("a", 2_000_000, 2.0), ("b", 5, 4.0), (None, 1, 1.0), ("c", 1, None), ("c", 1, -1.0)]
+    marks, state = bars.marked(spark.createDataFrame(rows, schema), spark.createDataFrame([], bars.STATE))
+    assert sorted(map(tuple, marks.collect()), key=str) == sorted([("a", 2_000_000, 2.0, 10_000.0), ("a", 2_000_001, 3.0, 15_000.0), ("b", 5, 4.0, 10_000.0), (None, 1, 1.0, 10_000.0)], key=str)
+    marks, state = bars.marked(spark.createDataFrame([("a", 2_000_001, 9.0), ("a", 2_000_002, 1.0), (None, 2, 3.0), ("d", 1, 5.0)], schema), state)
+    assert sorted(map(tuple, marks.collect()), key=str) == sorted([("a", 2_000_002, 1.0, 5_000.0), (None, 2, 3.0, 30_000.0), ("d", 1, 5.0, 10_000.0)], key=str)
+    assert {tuple(r) for r in state.collect()} == {("a", 2.0, 2_000_002), ("b", 4.0, 5), (None, 1.0, 2), ("d", 5.0, 1)}
+
+
 @needs_tables
 def test_studies(spark):
     sql = studies.all_sql()
