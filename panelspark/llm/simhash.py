@@ -21,12 +21,14 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import saved
@@ -177,11 +179,15 @@ def bands_for(distinct: int, radius: int) -> int:
     return bands
 
 
-def links(nodes: DataFrame, radius: int = 4, bands: int | None = None, chunk: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, bands: int | None = None, chunk: int = 4096, pairs: str | None = None) -> DataFrame:
     """``u, v``: edges between the ``node`` of fingerprints ``fp`` within
     ``radius`` that connect all that any chain of close pairs connects.
     ``nodes`` has each fingerprint once. With a column ``family``, fingerprints
-    of one family are compared, each there once."""
+    of one family are compared, each there once.
+
+    With ``pairs``, only pairs that are themselves within ``radius`` come out,
+    and only those of different ``label``: "all" of them, or "some" that
+    connect the same labels. Fingerprints may then occur for many nodes."""
     family = ["family"] if "family" in nodes.columns else []
     if not bands:
         sizes = nodes.groupBy(*family).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
@@ -190,27 +196,46 @@ def links(nodes: DataFrame, radius: int = 4, bands: int | None = None, chunk: in
     for number, chosen in enumerate(combinations(_bands(bands), bands - radius)):
         parts = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1)) for lo, width in chosen]
         keys.append(F.xxhash64(F.lit(number), *family, *parts))
-    rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
+    label = ["label"] if pairs else []
+    rows = nodes.select("node", "fp", *label, F.explode(F.array(*keys)).alias("bucket"))
     full = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = rows.join(full, "bucket").withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
     # a chunk meets itself, and every other chunk of its bucket once
-    own = F.pmod(F.xxhash64("fp"), F.col("cuts")).cast("int")
+    own = F.pmod(F.xxhash64("fp", *(["node"] if pairs else [])), F.col("cuts")).cast("int")
     meet = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b")))
     rows = rows.withColumn("own", own).withColumn("m", F.explode(meet))
     side = F.when(F.col("m.a") == F.col("m.b"), 0).when(F.col("own") == F.col("m.a"), 1).otherwise(2)
-    rows = rows.select("node", "fp", F.when(F.col("cuts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "m.a", "m.b")).alias("bucket"), side.cast("byte").alias("side"))
+    rows = rows.select("node", "fp", *label, F.when(F.col("cuts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "m.a", "m.b")).alias("bucket"), side.cast("byte").alias("side"))
 
     def compare(batch: pa.Table) -> pa.RecordBatch:
         node, fp, bucket, side = (batch.column(c).to_numpy() for c in ("node", "fp", "bucket", "side"))
         _, inverse, counts = np.unique(bucket, return_inverse=True, return_counts=True)
         order = np.lexsort((inverse, -counts[inverse]))
         node, fp, bucket, side = node[order], fp[order], bucket[order], side[order]
+        if pairs:
+            return apart(node, batch.column("label").to_numpy()[order], bucket, linked_pairs(fp.view(np.uint64), bucket, side, radius))
         forest = Forest(len(node))
         for i, j in linked_pairs(fp.view(np.uint64), bucket, side, radius):
             forest.join(i, j)
         on = np.flatnonzero(forest.label != np.arange(len(node)))
         return pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[forest.label[on]])], names=["u", "v"])
 
+    def apart(node: np.ndarray, label: np.ndarray, bucket: np.ndarray, found: Iterator) -> pa.RecordBatch:
+        """The pairs of different labels. For "some", a pair counts only if no earlier ones connect its rows."""
+        _, start = np.unique(np.stack([bucket, label]), axis=1, return_inverse=True)
+        forest, u, v = Forest(len(node)), [node[:0]], [node[:0]]
+        first = np.full(len(node), -1)
+        first[start[::-1]] = np.arange(len(node))[::-1]
+        forest.label = first[start]
+        for i, j in found:
+            on = forest.label[i] != forest.label[j]
+            i, j = i[on], j[on]
+            u.append(node[i])
+            v.append(node[j])
+            if pairs == "some":
+                forest.join(i, j)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Whole buckets of the sorted rows, about ``2 * chunk`` rows at a time."""
         held: list[pa.RecordBatch] = []
@@ -239,19 +264,102 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, width: int = 5, radius: int = 8, seeds: tuple[int, ...] = (42, 43, 44)) -> DataFrame:
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished queries: its cleaner acts when the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def word_digests(docs: DataFrame) -> DataFrame:
+    """``doc_id``, and the ``high`` and ``low`` half of the XXH128 of the words of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            digests = b"".join([xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode().lower().split())) for t in b.column("text")])
+            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, np.ascontiguousarray(halves.T))], names=["doc_id", "high", "low"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long")
+
+
+def shingles(docs: DataFrame, width: int) -> DataFrame:
+    """``node``, ``grams``: the distinct hashes of the ``width``-word shingles of each text."""
+
+    def grams(text: str | None) -> np.ndarray:
+        import xxhash
+
+        words = (text or "").encode().lower().split()
+        parts = zip(*(words[i:] for i in range(width)), strict=False) if len(words) > width else [words] if words else []
+        return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(g), seed=SEED) for g in parts]), ">u8").astype(np.uint64)).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [grams(t.as_py()) for t in b.column("text")]
+            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], names=["node", "grams"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
+
+
+def similar(pairs: DataFrame, docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
+    """Those of ``pairs`` (``u, v``) whose texts in ``docs`` (``node, text``) have
+    an exact Jaccard similarity of shingles of at least ``tenths`` / 10."""
+    pairs = saved(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
+    wanted = pairs.select(F.col("u").alias("want")).unionAll(pairs.select(F.col("v").alias("want"))).distinct()
+    sets = saved(shingles(docs.join(wanted, F.col("node") == F.col("want"), "left_semi"), width))
+    one, two = (sets.select(F.col("node").alias(f"node_{x}"), F.col("grams").alias(x)).hint("merge") for x in "ab")
+    both = pairs.join(one, F.col("u") == F.col("node_a")).join(two, F.col("v") == F.col("node_b"))
+    met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
+    return met.where(10 * F.col("common") >= tenths * (F.col("total") - F.col("common"))).select("u", "v")
+
+
+#: Eight fingerprints: a pair at a similarity of 0.8 differs in 9.7 of 64 bits on
+#: average, so that one alone finds about two of five such pairs within 8 bits.
+SEEDS = tuple(range(42, 50))
+
+
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest
     doc_id. Rows with a null doc_id stay.
 
-    Two documents are linked if the fingerprints of any seed are within
-    ``radius`` (1 - 8 / 64 is a similarity of 0.875): one fingerprint of a pair
-    at a similarity near the threshold misses about one time in four, three of
-    them together about one time in fifty.
+    Two documents are linked if their texts have the same words, or if the
+    fingerprints of any seed are within ``radius`` and the exact Jaccard
+    similarity of their shingles is at least 0.8. Texts that are linked already
+    are not compared again, so a large group of near copies needs few pairs; in
+    the end every other pair within ``radius`` has been verified.
     """
-    fps = fingerprints(docs.where("doc_id is not null"), width, seeds)
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("family"), F.col(f"fp{k}").alias("fp")) for k in range(len(seeds)))))
-    own = saved(fps.select("doc_id", each.alias("f")).select("doc_id", "f.family", "f.fp"))
-    nodes = saved(own.groupBy("family", "fp").agg(F.min("doc_id").alias("node")))
-    copies = own.join(nodes, ["family", "fp"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    gone = saved(components(links(nodes, radius).unionAll(copies)).where("node <> component").select(F.col("node").alias("gone")))
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    names = [f"fp{k}" for k in range(len(seeds))]
+    same = saved(word_digests(named))
+    firsts = saved(same.groupBy("high", "low").agg(F.min("doc_id").alias("node")))
+    copies = same.join(firsts, ["high", "low"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
+    bodies = named.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
+    texts = saved(fingerprints(bodies, width, seeds).withColumnRenamed("doc_id", "node"))
+    bodies = bodies.withColumnRenamed("doc_id", "node")
+    active, good, tried = texts.withColumn("label", F.col("node")), None, None
+    for pairs in ("some", "some", "all"):
+        found = []
+        for n in names:  # one by one: the tables of a seed leave the disk before those of the next
+            found.append(saved(links(active.select("node", F.col(n).alias("fp"), "label"), radius, pairs=pairs).distinct()))
+            freed(docs.sparkSession)
+        found = saved(reduce(DataFrame.unionAll, found).distinct())
+        new = saved(similar(found, bodies, width))
+        good, tried = (new, found) if good is None else (good.unionAll(new), tried.unionAll(found))
+        linked = saved(components(good))
+        if pairs != "all":
+            # pairs not seen yet are in groups of three or more whose members are not all linked
+            groups = saved(_labelled(components(tried), linked))
+            open_groups = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select(F.col("group").alias("open"))
+            labels = saved(groups.join(open_groups, F.col("group") == F.col("open"), "left_semi").select("member", "label"))
+            active = saved(texts.join(labels, F.col("node") == F.col("member")).select("node", *names, "label"))
+    gone = saved(components(good.unionAll(copies)).where("node <> component").select(F.col("node").alias("gone")))
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+
+
+def _labelled(groups: DataFrame, linked: DataFrame) -> DataFrame:
+    """``member, group, label``: the class of candidates and of verified links of each node."""
+    groups = groups.select(F.col("node").alias("member"), F.col("component").alias("group"))
+    linked = linked.select(F.col("node").alias("of"), F.col("component").alias("label"))
+    return groups.join(linked, F.col("member") == F.col("of"), "left").select("member", "group", F.coalesce("label", "member").alias("label"))

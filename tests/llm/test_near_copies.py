@@ -89,3 +89,27 @@ def test_documents(spark):
     kept = sorted(str(r.doc_id) for r in simhash.keep_first(docs).collect())
     assert kept == ["11", "2", "20", "4", "4", "None"]
     assert simhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_near_copies_are_verified(spark):
+    """Texts at a similarity below 0.8 stay although fingerprints are close; all at 0.8 or more go."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(120)]
+        rows.append((len(rows), " ".join(words)))
+        for changed in (1, 2, 3, 4, 5, 6):  # 5 shingles each: similarity 0.92 down to about 0.6
+            other = list(words)
+            for at in rng.sample(range(4, 116, 5), changed):
+                other[at] = f"new{rng.random()}"
+            rows.append((len(rows), " ".join(other)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    low = list(range(len(rows)))
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b // 7 * 7, b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in range(7):
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    want = {i for i, x in enumerate(low) if i == x}
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want <= kept  # nothing below 0.8 is dropped
+    assert len(kept - want) <= 3  # near all at 0.8 or more is found
