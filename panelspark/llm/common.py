@@ -70,13 +70,13 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes in ``column`` (one row at least)."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` with about ``limit`` bytes in ``column`` (one row at least, ``rows`` at most)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + limit, side="right"))))
         yield batch.slice(at, to - at)
         at = to
 
@@ -148,6 +148,30 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 
+def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and 52-bit hash of the distinct ``width``-word shingles of at most 4096
+    rows, by row, then hash. A text of fewer words is one shingle; only A-Z change
+    case, only ASCII white space parts words."""
+    data, offsets = text_bytes(column)
+    data = lowered(data)
+    starts, ends, row = word_bounds(data, offsets)
+    words = range_hashes(prefix_sums(data), starts, ends)
+    at = np.arange(len(words))
+    end = np.cumsum(np.bincount(row, minlength=len(column)))[row] if len(words) else at
+    h = words * _BASE
+    for j in range(1, min(width, len(words))):
+        h[:-j] += np.where(at[j:] < end[:-j], words[j:], np.uint64(0)) * _up(j + 1)
+    first = np.r_[True, row[1:] != row[:-1]][: len(row)]
+    use = (end - at >= width) | first
+    keys = np.sort((row[use].astype(np.uint64) << np.uint64(52)) | (mixed(h[use]) >> np.uint64(12)))
+    keys = keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
+    return (keys >> np.uint64(52)).astype(np.int64), keys & np.uint64((1 << 52) - 1)
+
+
+def _up(n: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), n, 1 << 64))
+
+
 class HashIndex:
     """Places of 64-bit keys: a directory over the keys' leading bits, then the sorted keys."""
 

@@ -21,17 +21,16 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Iterator
-from functools import reduce
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import saved
+from panelspark.llm.common import mixed, pieces, saved, shingle_sets
 from panelspark.llm.components import Forest, components
 
 BITS = 64
@@ -140,29 +139,39 @@ def close_lanes(a: np.ndarray, b: np.ndarray, radius: int, first: int = 24) -> n
     return out
 
 
-def linked_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def linked_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows within ``radius``. Rows of one ``bucket`` stand together,
     larger buckets first; rows with side 1 are compared with those of side 2
-    only, rows of side 0 with all."""
-    p = planes(fps)
-    new = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-    sizes = np.diff(np.r_[new, len(bucket)])
-    last = np.repeat(new + sizes, sizes)  # the end of each row's bucket
-    ends = np.cumsum(sizes)
-    for d in range(1, int(sizes[0]) if len(sizes) else 0):
-        live = int(ends[np.searchsorted(-sizes, -d, side="left") - 1]) if sizes[0] > d else 0
-        if not live:
-            break
-        words = -(-live // 64)
-        hit = close_lanes(p[:, :words], shifted(p, d, words), radius)
-        if hit is None:
-            continue
-        i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-        i = i[i < live]
-        i = i[i + d < last[i]]
-        i = i[(side[i] == 0) | (side[i] != side[i + d])]
-        if len(i):
-            yield i, i + d
+    only, rows of side 0 with all. With a ``forest``, buckets all of whose rows
+    are of one class by now are left out from then on."""
+    rows, d = np.arange(len(fps)), 1
+    while True:
+        p, b = planes(fps[rows]), bucket[rows]
+        new = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])[: len(b)]
+        sizes = np.diff(np.r_[new, len(b)])
+        last = np.repeat(new + sizes, sizes)  # the end of each row's bucket
+        ends = np.cumsum(sizes)
+        while len(sizes) and d < sizes[0]:
+            live = int(ends[np.searchsorted(-sizes, -d, side="left") - 1])
+            words = -(-live // 64)
+            hit = close_lanes(p[:, :words], shifted(p, d, words), radius)
+            if hit is not None:
+                i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
+                i = i[i < live]
+                i = i[i + d < last[i]]
+                one, other = rows[i], rows[i + d]
+                on = (side[one] == 0) | (side[one] != side[other])
+                if on.any():
+                    yield one[on], other[on]
+            d += 1
+            if forest is not None and d & (d - 1) == 0:
+                label = forest.label[rows]
+                more = np.minimum.reduceat(label, new) != np.maximum.reduceat(label, new)
+                if sizes[more].sum() < 0.7 * len(rows):
+                    rows = rows[np.repeat(more, sizes)]
+                    break
+        else:
+            return
 
 
 def _bands(bands: int) -> list[tuple[int, int]]:
@@ -179,80 +188,71 @@ def bands_for(distinct: int, radius: int) -> int:
     return bands
 
 
-def links(nodes: DataFrame, radius: int = 4, bands: int | None = None, chunk: int = 4096, pairs: str | None = None) -> DataFrame:
+def _whole_buckets(compare: Callable[[pa.Table], pa.RecordBatch], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs ``compare`` on whole buckets of the sorted rows, about ``rows`` rows at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < rows:
+                continue
+            t = pa.Table.from_batches(held)
+            keys = t.column("bucket").to_numpy()
+            cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
+            if cut:
+                yield compare(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield compare(pa.Table.from_batches(held))
+
+    return run
+
+
+def _by_bucket(bucket: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The order of rows by bucket, larger ones first, then node."""
+    _, inverse, counts = np.unique(bucket, return_inverse=True, return_counts=True)
+    return np.lexsort((node, inverse, -counts[inverse]))
+
+
+def links(nodes: DataFrame, radius: int = 4, bands: int | None = None, chunk: int = 4096) -> DataFrame:
     """``u, v``: edges between the ``node`` of fingerprints ``fp`` within
-    ``radius`` that connect all that any chain of close pairs connects.
-    ``nodes`` has each fingerprint once. With a column ``family``, fingerprints
-    of one family are compared, each there once.
-
-    With ``pairs``, only pairs that are themselves within ``radius`` come out,
-    and only those of different ``label``: "all" of them, or "some" that
-    connect the same labels. Fingerprints may then occur for many nodes."""
-    family = ["family"] if "family" in nodes.columns else []
-    if not bands:
-        sizes = nodes.groupBy(*family).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-        bands = bands_for(sizes[0] or 0, radius)
+    ``radius`` that connect all that any chain of close pairs connects; ``v`` is
+    the smallest node of what a task finds connected. ``nodes`` has each
+    fingerprint once."""
+    bands = bands or bands_for(nodes.count(), radius)
     keys = []
     for number, chosen in enumerate(combinations(_bands(bands), bands - radius)):
         parts = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << width) - 1)) for lo, width in chosen]
-        keys.append(F.xxhash64(F.lit(number), *family, *parts))
-    label = ["label"] if pairs else []
-    rows = nodes.select("node", "fp", *label, F.explode(F.array(*keys)).alias("bucket"))
+        keys.append(F.xxhash64(F.lit(number), *parts))
+    rows = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
     full = saved(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     rows = rows.join(full, "bucket").withColumn("cuts", F.ceil(F.col("n") / chunk).cast("int"))
-    # a chunk meets itself, and every other chunk of its bucket once
-    own = F.pmod(F.xxhash64("fp", *(["node"] if pairs else [])), F.col("cuts")).cast("int")
-    meet = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b")))
-    rows = rows.withColumn("own", own).withColumn("m", F.explode(meet))
-    side = F.when(F.col("m.a") == F.col("m.b"), 0).when(F.col("own") == F.col("m.a"), 1).otherwise(2)
-    rows = rows.select("node", "fp", *label, F.when(F.col("cuts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "m.a", "m.b")).alias("bucket"), side.cast("byte").alias("side"))
 
     def compare(batch: pa.Table) -> pa.RecordBatch:
         node, fp, bucket, side = (batch.column(c).to_numpy() for c in ("node", "fp", "bucket", "side"))
-        _, inverse, counts = np.unique(bucket, return_inverse=True, return_counts=True)
-        order = np.lexsort((inverse, -counts[inverse]))
+        order = _by_bucket(bucket, node)
         node, fp, bucket, side = node[order], fp[order], bucket[order], side[order]
-        if pairs:
-            return apart(node, batch.column("label").to_numpy()[order], bucket, linked_pairs(fp.view(np.uint64), bucket, side, radius))
         forest = Forest(len(node))
-        for i, j in linked_pairs(fp.view(np.uint64), bucket, side, radius):
+        for i, j in linked_pairs(fp.view(np.uint64), bucket, side, radius, forest):
             forest.join(i, j)
         on = np.flatnonzero(forest.label != np.arange(len(node)))
         return pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[forest.label[on]])], names=["u", "v"])
 
-    def apart(node: np.ndarray, label: np.ndarray, bucket: np.ndarray, found: Iterator) -> pa.RecordBatch:
-        """The pairs of different labels. For "some", a pair counts only if no earlier ones connect its rows."""
-        _, start = np.unique(np.stack([bucket, label]), axis=1, return_inverse=True)
-        forest, u, v = Forest(len(node)), [node[:0]], [node[:0]]
-        first = np.full(len(node), -1)
-        first[start[::-1]] = np.arange(len(node))[::-1]
-        forest.label = first[start]
-        for i, j in found:
-            on = forest.label[i] != forest.label[j]
-            i, j = i[on], j[on]
-            u.append(node[i])
-            v.append(node[j])
-            if pairs == "some":
-                forest.join(i, j)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+    return _met(rows, ["node", "fp"]).mapInArrow(_whole_buckets(compare, 4 * chunk), "u long, v long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole buckets of the sorted rows, about ``2 * chunk`` rows at a time."""
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) < 4 * chunk:
-                continue
-            t = pa.Table.from_batches(held)
-            keys = t.column("bucket").to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
-            if cut:
-                yield compare(t.slice(0, cut))
-                held = t.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield compare(pa.Table.from_batches(held))
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "u long, v long")
+def _met(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """``rows`` (``bucket``, ``cuts``) by bucket: the chunks of a bucket that is
+    cut meet pairwise, each pair as a bucket of its own."""
+    # a chunk meets itself, and every other chunk of its bucket once
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp", "node"), F.col("cuts")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b")))
+    rows = rows.withColumn("m", F.explode(meet))
+    number = F.when(F.col("m.a") == F.col("m.b"), 0).when(F.col("own") == F.col("m.a"), 1).otherwise(2).cast("byte")
+    bucket = F.when(F.col("cuts") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", "m.a", "m.b"))
+    rows = rows.select(*kept, bucket.alias("bucket"), number.alias("side"))
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -264,102 +264,244 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return fps.join(classes, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished queries: its cleaner acts when the driver's JVM collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+# Near copies of texts: candidates by fingerprints, decided by their shingles.
+
+#: A pair at a similarity of 0.8 differs in 9.7 of 64 bits on average, so that one
+#: fingerprint finds about two of five such pairs within 8 bits, and eight nearly all.
+SEEDS = 8
+_SALTS = [mixed(np.array([k + 1], np.uint64)) for k in range(64)]
+#: Ids that go to all tasks in a join with texts; more are joined by shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def set_fingerprints(row: np.ndarray, hashes: np.ndarray, rows: int, seeds: int) -> np.ndarray:
+    """SimHashes of each row's set of hashes, one for each of ``seeds``."""
+    out = np.zeros((rows, seeds), np.uint64)
+    if not len(row):
+        return out
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    sizes = np.diff(np.r_[first, len(row)])
+    place = np.arange(len(row)) - np.repeat(first, sizes)
+    parts = np.flatnonzero(place % 255 == 0)  # sums of bits that fit a byte
+    sums = np.zeros((seeds, len(parts), BITS // 8), np.uint64)  # eight of them to a word
+    for lo in range(0, len(parts), 512):
+        at = parts[lo : lo + 512]
+        x = hashes[at[0] : parts[lo + 512] if lo + 512 < len(parts) else len(row)]
+        for k in range(seeds):
+            bits = np.unpackbits(mixed(x + _SALTS[k]).view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
+            sums[k, lo : lo + len(at)] = np.add.reduceat(bits, at - at[0], axis=0)
+    begin = np.searchsorted(parts, first)
+    for k in range(seeds):
+        totals = np.add.reduceat(sums[k].view(np.uint8).astype(np.int32), begin, axis=0)
+        out[row[first], k] = np.packbits(2 * totals > sizes[:, None], axis=1).view(np.uint64)[:, 0]
+    return out
 
 
-def word_digests(docs: DataFrame) -> DataFrame:
-    """``doc_id``, and the ``high`` and ``low`` half of the XXH128 of the words of each text."""
+def word_digests(column: pa.Array) -> np.ndarray:
+    """The two halves of the XXH128 of the words of each text."""
+    import xxhash
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+    digests = b"".join([xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode().lower().split())) for t in column])
+    return np.frombuffer(digests, np.int64).reshape(-1, 2)
 
-        for b in batches:
-            digests = b"".join([xxhash.xxh3_128_digest(b" ".join((t.as_py() or "").encode().lower().split())) for t in b.column("text")])
-            halves = np.frombuffer(digests, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, np.ascontiguousarray(halves.T))], names=["doc_id", "high", "low"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, high long, low long")
+def signatures(docs: DataFrame, width: int, seeds: int) -> DataFrame:
+    """``doc_id, node, more, size, fp0, ...`` of each row: digest of the words (in
+    two halves), number of distinct shingles, and their fingerprints."""
+    names = ["doc_id", "node", "more", "size", *(f"fp{k}" for k in range(seeds))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch):
+                row, hashes = shingle_sets(b.column("text"), width)
+                fps = set_fingerprints(row, hashes, b.num_rows, seeds).view(np.int64)
+                columns = [*word_digests(b.column("text")).T, np.bincount(row, minlength=b.num_rows), *fps.T]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names)
 
-def shingles(docs: DataFrame, width: int) -> DataFrame:
-    """``node``, ``grams``: the distinct hashes of the ``width``-word shingles of each text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-    def grams(text: str | None) -> np.ndarray:
-        import xxhash
 
-        words = (text or "").encode().lower().split()
-        parts = zip(*(words[i:] for i in range(width)), strict=False) if len(words) > width else [words] if words else []
-        return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(b" ".join(g), seed=SEED) for g in parts]), ">u8").astype(np.uint64)).view(np.int64)
+def shingles(docs: DataFrame, width: int) -> DataFrame:
+    """``node``, ``grams``: digest and distinct shingle hashes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch):
+                row, hashes = shingle_sets(b.column("text"), width)
+                ends = np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))].astype(np.int32)
+                node = np.ascontiguousarray(word_digests(b.column("text"))[:, 0])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], names=["node", "grams"])
+
+    return docs.select("text").mapInArrow(run, "node long, grams array<long>")
+
+
+def _size_class(size: np.ndarray) -> np.ndarray:
+    """Sets of a similarity of 0.8 or more are in one class or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
+
+
+def candidates(nodes: DataFrame, seeds: int, radius: int, pairs: str, bands: int | None = None, chunk: int = 4096) -> DataFrame:
+    """``u, v``: pairs of ``nodes`` (``node, label, size, fp0, ...``) of different
+    labels that are within ``radius`` in one of the first ``seeds`` fingerprints,
+    and whose sizes allow a similarity of 0.8: "all" of them, or "some" that
+    connect the same labels.
+
+    Each node stands in the tables of its size class and as a visitor in those
+    of the next one; visitors do not meet each other."""
+    fps = [f"fp{k}" for k in range(seeds)]
+    if not bands:
+        size_class = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1.25)).alias("class")
+        bands = radius + 1
+        most = nodes.groupBy(size_class).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        while 2 * most > 512 << (BITS * (bands - radius) // bands) and bands < radius + 3:
+            bands += 1
+    tables = [[(lo, (1 << width) - 1) for lo, width in chosen] for chosen in combinations(_bands(bands), bands - radius)]
+
+    def keys(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Fingerprint, bucket and side for each table that the nodes stand in."""
+        own = _size_class(b.column("size").to_numpy()).astype(np.uint64)
+        for k, name in enumerate(fps):
+            fp = b.column(name).to_numpy().view(np.uint64)
+            for number, chosen in enumerate(tables):
+                part = np.full(len(fp), number * seeds + k + 1, np.uint64)
+                for lo, mask in chosen:
+                    part = mixed(part) + ((fp >> np.uint64(lo)) & np.uint64(mask))
+                for side in (0, 1):
+                    yield fp, mixed(mixed(part) + own + np.uint64(side)), side
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [grams(t.as_py()) for t in b.column("text")]
-            ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *out])))], names=["node", "grams"])
+            bucket, n = np.unique(np.concatenate([x for _, x, _ in keys(b)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(n)], names=["bucket", "n"])
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
+                found = list(keys(b))
+                fp, bucket = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
+                side = np.repeat(np.array([x[2] for x in found], np.int8), b.num_rows)
+                node, label = (np.tile(b.column(c).to_numpy(), len(found)) for c in ("node", "label"))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, label, fp, bucket, side)], names=["node", "label", "fp", "bucket", "visits"])
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        node, label, fp, bucket, side, visits = (t.column(c).to_numpy() for c in ("node", "label", "fp", "bucket", "side", "visits"))
+        order = _by_bucket(bucket, node)
+        node, label, fp, bucket, side, visits = (x[order] for x in (node, label, fp, bucket, side, visits))
+        forest, u, v = Forest(len(node)), [node[:0]], [node[:0]]
+        _, first, inverse = np.unique(mixed(bucket.view(np.uint64)) + label.view(np.uint64), return_index=True, return_inverse=True)
+        forest.label = first[inverse]
+        for i, j in linked_pairs(fp.view(np.uint64), bucket, side, radius, forest):
+            on = (forest.label[i] != forest.label[j]) & ~((visits[i] == 1) & (visits[j] == 1))
+            i, j = i[on], j[on]
+            u.append(np.minimum(node[i], node[j]))
+            v.append(np.maximum(node[i], node[j]))
+            if pairs == "some":
+                forest.join(i, j)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+
+    compact = nodes.select("node", "label", "size", *fps)
+    large = compact.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    large = saved(large.where(F.col("n") > chunk).select(F.col("bucket").alias("of"), F.ceil(F.col("n") / chunk).cast("int").alias("of_cuts")))
+    rows = compact.mapInArrow(expand, "node long, label long, fp long, bucket long, visits byte")
+    rows = rows.join(large, F.col("bucket") == F.col("of"), "left").withColumn("cuts", F.coalesce("of_cuts", F.lit(1)))
+    return _met(rows, ["node", "label", "fp", "visits"]).mapInArrow(_whole_buckets(compare, 16 * chunk), "u long, v long").distinct()
+
 
-    return docs.select("node", "text").mapInArrow(run, "node long, grams array<long>")
+def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of texts by ``doc_id`` with a saved table ``id``."""
+    ids = ids.select(F.col("id").alias("__id"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["doc_id"].cast("long") == F.col("__id"), how)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
-    """Those of ``pairs`` (``u, v``) whose texts in ``docs`` (``node, text``) have
-    an exact Jaccard similarity of shingles of at least ``tenths`` / 10."""
-    pairs = saved(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct())
-    wanted = pairs.select(F.col("u").alias("want")).unionAll(pairs.select(F.col("v").alias("want"))).distinct()
-    sets = saved(shingles(docs.join(wanted, F.col("node") == F.col("want"), "left_semi"), width))
+def similar(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
+    """Those of ``pairs`` (``u, v``) whose texts in ``docs`` have an exact Jaccard
+    similarity of shingles of at least ``tenths`` / 10. ``nodes`` (``node, doc_id``)
+    has a document for each text."""
+    ends = pairs.select(F.col("u").alias("end")).unionAll(pairs.select(F.col("v").alias("end"))).distinct()
+    wanted = saved(nodes.join(ends, F.col("node") == F.col("end"), "left_semi").select(F.col("doc_id").alias("id")))
+    sets = saved(shingles(_within(docs, wanted, "left_semi"), width))
     one, two = (sets.select(F.col("node").alias(f"node_{x}"), F.col("grams").alias(x)).hint("merge") for x in "ab")
     both = pairs.join(one, F.col("u") == F.col("node_a")).join(two, F.col("v") == F.col("node_b"))
     met = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
     return met.where(10 * F.col("common") >= tenths * (F.col("total") - F.col("common"))).select("u", "v")
 
 
-#: Eight fingerprints: a pair at a similarity of 0.8 differs in 9.7 of 64 bits on
-#: average, so that one alone finds about two of five such pairs within 8 bits.
-SEEDS = tuple(range(42, 50))
+def _labelled(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """``u, v`` of ``pairs`` of different classes, with the classes ``a, b``."""
+    for end, name in (("u", "a"), ("v", "b")):
+        of = linked.select(F.col("node").alias(f"of_{name}"), F.col("component").alias(f"class_{name}"))
+        pairs = pairs.join(of, F.col(end) == F.col(f"of_{name}"), "left").withColumn(name, F.coalesce(f"class_{name}", end))
+    return pairs.where("a <> b").select("u", "v", "a", "b")
 
 
-def keep_first(docs: DataFrame, width: int = 5, radius: int = 8, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest
-    doc_id. Rows with a null doc_id stay.
+def near_copies(docs: DataFrame, nodes: DataFrame, width: int = 5, radius: int = 8, seeds: int = SEEDS) -> DataFrame:
+    """``node, component`` for all of ``nodes`` (``node, doc_id, size, fp0, ...``)
+    that are linked. Two texts are linked if the fingerprints of any seed are
+    within ``radius`` and the exact similarity of their shingles is at least 0.8.
 
-    Two documents are linked if their texts have the same words, or if the
-    fingerprints of any seed are within ``radius`` and the exact Jaccard
-    similarity of their shingles is at least 0.8. Texts that are linked already
-    are not compared again, so a large group of near copies needs few pairs; in
-    the end every other pair within ``radius`` has been verified.
+    1. Candidates of one fingerprint that connect what is close are verified,
+       so that the members of large groups are of one class from then on.
+    2. Candidates of all fingerprints that connect what is close but not yet of
+       one class are verified.
+    3. Where a candidate failed, those that it connected may still be close to
+       each other: all pairs of the classes at hand are verified.
     """
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = [f"fp{k}" for k in range(len(seeds))]
-    same = saved(word_digests(named))
-    firsts = saved(same.groupBy("high", "low").agg(F.min("doc_id").alias("node")))
-    copies = same.join(firsts, ["high", "low"]).where("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
-    bodies = named.join(firsts.select("node"), F.col("doc_id") == F.col("node"), "left_semi")
-    texts = saved(fingerprints(bodies, width, seeds).withColumnRenamed("doc_id", "node"))
-    bodies = bodies.withColumnRenamed("doc_id", "node")
-    active, good, tried = texts.withColumn("label", F.col("node")), None, None
-    for pairs in ("some", "some", "all"):
-        found = []
-        for n in names:  # one by one: the tables of a seed leave the disk before those of the next
-            found.append(saved(links(active.select("node", F.col(n).alias("fp"), "label"), radius, pairs=pairs).distinct()))
-            freed(docs.sparkSession)
-        found = saved(reduce(DataFrame.unionAll, found).distinct())
-        new = saved(similar(found, bodies, width))
-        good, tried = (new, found) if good is None else (good.unionAll(new), tried.unionAll(found))
+    active, good, tried, linked = nodes.withColumn("label", F.col("node")), None, None, None
+    for used, pairs in ((1, "some"), (seeds, "some"), (seeds, "all")):
+        found = candidates(active, used, radius, pairs)
+        found = saved(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
+        new = similar(found, docs, nodes, width)
+        good = saved(new if good is None else good.unionAll(new))
+        tried = found if tried is None else tried.unionAll(found)
         linked = saved(components(good))
-        if pairs != "all":
-            # pairs not seen yet are in groups of three or more whose members are not all linked
-            groups = saved(_labelled(components(tried), linked))
-            open_groups = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("n > 2 and low <> high").select(F.col("group").alias("open"))
-            labels = saved(groups.join(open_groups, F.col("group") == F.col("open"), "left_semi").select("member", "label"))
-            active = saved(texts.join(labels, F.col("node") == F.col("member")).select("node", *names, "label"))
-    gone = saved(components(good.unionAll(copies)).where("node <> component").select(F.col("node").alias("gone")))
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-
-
-def _labelled(groups: DataFrame, linked: DataFrame) -> DataFrame:
-    """``member, group, label``: the class of candidates and of verified links of each node."""
-    groups = groups.select(F.col("node").alias("member"), F.col("component").alias("group"))
-    linked = linked.select(F.col("node").alias("of"), F.col("component").alias("label"))
-    return groups.join(linked, F.col("member") == F.col("of"), "left").select("member", "group", F.coalesce("label", "member").alias("label"))
+        label = linked.select(F.col("node").alias("member"), "component")
+        active = nodes.join(label, F.col("node") == F.col("member"), "left").withColumn("label", F.coalesce("component", "node")).drop("member", "component")
+        if used > 1:  # what is left to see is among the classes of pairs that failed
+            failed = _labelled(tried, linked)
+            still = failed.select(F.col("a").alias("open")).unionAll(failed.select(F.col("b").alias("open"))).distinct()
+            active = active.join(still, F.col("label") == F.col("open"), "left_semi")
+        active = saved(active)
+        if not active.count():
+            break
+    return linked
+
+
+def keep_first(docs: DataFrame, width: int = 5, radius: int = 8, seeds: int = SEEDS) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest
+    doc_id. Texts of the same words are one text; others are linked by
+    :func:`near_copies`.
+
+    Rows with a null doc_id stay. Of rows that repeat a doc_id and a text, one
+    stays; rows of one doc_id with different texts are documents of their own.
+    """
+    rows = saved(signatures(docs.where("doc_id is not null"), width, seeds))
+    fps = [f"fp{k}" for k in range(seeds)]
+    first = rows.groupBy("node", "more").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", *fps)))
+    nodes = saved(first)
+    linked = near_copies(docs, nodes.where("size > 0"), width, radius, seeds).select(F.col("node").alias("member"), "component")
+    known = saved(nodes.select("node", "more", "doc_id").join(linked, F.col("node") == F.col("member"), "left").withColumn("class", F.coalesce("component", "node")))
+    best = known.groupBy("class").agg(F.min(F.struct("doc_id", "node", "more")).alias("best")).select("best.doc_id", "best.node", "best.more")
+    best = saved(best.select(F.col("doc_id").alias("best_id"), F.col("node").alias("best_node"), F.col("more").alias("best_more")))
+    is_best = (F.col("doc_id") == F.col("best_id")) & (F.col("node") == F.col("best_node")) & (F.col("more") == F.col("best_more"))
+    repeated = saved(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id")))
+    gone = rows.join(best, is_best, "left_anti").select(F.col("doc_id").alias("id")).unionAll(repeated).distinct()
+    out = _within(docs, saved(gone), "left_anti")
+    if repeated.count():
+        again = with_digests(_within(docs, repeated, "left_semi")).dropDuplicates(["__doc", "__node", "__more"])
+        same = (F.col("__doc") == F.col("best_id")) & (F.col("__node") == F.col("best_node")) & (F.col("__more") == F.col("best_more"))
+        out = out.unionAll(again.join(best, same, "left_semi").select(docs.columns))
+    return out
+
+
+def with_digests(docs: DataFrame) -> DataFrame:
+    """``docs`` with the digests of their words (``__node, __more``) and ``__doc``, the id as a number."""
+    docs = docs.withColumn("__doc", F.col("doc_id").cast("long"))
+    schema = docs.withColumns({"__node": F.lit(0).cast("long"), "__more": F.lit(0).cast("long")}).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            halves = word_digests(b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(h)) for h in halves.T)], names=[*b.schema.names, "__node", "__more"])
+
+    return docs.mapInArrow(run, schema)
