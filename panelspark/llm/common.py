@@ -7,7 +7,6 @@ Arrow string column and work on all words of a few documents at once.
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -17,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.sources.shared import saved, shared_dir
+
 #: Text bytes that one kernel call handles (a longer document is one call of its own).
 PIECE_BYTES = 1 << 20
 
@@ -52,24 +53,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of our own where none is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` as a table written to the shared folder: it is computed once, and
-    a lost executor costs no more than a read of its files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/panelspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes in ``column`` (one row at least, ``rows`` at most)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))

@@ -36,10 +36,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if (size, digest) == state or not size:
             break
         state = (size, digest)
-        both = saved(_both_ways(edges))
-        large = both.join(saved(_minima(both)), F.col("u") == F.col("at")).where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        both = _both_ways(edges)
+        large = both.join(_minima(both), F.col("u") == F.col("at")).where("v > u and v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         large = saved(large.distinct())  # every u is above its v
-        low = saved(_minima(large))
+        low = _minima(large)
         small = large.join(low, F.col("u") == F.col("at")).where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = saved(small.unionAll(low.select(F.col("at").alias("u"), F.col("low").alias("v"))).distinct())
     stars = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

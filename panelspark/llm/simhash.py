@@ -35,6 +35,7 @@ from panelspark.llm.components import Forest, components
 
 BITS = 64
 SEED = 42
+_STEP_WORDS = 2048
 
 
 def fingerprint(text: str | None, width: int = 4, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
@@ -79,17 +80,10 @@ def planes(fps: np.ndarray) -> np.ndarray:
 
 
 def shifted(p: np.ndarray, d: int, words: int) -> np.ndarray:
-    """The first ``words`` words of the planes, moved d rows towards the front."""
+    """``words`` words of the planes from row d on; ``p`` has enough of them."""
     whole, part = divmod(d, 64)
     a = p[:, whole : whole + words]
-    if a.shape[1] < words:
-        a = np.pad(a, ((0, 0), (0, words - a.shape[1])))
-    if not part:
-        return a
-    b = p[:, whole + 1 : whole + 1 + words]
-    if b.shape[1] < words:
-        b = np.pad(b, ((0, 0), (0, words - b.shape[1])))
-    return (a >> np.uint64(part)) | (b << np.uint64(64 - part))
+    return a if not part else (a >> np.uint64(part)) | (p[:, whole + 1 : whole + 1 + words] << np.uint64(64 - part))
 
 
 def counters(bits: np.ndarray) -> list[np.ndarray]:
@@ -125,18 +119,16 @@ def at_most(sums: list[np.ndarray], radius: int) -> np.ndarray:
     return less | equal
 
 
-def close_lanes(a: np.ndarray, b: np.ndarray, radius: int, first: int = 24) -> np.ndarray | None:
+def first_planes(radius: int) -> int:
+    """Planes after which few lanes of unlike rows are within ``radius``."""
+    return min(BITS, 12 + 3 * radius)
+
+
+def close_lanes(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray | None:
     """Lanes in which the planes ``a`` and ``b`` differ in ``radius`` bits at
     most; None as soon as there are none."""
-    start = counters(a[:first] ^ b[:first])
-    live = at_most(start, radius)
-    if not live.any():
-        return None
-    cols = np.flatnonzero(live)
-    found = at_most(counters(a[:, cols] ^ b[:, cols]), radius)
-    out = np.zeros_like(live)
-    out[cols] = found
-    return out
+    found = at_most(counters(a ^ b), radius)
+    return found if found.any() else None
 
 
 def linked_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius: int, forest: Forest | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -144,27 +136,42 @@ def linked_pairs(fps: np.ndarray, bucket: np.ndarray, side: np.ndarray, radius:
     larger buckets first; rows with side 1 are compared with those of side 2
     only, rows of side 0 with all. With a ``forest``, buckets all of whose rows
     are of one class by now are left out from then on."""
-    rows, d = np.arange(len(fps)), 1
+    rows, d, few = np.arange(len(fps)), 1, first_planes(radius)
     while True:
-        p, b = planes(fps[rows]), bucket[rows]
+        b = bucket[rows]
         new = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])[: len(b)]
         sizes = np.diff(np.r_[new, len(b)])
         last = np.repeat(new + sizes, sizes)  # the end of each row's bucket
         ends = np.cumsum(sizes)
+        p = planes(fps[rows])
+        p = np.pad(p, ((0, 0), (0, 2 + int(sizes[0]) // 64 if len(sizes) else 0)))
         while len(sizes) and d < sizes[0]:
             live = int(ends[np.searchsorted(-sizes, -d, side="left") - 1])
             words = -(-live // 64)
-            hit = close_lanes(p[:, :words], shifted(p, d, words), radius)
+            # many shifts of few words are one step
+            shifts = np.arange(d, min(d + max(1, min(d, _STEP_WORDS // words)), sizes[0]))
+            moved = np.stack([shifted(p[:few], int(x), words) for x in shifts], axis=1)
+            hit = close_lanes(np.repeat(p[:few, None, :words], len(shifts), axis=1).reshape(few, -1), moved.reshape(few, -1), radius)
+            if hit is not None:  # blocks of 64 lanes that are not given up: all planes
+                blocks = np.flatnonzero(hit)
+                at, d_of = blocks % words, shifts[blocks // words]
+                whole, part = at + d_of // 64, (d_of % 64).astype(np.uint64)
+                high = np.where(part > 0, p[:, whole + 1] << (np.uint64(64) - np.maximum(part, np.uint64(1))), np.uint64(0))
+                found = close_lanes(p[:, at], (p[:, whole] >> part) | high, radius)
+                hit = np.zeros_like(hit)
+                hit[blocks] = 0 if found is None else found
             if hit is not None:
-                i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-                i = i[i < live]
-                i = i[i + d < last[i]]
-                one, other = rows[i], rows[i + d]
-                on = (side[one] == 0) | (side[one] != side[other])
-                if on.any():
-                    yield one[on], other[on]
-            d += 1
-            if forest is not None and d & (d - 1) == 0:
+                by_shift = hit.reshape(len(shifts), words)
+                for k in np.flatnonzero(by_shift.any(1)):
+                    i = np.flatnonzero(np.unpackbits(by_shift[k].view(np.uint8), bitorder="little"))
+                    i = i[i < live]
+                    i = i[i + shifts[k] < last[i]]
+                    one, other = rows[i], rows[i + shifts[k]]
+                    on = (side[one] == 0) | (side[one] != side[other])
+                    if on.any():
+                        yield one[on], other[on]
+            before, d = d, int(shifts[-1]) + 1
+            if forest is not None and d.bit_length() > before.bit_length():
                 label = forest.label[rows]
                 more = np.minimum.reduceat(label, new) != np.maximum.reduceat(label, new)
                 if sizes[more].sum() < 0.7 * len(rows):
@@ -340,11 +347,11 @@ def _size_class(size: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(1.25) + 1e-9).astype(np.int64)
 
 
-def candidates(nodes: DataFrame, seeds: int, radius: int, pairs: str, bands: int | None = None, chunk: int = 4096) -> DataFrame:
+def candidates(nodes: DataFrame, seeds: int, radius: int, bands: int | None = None, chunk: int = 4096) -> DataFrame:
     """``u, v``: pairs of ``nodes`` (``node, label, size, fp0, ...``) of different
     labels that are within ``radius`` in one of the first ``seeds`` fingerprints,
-    and whose sizes allow a similarity of 0.8: "all" of them, or "some" that
-    connect the same labels.
+    and whose sizes allow a similarity of 0.8. Not all of them come out, but as
+    many as connect the same labels.
 
     Each node stands in the tables of its size class and as a visitor in those
     of the next one; visitors do not meet each other."""
@@ -395,8 +402,7 @@ def candidates(nodes: DataFrame, seeds: int, radius: int, pairs: str, bands: int
             i, j = i[on], j[on]
             u.append(np.minimum(node[i], node[j]))
             v.append(np.maximum(node[i], node[j]))
-            if pairs == "some":
-                forest.join(i, j)
+            forest.join(i, j)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
 
     compact = nodes.select("node", "label", "size", *fps)
@@ -435,6 +441,51 @@ def _labelled(pairs: DataFrame, linked: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select("u", "v", "a", "b")
 
 
+def in_groups(members: DataFrame, seeds: int, radius: int, tenths: int = 8, rows: int = 512, grams: int = 1 << 17) -> DataFrame:
+    """``u, v``: links that connect what any chain of links connects among the
+    ``members`` (``node, label, group, size, fp0, ..., grams``) of each group.
+
+    A group is cut into chunks that meet pairwise, each of ``rows`` texts and
+    about ``grams`` shingles. A task compares the fingerprints of two chunks in
+    bit slices, decides the pairs of different labels by their shingles on the
+    spot, and gives only links: no pair of a large group leaves the task for
+    being a candidate."""
+    fps = [f"fp{k}" for k in range(seeds)]
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        node, label, size, bucket, side = (t.column(c).to_numpy() for c in ("node", "label", "size", "bucket", "side"))
+        order = _by_bucket(bucket, node)
+        node, label, size, bucket, side = (x[order] for x in (node, label, size, bucket, side))
+        sets = t.column("grams").combine_chunks()
+        ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+        own = [values[ends[i] : ends[i + 1]] for i in order.tolist()]
+        forest, u, v = Forest(len(node)), [node[:0]], [node[:0]]
+        _, first, inverse = np.unique(mixed(bucket.view(np.uint64)) + label.view(np.uint64), return_index=True, return_inverse=True)
+        forest.label = first[inverse]
+        for name in fps:
+            fp = t.column(name).to_numpy().view(np.uint64)[order]
+            for i, j in linked_pairs(fp, bucket, side, radius, forest):
+                on = (forest.label[i] != forest.label[j]) & (10 * np.minimum(size[i], size[j]) >= tenths * np.maximum(size[i], size[j]))
+                i, j = i[on], j[on]
+                for a in np.unique(i):
+                    other = j[i == a]
+                    other = other[forest.label[other] != forest.label[a]]
+                    if not len(other):
+                        continue
+                    counts = size[other]
+                    found = np.isin(np.concatenate([own[x] for x in other]), own[a], assume_unique=False)
+                    common = np.add.reduceat(found.astype(np.int64), np.cumsum(counts) - counts)
+                    linked = other[10 * common >= tenths * (counts + size[a] - common)]
+                    u.append(np.full(len(linked), node[a]))
+                    v.append(node[linked])
+                    forest.join(np.full(len(linked), a), linked)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
+
+    sizes = members.groupBy(F.col("group").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("size") / grams)).cast("int").alias("cuts"))
+    placed = members.join(saved(sizes), F.col("group") == F.col("of")).withColumns({"bucket": F.col("group"), "fp": F.col("fp0")})
+    return _met(placed, ["node", "label", "size", *fps, "grams"]).mapInArrow(_whole_buckets(compare, 2 * rows), "u long, v long").distinct()
+
+
 def near_copies(docs: DataFrame, nodes: DataFrame, width: int = 5, radius: int = 8, seeds: int = SEEDS) -> DataFrame:
     """``node, component`` for all of ``nodes`` (``node, doc_id, size, fp0, ...``)
     that are linked. Two texts are linked if the fingerprints of any seed are
@@ -444,27 +495,30 @@ def near_copies(docs: DataFrame, nodes: DataFrame, width: int = 5, radius: int =
        so that the members of large groups are of one class from then on.
     2. Candidates of all fingerprints that connect what is close but not yet of
        one class are verified.
-    3. Where a candidate failed, those that it connected may still be close to
-       each other: all pairs of the classes at hand are verified.
+    3. Where a candidate failed, those that it connected may still be linked to
+       each other: the groups that the candidates form are searched whole.
     """
-    active, good, tried, linked = nodes.withColumn("label", F.col("node")), None, None, None
-    for used, pairs in ((1, "some"), (seeds, "some"), (seeds, "all")):
-        found = candidates(active, used, radius, pairs)
+    names = ["node", "size", *(f"fp{k}" for k in range(seeds))]
+    active, good, tried = nodes.withColumn("label", F.col("node")), None, None
+    for used in (1, seeds):
+        found = candidates(active, used, radius)
         found = saved(found if tried is None else found.join(tried, ["u", "v"], "left_anti"))
         new = similar(found, docs, nodes, width)
         good = saved(new if good is None else good.unionAll(new))
         tried = found if tried is None else tried.unionAll(found)
         linked = saved(components(good))
         label = linked.select(F.col("node").alias("member"), "component")
-        active = nodes.join(label, F.col("node") == F.col("member"), "left").withColumn("label", F.coalesce("component", "node")).drop("member", "component")
-        if used > 1:  # what is left to see is among the classes of pairs that failed
-            failed = _labelled(tried, linked)
-            still = failed.select(F.col("a").alias("open")).unionAll(failed.select(F.col("b").alias("open"))).distinct()
-            active = active.join(still, F.col("label") == F.col("open"), "left_semi")
-        active = saved(active)
-        if not active.count():
-            break
-    return linked
+        active = saved(nodes.join(label, F.col("node") == F.col("member"), "left").withColumn("label", F.coalesce("component", "node")).drop("member", "component"))
+    failed = saved(_labelled(tried, linked))
+    if not failed.count():
+        return linked
+    groups = saved(components(tried).select(F.col("node").alias("member"), F.col("component").alias("group")))
+    still = groups.join(failed, F.col("member") == F.col("u"), "left_semi").select(F.col("group").alias("open")).distinct()
+    members = groups.join(still, F.col("group") == F.col("open"), "left_semi")
+    members = saved(active.join(members, F.col("node") == F.col("member")).select(*names, "label", "group", "doc_id"))
+    sets = shingles(_within(docs, saved(members.select(F.col("doc_id").alias("id"))), "left_semi"), width).withColumnRenamed("node", "of_node")
+    members = members.join(sets.dropDuplicates(["of_node"]).hint("merge"), F.col("node") == F.col("of_node")).select(*names, "label", "group", "grams")
+    return saved(components(good.unionAll(saved(in_groups(members, seeds, radius)))))
 
 
 def keep_first(docs: DataFrame, width: int = 5, radius: int = 8, seeds: int = SEEDS) -> DataFrame:
