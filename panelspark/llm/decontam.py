@@ -297,5 +297,6 @@ def without_spans(rows: pa.RecordBatch, spans: list[list[dict]]) -> pa.RecordBat
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` with every removal span cut from its text; ``n_chars`` follows.
-    Columns named ``n_words``, ``spans`` or ``items`` are dropped."""
-    return occurrences(docs, benchmark, cut=True)
+    All other columns stay, whatever their names."""
+    names = [c if c in ("text", "n_chars") else f"__{i}" for i, c in enumerate(docs.columns)]
+    return occurrences(docs.toDF(*names), benchmark, cut=True).toDF(*docs.columns)

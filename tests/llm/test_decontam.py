@@ -81,6 +81,9 @@ def test_removal_and_empty(spark):
     b = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     rows = {r.doc_id: (r.text, r.n_chars) for r in decontam.remove_passages(d, b).collect()}
     assert rows == {1: ("Keep this, then  and more.", 26), 2: ("clean", 5), 3: (None, None)}
+    clash = d.withColumnsRenamed({"doc_id": "spans"}).withColumn("items", d.n_chars).withColumn("n_words", d.n_chars)
+    kept = decontam.remove_passages(clash, b)
+    assert kept.columns == clash.columns and {r.spans: r["items"] for r in kept.collect()} == {1: 31, 2: 5, 3: None}
     assert decontam.report(d, b.where("false")).where("contaminated").count() == 0
     assert decontam.report(d, b.where("false")).where("n_words > 0").count() == 2
     assert decontam.report(d.where("false"), b).count() == 0
