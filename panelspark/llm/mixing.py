@@ -4,16 +4,20 @@ Each source gets a target number of words. Target over size is the number of
 copies that each of its documents is due: the whole part is given, and the
 fraction left is a probability. Pivotal rounding takes two documents with such
 fractions, moves mass from one to the other at random until one of the two is
-0 or 1, and goes on with the one that is still fractional. Blocks of ``fan_in``
-documents do this independently and hand one fractional document each to the
-next level, so a source of any size is a reduction tree of a few levels.
-Documents are paired in the order of their sizes, which keeps the words taken
-near the target and not only the number of documents.
+0 or 1, and goes on with the one that is still fractional. What moves is words:
+one document's probability falls by as many expected words as the other's
+rises, so each probability keeps its mean and the words due to a source stay
+exactly its target until one document is left. That one is rounded to the
+nearer side, so a source's words differ from its target by half of one
+document at most. Blocks of ``fan_in`` documents do this independently and hand
+one fractional document each to the next level, so a source of any size is a
+reduction tree of a few levels.
 
 Defined cases: a null or empty text has size 0, and takes 0 words; a null
 source is a source of its own, after all others; repeated rows (also with the
-same or a null doc_id) are mixed each for itself; a source without words has
-target 0; an empty table gives an empty result; other columns are ignored.
+same or a null doc_id) are mixed each for itself; of documents with equal sizes
+and hashes any order gives the same words; a source without words has target 0;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,14 +76,19 @@ def _fold(items: Column, level: int, seed: int) -> Column:
     """Pivotal rounding along one block: what is decided, and the one still held."""
 
     def step(state: Column, new: Column) -> Column:
-        held, both = state["held"], state["held"]["p"] + new["p"]
+        held = state["held"]
         draw = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), held["tie"], new["tie"]), F.lit(1 << 53)) / float(1 << 53)
-        # below 1 in all, one of the two gets everything; else one gets 1 and the other the rest
-        new_goes_on = F.when(both < 1.0, draw * both < new["p"]).otherwise(draw * (2.0 - both) < 1.0 - new["p"])
+        # words that the held document can gain or lose, and those that the new one can
+        gain, lose = (1.0 - held["p"]) * held["size"], held["p"] * held["size"]
+        new_gain, new_lose = (1.0 - new["p"]) * new["size"], new["p"] * new["size"]
+        up, down = F.least(gain, new_lose), F.least(lose, new_gain)
+        rises = draw * (up + down) < down  # so that the means stay
+        new_goes_on = F.when(rises, gain <= new_lose).otherwise(lose <= new_gain)
         goes = F.when(new_goes_on, new).otherwise(held)
         ends = F.when(new_goes_on, held).otherwise(new)
-        extra = F.when(both < 1.0, 0).otherwise(1)
-        rest = F.when(both < 1.0, both).otherwise(both - 1.0)
+        extra = F.when(new_goes_on == rises, 1).otherwise(0)
+        words = F.when(new_goes_on, F.when(rises, new_lose - up).otherwise(new_lose + down)).otherwise(F.when(rises, lose + up).otherwise(lose - down))
+        rest = F.greatest(F.lit(0.0), F.least(F.lit(1.0), words / goes["size"]))
         moved = F.struct(goes["doc_id"].alias("doc_id"), goes["size"].alias("size"), rest.alias("p"), goes["tie"].alias("tie"))
         decided = F.struct(ends["doc_id"].alias("doc_id"), ends["size"].alias("size"), extra.cast("int").alias("extra"))
         first = F.struct(new.cast(_ITEM).alias("held"), state["done"].alias("done")).cast(_STATE)
@@ -90,6 +99,17 @@ def _fold(items: Column, level: int, seed: int) -> Column:
     return F.aggregate(items, start, step)
 
 
+def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with ``copies``, ``taken``, ``size``,
+    ``source_size`` and ``target`` (which replace columns of these names)."""
+    new = ("copies", "taken", "size", "source_size", "target")
+    # rows get numbers that are written with them, so that each finds its own copies again
+    kept = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
+    plan = mix_sources(kept.withColumn("doc_id", F.col("__row")), weights, max_copies).where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("__of"), *new)
+    return kept.drop(*new).join(plan, F.col("__row") == F.col("__of")).select(*[c for c in docs.columns if c not in new], *new)
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, fan_in: int = 256, seed: int = 6) -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs``
     (``doc_id, text, source``). The draws depend on ``seed`` and the rows alone."""
@@ -100,13 +120,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     named = targets.select(F.col("source").alias("named"), "source_size", "source_rows", "target", F.floor(due).cast("int").alias("whole"), (due - F.floor(due)).alias("p"))
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("named")), "left")
     place = ["named", "source_size", "target", "whole"]
-    open_rows = rows.select(*place, "doc_id", "size", "p", "tie", F.ceil(F.col("source_rows") / fan_in).alias("blocks"))
+    open_rows = rows.where("size > 0").select(*place, "doc_id", "size", "p", "tie", F.ceil(F.col("source_rows") / fan_in).alias("blocks"))
     most = (targets.agg(F.max("source_rows")).first()[0] or 0)
-    decided, level = [], 0
+    decided, level = [rows.where("size = 0").select(*place, "doc_id", "size", F.lit(0).alias("extra"))], 0
     while True:
         block = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "tie", "doc_id"), F.col("blocks"))
         item = F.struct("doc_id", "size", "p", "tie")
-        ordered = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["size"] < b["size"], -1).when(a["size"] > b["size"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0))
+        ordered = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0))
         folded = open_rows.withColumn("block", block).groupBy(*place, "block", "blocks").agg(ordered.alias("items")).withColumn("state", _fold(F.col("items"), level, seed)).drop("items")
         folded = saved(folded)
         done = folded.select(*place, F.explode("state.done").alias("d")).select(*place, "d.doc_id", "d.size", "d.extra")
@@ -117,8 +137,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
             break
         open_rows = held.select(*place, "doc_id", "size", "p", "tie", F.col("next").alias("blocks"))
         level += 1
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "tie"), F.lit(1 << 53)) / float(1 << 53)
-    decided.append(held.select(*place, "doc_id", "size", F.when(draw < F.col("p"), 1).otherwise(0).cast("int").alias("extra")))
+    decided.append(held.select(*place, "doc_id", "size", F.when(F.col("p") >= 0.5, 1).otherwise(0).cast("int").alias("extra")))
     out = reduce(DataFrame.unionAll, decided)
     copies = F.least(F.col("whole") + F.col("extra"), F.lit(max_copies)).cast("int")
     return out.select("doc_id", "size", "source_size", "target", F.col("named").alias("source"), copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
