@@ -9,7 +9,14 @@ next one's ``docs``. All but the last return the columns of ``documents``.
 3. decontamination: passages of the benchmark are cut from the texts.
 4. secrets: secrets are replaced in the texts.
 5. mixing: copies of each document, so that the sources meet their targets;
-   documents with no copy go.
+   documents with no copy go. The rows are those of ``documents`` with
+   ``copies, taken, size, source_size, target``.
+
+Defined cases: null and empty texts pass all stages (as a text of no words, one
+of them stays) and take no words of the mix; rows with a null doc_id are no
+near-duplicates of others; of rows that repeat a doc_id and a text one stays;
+an empty table gives an empty result; further columns pass, whatever their
+names, but for those that the last stage adds.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ def replace_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(docs).where("copies > 0")
+    return mixing.mix_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
