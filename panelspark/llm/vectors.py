@@ -11,10 +11,11 @@ by ``BLOCK`` vectors, so no task's memory depends on a cell's size.
 Equal vectors are one row with a count, so a large group of copies costs one
 row; the copies get their class's results back.
 
-In many dimensions, with a wide radius, most vectors are near every boundary:
-the copies then go to nearly all cells of their label. There are few pivots
-(one for ``CELL`` vectors, ``MAX_PIVOTS`` at most, so what is broadcast has a
-bound), and the blocks keep the work even.
+Each label has a pivot for ``CELL`` of its vectors and two at least, drawn by a
+hash; with more than ``MAX_PIVOTS`` in all, every label's share shrinks, so what
+is broadcast has a bound. In many dimensions, with a wide radius, most vectors
+are near every boundary: the copies then go to nearly all cells of their label,
+and the blocks keep the work even.
 
 Defined cases: vectors that are null, empty, zero, or hold nulls or non-finite
 numbers, and those with a null label or vec_id, link with nothing and are
@@ -32,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from panelspark.llm.common import saved
 from panelspark.llm.components import Forest, components
 
 COSINE = 0.93
-CELL = 4096
+CELL = 512
 MAX_PIVOTS = 2048
 BLOCK = 1024
 
@@ -72,9 +74,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 def _cells(reps: DataFrame, radius: float, cell: int, max_pivots: int) -> DataFrame:
     """``reps`` with ``cell, own``: a row for each cell that a vector goes to."""
     spark = reps.sparkSession
-    wanted = min(max_pivots, -(-reps.count() // cell))
+    spaces = reps.groupBy("label", F.length("v").alias("bytes")).agg(F.count(F.lit(1)).alias("vectors"))
+    spaces = saved(spaces.withColumn("wanted", F.greatest(F.lit(2), F.ceil(F.col("vectors") / cell))))
+    share = min(1.0, max_pivots / max(1, spaces.agg(F.sum("wanted")).first()[0] or 0))
+    known = spaces.select(F.col("label").alias("of"), F.col("bytes").alias("of_bytes"), F.col("vectors"), "wanted")
+    # about twice as many as are wanted come from the draw, so that a label gets its number
+    draw = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
+    some = reps.join(known, (F.col("label") == F.col("of")) & (F.length("v") == F.col("of_bytes"))).withColumn("draw", draw)
+    some = some.where(F.col("draw") * F.col("vectors") < 2 * F.col("wanted") * share + 8)
+    place = F.row_number().over(Window.partitionBy("label", "of_bytes").orderBy("draw", "node"))
+    chosen = some.withColumn("place", place).where(F.col("place") <= F.ceil(F.col("wanted") * share)).limit(max_pivots + 1)
     by_space: dict[tuple[str, int], list[bytes]] = {}
-    for r in reps.select("label", "v").orderBy(F.xxhash64("node"), "node").limit(wanted).collect():
+    for r in chosen.select("label", "v").collect():
         by_space.setdefault((r.label, len(r.v)), []).append(bytes(r.v))
     pivots = spark.sparkContext.broadcast({k: np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1) for k, v in by_space.items()})
 
