@@ -10,11 +10,13 @@ target. A ``vocabulary`` can be given: then only so many of the most frequent
 words are known, and all others are the unknown word.
 
 All tables follow the corpus and stay in Spark: the pairs of words with their
-counts, what each word adds to the losses of its pairs, and the losses of each
-pair. A bounded number of the most frequent words and pairs goes to the tasks,
-which look them up; every rarer one meets its table in a sort-merge join, where
-no key has many rows. Which of the two ways a word or pair takes changes no
-result. Words are known by 64-bit hashes, and so are pairs in the last join.
+counts, and what each word adds to the losses of its pairs. A bounded number of
+the most frequent words and pairs goes to the tasks, which look them up. A pair
+that is not among them counts as seen once, here, so that its loss follows from
+its two words; a sort-merge join then brings the difference for the pairs that
+were seen more often, and the whole loss where a word is rarer than those in
+the tasks. Which way a word or pair takes changes no result. Words are known by
+64-bit hashes, and so are pairs in the last join.
 
 Defined cases: a null or empty text has no tokens and null losses and score;
 repeated rows count and are scored each; with no target documents the target
@@ -161,10 +163,17 @@ class Smoothing:
         kinds = at_least_1(kinds)
         return log(after + kinds) - log(n + kinds * single)
 
+    def of(self, k: int, n: np.ndarray | int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Losses from the parts of the words before and the words."""
+        return self.loss(k, n, first[:, 2 * k], first[:, 2 * k + 1], last[:, 4 + k], np.log, lambda x: np.maximum(x, 1))
 
-def pair_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothing) -> DataFrame:  # noqa: ANN001
-    """``pair, background, target``: key and losses of each of ``pairs``.
-    ``frequent`` has the index and the parts of frequent words."""
+
+def rare_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothing, least: int) -> DataFrame:  # noqa: ANN001
+    """``pair, b, t0, t1``: what tasks do not know of the losses of ``pairs``: the
+    difference to a pair seen once (in a text that is no target, or is one) for
+    pairs of frequent words seen from 2 to ``least`` - 1 times; the whole losses
+    for pairs with another word. ``frequent`` has the index and the parts of
+    frequent words."""
 
     def found(batch: pa.RecordBatch) -> tuple:
         index, parts = frequent.value
@@ -175,9 +184,10 @@ def pair_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothi
         for batch in batches:
             before, word, i, j, parts = found(batch)
             on = (i >= 0) & (j >= 0)
-            first, last = parts[i[on]], parts[j[on]]
-            out = [smoothing.loss(k, batch.column(c).to_numpy()[on], first[:, 2 * k], first[:, 2 * k + 1], last[:, 4 + k], np.log, lambda x: np.maximum(x, 1)) for k, c in enumerate(("background", "target"))]
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)[on].view(np.int64)), *(pa.array(x.astype(np.float32)) for x in out)], names=["pair", "background", "target"])
+            n, first, last = [batch.column(c).to_numpy()[on] for c in ("background", "target")], parts[i[on]], parts[j[on]]
+            b = smoothing.of(0, n[0], first, last) - smoothing.of(0, 1, first, last)
+            t = [smoothing.of(1, n[1], first, last) - smoothing.of(1, once, first, last) for once in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)[on].view(np.int64)), *map(pa.array, (b, *t))], names=["pair", "b", "t0", "t1"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +205,21 @@ def pair_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothi
         other = words.select(F.col("id"), *(F.col(p).alias(f"joined_{p}") for p in names)).hint("merge")
         rows = rows.join(other, F.col(key) == F.col("id"), "left").drop("id")
         rows = rows.withColumns({p: F.coalesce(p, f"joined_{p}") for p in names}).drop(*(f"joined_{p}" for p in names))
-    out = [smoothing.loss(k, F.col(f"n_{x}"), F.col(f"after_{x}"), F.col(f"kinds_{x}"), F.col(f"own_{x}"), F.log, lambda c: F.greatest(c, F.lit(1))).cast("float") for k, x in enumerate("bt")]
-    return pairs.mapInArrow(known, "pair long, background float, target float").unionAll(rows.select("pair", out[0].alias("background"), out[1].alias("target")))
+    b, t = (smoothing.loss(k, F.col(f"n_{x}"), F.col(f"after_{x}"), F.col(f"kinds_{x}"), F.col(f"own_{x}"), F.log, lambda c: F.greatest(c, F.lit(1))) for k, x in enumerate("bt"))
+    whole = rows.select("pair", b.alias("b"), t.alias("t0"), t.alias("t1"))
+    if least <= 2:
+        return whole
+    return pairs.where((F.col("background") > 1) & (F.col("background") < least)).mapInArrow(known, "pair long, b double, t0 double, t1 double").unionAll(whole)
+
+
+def frequent_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothing) -> DataFrame:  # noqa: ANN001
+    """``pair, b, t``: whole losses of ``pairs``; a pair of rarer words joins them."""
+    both = pairs
+    for key, names in (("before", PARTS[:4]), ("word", PARTS[4:])):
+        other = words.select(F.col("id").alias(f"id_{key}"), *names)
+        both = both.join(other, F.col(key) == F.col(f"id_{key}"), "left")
+    b, t = (smoothing.loss(k, F.col(n), F.col(f"after_{x}"), F.col(f"kinds_{x}"), F.col(f"own_{x}"), F.log, lambda c: F.greatest(c, F.lit(1))) for k, (n, x) in enumerate((("background", "b"), ("target", "t"))))
+    return both.select("before", "word", b.alias("b"), t.alias("t"))
 
 
 def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None) -> DataFrame:
@@ -207,7 +230,8 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
     if vocabulary is not None:
         known = [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()]
     shared = context.broadcast(Vocabulary(known))
-    pairs = saved(count_pairs(with_targets(docs, target_ids), shared))
+    flagged = with_targets(docs, target_ids)
+    pairs = saved(count_pairs(flagged.select("text", "is_target"), shared))
     words = saved(word_parts(pairs))
     own = [F.col("own_b"), F.col("own_t")]
     sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in own), *(F.count(F.when(c > 0, 1)) for c in own)).first()
@@ -216,41 +240,55 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
     some = words.where(often >= frequent_from(words, often, FREQUENT_WORDS)).toArrow()
     parts = np.stack([np.r_[some.column(p).to_numpy(), 0] for p in PARTS], axis=1)  # the last row is for words that are not there
     frequent = context.broadcast((HashIndex(some.column("id").to_numpy().view(np.uint64)), parts))
-    least = frequent_from(pairs, F.col("background"), FREQUENT_PAIRS)
-    some = pair_losses(pairs.where(F.col("background") >= least), words, frequent, smoothing).toArrow()
-    table = context.broadcast((HashIndex(some.column("pair").to_numpy().view(np.uint64)), np.stack([some.column(c).to_numpy() for c in ("background", "target")], axis=1)))
-    del some, parts
+    least = max(2, frequent_from(pairs, F.col("background"), FREQUENT_PAIRS))
+    some = frequent_losses(pairs.where(F.col("background") >= least), words, frequent, smoothing).toArrow()
+    keys = pair_keys(*(some.column(c).to_numpy().view(np.uint64) for c in ("before", "word")))
+    table = context.broadcast((HashIndex(keys), np.stack([some.column(c).to_numpy() for c in "bt"], axis=1).astype(np.float32)))
+    del some, parts, keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, losses = table.value
+        (index, losses), (word_index, parts) = table.value, frequent.value
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch):
                 before, word, row = shared.value.tokens(part.column("text"))
+                flag = part.column("is_target").to_numpy(zero_copy_only=False).astype(np.int64)
                 pair, rows = pair_keys(before, word), part.num_rows
                 at = index.find(pair)
                 on, off = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
-                found = [np.bincount(row[on], losses[at[on], k].astype(np.float64), minlength=rows).astype(np.float64) for k in (0, 1)]
+                i, j = word_index.find(before[off]), word_index.find(word[off])
+                here = (i >= 0) & (j >= 0)
+                first, last, single = parts[i[here]], parts[j[here]], row[off][here]
+                once = [smoothing.of(k, n, first, last) for k, n in enumerate((1, flag[single]))]
+                found = [(np.bincount(row[on], losses[at[on], k].astype(np.float64), minlength=rows) + np.bincount(single, once[k], minlength=rows)).astype(np.float64) for k in (0, 1)]
+                if least <= 2:  # every pair seen twice is in the table
+                    off = off[~here]
                 ends = np.r_[0, np.cumsum(np.bincount(row[off], minlength=rows))].astype(np.int32)
                 others = pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[off].view(np.int64)))
-                columns = [pa.array(np.arange(number, number + rows)), part.column("doc_id"), pa.array(np.bincount(row, minlength=rows)), *map(pa.array, found), others]
+                ids = (np.arange(number, number + rows) << 1) | flag
+                columns = [pa.array(ids), part.column("doc_id"), pa.array(np.bincount(row, minlength=rows)), *map(pa.array, found), others]
                 number += rows
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "b", "t", "others"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = flagged.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "is_target")
     found = saved(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, b double, t double, others array<long>"))
-    rare = pair_losses(pairs.where(F.col("background") < least), words, frequent, smoothing)
     tokens = found.select("row", F.explode("others").alias("other")).hint("merge")
-    rest = tokens.join(rare, F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("background").alias("more_b"), F.sum("target").alias("more_t"))
+    t = F.when(F.col("row") % 2 == 1, F.col("t1")).otherwise(F.col("t0"))
+    rest = tokens.join(rare_losses(pairs.where(F.col("background") < least), words, frequent, smoothing, least), F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("b").alias("more_b"), F.sum(t).alias("more_t"))
     both = found.drop("others").join(rest, F.col("row") == F.col("of"), "left")
     means = [F.when(F.col("n_tokens") > 0, (F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0))) / F.col("n_tokens")) for k in "bt"]
     return both.select("doc_id", "n_tokens", means[0].alias("background_loss"), means[1].alias("target_loss"), (means[0] - means[1]).alias("score"))
 
 
+#: Target ids that go to all tasks; more are joined by a shuffle of the texts.
+BROADCAST_IDS = 1_000_000
+
+
 def with_targets(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """``text, is_target`` of each row: the one place where texts meet the targets, in a sort-merge join."""
-    ids = target_ids.select("target_id").distinct().hint("merge")
-    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("is_target"))
+    """``doc_id, text, is_target`` of each row."""
+    ids = saved(target_ids.select(F.col("target_id").cast("long").alias("target_id")).where("target_id is not null").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("is_target"))
 
 
 def good_ids(labels: DataFrame) -> DataFrame:
