@@ -15,6 +15,15 @@ import re
 from pyspark.sql import DataFrame
 
 _SYMBOL = "PARTITION BY symbol ORDER BY bar_idx"
+#: Frames from which a running extreme goes over blocks.
+_LONG = 64
+
+
+def digits(x: str, n: int = 12) -> str:
+    """``x`` to n significant digits: values that differ only by the order in which
+    floats were added are ties, at any magnitude."""
+    power = f"power(1e1, {n - 1} - floor(log10(abs({x}))))"
+    return f"CASE WHEN abs({x}) > 1e-250 THEN floor({x} * {power} + 5e-1) / {power} ELSE {x} * 1e0 END"
 
 
 class Formula:
@@ -67,7 +76,7 @@ class Formula:
 
     def rank(self, x: str) -> str:
         """Share of valid symbols below, ties averaged; in (0, 1]."""
-        x = self.let(f"round({x}, 10)")
+        x = self.let(digits(self.let(x)))
         place = f"rank() OVER (PARTITION BY bar_idx ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY bar_idx, {x}) - 1) / 2e0"
         return self.let(f"CASE WHEN {x} IS NOT NULL THEN ({place}) / count({x}) OVER (PARTITION BY bar_idx) END")
 
@@ -96,13 +105,25 @@ class Formula:
         x = self.let(x)
         return self._warm(n, f"stddev_samp({x}) OVER {self._last(n)}")
 
-    def ts_max(self, x: str, n: int) -> str:
+    def _extreme(self, x: str, n: int, side: str) -> str:
+        """The extreme of the last n bars. Over a long frame, which Spark would
+        read anew for each row, it is that of two runs: from the frame's first bar
+        to its block's end, and from the current block's begin to the current bar."""
         x = self.let(x)
-        return self._warm(n, f"max({x}) OVER {self._last(n)}")
+        if n < _LONG:
+            return self._warm(n, f"{side}({x}) OVER {self._last(n)}")
+        block = self.let(f"floor(bar_idx / {n}e0)")
+        run = f"PARTITION BY symbol, {block} ORDER BY bar_idx"
+        upto = self.let(f"{side}({x}) OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        onward = self.let(f"{side}({x}) OVER ({run} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+        before = self.let(f"lag({onward}, {n - 1}) OVER ({_SYMBOL})")
+        return self._warm(n, f"{'greatest' if side == 'max' else 'least'}({before}, {upto})")
+
+    def ts_max(self, x: str, n: int) -> str:
+        return self._extreme(x, n, "max")
 
     def ts_min(self, x: str, n: int) -> str:
-        x = self.let(x)
-        return self._warm(n, f"min({x}) OVER {self._last(n)}")
+        return self._extreme(x, n, "min")
 
     def _arg(self, x: str, n: int, best: str) -> str:
         lags = self._lags(x, n)
@@ -120,7 +141,7 @@ class Formula:
 
     def ts_rank(self, x: str, n: int) -> str:
         """Place of the current value among the last n, ties averaged, over the valid ones."""
-        x = self.let(f"round({x}, 10)")
+        x = self.let(digits(self.let(x)))
         lags = self._lags(x, n)
         below = " + ".join(f"CASE WHEN {v} < {x} THEN 1 WHEN {v} = {x} THEN 5e-1 ELSE 0 END" for v in lags)
         valid = " + ".join(f"CASE WHEN {v} IS NULL THEN 0 ELSE 1 END" for v in lags)
@@ -167,7 +188,7 @@ class Formula:
 
     def finite(self, x: str) -> str:
         x = self.let(x)
-        return self.let(f"CASE WHEN abs({x}) < 1e300 THEN {x} END")
+        return self.let(f"CASE WHEN abs({x}) < CAST('Infinity' AS DOUBLE) THEN {x} END")
 
     def where(self, cond: str, a: str, b: str) -> str:
         return f"CASE WHEN {cond} THEN {a} ELSE {b} END"

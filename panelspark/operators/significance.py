@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from panelspark.operators import book
-from panelspark.sources.panels import run_sql, steps_sql
+from panelspark.sources.panels import steps_sql
 
 #: The Euler-Mascheroni constant (a fixed value).
 GAMMA = 0.5772156649015329
@@ -46,18 +46,19 @@ def probabilistic(stats: DataFrame, benchmark: str = "0.0") -> DataFrame:
     return stats.withColumn("psr", normal_cdf(F.expr(f"(sr - ({benchmark})) * sqrt(n - 1) / nullif(sqrt(greatest(1 - skew * sr + (kurt - 1) / 4 * sr * sr, 0)), 0)")))
 
 
-def deflated(stats: DataFrame) -> DataFrame:
-    """Adds ``dsr`` of each run against the best ratio to expect of so many trials with no edge."""
-    trials = stats.agg(F.count("sr").alias("n_trials"), F.var_samp("sr").alias("v"))
+def deflated(stats: DataFrame, study: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``dsr`` of each run against the best ratio to expect of so many trials
+    with no edge; the trials are the runs of the same ``study`` columns."""
+    trials = stats.groupBy(*study).agg(F.count("sr").alias("n_trials"), F.var_samp("sr").alias("v"))
     z1, z2 = normal_quantile(F.expr("1 - 1e0 / nullif(n_trials, 0)")), normal_quantile(F.expr(f"1 - 1e0 / nullif(n_trials * {math.e}, 0)"))
-    expected = trials.withColumns({"z1": z1, "z2": z2}).selectExpr(f"CASE WHEN n_trials >= 2 AND v > 0 THEN sqrt(v) * ({1 - GAMMA} * z1 + {GAMMA} * z2) ELSE 0.0 END AS expected_sr")
-    joined = stats.crossJoin(F.broadcast(expected))  # one row
+    expected = trials.withColumns({"z1": z1, "z2": z2}).selectExpr(*study, f"CASE WHEN n_trials >= 2 AND v > 0 THEN sqrt(v) * ({1 - GAMMA} * z1 + {GAMMA} * z2) ELSE 0.0 END AS expected_sr")
+    joined = stats.join(expected, list(study)) if study else stats.crossJoin(F.broadcast(expected))  # one row
     return probabilistic(joined, "expected_sr").withColumnRenamed("psr", "dsr")
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = [*book.scores((1, 2, 4, 8, 20)), *book.weights(), *book.accounting(), *book.performance()]
-    return moments(run_sql(spark, sf_dir, steps_sql("w", steps, "SELECT run_id, r FROM bar_returns")))
+    return moments(steps_sql("w", steps, "SELECT run_id, r FROM bar_returns").run(spark, sf_dir))
 
 
 def queries() -> dict:

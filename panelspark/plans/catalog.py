@@ -11,12 +11,12 @@ from collections.abc import Callable
 from panelspark.functions.vocabulary import Formula
 from panelspark.operators import book
 from panelspark.plans import alphas
-from panelspark.sources.panels import steps_sql
+from panelspark.sources.panels import PanelQuery, steps_sql
 
 VALUE = "SELECT bar_idx, symbol, CAST(round(CAST(value AS DOUBLE), 6) AS DOUBLE) AS value FROM {last}"
 
 
-def formula_sql(build: Callable[[Formula], str], panel: str = "w") -> str:
+def formula_sql(build: Callable[[Formula], str], panel: str = "w") -> PanelQuery:
     """The value of a formula in every cell."""
     g = Formula()
     g.columns.append(("value", f"({build(g)}) * 1e0"))
@@ -47,7 +47,7 @@ FACTORS: dict[str, tuple[str, Callable[[Formula], str]]] = {
     "d19_returns": ("d", lambda g: g.returns("close", 1)),
     "d20_vwap": ("d", lambda g: g.vwap()),
     "d21_adv": ("d", lambda g: g.adv(20)),
-    "d22_finite": ("d", lambda g: g.finite("exp(close / 10)")),
+    "d22_finite": ("d", lambda g: g.finite("exp(CASE WHEN close > 6500 THEN 100 * close ELSE close / 100 END)")),
     "d23_elementwise": ("d", lambda g: "least(greatest(ln(1 + volume), 1), 5) + sqrt(abs(close - open)) + sign(close - open) + log10(close)"),
 }
 
@@ -87,7 +87,7 @@ def _overlay(g: Formula) -> str:
     return g.delay(filled, 1)
 
 
-def all_sql() -> dict[str, str]:
+def all_sql() -> dict[str, PanelQuery | str]:
     out = {name: formula_sql(build, panel) for name, (panel, build) in FACTORS.items()}
     for number, name in enumerate(alphas.ALPHAS, 1):
         steps, last = alphas.formula(name).steps()

@@ -2,7 +2,7 @@
 
 One SQL text is the query and its oracle. Where the two dialects name a
 function differently the text has a token (``MILLIS[x]``, ``DAYS[a|b]``,
-``MATCHES[x|pattern]``) that :func:`spoken` replaces.
+``MATCHES[x|pattern]``) that is replaced for each.
 """
 
 from __future__ import annotations
@@ -11,14 +11,9 @@ import re
 
 from panelspark.functions.vocabulary import Formula
 from panelspark.operators import book
-from panelspark.operators.book import LAST, Steps
+from panelspark.operators.book import CELL, LAST, RATE, Steps, product, strategy_scores, unpivot
 from panelspark.plans import alphas
-from panelspark.sources.panels import steps_sql
-
-_TOKENS = {
-    "spark": {r"MILLIS\[([^\]]*)\]": r"unix_millis(CAST(\1 AS TIMESTAMP))", r"DAYS\[([^|]*)\|([^\]]*)\]": r"datediff(\2, \1)", r"MATCHES\[([^|]*)\|([^;]*);\]": r"\1 RLIKE '\2'"},
-    "duckdb": {r"MILLIS\[([^\]]*)\]": r"epoch_ms(\1)", r"DAYS\[([^|]*)\|([^\]]*)\]": r"date_diff('day', \1, \2)", r"MATCHES\[([^|]*)\|([^;]*);\]": r"regexp_matches(\1, '\2')"},
-}
+from panelspark.sources.panels import PanelQuery, steps_sql
 
 SYMBOL = "PARTITION BY symbol ORDER BY bar_idx"
 
@@ -36,13 +31,6 @@ MARKET: Steps = [
 ]
 
 
-def spoken(sql: str, dialect: str) -> str:
-    """``sql`` with its tokens in the words of ``dialect``."""
-    for token, words in _TOKENS[dialect].items():
-        sql = re.sub(token, words, sql)
-    return sql
-
-
 def _values(name: str, columns: str, rows: list[tuple]) -> tuple[str, str]:
     return name, f"SELECT * FROM (VALUES {', '.join(map(str, rows)) if len(rows[0]) > 1 else ', '.join(f'({r[0]})' for r in rows)}) AS v({columns})"
 
@@ -53,20 +41,12 @@ def _base(lookback: int = 1, sign: int = -1) -> Steps:
     return [*steps, ("base", last)]
 
 
-def bench(split: bool = False) -> tuple[Steps, dict[int, str]]:
-    """``scored`` for all alphas whose warm-up fits the weekly panel, in one batch
-    of window levels; for Spark the stack is one pass, so the step is named apart."""
+def bench() -> tuple[Steps, dict[int, str]]:
+    """``scored`` for all alphas, in one batch of window levels."""
     g, columns = Formula(), {}
-    fit = [a for a in alphas.ALPHAS.values() if a.warmup <= 300]
-    for k, a in enumerate(fit, 1):
-        columns[k] = (g.finite(a.build(g)), a.warmup)
-    steps, last = g.steps()
-    if split:
-        pairs = ", ".join(f"{k}, CASE WHEN bar_idx >= {warm} THEN round({c} * 1e0, 8) END" for k, (c, warm) in columns.items())
-        rows = f"SELECT bar_idx, ts, symbol, close, volume, stack({len(columns)}, {pairs}) AS (run_id, score) FROM {last}"
-    else:
-        rows = " UNION ALL ".join(f"SELECT {k} AS run_id, bar_idx, ts, symbol, close, volume, CASE WHEN bar_idx >= {warm} THEN round({c} * 1e0, 8) END AS score FROM {last}" for k, (c, warm) in columns.items())
-    return [*steps, ("scored", rows)], {k: a.name for k, a in enumerate(fit, 1)}
+    for k, a in enumerate(alphas.ALPHAS.values(), 1):
+        columns[k] = f"CASE WHEN bar_idx >= {a.warmup} THEN {g.finite(a.build(g))} END"
+    return strategy_scores(columns, g), {k: a.name for k, a in enumerate(alphas.ALPHAS.values(), 1)}
 
 
 def vol_target(target: float = 0.10, lookback: int = 20, every: int = 4, most: float = 2.0, per_year: int = 52) -> Steps:
@@ -74,23 +54,15 @@ def vol_target(target: float = 0.10, lookback: int = 20, every: int = 4, most: f
     that of its past returns under today's weights, so no covariance is built."""
     return [
         ("engine_returns", f"SELECT bar_idx, symbol, coalesce(close / nullif(lag(close) OVER ({SYMBOL}), 0) - 1, 0.0) AS r FROM grid"),
-        ("past", f"SELECT w.run_id, w.bar_idx, r.bar_idx AS s, sum(w.w * r.r) AS b FROM weighted w JOIN engine_returns r ON r.symbol = w.symbol AND r.bar_idx > w.bar_idx - {lookback} AND r.bar_idx <= w.bar_idx AND r.bar_idx >= 1 WHERE w.bar_idx % {every} = 0 GROUP BY w.run_id, w.bar_idx, r.bar_idx"),
+        _values("offsets", "back", [(k,) for k in range(lookback)]),
+        ("reached", f"SELECT w.run_id, w.bar_idx, w.symbol, w.w, w.bar_idx - o.back AS s FROM weighted w CROSS JOIN offsets o WHERE w.bar_idx % {every} = 0"),
+        ("past", "SELECT w.run_id, w.bar_idx, w.s, sum(w.w * r.r) AS b FROM reached w JOIN engine_returns r ON r.symbol = w.symbol AND r.bar_idx = w.s WHERE w.s >= 1 GROUP BY w.run_id, w.bar_idx, w.s"),
         ("vols", f"SELECT run_id, bar_idx, count(*) AS n, sqrt(var_samp(b) * {per_year}) AS vol FROM past GROUP BY run_id, bar_idx HAVING count(*) > 1"),
         ("grossed", "SELECT *, sum(abs(w)) OVER (PARTITION BY run_id, bar_idx) AS book_gross FROM weighted"),
         ("targeted", f"SELECT g.run_id, g.bar_idx, g.ts, g.symbol, g.close, g.volume, g.score, g.w * CASE WHEN v.n >= 5 AND v.vol > 1e-9 THEN least({target} / nullif(v.vol, 0), {most} / nullif(g.book_gross, 0)) ELSE 1.0 END AS w FROM grossed g LEFT JOIN vols v ON v.run_id = g.run_id AND v.bar_idx = g.bar_idx"),
     ]
 
 
-def funding_flow() -> Steps:
-    """``flows``: what the weights held over a bar pay at the bar's funding rate."""
-    e = "PARTITION BY run_id, epoch, symbol ORDER BY bar_idx"
-    return [
-        ("before", f"SELECT *, w * coalesce(lag(g * live) OVER ({e}), 1.0) AS amount FROM grown"),
-        ("worth", "SELECT *, coalesce(lag(v) OVER (PARTITION BY run_id, epoch ORDER BY bar_idx), 1.0) AS v0 FROM valued_bars"),
-        ("flows", "SELECT b.run_id, b.bar_idx, -sum(b.amount / v.v0 * coalesce((g.discount - 0.05) / 100, 0.0)) AS flow FROM before b JOIN worth v ON v.run_id = b.run_id AND v.bar_idx = b.bar_idx JOIN grid g ON g.bar_idx = b.bar_idx AND g.symbol = b.symbol GROUP BY b.run_id, b.bar_idx"),
-    ]
-
-
 def crossover(params: tuple[tuple[int, int], ...] = ((5, 20), (10, 30), (4, 12)), slip: float = 0.0005, fee: float = 0.001) -> Steps:
     """``trips``: round trips of a long or flat moving-average book, filled at the
     open after the signal; each multiplies the equity by its factor."""
@@ -107,26 +79,59 @@ def crossover(params: tuple[tuple[int, int], ...] = ((5, 20), (10, 30), (4, 12))
     ]
 
 
-def walk(train: int = 120, test: int = 40, step: int = 40, lookbacks: tuple[int, ...] = (1, 2, 4, 8)) -> Steps:
-    """``judged``: for each window the lookback that is best in sample, and its
-    result out of sample. All windows, sides and lookbacks are runs of one job,
-    each on its own timeline, so that every test starts flat."""
-    columns = ", ".join(f"round(-(close / nullif(lag(close, {k}) OVER (PARTITION BY slice, symbol ORDER BY bar_idx), 0) - 1), 10) AS s{k}" for k in lookbacks)
+def reversal_of(k: int) -> str:
+    """Reversal score over k bars of a slice."""
+    return f"-(close / nullif(lag(close, {k}) OVER (PARTITION BY slice, symbol ORDER BY bar_idx), 0) - 1)"
+
+
+def walk(train: int = 120, test: int = 40, step: int = 40, grid: dict[int, str] | None = None, per: int = 100, weigh: Steps | None = None, **settings: object) -> Steps:
+    """``judged``: for each window the setting that is best in sample, and its
+    result out of sample. All windows, sides and settings are runs of one job,
+    each on its own timeline, so that every test starts flat.
+
+    ``grid`` has a number below 100 and a score (an SQL expression over the
+    columns of the grid, windows by ``slice, symbol``) for each setting of any
+    strategy; each ``per`` settings are one study (``config``) that chooses among
+    its own. ``weigh`` are the steps from ``scored`` to ``weighted``."""
+    grid = grid or {k: reversal_of(k) for k in (1, 2, 4, 8)}
+    names = {x: f"s{i}" for i, x in enumerate(dict.fromkeys(grid.values()))}
+    columns = ", ".join(f"({x}) * 1e0 AS {name}" for x, name in names.items())
     return [
         ("windows", f"SELECT bar_idx AS lo FROM calendar WHERE bar_idx % {step} = 0 AND bar_idx + {train + test} <= (SELECT count(*) FROM calendar)"),
         ("sides", f"SELECT lo, 0 AS side, lo AS a, lo + {train} AS b FROM windows UNION ALL SELECT lo, 1 AS side, lo + {train} AS a, lo + {train + test} AS b FROM windows"),
-        ("cut", "SELECT s.lo * 2 + s.side AS slice, g.bar_idx - s.a AS bar_idx, g.ts, g.symbol, g.close, g.volume FROM grid g JOIN sides s ON g.bar_idx >= s.a AND g.bar_idx < s.b"),
+        ("cut", "SELECT s.lo * 2 + s.side AS slice, g.bar_idx - s.a AS bar_idx, g.ts, g.symbol, g.close, g.volume, g.discount, g.tax FROM grid g JOIN sides s ON g.bar_idx >= s.a AND g.bar_idx < s.b"),
         ("lagged", f"SELECT *, {columns} FROM cut"),
-        ("scored", " UNION ALL ".join(f"SELECT slice * 100 + {k} AS run_id, bar_idx, ts, symbol, close, volume, s{k} AS score FROM lagged" for k in lookbacks)),
-        *book.weights(),
-        *book.accounting(),
+        ("scored", unpivot("lagged", CELL, {f"slice * 100 + {k}": names[x] for k, x in grid.items()})),
+        *(weigh or book.weights()),
+        *book.accounting(**settings),
         *book.performance(),
-        ("sided", "SELECT floor(run_id / 200) AS lo, floor(run_id / 100) % 2 AS side, run_id % 100 AS lookback, run_id, round(sharpe, 8) AS sharpe FROM metrics"),
-        ("chosen", "SELECT *, row_number() OVER (PARTITION BY lo ORDER BY sharpe DESC, lookback) AS place FROM sided WHERE side = 0"),
-        ("judged", "SELECT c.lo, c.lookback, c.sharpe AS train_sharpe, t.sharpe AS test_sharpe, t.run_id FROM chosen c JOIN sided t ON t.lo = c.lo AND t.lookback = c.lookback AND t.side = 1 WHERE c.place = 1"),
+        ("sided", f"SELECT floor(run_id / 200) AS lo, floor(run_id / 100) % 2 AS side, run_id % 100 AS lookback, floor(run_id % 100 / {per}) AS config, run_id, round(sharpe, 8) AS sharpe FROM metrics"),
+        ("chosen", "SELECT *, row_number() OVER (PARTITION BY lo, config ORDER BY sharpe DESC, lookback) AS place FROM sided WHERE side = 0"),
+        ("judged", "SELECT c.lo, c.config, c.lookback, c.sharpe AS train_sharpe, t.sharpe AS test_sharpe, t.run_id FROM chosen c JOIN sided t ON t.lo = c.lo AND t.lookback = c.lookback AND t.side = 1 WHERE c.place = 1"),
     ]
 
 
+#: ``tested``: the bar returns out of sample of what was chosen.
+TESTED = ("tested", "SELECT j.config, j.lo, b.bar_idx, b.r FROM judged j JOIN bar_returns b ON b.run_id = j.run_id WHERE b.r IS NOT NULL")
+STITCHED = "SELECT config, count(*) AS n, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 0e0) AS oos_sharpe FROM tested GROUP BY config"
+
+
+def carry_of(k: int) -> str:
+    """Carry score: the mean funding rate of k bars of a slice, short where it is high."""
+    return f"-avg({RATE}) OVER (PARTITION BY slice, symbol ORDER BY bar_idx ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+
+
+def carry_sweep() -> tuple[Steps, str]:
+    """Walk-forward of carry for each rebalance, number of names and cost."""
+    cell = "floor(run_id % 100 / 3)"  # 18 cells of three smoothings
+    every = f"(CASE WHEN {cell} < 9 THEN 4 ELSE 13 END)"
+    names = f"(CASE floor({cell} % 9 / 3) WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE 1000 END)"
+    cost = f"(CASE {cell} % 3 WHEN 0 THEN 0e0 WHEN 1 THEN 5e-4 ELSE 1e-3 END)"
+    grid = {3 * c + i: carry_of(k) for c in range(18) for i, k in enumerate((1, 3, 8))}
+    steps = [*walk(grid=grid, per=3, weigh=book.weights("top", names), every=every, cost=cost, funding=RATE), TESTED, ("stitched", STITCHED)]
+    return steps, "SELECT CASE WHEN config < 9 THEN 4 ELSE 13 END AS rebalance, CASE floor(config % 9 / 3) WHEN 0 THEN 3 WHEN 1 THEN 5 ELSE NULL END AS top_k, CASE config % 3 WHEN 0 THEN 0 WHEN 1 THEN 5 ELSE 10 END AS cost_bps, n, round(oos_sharpe, 5) AS oos_sharpe FROM stitched"
+
+
 def subsets(draws: int = 30, size: int = 12) -> Steps:
     """``scored`` on random subsets of the symbols, one run for each draw."""
     return [
@@ -142,11 +147,10 @@ def sleeves() -> Steps:
     g = Formula()
     trend, size, rev = g.returns("close", 20), g.full_mean("close * volume", 30), g.returns("close", 1)
     steps, last = g.steps()
-    pick = "SELECT {} AS run_id, bar_idx, ts, symbol, close, volume, round({}, 10) AS score FROM " + last
     x = "PARTITION BY run_id, bar_idx"
     return [
         *steps,
-        ("scored", " UNION ALL ".join([pick.format(1, f"sign({trend}) * 1e0"), pick.format(2, f"-ln(greatest({size}, 1e-9))"), pick.format(3, f"-{rev}")])),
+        ("scored", unpivot(last, CELL, {1: f"sign({trend}) * 1e0", 2: f"-ln(greatest({size}, 1e-9))", 3: f"-{rev} * 1e0"})),
         ("centred", f"SELECT *, CASE WHEN run_id = 1 THEN score ELSE score - avg(score) OVER ({x}) END AS c, count(score) OVER ({x}) AS n_scores FROM scored"),
         ("weighted", f"SELECT run_id, bar_idx, ts, symbol, close, volume, score, CASE WHEN n_scores < 2 THEN 0.0 ELSE coalesce(c / nullif(sum(abs(c)) OVER ({x}), 0), 0.0) END AS w FROM centred"),
     ]
@@ -179,7 +183,7 @@ def ledger(every: int = 13, cost: float = 0.001, cash: float = 10_000.0) -> Step
     return [
         ("updates", f"SELECT run_id, bar_idx, symbol, close, w, lag(close) OVER ({key}) AS close0, coalesce(lag(w) OVER ({key}), 0.0) AS w0 FROM weighted WHERE bar_idx % {every} = 0 AND bar_idx >= 26"),
         ("marked", "SELECT run_id, bar_idx, coalesce(sum(w0 * (close / nullif(close0, 0) - 1)), 0.0) AS growth, sum(abs(w - w0)) AS turnover FROM updates GROUP BY run_id, bar_idx"),
-        ("ledgers", f"SELECT *, {cash} * exp(sum(ln((1 + growth) * (1 - {cost} * turnover))) OVER (PARTITION BY run_id ORDER BY bar_idx {LAST})) AS equity FROM marked"),
+        ("ledgers", f"SELECT *, {cash} * {product(f'((1 + growth) * (1 - {cost} * turnover))', f' OVER (PARTITION BY run_id ORDER BY bar_idx {LAST})')} AS equity FROM marked"),
     ]
 
 
@@ -219,7 +223,7 @@ def all_sql() -> dict[str, str]:
     dated = ("dated", "SELECT b.*, c.ts FROM bar_returns b JOIN calendar c ON c.bar_idx = b.bar_idx")
     year = "extract(YEAR FROM ts)"
     out = {
-        "a03_validate_bars": d([], "SELECT symbol, count(*) AS n, count(*) - count(DISTINCT ts) AS repeated, CAST(sum(CASE WHEN open IS NULL OR close IS NULL OR high < low THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM bars GROUP BY symbol"),
+        "a03_validate_bars": d([], "SELECT symbol, count(*) AS n, count(*) - count(DISTINCT l_shipdate) AS repeated, CAST(sum(CASE WHEN price <= 5010 OR qty IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM ticks GROUP BY symbol"),
         "a07_overlay_align": d(OVERLAY, "SELECT bar_idx, symbol, round(tvl, 4) AS tvl FROM aligned"),
         "a08_overlay_lag": d(OVERLAY, f"SELECT bar_idx, symbol, round(lag(tvl, 1) OVER ({SYMBOL}), 4) AS tvl FROM aligned"),
         "a19_best_slug": "SELECT symbol, slug FROM (SELECT p_brand AS symbol, p_name AS slug, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part WHERE p_name <> '' AND p_name <> '-') t WHERE k = 1",
@@ -253,58 +257,50 @@ def all_sql() -> dict[str, str]:
         "f10_causality": w(*_causal()),
         "h06_vol_target": w([*book.scores(), *book.weights(), *vol_target()], "SELECT bar_idx, symbol, round(w, 6) AS w FROM targeted WHERE bar_idx % 4 = 0"),
         "h08_derisk": w(measured, "SELECT bar_idx, round(CASE WHEN drawdown >= -0.05 THEN 1.0 WHEN drawdown <= -0.20 THEN 0.25 ELSE 1 - 0.75 * (-drawdown - 0.05) / 0.15 END, 6) AS scale FROM bar_returns"),
-        "i02_funding_flow": w([*paid, *funding_flow()], "SELECT bar_idx, round(flow, 8) AS flow FROM flows"),
+        "i02_funding_flow": w([*book.scores(), *book.weights(), *book.accounting(funding=RATE)], "SELECT bar_idx, round(flow, 8) AS flow, round(equity, 4) AS equity FROM equity"),
         "i10_round_trips": w(crossover(), "SELECT run_id, symbol, CAST(trip AS BIGINT) AS trip, p_in, p_out, round(f, 8) AS factor FROM trips"),
-        "i11_crossover_study": w(crossover(), "SELECT run_id, symbol, count(*) AS n_trips, round(10000 * exp(sum(ln(f))), 4) AS equity FROM trips GROUP BY run_id, symbol"),
+        "i11_crossover_study": w(crossover(), f"SELECT run_id, symbol, count(*) AS n_trips, round(10000 * {product('f')}, 4) AS equity FROM trips GROUP BY run_id, symbol"),
         "j08_alpha_beta": w(
             [*measured, *MARKET, ("fit", "SELECT count(*) AS n, regr_slope(b.r, m.m) AS beta, regr_intercept(b.r, m.m) AS alpha, regr_sxx(b.r, m.m) AS sxx, regr_syy(b.r, m.m) AS syy, regr_sxy(b.r, m.m) AS sxy, avg(m.m) AS x FROM bar_returns b JOIN market m ON m.bar_idx = b.bar_idx WHERE b.r IS NOT NULL")],
             "SELECT n, round(beta, 6) AS beta, round(alpha * 52, 6) AS alpha, round(alpha / nullif(sqrt((syy - sxy * sxy / nullif(sxx, 0)) / nullif(n - 2, 0) * (1e0 / nullif(n, 0) + x * x / nullif(sxx, 0))), 0), 5) AS t FROM fit",
         ),
         "j11_trade_quality": w(measured, "SELECT run_id, round(avg(CASE WHEN r > 1e-12 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END), 6) AS win_rate, round(avg(CASE WHEN r > 1e-12 THEN r END), 8) AS mean_up, round(avg(CASE WHEN r < -1e-12 THEN r END), 8) AS mean_down, round(avg(CASE WHEN r > 1e-12 THEN r END) / nullif(-avg(CASE WHEN r < -1e-12 THEN r END), 0), 6) AS payoff, round(max(r), 8) AS best, round(min(r), 8) AS worst FROM bar_returns GROUP BY run_id"),
         "j12_turnover_profile": w(paid, "SELECT run_id, round(avg(CASE WHEN turnover > 0 THEN turnover END) / 2, 6) AS one_way, round(avg(gross), 6) AS mean_gross, round(28 / nullif(avg(CASE WHEN turnover > 0 THEN turnover END) / 2 / nullif(avg(gross), 0), 0), 4) AS holding_days FROM equity GROUP BY run_id"),
-        "j13_per_year": w([*measured, dated], f"SELECT {year} AS year, round(exp(sum(ln(1 + coalesce(r, 0.0)))) - 1, 6) AS r FROM dated GROUP BY {year}"),
-        "j14_segment": w([*measured, dated, ("cut_out", "SELECT *, max(equity) OVER (PARTITION BY run_id ORDER BY bar_idx) AS peak FROM dated WHERE ts >= DATE '1997-01-01' AND ts <= DATE '1999-12-31'")], "SELECT run_id, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 6) AS sharpe, round(min(equity / peak - 1), 6) AS max_drawdown, round(exp(sum(ln(1 + r))) - 1, 6) AS total FROM cut_out GROUP BY run_id"),
+        "j13_per_year": w([*measured, dated], f"SELECT {year} AS year, round({product('(1 + coalesce(r, 0.0))')} - 1, 6) AS r FROM dated GROUP BY {year}"),
+        "j14_segment": w([*measured, dated, ("cut_out", "SELECT *, max(equity) OVER (PARTITION BY run_id ORDER BY bar_idx) AS peak FROM dated WHERE ts >= DATE '1997-01-01' AND ts <= DATE '1999-12-31'")], f"SELECT run_id, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0) * sqrt(52), 6) AS sharpe, round(min(equity / nullif(peak, 0) - 1), 6) AS max_drawdown, round({product('(1 + r)')} - 1, 6) AS total FROM cut_out GROUP BY run_id"),
         "j15_losing_streak": w([*measured, ("signs", "SELECT run_id, bar_idx, CASE WHEN r < -1e-12 THEN 1 ELSE 0 END AS loss FROM bar_returns WHERE r IS NOT NULL"), ("islands", "SELECT *, bar_idx - row_number() OVER (PARTITION BY run_id, loss ORDER BY bar_idx) AS island FROM signs")], "SELECT run_id, max(n) AS longest FROM (SELECT run_id, island, count(*) AS n FROM islands WHERE loss = 1 GROUP BY run_id, island) t GROUP BY run_id"),
         "j17_year_ends": w([*measured, dated, ("ends", f"SELECT *, row_number() OVER (PARTITION BY run_id, {year} ORDER BY bar_idx DESC) AS k FROM dated")], f"SELECT {year} AS year, round(equity, 4) AS equity FROM ends WHERE k = 1"),
         "k02_windows": w(walk()[:2], "SELECT lo, side, a, b FROM sides"),
         "k03_walk_forward": w(walk(), "SELECT lo, lookback, round(train_sharpe, 5) AS train_sharpe, round(test_sharpe, 5) AS test_sharpe, round(train_sharpe - test_sharpe, 5) AS gap FROM judged"),
-        "k04_stitched": w([*walk(), ("tested", "SELECT j.lo, b.bar_idx, b.r FROM judged j JOIN bar_returns b ON b.run_id = j.run_id WHERE b.r IS NOT NULL")], f"SELECT lo, bar_idx, round(10000 * exp(sum(ln(1 + r)) OVER (ORDER BY lo, bar_idx {LAST})), 4) AS equity FROM tested"),
+        "k04_stitched": w([*walk(), TESTED, ("whole", f"SELECT lo, {product('(1 + r)')} AS f FROM tested GROUP BY lo"), ("entered", f"SELECT lo, {product('f', ' OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS before FROM whole")], f"SELECT lo, bar_idx, round(10000 * before * {product('(1 + r)', f' OVER (PARTITION BY lo ORDER BY bar_idx {LAST})')}, 4) AS equity FROM tested JOIN entered USING (lo)"),
         "k06_bootstrap": w([*subsets(), *book.weights(), *book.accounting(), *book.performance()], "SELECT run_id, round(sharpe, 6) AS sharpe, round(total_return, 6) AS total_return FROM metrics"),
         "k07_bootstrap_summary": w([*subsets(), *book.weights(), *book.accounting(), *book.performance()], "SELECT count(*) AS n, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY sharpe), 6) AS median_sharpe, round(percentile_cont(0.05) WITHIN GROUP (ORDER BY sharpe), 6) AS low, round(avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END), 6) AS positive FROM metrics"),
         "k14_friction_ladder": w(
-            [*_base(), ("ranked_names", "SELECT symbol, row_number() OVER (ORDER BY sum(volume) DESC, symbol) AS k FROM bars GROUP BY symbol"), _values("scenarios", "id, names", [(1, 999), (2, 12), (3, 999), (4, 12)]), ("scored", "SELECT s.id AS run_id, b.bar_idx, b.ts, b.symbol, b.close, b.volume, b.score FROM base b JOIN ranked_names n ON n.symbol = b.symbol JOIN scenarios s ON n.k <= s.names"), *book.weights(), *book.accounting(cost="(CASE WHEN f.run_id <= 2 THEN 0.0 ELSE 0.001 END)", short_rate="(CASE WHEN run_id <= 2 THEN 0.0 ELSE 0.0005 END)"), *book.performance()],
+            [*_base(), ("ranked_names", "SELECT symbol, row_number() OVER (ORDER BY sum(volume) DESC, symbol) AS k FROM bars GROUP BY symbol"), _values("scenarios", "id, names", [(1, 999), (2, 12), (3, 999), (4, 12)]), ("scored", "SELECT s.id AS run_id, b.bar_idx, b.ts, b.symbol, b.close, b.volume, b.score FROM base b JOIN ranked_names n ON n.symbol = b.symbol JOIN scenarios s ON n.k <= s.names"), *book.weights(), *book.accounting(cost="(CASE WHEN run_id <= 2 THEN 0.0 ELSE 0.001 END)", short_rate="(CASE WHEN run_id <= 2 THEN 0.0 ELSE 0.0005 END)"), *book.performance()],
             "SELECT run_id, round(sharpe, 6) AS sharpe, round(total_return, 6) AS total_return FROM metrics",
         ),
         "k15_capacity_curve": w(
             [*_base(), _values("sizes", "id, capital", [(1, 10_000), (2, 1_000_000), (3, 10_000_000), (4, 100_000_000)]), ("scored", "SELECT s.id AS run_id, b.bar_idx, b.ts, b.symbol, b.close, b.volume, b.score FROM base b CROSS JOIN sizes s"), *book.weights(), *book.limits(0.0, 0.02, "(CASE run_id WHEN 1 THEN 1e4 WHEN 2 THEN 1e6 WHEN 3 THEN 1e7 ELSE 1e8 END)"), *book.accounting("limited"), *book.performance()],
             "SELECT run_id, round(sharpe, 5) AS sharpe, round(total_return, 6) AS total_return, round(total_return / nullif(max(CASE WHEN run_id = 1 THEN total_return END) OVER (), 0), 5) AS kept FROM metrics",
         ),
+        "k17_carry_sweep": w(*carry_sweep()),
         "l02_two_sleeves": w(sleeves(), "SELECT symbol, round(sum(CASE run_id WHEN 1 THEN 0.6 ELSE 0.4 END * w), 6) AS w FROM weighted WHERE run_id <= 2 AND bar_idx = (SELECT max(bar_idx) FROM calendar) GROUP BY symbol HAVING abs(sum(CASE run_id WHEN 1 THEN 0.6 ELSE 0.4 END * w)) > 0.000001"),
         "l03_three_sleeves": w(streams, "SELECT t.symbol, round(sum(s.share * t.w), 6) AS w FROM weighted t JOIN shares s ON s.run_id = t.run_id WHERE t.bar_idx = (SELECT max(bar_idx) FROM calendar) GROUP BY t.symbol"),
         "l04_inverse_vol_blend": w(streams, "SELECT t.bar_idx, round(sum(s.share * t.r), 8) AS r FROM streams t JOIN shares s ON s.run_id = t.run_id GROUP BY t.bar_idx"),
         "l05_fixed_blend": w(streams, "SELECT bar_idx, round(sum(r) / 3, 8) AS r FROM streams GROUP BY bar_idx"),
         "l06_correlations": w(streams, "SELECT a.run_id AS a, b.run_id AS b, round(covar_samp(a.r, b.r) / nullif(stddev_samp(a.r) * stddev_samp(b.r), 0), 6) AS corr FROM streams a JOIN streams b ON b.bar_idx = a.bar_idx GROUP BY a.run_id, b.run_id"),
-        "l09_carry": w(carry(), "SELECT bar_idx, round(carry, 8) AS carry, n_held FROM carried"),
+        "l09_carry": w(carry(), "SELECT bar_idx, round(carry, 10) AS carry, n_held FROM carried"),
         "l10_basket": w(carry(), "SELECT symbol FROM pair_returns WHERE bar_idx = (SELECT max(bar_idx) FROM calendar) AND upto > 0"),
-        "l11_realised_carry": w(carry(), "SELECT round(coalesce(exp(sum(ln(1 + carry))), 1.0) - 1, 8) AS realised FROM carried WHERE ts > DATE '2000-01-01'"),
-        "l12_always_or_timed": w([*carry(), ("always", "SELECT bar_idx, avg(coalesce(funding, 0.0)) AS harvest FROM pairs GROUP BY bar_idx")], "SELECT a.bar_idx, round(a.harvest, 8) AS always_on, round(c.carry, 8) AS timed FROM always a JOIN carried c ON c.bar_idx = a.bar_idx"),
+        "l11_realised_carry": w(carry(), f"SELECT round({product('(1 + carry)')} - 1, 8) AS realised FROM carried WHERE ts > DATE '2000-01-01'"),
+        "l12_always_or_timed": w([*carry(), ("always", "SELECT bar_idx, avg(coalesce(funding, 0.0)) AS harvest FROM pairs GROUP BY bar_idx")], "SELECT a.bar_idx, round(a.harvest, 10) AS always_on, round(c.carry, 10) AS timed FROM always a JOIN carried c ON c.bar_idx = a.bar_idx"),
         "l13_adverse_moves": w([("moved", f"SELECT symbol, bar_idx, high / nullif(lag(close) OVER ({SYMBOL}), 0) - 1 AS up FROM grid"), _values("levers", "leverage", [(5,), (10,), (20,)])], "SELECT leverage, count(up) AS n, CAST(sum(CASE WHEN up > 1e0 / leverage THEN 1 ELSE 0 END) AS BIGINT) AS n_liquidated, round(max(up), 8) AS worst FROM moved CROSS JOIN levers GROUP BY leverage"),
-        "l14_siloed_margin": w([*carry(), ("adverse", f"SELECT bar_idx, ret, lately, high / nullif(lag(close) OVER ({SYMBOL}), 0) - 1 AS up FROM pair_returns"), _values("levers", "leverage", [(5,), (10,), (20,)])], "SELECT leverage, bar_idx, round(avg(CASE WHEN up > 1e0 / leverage THEN -1e0 / leverage ELSE ret END), 8) AS r FROM adverse CROSS JOIN levers WHERE lately > 0 AND ret IS NOT NULL GROUP BY leverage, bar_idx"),
-        "l15_macro_timing": w(
-            [
-                *MARKET,
-                ("minted", "SELECT date_trunc('week', o_orderdate) AS ts, sum(o_totalprice) AS x FROM orders GROUP BY date_trunc('week', o_orderdate)"),
-                ("supply", "SELECT c.bar_idx, sum(coalesce(m.x, 0.0)) OVER (ORDER BY c.bar_idx) AS supply FROM calendar c LEFT JOIN minted m ON m.ts = c.ts"),
-                ("growth", "SELECT *, supply / nullif(lag(supply, 8) OVER (ORDER BY bar_idx), 0) - 1 - 8e0 / (bar_idx + 1) AS g FROM supply"),
-                ("timed", "SELECT bar_idx, coalesce(lag(CASE WHEN round(g, 9) > 0 THEN 1 WHEN round(g, 9) < 0 THEN -1 ELSE 0 END) OVER (ORDER BY bar_idx), 0) AS pos FROM growth"),
-            ],
-            "SELECT t.bar_idx, t.pos, round(t.pos * m.m, 8) AS r FROM timed t JOIN market m ON m.bar_idx = t.bar_idx",
-        ),
+        "l14_siloed_margin": w([*carry(), ("adverse", f"SELECT bar_idx, ret, lately, high / nullif(lag(close) OVER ({SYMBOL}), 0) - 1 AS up FROM pair_returns"), _values("levers", "leverage", [(5,), (10,), (20,)])], "SELECT leverage, bar_idx, round(avg(CASE WHEN up > 1e0 / leverage THEN -1e0 / leverage ELSE ret END), 10) AS r FROM adverse CROSS JOIN levers WHERE lately > 0 AND ret IS NOT NULL GROUP BY leverage, bar_idx"),
+        "l15_macro_timing": w(_macro(), "SELECT t.bar_idx, t.lookback, t.pos, round(t.ret, 8) AS r, CASE WHEN t.bar_idx < 178 THEN 'in' ELSE 'out' END AS side FROM timed_returns t JOIN best_lookback b ON b.lookback = t.lookback"),
         "m01_ledger": w([*book.scores((1, 4, 8)), *book.weights(), *ledger()], "SELECT run_id, bar_idx, round(growth, 8) AS growth, round(turnover, 6) AS turnover, round(equity, 4) AS equity FROM ledgers"),
         "m03_gap_guard": _plain("SELECT account, CAST(day AS VARCHAR(10)) AS day, gap FROM (SELECT account, day, DAYS[lag(day) OVER (PARTITION BY account ORDER BY day)|day] AS gap FROM updated) g WHERE gap > 45", ACCOUNTS),
         "m04_two_pots": w(
-            [*book.scores(), *book.weights(), *ledger(), *carry(), ("carry_pots", "SELECT 13 * ceil(bar_idx / 13e0) AS bar_idx, exp(sum(ln(1 + carry))) AS fc FROM carried GROUP BY 13 * ceil(bar_idx / 13e0)"), ("pots", "SELECT m.run_id, m.bar_idx, (1 + m.growth) * (1 - 0.001 * m.turnover) AS fa, coalesce(c.fc, 1.0) AS fc FROM marked m LEFT JOIN carry_pots c ON c.bar_idx = m.bar_idx")],
-            f"SELECT bar_idx, round(fa, 8) AS alpha_factor, round(fc, 8) AS carry_factor, round(10000 * exp(sum(ln(0.5 * fa + 0.5 * CASE WHEN bar_idx = 26 THEN 1.0 ELSE fc END)) OVER (PARTITION BY run_id ORDER BY bar_idx {LAST})), 4) AS equity FROM pots",
+            [*book.scores(), *book.weights(), *ledger(), *carry(), ("carry_pots", f"SELECT 13 * ceil(bar_idx / 13e0) AS bar_idx, {product('(1 + carry)')} AS fc FROM carried GROUP BY 13 * ceil(bar_idx / 13e0)"), ("pots", "SELECT m.run_id, m.bar_idx, (1 + m.growth) * (1 - 0.001 * m.turnover) AS fa, coalesce(c.fc, 1.0) AS fc FROM marked m LEFT JOIN carry_pots c ON c.bar_idx = m.bar_idx")],
+            f"SELECT bar_idx, round(fa, 8) AS alpha_factor, round(fc, 8) AS carry_factor, round(10000 * {product('(0.5 * fa + 0.5 * CASE WHEN bar_idx = 26 THEN 1.0 ELSE fc END)', f' OVER (PARTITION BY run_id ORDER BY bar_idx {LAST})')}, 4) AS equity FROM pots",
         ),
         "m06_price_precedence": w(
             [("offers", "SELECT symbol, close, 1 AS priority FROM grid WHERE bar_idx = (SELECT max(bar_idx) FROM grid) AND close IS NOT NULL UNION ALL SELECT symbol, open AS close, 2 AS priority FROM grid WHERE bar_idx = (SELECT max(bar_idx) - 1 FROM grid) AND open IS NOT NULL"), ("placed_offers", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority) AS k FROM offers")],
@@ -322,24 +318,40 @@ def all_sql() -> dict[str, str]:
     return out
 
 
-def bench_sql(dialect: str) -> dict[str, str]:
+def bench_sql() -> dict[str, PanelQuery]:
     """The alpha bench and its breakdown by theme."""
-    scored, names = bench(dialect == "spark")
+    scored, names = bench()
     named = _values("names", "run_id, alpha", [(k, n) for k, n in names.items()])
     themed = _values("themes", "run_id, theme", [(k, t) for k, n in names.items() for t in alphas.ALPHAS[n].theme])
     return {
-        "f05_bench": steps_sql("w", [*scored, *book._ic(), named], "SELECT n.alpha, v.n, round(v.mean_ic, 5) AS mean_ic, round(v.t, 4) AS t, round(v.hit, 5) AS hit, v.verdict FROM verdicts v JOIN names n ON n.run_id = v.run_id"),
-        "f08_themes": steps_sql("w", [*scored, *book._ic(), themed], "SELECT t.theme, v.verdict, count(*) AS n FROM verdicts v JOIN themes t ON t.run_id = v.run_id GROUP BY t.theme, v.verdict"),
+        "f05_bench": steps_sql("w", [*scored, *book._ic(), named], "SELECT n.alpha, coalesce(v.n, 0) AS n, round(v.mean_ic, 5) AS mean_ic, round(v.t, 4) AS t, round(v.hit, 5) AS hit, coalesce(v.verdict, 'dead') AS verdict FROM names n LEFT JOIN verdicts v ON v.run_id = n.run_id"),
+        "f08_themes": steps_sql("w", [*scored, *book._ic(), themed], "SELECT t.theme, coalesce(v.verdict, 'dead') AS verdict, count(*) AS n FROM themes t LEFT JOIN verdicts v ON v.run_id = t.run_id GROUP BY t.theme, coalesce(v.verdict, 'dead')"),
     }
 
 
+def _macro(lookbacks: tuple[int, ...] = (4, 8, 13), cut: int = 178) -> Steps:
+    """Market timed by the sign of a supply's growth, one bar later; the lookback
+    is the one with the best ratio before the cut."""
+    over = "OVER (PARTITION BY lookback ORDER BY bar_idx)"
+    return [
+        *MARKET,
+        ("minted", "SELECT date_trunc('week', o_orderdate) AS ts, sum(o_totalprice) AS x FROM orders GROUP BY date_trunc('week', o_orderdate)"),
+        ("supply", "SELECT c.bar_idx, sum(coalesce(m.x, 0.0)) OVER (ORDER BY c.bar_idx) AS supply FROM calendar c LEFT JOIN minted m ON m.ts = c.ts"),
+        ("growths", unpivot("supply", "bar_idx", {k: f"supply / nullif(lag(supply, {k}) OVER (ORDER BY bar_idx), 0) - 1 - {k}e0 / (bar_idx + 1)" for k in lookbacks}, "g", "lookback")),
+        ("positions", f"SELECT lookback, bar_idx, coalesce(lag(CASE WHEN round(g, 9) > 0 THEN 1 WHEN round(g, 9) < 0 THEN -1 ELSE 0 END) {over}, 0) AS pos FROM growths"),
+        ("timed_returns", "SELECT p.lookback, p.bar_idx, p.pos, p.pos * m.m AS ret FROM positions p JOIN market m ON m.bar_idx = p.bar_idx"),
+        ("in_sample", f"SELECT lookback, round(coalesce(avg(ret) / nullif(stddev_samp(ret), 0), 0e0), 9) AS ratio FROM timed_returns WHERE bar_idx < {cut} GROUP BY lookback"),
+        ("best_lookback", "SELECT lookback FROM (SELECT lookback, row_number() OVER (ORDER BY ratio DESC, lookback) AS k FROM in_sample) x WHERE k = 1"),
+    ]
+
+
 def _halves() -> Steps:
     """Verdicts of three lookbacks in each half of the timeline, cut before any window."""
     columns = ", ".join(f"close / nullif(lag(close, {k}) OVER (PARTITION BY period, symbol ORDER BY bar_idx), 0) - 1 AS r{k}" for k in (1, 4, 8))
     return [
         ("period_grid", "SELECT CASE WHEN bar_idx < 178 THEN 1 ELSE 2 END AS period, CASE WHEN bar_idx < 178 THEN bar_idx ELSE bar_idx - 178 END AS bar_idx, ts, symbol, close, volume FROM grid"),
         ("period_returns", f"SELECT *, {columns} FROM period_grid"),
-        ("scored", " UNION ALL ".join(f"SELECT {k} * 10 + period AS run_id, bar_idx, ts, symbol, close, volume, round(-r{k}, 10) AS score FROM period_returns" for k in (1, 4, 8))),
+        ("scored", unpivot("period_returns", CELL, {f"{k} * 10 + period": f"-r{k}" for k in (1, 4, 8)})),
         *book._ic(),
     ]
 

@@ -6,27 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.operators import book, significance
-from panelspark.plans import catalog, studies
+from panelspark.operators import book, paths, significance
+from panelspark.plans import catalog, gauntlet, studies
 from panelspark.sources import feeds
-from panelspark.sources.panels import run_sql
+from panelspark.sources.panels import PanelQuery, oracle, run_query
 from panelspark.streaming import bars
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks to bars, grid, reversal scores, neutral weights, equity and metrics."""
-    return run_sql(spark, sf_dir, book.flagship_sql())
+    return book.flagship_sql().run(spark, sf_dir)
 
 
-def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: run_sql(spark, sf_dir, sql)
+def _named() -> dict[str, PanelQuery | str]:
+    return catalog.all_sql() | studies.all_sql() | studies.bench_sql()
+
+
+def _query(query: PanelQuery | str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: run_query(spark, sf_dir, query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("spark")
-    return {name: _query(studies.spoken(text, "spark")) for name, text in sql.items()} | feeds.queries() | significance.queries() | bars.queries()
+    return {name: _query(query) for name, query in _named().items()} | feeds.queries() | significance.queries() | paths.queries() | gauntlet.queries() | bars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = catalog.all_sql() | studies.all_sql() | studies.bench_sql("duckdb")
-    return {name: studies.spoken(text, "duckdb") for name, text in sql.items()} | feeds.oracle_sql()
+    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | paths.oracle_sql() | bars.oracle_sql()

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.sources.panels import run_sql, steps_sql
+from panelspark.sources.panels import steps_sql
 
 BAR = ("open", "high", "low", "close", "volume")
 
@@ -80,7 +80,7 @@ def stack_files(spark: SparkSession, path: str) -> DataFrame:
     return bars.withColumn("symbol", F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))))
 
 
-_ROWS = "SELECT symbol, MILLIS AS millis, {} FROM bars WHERE close IS NOT NULL"
+_ROWS = "SELECT symbol, MILLIS[ts] AS millis, {} FROM bars WHERE close IS NOT NULL"
 _BARS = _ROWS.format(", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in BAR))
 _TVL = _ROWS.format("CAST(traded AS DOUBLE) AS tvl")
 _RATES = _ROWS.format("CAST(discount AS DOUBLE) AS rate")
@@ -88,7 +88,7 @@ _RATES = _ROWS.format("CAST(discount AS DOUBLE) AS rate")
 
 def _landed(spark: SparkSession, sf_dir: str, sql: str, element: Column) -> DataFrame:
     """The weekly panel as pages by symbol and year, each landed twice."""
-    rows = run_sql(spark, sf_dir, steps_sql("w", [], sql.replace("MILLIS", "unix_millis(CAST(ts AS TIMESTAMP))")))
+    rows = steps_sql("w", [], sql).run(spark, sf_dir)
     pages = rows.groupBy("symbol", F.year(F.timestamp_millis("millis")).alias("year")).agg(F.to_json(F.collect_list(element)).alias("body"))
     return pages.select("symbol", "body", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("page"))
 
@@ -110,4 +110,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: steps_sql("w", [], sql.replace("MILLIS", "epoch_ms(ts)")) for name, sql in (("a15_klines", _BARS), ("a16_funding", _RATES), ("a17_locked_value", _TVL))}
+    return {name: steps_sql("w", [], sql).duckdb() for name, sql in (("a15_klines", _BARS), ("a16_funding", _RATES), ("a17_locked_value", _TVL))}

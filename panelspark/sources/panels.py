@@ -1,56 +1,154 @@
-"""Panels of bars derived from the driver tables.
+"""Panels of bars derived from the driver tables, and queries as named steps.
 
-Each derivation is one SQL text of named steps that Spark and DuckDB both run,
-so a query and its oracle see the same panel. Prices are tick prices
-(5000 + l_extendedprice / 100); bars open and close with the first and last tick
-of their span under a total order.
+A query is a list of named SQL steps and a result. Spark binds each step as a
+DataFrame: a step that several others read and that needs a shuffle is written
+to the shared folder once, and steps that nothing reads are never planned.
+DuckDB gets the same steps as one statement; where a step has a text of its own
+for DuckDB (:class:`Both`), the oracle is computed in another way.
+
+Prices are tick prices (5000 + l_extendedprice / 100); bars open and close with
+the first and last tick of their span under a total order.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.sources.shared import saved
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+_TOKENS = {
+    "spark": {r"MILLIS\[([^\]]*)\]": r"unix_millis(CAST(\1 AS TIMESTAMP))", r"DAYS\[([^|]*)\|([^\]]*)\]": r"datediff(\2, \1)", r"MATCHES\[([^|]*)\|([^;]*);\]": r"\1 RLIKE '\2'"},
+    "duckdb": {r"MILLIS\[([^\]]*)\]": r"epoch_ms(\1)", r"DAYS\[([^|]*)\|([^\]]*)\]": r"date_diff('day', \1, \2)", r"MATCHES\[([^|]*)\|([^;]*);\]": r"regexp_matches(\1, '\2')"},
+}
+
+
+class Both(str):
+    """The text of a step for Spark; ``duckdb`` is that for DuckDB."""
+
+    duckdb: str
+
+    def __new__(cls, spark: str, duckdb: str) -> Both:
+        text = super().__new__(cls, spark)
+        text.duckdb = duckdb
+        return text
+
+
+def spoken(sql: str, dialect: str) -> str:
+    """``sql`` in the words of ``dialect``."""
+    if dialect == "duckdb":
+        sql = getattr(sql, "duckdb", sql)
+    for token, words in _TOKENS[dialect].items():
+        sql = re.sub(token, words, sql)
+    return sql
+
+
 _ORDER = "l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, price, qty"
 
-_TICKS = """ticks AS (
-  SELECT {symbol} AS symbol, date_trunc('{span}', l_shipdate) AS ts, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+_TICKS = """SELECT {symbol} AS symbol, date_trunc('{span}', l_shipdate) AS ts, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
          5000 + l_extendedprice / 100 AS price, l_quantity AS qty, l_discount, l_tax, l_extendedprice, l_linestatus
-  FROM lineitem {join})"""
+  FROM lineitem {join}"""
 
-_BARS = f"""numbered AS (
-  SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY {_ORDER}) AS up,
-         row_number() OVER (PARTITION BY symbol, ts ORDER BY {_ORDER.replace(",", " DESC,")} DESC) AS down
-  FROM ticks),
-bars AS (
-  SELECT symbol, ts, max(CASE WHEN up = 1 THEN price END) AS open, max(price) AS high, min(price) AS low,
-         max(CASE WHEN down = 1 THEN price END) AS close, sum(qty) AS volume, avg(l_tax) AS tax, avg(l_discount) AS discount, sum(l_extendedprice) AS traded
-  FROM numbered GROUP BY symbol, ts)"""
+_REST = "max(price) AS high, min(price) AS low, sum(qty) AS volume, avg(l_tax) AS tax, avg(l_discount) AS discount, sum(l_extendedprice) AS traded"
+
+#: Spark keeps the first and last tick of each bar in the partial aggregate; the oracle numbers all ticks.
+_BARS = Both(
+    f"SELECT symbol, ts, min_by(price, struct({_ORDER})) AS open, max_by(price, struct({_ORDER})) AS close, {_REST} FROM ticks GROUP BY symbol, ts",
+    f"""SELECT symbol, ts, max(CASE WHEN up = 1 THEN price END) AS open, max(CASE WHEN down = 1 THEN price END) AS close, {_REST}
+  FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY {_ORDER}) AS up,
+          row_number() OVER (PARTITION BY symbol, ts ORDER BY {_ORDER.replace(",", " DESC,")} DESC) AS down FROM ticks) n GROUP BY symbol, ts""",
+)
 
 #: Calendar by symbols, with nulls where a symbol has no bar.
-_GRID = """calendar AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar_idx FROM (SELECT DISTINCT ts FROM bars) c),
-grid AS (
-  SELECT c.bar_idx, c.ts, s.symbol, b.open, b.high, b.low, b.close, b.volume, b.tax, b.discount, b.traded
-  FROM calendar c CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.ts = c.ts AND b.symbol = s.symbol)"""
-
-#: The two fixtures: weekly bars by brand, and ragged daily bars by supplier.
-PANELS = {
-    "w": ",\n".join([_TICKS.format(symbol="p_brand", span="week", join="JOIN part ON p_partkey = l_partkey"), _BARS, _GRID]),
-    "d": ",\n".join([_TICKS.format(symbol="CAST(l_suppkey AS VARCHAR(20))", span="day", join=""), _BARS, _GRID]),
-}
+_GRID = [
+    ("calendar", "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar_idx FROM (SELECT DISTINCT ts FROM bars) c"),
+    (
+        "grid",
+        """SELECT c.bar_idx, c.ts, s.symbol, b.open, b.high, b.low, b.close, b.volume, b.tax, b.discount, b.traded
+  FROM calendar c CROSS JOIN (SELECT DISTINCT symbol FROM bars) s LEFT JOIN bars b ON b.ts = c.ts AND b.symbol = s.symbol""",
+    ),
+]
+
+
+def _panel(symbol: str, span: str, join: str = "") -> list[tuple[str, str]]:
+    return [("ticks", _TICKS.format(symbol=symbol, span=span, join=join)), ("bars", _BARS), *_GRID]
+
+
+#: The fixtures: weekly bars by brand, and ragged daily bars by supplier.
+PANELS = {"w": _panel("p_brand", "week", "JOIN part ON p_partkey = l_partkey"), "d": _panel("CAST(l_suppkey AS VARCHAR(20))", "day")}
+
+_READS = r"\b(FROM|JOIN)\s+(\w+)\b"
+#: What makes a step worth writing when several others read it.
+_WORK = re.compile(r"\bOVER\b|\bGROUP BY\b|\bDISTINCT\b|\bJOIN\b")
+
+
+@dataclass(frozen=True)
+class PanelQuery:
+    """Named steps and a result that reads them."""
+
+    steps: tuple[tuple[str, str], ...]
+    result: str
+
+    def needed(self) -> list[tuple[str, str]]:
+        """The steps that the result stands on, in order."""
+        wanted, out = {m[1] for m in re.findall(_READS, self.result)}, []
+        for name, text in reversed(self.steps):
+            if name in wanted:
+                wanted |= {m[1] for m in re.findall(_READS, text)}
+                out.append((name, text))
+        return out[::-1]
+
+    def duckdb(self) -> str:
+        """One statement for DuckDB."""
+        wanted, steps = {m[1] for m in re.findall(_READS, spoken(self.result, "duckdb"))}, []
+        for name, text in reversed(self.steps):
+            if name in wanted:
+                said = spoken(text, "duckdb")
+                wanted |= {m[1] for m in re.findall(_READS, said)}
+                steps.append(f"{name} AS ({said})")
+        return f"WITH RECURSIVE {', '.join(reversed(steps))}\n{spoken(self.result, 'duckdb')}"
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        steps = [(name, spoken(text, "spark")) for name, text in self.needed()]
+        result = spoken(self.result, "spark")
+        readers = Counter(m[1] for text in [*(t for _, t in steps), result] for m in re.findall(_READS, text))
+        known: dict[str, DataFrame] = {}
+        for name, text in steps:
+            df = bound(spark, sf_dir, text, known)
+            known[name] = saved(df) if name != "ticks" and readers[name] > 1 and _WORK.search(text) else df
+        return bound(spark, sf_dir, result, known)
+
+
+def steps_sql(panel: str, steps: list[tuple[str, str]], result: str) -> PanelQuery:
+    """A query over the steps of a panel and further (name, text) steps."""
+    return PanelQuery((*PANELS[panel], *steps), result)
+
+
+def bound(spark: SparkSession, sf_dir: str, sql: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Run ``sql``, in which the names of steps and of tables of the folder are bound for this query alone."""
+    known, used = known or {}, {}
+
+    def bind(m: re.Match) -> str:
+        name = m[2]
+        if name in known:
+            used[name] = known[name]
+        elif name in TABLES:
+            used[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        else:
+            return m[0]
+        return f"{m[1]} {{{name}}}"
 
+    return spark.sql(re.sub(_READS, bind, sql), **used)
 
-def steps_sql(panel: str, steps: list[tuple[str, str]], result: str) -> str:
-    """SQL with the named steps of a panel, further (name, text) steps, and the result."""
-    more = "".join(f",\n{name} AS ({text})" for name, text in steps)
-    return f"WITH {PANELS[panel]}{more}\n{result}"
 
+def run_query(spark: SparkSession, sf_dir: str, query: PanelQuery | str) -> DataFrame:
+    return query.run(spark, sf_dir) if isinstance(query, PanelQuery) else bound(spark, sf_dir, spoken(query, "spark"))
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run ``sql`` over the tables of a folder, which are bound by name for this query alone."""
-    import re
 
-    used = [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", sql)]
-    bound = re.sub(rf"(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", sql)
-    return spark.sql(bound, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
+def oracle(query: PanelQuery | str) -> str:
+    return query.duckdb() if isinstance(query, PanelQuery) else spoken(query, "duckdb")

@@ -7,15 +7,17 @@ repeated event or update changes nothing.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from panelspark.sources.shared import new_path, saved
 
-#: State of an account: value at its first update, time (microseconds) of its last one.
-STATE = "account string, first double, last long"
-MARKS = "account string, at long, price double, equity double"
+#: State: for each symbol of an account its last price and weight, with the
+#: account's equity and the time (microseconds) of its last update.
+STATE = "account string, symbol string, price double, weight double, equity double, last long"
+MARKS = "account string, at long, growth double, turnover double, equity double"
+CASH, COST = 10_000.0, 0.001
 
 
 def hourly_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
@@ -33,26 +35,42 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour")
     )
 
 
-def marked(updates: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Marks of one batch of ``(account, at, price)`` updates in any order, and
-    the accounts' state after it.
-
-    Equity moves with the price since the last update, from 10,000 at the first
-    one, so it is 10,000 x price / first price. An update no newer than the last
-    one of an earlier batch is no news and changes nothing; of updates at the
-    same time, that with the lowest price counts."""
-    rows = updates.where("price > 0 AND at IS NOT NULL").groupBy("account", "at").agg(F.min("price").alias("price")).alias("r")
-    rows = rows.join(state.alias("s"), F.expr("r.account <=> s.account"), "left").where("s.last IS NULL OR at > s.last").selectExpr("r.account", "at", "price", "first")
-    ends = rows.groupBy("account").agg(F.coalesce(F.max("first"), F.min_by("price", "at")).alias("first"), F.max("at").alias("last"))
-    marks = rows.drop("first").alias("r").join(ends.alias("e"), F.expr("r.account <=> e.account")).selectExpr("r.account", "at", "price", "10000 * price / first AS equity")
-    rest = state.alias("s").join(ends.alias("e"), F.expr("s.account <=> e.account"), "left_anti")
-    return marks, ends.unionAll(rest)
+def marked(updates: DataFrame, state: DataFrame, cash: float = CASH, cost: float = COST) -> tuple[DataFrame, DataFrame]:
+    """Marks of one batch of ``(account, at, symbol, price, weight)`` updates in any
+    order, and the accounts' state after it.
+
+    At each update an account earns on the weights it set before, for the symbols
+    that have new prices, and pays for the change of their weights. An update no
+    newer than the account's last one of an earlier batch is no news and changes
+    nothing; of updates of one symbol at the same time, the lowest price and
+    weight count."""
+    rows = updates.where("price > 0 AND at IS NOT NULL").groupBy("account", "symbol", "at").agg(F.min(F.struct("price", F.coalesce("weight", F.lit(0.0)).alias("weight"))).alias("u"))
+    ends = state.groupBy("account").agg(F.max("equity").alias("equity0"), F.max("last").alias("last0"))
+    rows = rows.alias("r").join(ends.alias("s"), F.expr("r.account <=> s.account"), "left").where("s.last0 IS NULL OR at > s.last0").selectExpr("r.account", "r.symbol", "at", "u.price", "u.weight", "s.equity0")
+    held = state.select(F.col("account").alias("of"), F.col("symbol").alias("of_symbol"), F.col("price").alias("price0"), F.col("weight").alias("weight0"))
+    rows = rows.join(held, F.expr("account <=> of AND symbol <=> of_symbol"), "left").drop("of", "of_symbol")
+    by_symbol = Window.partitionBy("account", "symbol").orderBy("at")
+    before = lambda c: F.coalesce(F.lag(c).over(by_symbol), F.col(f"{c}0"))
+    moves = rows.withColumns({"p0": before("price"), "w0": F.coalesce(before("weight"), F.lit(0.0))})
+    growth = F.coalesce(F.col("w0") * (F.col("price") / F.col("p0") - 1), F.lit(0.0))
+    marks = moves.groupBy("account", "at").agg(F.sum(growth).alias("growth"), F.sum(F.abs(F.col("weight") - F.col("w0"))).alias("turnover"), F.coalesce(F.max("equity0"), F.lit(cash)).alias("equity0"))
+    factor = F.greatest((1 + F.col("growth")) * (1 - cost * F.col("turnover")), F.lit(0.0))
+    upto = Window.partitionBy("account").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lost = F.max((factor == 0).cast("int")).over(upto) == 1
+    equity = F.when(lost, 0.0).otherwise(F.col("equity0") * F.exp(F.sum(F.log(factor)).over(upto)))
+    marks = marks.withColumn("equity", equity).select("account", "at", "growth", "turnover", "equity")
+    now = marks.groupBy("account").agg(F.max_by("equity", "at").alias("equity"), F.max("at").alias("last"))
+    newest = rows.groupBy("account", "symbol").agg(F.max_by("price", "at").alias("price"), F.max_by("weight", "at").alias("weight"))
+    kept = state.alias("s").join(newest.alias("n"), F.expr("s.account <=> n.account AND s.symbol <=> n.symbol"), "left_anti").select("account", "symbol", "price", "weight", F.col("equity").alias("old"), F.col("last").alias("old_last"))
+    every = newest.select("account", "symbol", "price", "weight", F.lit(None).cast("double").alias("old"), F.lit(None).cast("long").alias("old_last")).unionAll(kept)
+    after = every.alias("e").join(now.alias("n"), F.expr("e.account <=> n.account"), "left")
+    return marks, after.selectExpr("e.account", "e.symbol", "e.price", "e.weight", "coalesce(n.equity, e.old) AS equity", "coalesce(n.last, e.old_last) AS last")
 
 
 def accounts(spark: SparkSession, updates: DataFrame) -> DataFrame:
-    """A stream of ``(account, at, price)`` updates, as far as it is there now, to
-    marks. Marks and state of each batch are tables in the shared folder."""
-    path, done = _folder(spark), []
+    """A stream of ``(account, at, symbol, price, weight)`` updates, as far as it is
+    there now, to marks. Marks and state of each batch are tables in the shared folder."""
+    path, done = new_path(spark, "stream"), []
 
     def step(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -68,15 +86,9 @@ def accounts(spark: SparkSession, updates: DataFrame) -> DataFrame:
     return spark.read.schema(MARKS).parquet(*sorted(set(done))) if done else spark.createDataFrame([], MARKS)
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new name in the shared folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")).rstrip("/")
-    return f"{root}/stream-{uuid.uuid4().hex}"
-
-
 def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """All rows that ``stream`` gives for the input that is there now, as a table in the shared folder."""
-    path = _folder(spark)
+    path = new_path(spark, "stream")
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
@@ -88,15 +100,84 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type AS symbol", "value AS price", "user_id")
 
 
-def streaming_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(spark, hourly_bars(event_stream(spark, sf_dir)))
+#: Weight that an event sets, from its own value.
+_WEIGHT = "((event_id % 5) - 2) / 10e0"
 
 
 def streaming_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user is an account that is marked at its events."""
-    updates = event_stream(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS account", "unix_micros(ts) AS at", "1 + price AS price")
-    return accounts(spark, updates)
+    """Each user is an account that holds kinds of events: an event is a price and sets a weight."""
+    updates = event_stream(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS account", "unix_micros(ts) AS at", "symbol", "1 + price AS price", f"{_WEIGHT} AS weight")
+    marks = accounts(spark, updates)
+    return marks.select("account", "at", *(F.round(c, 6).alias(c) for c in ("growth", "turnover")), F.round("equity", 4).alias("equity"))
+
+
+ACCOUNTS_SQL = f"""
+WITH updates AS (
+  SELECT user_id::VARCHAR AS account, event_type AS symbol, epoch_us(ts) AS "at", min(row(1 + value, {_WEIGHT})) AS u
+  FROM events WHERE 1 + value > 0 AND ts IS NOT NULL GROUP BY ALL),
+moves AS (
+  SELECT account, "at", u[1] AS price, u[2] AS weight, lag(u[1]) OVER w AS p0, coalesce(lag(u[2]) OVER w, 0) AS w0
+  FROM updates WINDOW w AS (PARTITION BY account, symbol ORDER BY "at")),
+bars AS (SELECT account, "at", sum(coalesce(w0 * (price / p0 - 1), 0)) AS growth, sum(abs(weight - w0)) AS turnover FROM moves GROUP BY account, "at"),
+paths AS (SELECT account, "at", growth, turnover, list(greatest((1 + growth) * (1 - {COST} * turnover), 0)) OVER (PARTITION BY account ORDER BY "at") AS fs FROM bars)
+SELECT account, "at", round(growth, 6) AS growth, round(turnover, 6) AS turnover, round({CASH} * list_product(fs), 4) AS equity FROM paths
+"""
+
+
+def lagged_overlay(ticks: DataFrame, overlay: DataFrame, lag_days: int = 1) -> DataFrame:
+    """A stream (or table) of ``(event_id, ts, symbol, price)`` with the newest
+    ``value`` of ``overlay`` (``symbol, day, value``) that may be known: a day's
+    value counts from ``lag_days`` later on, until the next one does. No value
+    yet: null. One overlay row for each symbol and day."""
+    usable = F.date_add("day", lag_days).cast("timestamp")
+    spans = overlay.select(F.col("symbol").alias("of"), "value", usable.alias("since")).withColumn("until", F.lead("since").over(Window.partitionBy("of").orderBy("since")))
+    known = (F.col("symbol") == F.col("of")) & (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
+    return ticks.join(spans, known, "left").select("event_id", "ts", "symbol", "price", F.col("value").alias("overlay"))
+
+
+#: Mean value of each kind on every third day.
+_DAILY = "SELECT event_type AS symbol, CAST(ts AS DATE) AS day, avg(value) AS value FROM {} WHERE extract(DAY FROM ts) % 3 = 0 GROUP BY event_type, CAST(ts AS DATE)"
+
+
+def streaming_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks as they come, with a daily overlay lagged by a day."""
+    overlay = saved(spark.sql(_DAILY.format("{events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet")))
+    joined = finished(spark, lagged_overlay(event_stream(spark, sf_dir).drop("user_id"), overlay))
+    return joined.select("event_id", "symbol", F.round("overlay", 6).alias("overlay"))
+
+
+OVERLAY_SQL = f"""
+SELECT e.event_id, e.event_type AS symbol, round(o.value, 6) AS overlay
+FROM events e ASOF LEFT JOIN ({_DAILY.format("events")}) o ON o.symbol = e.event_type AND e.ts >= o.day + INTERVAL 1 DAY
+"""
+
+
+def whole_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream's final bars, and from the stored ticks those that the watermark
+    has not closed yet (``open_bar``)."""
+    final = finished(spark, hourly_bars(event_stream(spark, sf_dir)))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type AS symbol", "value AS price")
+    newest = final.agg(F.max("ts").alias("newest"))
+    late = events.where("price IS NOT NULL").withColumn("hour", F.date_trunc("hour", "ts")).crossJoin(F.broadcast(newest)).where("newest IS NULL OR hour > newest")
+    order = F.struct("ts", "event_id")
+    still = late.groupBy("symbol", F.col("hour").alias("ts")).agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count("*").alias("volume"))
+    return final.withColumn("open_bar", F.lit(False)).unionByName(still.withColumn("open_bar", F.lit(True)))
+
+
+BARS_SQL = """
+SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+       arg_max(value, row(ts, event_id)) AS close, count(*) AS volume
+FROM events WHERE value IS NOT NULL GROUP BY event_type, date_trunc('hour', ts)
+"""
 
 
 def queries() -> dict:
-    return {"m02_streaming_accounts": streaming_accounts, "m09_streaming_bars": streaming_bars}
+    return {
+        "m02_streaming_accounts": streaming_accounts,
+        "m09_streaming_bars": lambda spark, sf_dir: whole_bars(spark, sf_dir).drop("open_bar"),
+        "m10_streaming_overlay": streaming_overlay,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"m02_streaming_accounts": ACCOUNTS_SQL, "m09_streaming_bars": BARS_SQL, "m10_streaming_overlay": OVERLAY_SQL}

@@ -5,11 +5,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelspark.functions.vocabulary import Formula
-from panelspark.operators import book
+from panelspark.operators import book, paths
 from panelspark.plans import alphas, catalog
-from panelspark.sources.panels import run_sql
+from panelspark.sources.panels import oracle, run_query
 
 CLOSES = {"a": [1.0, 2.0, 2.0, None, 5.0, 4.0], "b": [3.0, 3.0, 3.0, 3.0, 3.0, 3.0], "c": [2.0, 2.0, 1.0, 4.0, None, 8.0]}
 
@@ -64,36 +65,124 @@ def test_no_alpha_looks_ahead(spark, grid):
     assert len(alphas.ALPHAS) == 41
 
 
-def plain_equity(weights, closes, every, cost, cash=10_000.0):
+def plain_equity(weights, closes, every, cost, cash=10_000.0, short_rate=0.0, rates=None, fill=1.0, derisk=None):
+    """Equity bar by bar from the first bar's cash on."""
     symbols, n = sorted(closes), len(next(iter(closes.values())))
-    held, equity, out = dict.fromkeys(symbols, 0.0), cash, []
+    held, equity, peak, out = dict.fromkeys(symbols, 0.0), cash, cash, [cash]
     for t in range(1, n):
-        r = {s: closes[s][t] / closes[s][t - 1] - 1 if closes[s][t] and closes[s][t - 1] else 0.0 for s in symbols}
-        growth = 1 + sum(held[s] * r[s] if closes[s][t] else 0.0 for s in symbols)
-        held = {s: held[s] * (1 + r[s]) / growth if closes[s][t] else 0.0 for s in symbols}
-        equity *= growth
+        r = {s: closes[s][t] / closes[s][t - 1] - 1 if closes[s][t] is not None and closes[s][t - 1] else 0.0 for s in symbols}
+        growth = 1 + sum(held[s] * r[s] for s in symbols)
+        paid = sum(held[s] * rates[s][t] for s in symbols) if rates else 0.0
+        equity *= growth - paid - short_rate * sum(max(-held[s], 0.0) for s in symbols)
+        peak = max(peak, equity)
+        held = {s: (held[s] * (1 + r[s]) / growth if growth else held[s]) if closes[s][t] is not None else 0.0 for s in symbols}
         if t % every == 0:
-            equity *= 1 - cost * sum(abs(weights[s][t] - held[s]) for s in symbols)
-            held = {s: weights[s][t] for s in symbols}
+            loss, scale = 1 - equity / peak, 1.0
+            if derisk:
+                start, full, floor = derisk
+                scale = 1.0 if loss <= start else floor if loss >= full else 1 - (loss - start) / (full - start) * (1 - floor)
+            aimed = {s: held[s] + fill * (weights[s][t] * scale - held[s]) for s in symbols}
+            equity *= 1 - cost * sum(abs(aimed[s] - held[s]) for s in symbols)
+            held = aimed
         out.append(equity)
     return out
 
 
-def test_accounting(spark):
-    rng = random.Random(3)
+def walk_of(seed, n=41, gaps=(17, 18, 19)):
+    """Closes with a gap, weights and funding rates of four symbols."""
+    rng = random.Random(seed)
     closes = {s: [100.0] for s in "abcd"}
     for s in closes:
-        for _ in range(40):
+        for _ in range(n - 1):
             closes[s].append(closes[s][-1] * (1 + rng.uniform(-0.1, 0.1)))
-    for t in (17, 18, 19):
+    for t in gaps:
         closes["d"][t] = None
-    weights = {s: [rng.uniform(-0.4, 0.4) if closes[s][t] else 0.0 for t in range(41)] for s in closes}
-    rows = [(1, t, s, closes[s][t], weights[s][t]) for s in closes for t in range(41)]
-    spark.createDataFrame(rows, "run_id int, bar_idx long, symbol string, close double, w double").createOrReplaceTempView("given_weights")
-    steps = ",\n".join(f"{n} AS ({q})" for n, q in book.accounting("given_weights", every=4, cost=0.002))
-    got = [r.equity for r in spark.sql(f"WITH {steps} SELECT equity FROM equity ORDER BY bar_idx").collect()]
-    want = plain_equity(weights, closes, 4, 0.002)
-    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+    weights = {s: [rng.uniform(-0.4, 0.4) if closes[s][t] else 0.0 for t in range(n)] for s in closes}
+    rates = {s: [rng.uniform(-0.01, 0.01) for _ in range(n)] for s in closes}
+    return closes, weights, rates
+
+
+def booked(spark, closes, weights, rates, **settings):
+    rows = [(1, t, s, closes[s][t], weights[s][t], rates[s][t]) for s in closes for t in range(len(weights[s]))]
+    spark.createDataFrame(rows, "run_id int, bar_idx long, symbol string, close double, w double, given_rate double").createOrReplaceTempView("given_weights")
+    steps = ",\n".join(f"{n} AS ({q})" for n, q in book.accounting("given_weights", **settings) if n not in ("bar_lists", "book_path"))
+    return [r.equity for r in spark.sql(f"WITH {steps} SELECT equity FROM equity ORDER BY bar_idx").collect()]
+
+
+def test_accounting(spark):
+    closes, weights, rates = walk_of(3)
+    for settings in ({"every": 4, "cost": 0.002}, {"every": 1, "cost": 0.001}, {"every": 7, "cost": 0.0, "short_rate": 0.01}):
+        got = booked(spark, closes, weights, rates, **settings)
+        want = plain_equity(weights, closes, **settings)
+        assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+
+
+def test_funding_and_drifted_financing(spark):
+    closes, weights, rates = walk_of(5)
+    source = "given_weights"
+    spark.createDataFrame([(t, s, 0.0, 0.0) for s in closes for t in range(41)], "bar_idx long, symbol string, discount double, tax double").createOrReplaceTempView("grid")
+    got = booked(spark, closes, weights, rates, every=4, cost=0.001, short_rate=0.005, funding="given_rate")
+    want = plain_equity(weights, closes, 4, 0.001, short_rate=0.005, rates=rates)
+    assert source and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
+    # a short whose price halves is a third of the book on the next bar
+    half = booked(spark, {"a": [1.0, 1.0, 0.5, 0.5]}, {"a": [0.0, -1.0, 0.0, 0.0]}, {"a": [0.0] * 4}, every=1 << 20, cost=0.0, short_rate=0.01)
+    assert half == [10_000.0] * 4  # never set
+    half = booked(spark, {"a": [1.0, 1.0, 1.0, 0.5, 0.5]}, {"a": [0.0, 0.0, -1.0, 0.0, 0.0]}, {"a": [0.0] * 5}, every=2, cost=0.0, short_rate=0.01)
+    assert half == pytest.approx(plain_equity({"a": [0.0, 0.0, -1.0, 0.0, 0.0]}, {"a": [1.0, 1.0, 1.0, 0.5, 0.5]}, 2, 0.0, short_rate=0.01))
+
+
+def test_total_loss_stays(spark):
+    closes = {"a": [1.0, 1.0, 1.0, 0.0, 0.0, 0.0], "b": [1.0] * 6}
+    got = booked(spark, closes, {"a": [1.0] * 6, "b": [0.0] * 6}, {"a": [0.0] * 6, "b": [0.0] * 6}, every=2, cost=0.0)
+    assert got == [10_000.0] * 3 + [0.0] * 3
+    partial = booked(spark, closes, {"a": [0.5] * 6, "b": [0.5] * 6}, {"a": [0.0] * 6, "b": [0.0] * 6}, every=2, cost=0.001)
+    assert partial == pytest.approx(plain_equity({"a": [0.5] * 6, "b": [0.5] * 6}, closes, 2, 0.001))
+
+
+def test_metrics_from_the_first_bar(spark):
+    spark.createDataFrame([(1, t, x, 0.0) for t, x in enumerate([10_000.0, 9_000.0, 12_000.0, 6_000.0])] + [(2, 0, 10_000.0, 0.0), (2, 1, 0.0, 0.0), (2, 2, 0.0, 0.0)], "run_id int, bar_idx long, equity double, turnover double").createOrReplaceTempView("equity")
+    steps = ",\n".join(f"{n} AS ({q})" for n, q in book.performance(per_year=3))
+    m = {r.run_id: r for r in spark.sql(f"WITH {steps} SELECT * FROM metrics").collect()}
+    assert m[1].max_drawdown == pytest.approx(-0.5) and m[1].cagr == pytest.approx(-0.4) and m[1].total_return == pytest.approx(-0.4)
+    rs = [-0.1, 1 / 3, -0.5]
+    mean = sum(rs) / 3
+    assert m[1].sharpe == pytest.approx(mean / math.sqrt(sum((x - mean) ** 2 for x in rs) / 2) * math.sqrt(3))
+    assert m[2].cagr == -1.0 and m[2].max_drawdown == -1.0
+
+
+def test_paths(spark):
+    """Partial fills and the drawdown cut against the plain loop, several runs at once."""
+    rows, want = [], {}
+    for run_id, (fill, cost) in enumerate([(1.0, 0.001), (0.5, 0.002), (0.3, -0.0001)]):
+        closes, weights, rates = walk_of(run_id, gaps=(9, 10))
+        rows += [(run_id, t, s, closes[s][t], weights[s][t], rates[s][t], cost, fill) for s in closes for t in range(41)]
+        for derisk in (None, paths.DERISK):
+            want[run_id, derisk] = plain_equity(weights, closes, 3, cost, short_rate=0.001, rates=rates, fill=fill, derisk=derisk)
+    frame = spark.createDataFrame(rows, "run_id long, bar_idx long, symbol string, close double, w double, rate double, cost double, fill double").repartition(5)
+    for derisk in (None, paths.DERISK):
+        got = {}
+        for r in paths.walked(frame, every=3, short_rate=0.001, derisk=derisk).orderBy("bar_idx").collect():
+            got.setdefault(r.run_id, []).append(r.equity)
+        for run_id, equity in got.items():
+            assert equity == pytest.approx(want[run_id, derisk])
+    assert paths.walked(frame.where("false")).count() == 0
+
+
+def test_ranks_are_exact(spark, grid):
+    tiny = grid.withColumn("x", F.expr("CASE symbol WHEN 'a' THEN 1e-12 WHEN 'b' THEN 2e-12 ELSE 3e-12 END"))
+    assert [values(tiny, lambda g: g.rank("x"))[s][0] for s in "abc"] == [round(1 / 3, 9), round(2 / 3, 9), 1.0]
+    assert values(tiny, lambda g: g.rank("x * 0 + CASE symbol WHEN 'a' THEN 0.1e0 + 0.2e0 ELSE 0.3e0 END"))["a"][0] == round(2 / 3, 9)  # sums in another order are ties
+
+
+def test_long_extremes(spark):
+    rng = random.Random(6)
+    xs = [rng.choice([None, rng.random()]) for _ in range(300)]
+    panel = spark.createDataFrame([(t, "a", x) for t, x in enumerate(xs)], "bar_idx long, symbol string, close double")
+    for n in (64, 100, 299):
+        best = [None if t < n - 1 else max((x for x in xs[t - n + 1 : t + 1] if x is not None), default=None) for t in range(300)]
+        least = [None if t < n - 1 else min((x for x in xs[t - n + 1 : t + 1] if x is not None), default=None) for t in range(300)]
+        assert values(panel, lambda g: g.ts_max("close", n))["a"] == [None if x is None else round(x, 9) for x in best]  # noqa: B023
+        assert values(panel, lambda g: g.ts_min("close", n))["a"] == [None if x is None else round(x, 9) for x in least]  # noqa: B023
 
 
 SF = "/root/testdata/sf0.001"
@@ -108,8 +197,8 @@ def test_queries_equal_their_oracle(spark):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     sql = catalog.all_sql()
     for name in ("a10_ragged_grid", "d01_rank", "h02_top_k", "j09_metrics"):
-        got = run_sql(spark, SF, sql[name])
-        want = db.execute(sql[name])
+        got = run_query(spark, SF, sql[name])
+        want = db.execute(oracle(sql[name]))
         show = lambda rows: sorted(str([f"{x:.6g}" if isinstance(x, float) else str(x) for x in r]) for r in rows)
         assert got.columns == [c[0] for c in want.description]
         assert show(got.collect()) == show(want.fetchall())
