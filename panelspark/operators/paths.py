@@ -1,18 +1,20 @@
-"""Books whose next weights depend on their own past: partial fills, and exposure cut in drawdowns.
+"""Books whose next weights depend on their own past: partial fills, exposure cut
+in drawdowns, and single-asset ledgers of cash and units.
 
 Such a book has no closed form, so each run is walked bar by bar. The rows of a
-run come sorted by bar, and a task holds the weights and last prices of one
-bar's symbols, never a whole panel; runs are what is parallel.
+run come sorted by bar, and a task holds the state of one bar's symbols, never
+a whole panel; runs are what is parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.functions.vocabulary import Formula
 from panelspark.operators import book
 from panelspark.sources.panels import Both, PanelQuery, steps_sql
 
@@ -59,45 +61,125 @@ class _Book:
         return turnover, float(np.abs(self.held).sum()), self.equity
 
 
+def _by_bar(rows: DataFrame, values: list[str], kept: list[str], schema: str, started: Callable[[], Callable]) -> DataFrame:
+    """Walks the runs of ``rows`` (``run_id, bar_idx, symbol`` and ``values``, numbers).
+    ``started`` begins a run: it gives a function that takes a bar's number, its
+    ``kept`` columns and its ``values`` as arrays over the symbols, and returns
+    a table of the bar's rows."""
+    key = ["run_id", "bar_idx"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running: tuple[int, Callable] | None = None
+
+        def walk(t: pa.Table, last: bool) -> tuple[pa.Table | None, pa.Table]:
+            nonlocal running
+            run_id, bar = (t.column(c).to_numpy() for c in key)
+            new = np.flatnonzero(np.r_[True, (run_id[1:] != run_id[:-1]) | (bar[1:] != bar[:-1])])[: len(bar)]
+            ends, out = np.r_[new[1:], len(bar)], []
+            numbers = [t.column(c).to_numpy() for c in values]
+            for a, b in list(zip(new.tolist(), ends.tolist(), strict=True))[: None if last else -1]:
+                if running is None or running[0] != run_id[a]:
+                    running = (int(run_id[a]), started())
+                out.append(running[1](int(run_id[a]), int(bar[a]), t.select(kept).slice(a, b - a), *(x[a:b] for x in numbers)))
+            rest = len(bar) if last or not len(new) else int(new[-1])
+            return pa.concat_tables(out) if out else None, t.slice(rest)
+
+        held: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            done, held = walk(t if held is None else pa.concat_tables([held, t]).combine_chunks(), False)
+            if done is not None:
+                yield from done.combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from walk(held, True)[0].combine_chunks().to_batches()
+
+    typed = rows.selectExpr("CAST(run_id AS BIGINT) AS run_id", "CAST(bar_idx AS BIGINT) AS bar_idx", "symbol", *(f"coalesce(CAST({c} AS DOUBLE), DOUBLE('NaN')) AS {c}" for c in values))
+    placed = typed.repartition("run_id").sortWithinPartitions("run_id", "bar_idx", "symbol")
+    return placed.mapInArrow(run, schema)
+
+
 def walked(weighted: DataFrame, every: int = 4, short_rate: float = 0.0, cash: float = 10_000.0, derisk: tuple[float, float, float] | None = None) -> DataFrame:
     """``run_id, bar_idx, turnover, gross, equity`` of ``weighted`` (``run_id, bar_idx,
     symbol, close, w, rate, cost, fill``; cost and fill are constant in a run,
     each bar of a run has the same symbols). Only the share ``fill`` of each
     intended trade is made."""
-    names = ["run_id", "bar_idx", "close", "w", "rate", "cost", "fill"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, _Book] = {}
-        rest: dict[str, np.ndarray] | None = None
-
-        def bars(t: dict[str, np.ndarray], last: bool) -> tuple[pa.RecordBatch, dict[str, np.ndarray]]:
-            new = np.flatnonzero(np.r_[True, (t["run_id"][1:] != t["run_id"][:-1]) | (t["bar_idx"][1:] != t["bar_idx"][:-1])])[: len(t["run_id"])]
-            ends = np.r_[new[1:], len(t["run_id"])]
-            out = []
-            for a, b in list(zip(new, ends, strict=True))[: None if last else -1]:
-                run_id, bar = int(t["run_id"][a]), int(t["bar_idx"][a])
-                if run_id not in state:
-                    state.clear()  # the run before has ended
-                    state[run_id] = _Book(cash, derisk)
-                w, rate = np.nan_to_num(t["w"][a:b]), np.nan_to_num(t["rate"][a:b])
-                out.append((run_id, bar, *state[run_id].step(bar, t["close"][a:b], w, rate, every, t["cost"][a], t["fill"][a], short_rate)))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            at = len(t["run_id"]) if last or not len(new) else new[-1]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["run_id", "bar_idx", "turnover", "gross", "equity"]), {k: v[at:] for k, v in t.items()}
-
-        for b in batches:
-            t = {n: b.column(n).to_numpy(zero_copy_only=False) for n in names}
-            if rest is not None:
-                t = {n: np.concatenate([rest[n], t[n]]) for n in names}
-            out, rest = bars(t, False)
-            yield out
-        if rest is not None:
-            yield bars(rest, True)[0]
 
-    typed = weighted.selectExpr("CAST(run_id AS BIGINT) AS run_id", "CAST(bar_idx AS BIGINT) AS bar_idx", "symbol", *(f"CAST({c} AS DOUBLE) AS {c}" for c in names[2:]))
-    rows = typed.repartition("run_id").sortWithinPartitions("run_id", "bar_idx", "symbol").select(names)
-    return rows.mapInArrow(run, RESULT)
+    def started() -> Callable:
+        state = _Book(cash, derisk)
+
+        def step(run_id: int, bar: int, _: pa.Table, close: np.ndarray, w: np.ndarray, rate: np.ndarray, cost: np.ndarray, fill: np.ndarray) -> pa.Table:
+            turnover, gross, equity = state.step(bar, close, np.nan_to_num(w), np.nan_to_num(rate), every, cost[0], fill[0], short_rate)
+            return pa.table({"run_id": [run_id], "bar_idx": [bar], "turnover": [turnover], "gross": [gross], "equity": [float(equity)]})
+
+        return step
+
+    return _by_bar(weighted, ["close", "w", "rate", "cost", "fill"], [], RESULT, started)
+
+
+LEDGER = "run_id long, bar_idx long, symbol string, units double, equity double"
+
+
+def filled(targets: DataFrame, slip: float = 0.0005, fee: float = 0.001, cash: float = 10_000.0) -> DataFrame:
+    """``run_id, bar_idx, symbol, units, equity`` of ``targets`` (``run_id, bar_idx,
+    symbol, open, close, target``): an account for each symbol. A target (a share
+    of equity, cut to -1 and 1) is filled at the open of the symbol's next bar, if
+    it is not the one held to; slippage goes against the trade and the commission
+    is on its value. A bar without prices is none; a null target changes nothing."""
+
+    def started() -> Callable:
+        money: np.ndarray | None = None
+
+        def step(run_id: int, bar: int, names: pa.Table, opens: np.ndarray, closes: np.ndarray, target: np.ndarray) -> pa.Table:
+            nonlocal money, units, current, pending
+            if money is None:
+                money, units, current, pending = np.full(len(opens), cash), np.zeros(len(opens)), np.zeros(len(opens)), np.full(len(opens), np.nan)
+            there = np.isfinite(opens) & np.isfinite(closes)
+            p = np.where(there, opens, 1.0)
+            trades = there & np.isfinite(pending) & (pending != current)
+            delta = np.where(trades, np.where(trades, pending, 0.0) * (money + units * p) / p - units, 0.0)
+            delta[np.abs(delta) < 1e-12] = 0.0
+            price = p * (1 + slip * np.sign(delta))
+            money = money - delta * price - np.abs(delta) * price * fee
+            units = units + delta
+            current = np.where(trades, pending, current)
+            pending = np.where(there, np.clip(target, -1, 1), pending)
+            equity = np.where(there, money + units * closes, np.nan)
+            on = np.flatnonzero(there)
+            return pa.table({"run_id": np.full(len(on), run_id), "bar_idx": np.full(len(on), bar), "symbol": names.column("symbol").take(pa.array(on)), "units": units[on], "equity": equity[on]})
+
+        units = current = pending = None
+        return step
+
+    return _by_bar(targets, ["open", "close", "target"], ["symbol"], LEDGER, started)
+
+
+#: Fractional targets, long and short, from the trend of each symbol.
+def _targets() -> book.Steps:
+    g = Formula()
+    trend = g.returns("close", 20)
+    steps, last = g.steps()
+    return [*steps, ("targets", f"SELECT 1 AS run_id, bar_idx, symbol, open, close, round(4 * {trend}, 6) AS target FROM {last}")]
+
+
+SLIP, FEE = 0.0005, 0.001
+_FILLS = """SELECT t.symbol, t.i, CASE WHEN b.pending IS NOT NULL AND b.pending <> b.cur THEN b.pending * (b.money + b.units * t.open) / t.open - b.units ELSE 0e0 END AS delta, b.money, b.units, b.cur, b.pending, t.bar_idx, t.open, t.close, t.target
+    FROM fill_path b JOIN placed_targets t ON t.symbol = b.symbol AND t.i = b.i + 1"""
+#: The oracle's ledger: one row of state for each symbol, bar by bar.
+_LEDGER = [
+    ("placed_targets", Both("SELECT 1 AS unused", "SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS i FROM targets WHERE open IS NOT NULL AND close IS NOT NULL")),
+    (
+        "fill_path",
+        Both(
+            "SELECT 1 AS unused",
+            f"""SELECT DISTINCT symbol, 0::BIGINT AS i, -1::BIGINT AS bar_idx, 10000e0 AS money, 0e0 AS units, 0e0 AS cur, NULL::DOUBLE AS pending, 10000e0 AS equity FROM targets
+  UNION ALL
+  SELECT symbol, i, bar_idx, money1, units1, coalesce(CASE WHEN pending <> cur THEN pending END, cur), CASE WHEN target IS NOT NULL THEN least(greatest(target, -1), 1) END, money1 + units1 * close FROM (
+    SELECT *, money - d * open * (1 + {SLIP} * sign(d)) - abs(d) * open * (1 + {SLIP} * sign(d)) * {FEE} AS money1, units + d AS units1 FROM (
+      SELECT *, CASE WHEN abs(delta) < 1e-12 THEN 0e0 ELSE delta END AS d FROM ({_FILLS}) s1) s2) s3""",
+        ),
+    ),
+    ("ledger_rows", Both("SELECT * FROM targets", "SELECT 1 AS run_id, * FROM fill_path WHERE i > 0")),
+]
 
 
 #: Cost and share filled of the sweep (fixed values).
@@ -136,9 +218,20 @@ def _run(spark: SparkSession, sf_dir: str, query: PanelQuery, settings: dict, re
     return spark.sql(result.replace("FROM walked", "FROM {walked}"), walked=walked(settled, **settings))
 
 
+def _single() -> PanelQuery:
+    return steps_sql("w", [*_targets(), *_LEDGER], "SELECT run_id, bar_idx, symbol, round(units, 6) AS units, round(equity, 4) AS equity FROM ledger_rows")
+
+
+def single_asset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fractional long and short targets of every symbol, each in an account of its own."""
+    query = _single()
+    rows = filled(PanelQuery(query.steps, "SELECT * FROM targets").run(spark, sf_dir), SLIP, FEE)
+    return spark.sql(query.result.replace("FROM ledger_rows", "FROM {rows}"), rows=rows)
+
+
 def queries() -> dict:
-    return {name: lambda spark, sf_dir, q=q, s=s, r=r: _run(spark, sf_dir, q, s, r) for name, (q, s, r) in _queries().items()}
+    return {"i10_single_asset": single_asset} | {name: lambda spark, sf_dir, q=q, s=s, r=r: _run(spark, sf_dir, q, s, r) for name, (q, s, r) in _queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.duckdb() for name, (q, _, _) in _queries().items()}
+    return {"i10_single_asset": _single().duckdb()} | {name: q.duckdb() for name, (q, _, _) in _queries().items()}

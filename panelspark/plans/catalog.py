@@ -66,13 +66,20 @@ STRATEGIES: dict[str, Callable[[Formula], str]] = {
     "g11_overlay_divergence": lambda g: f"CASE WHEN {g.delay(_overlay(g), 8)} > 0 THEN {_overlay(g)} / {g.delay(_overlay(g), 8)} - 1 END - {g.returns('close', 8)}",
     "g12_trend": lambda g: f"sign({g.returns('close', 20)})",
     "g13_trend_ensemble": lambda g: f"CASE WHEN bar_idx >= 30 THEN (sign({g.returns('close', 10)}) + sign({g.returns('close', 20)}) + sign({g.returns('close', 30)})) / 3 WHEN bar_idx >= 20 THEN (sign({g.returns('close', 10)}) + sign({g.returns('close', 20)})) / 2 WHEN bar_idx >= 10 THEN sign({g.returns('close', 10)}) END",
-    "g14_ma_crossover": lambda g: f"CASE WHEN {g.full_mean('close', 30)} IS NULL THEN 0.0 WHEN round({g.full_mean('close', 10)} - {g.full_mean('close', 30)}, 9) > 0 THEN 1.0 ELSE 0.0 END",
+    "g14_ma_crossover": lambda g: _crossover(g, 10, 30, False),
+    "g14_ma_crossover_short": lambda g: _crossover(g, 10, 30, True),
     "g15_buy_and_hold": lambda g: "1.0",
     "g16_equal_weight": lambda g: "CASE WHEN close IS NOT NULL THEN 1.0 END",
     "g17_formulaic": lambda g: f"CASE WHEN bar_idx >= 8 THEN {alphas.ALPHAS['academic_strev'].build(g)} END",
 }
 
 
+def _crossover(g: Formula, fast: int, slow: int, allow_short: bool) -> str:
+    """1 where the fast mean is above the slow one, else 0 or -1; flat before ``slow`` bars."""
+    long, short = g.full_mean("close", slow), "-1.0" if allow_short else "0.0"
+    return f"CASE WHEN {long} IS NULL THEN 0.0 WHEN round({g.full_mean('close', fast)} - {long}, 9) > 0 THEN 1.0 ELSE {short} END"
+
+
 def _residual(g: Formula) -> str:
     """Return less the mean return of the bar; missing where one symbol is."""
     r = g.returns()

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.sources.panels import steps_sql
+from panelspark.sources.shared import new_path
 
 BAR = ("open", "high", "low", "close", "volume")
 
@@ -73,6 +74,26 @@ def read_bars(spark: SparkSession, path: str, key: tuple[str, ...] = ("symbol",
     return check_bars(spark.read.parquet(path), key)
 
 
+def write_series(rows: DataFrame, path: str, value: str, key: tuple[str, ...] = ("symbol", "ts")) -> None:
+    """A funding or overlay file: one ``value`` for each key."""
+    check_series(rows, value, key).write.parquet(path)
+
+
+def read_series(spark: SparkSession, path: str, value: str, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """What :func:`write_series` has written; no file at ``path`` is Spark's PATH_NOT_FOUND error."""
+    return check_series(spark.read.parquet(path), value, key)
+
+
+def check_series(rows: DataFrame, value: str, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
+    """``key`` and ``value``; an error if a column lacks or a key repeats. No rows are no error."""
+    lacking = [c for c in (*key, value) if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"columns lack: {lacking}")
+    if not rows.groupBy(*key).count().where("count > 1").isEmpty():
+        raise ValueError(f"repeated {key}")
+    return rows.select(*key, value)
+
+
 def stack_files(spark: SparkSession, path: str) -> DataFrame:
     """The bar files ``symbol.parquet`` in a folder as one panel, in one read; ``symbol`` is the file's name."""
     bars = spark.read.option("pathGlobFilter", "*.parquet").parquet(path)
@@ -105,9 +126,43 @@ def _locked_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return locked_value(_landed(spark, sf_dir, _TVL, F.struct(F.expr("millis div 1000").alias("date"), F.col("tvl").cast("string").alias("totalLiquidityUSD"))))
 
 
+def _fees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fees(_landed(spark, sf_dir, _FEES, F.array(F.expr("millis div 1000").cast("string"), F.col("fees").cast("string"))))
+
+
+def _supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    minted = F.struct(F.col("supply").cast("string").alias("peggedUSD"))
+    return supply(_landed(spark, sf_dir, _SUPPLY, F.struct(F.expr("millis div 1000").alias("date"), minted.alias("totalCirculating"))))
+
+
+def _bar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weekly bars by way of a checked file."""
+    path = new_path(spark, "bars")
+    write_bars(steps_sql("w", [], _FILE).run(spark, sf_dir), path)
+    return read_bars(spark, path)
+
+
+def _series_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Funding and overlay by way of checked files, side by side."""
+    paths = {}
+    for value, sql in _SERIES.items():
+        paths[value] = new_path(spark, value)
+        write_series(steps_sql("w", [], sql).run(spark, sf_dir), paths[value], value)
+    rate, tvl = (read_series(spark, paths[v], v) for v in _SERIES)
+    return rate.join(tvl, ["symbol", "ts"], "left")
+
+
+_FEES = _ROWS.format("CAST(round(traded * tax, 2) AS DOUBLE) AS fees")
+_SUPPLY = _ROWS.format("CAST(volume AS DOUBLE) AS supply")
+_FILE = "SELECT symbol, ts, open, high, low, close, volume FROM bars"
+_SERIES = {"rate": "SELECT symbol, ts, round((discount - 0.05) / 100, 10) AS rate FROM bars", "tvl": "SELECT symbol, ts, round(traded, 2) AS tvl FROM bars WHERE volume > 25"}
+
+
 def queries() -> dict:
-    return {"a15_klines": _klines, "a16_funding": _funding, "a17_locked_value": _locked_value}
+    return {"a01_bar_files": _bar_files, "a02_series_files": _series_files, "a15_klines": _klines, "a16_funding": _funding, "a17_locked_value": _locked_value, "a17_fees": _fees, "a17_supply": _supply}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: steps_sql("w", [], sql).duckdb() for name, sql in (("a15_klines", _BARS), ("a16_funding", _RATES), ("a17_locked_value", _TVL))}
+    said = {"a01_bar_files": _FILE, "a15_klines": _BARS, "a16_funding": _RATES, "a17_locked_value": _TVL, "a17_fees": _FEES, "a17_supply": _SUPPLY}
+    said["a02_series_files"] = f"SELECT symbol, ts, rate, tvl FROM ({_SERIES['rate']}) r LEFT JOIN ({_SERIES['tvl']}) t USING (symbol, ts)"
+    return {name: steps_sql("w", [], sql).duckdb() for name, sql in said.items()}

@@ -1,6 +1,7 @@
 """Landed pages and checked bar files."""
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from panelspark.sources import feeds
 
@@ -34,3 +35,15 @@ def test_bar_files(spark, tmp_path):
     for bad in (bars.unionAll(bars), bars.limit(0), bars.drop("low")):
         with pytest.raises(ValueError):
             feeds.check_bars(bad)
+
+
+def test_series_files(spark, tmp_path):
+    rates = spark.createDataFrame([("A", 1, 0.1, "x"), ("A", 2, None, "y")], "symbol string, ts int, rate double, note string")
+    feeds.write_series(rates, f"{tmp_path}/rates", "rate")
+    assert sorted(map(tuple, feeds.read_series(spark, f"{tmp_path}/rates", "rate").collect())) == [("A", 1, 0.1), ("A", 2, None)]
+    assert feeds.check_series(rates.limit(0), "rate").count() == 0
+    for bad, value in ((rates.unionAll(rates), "rate"), (rates, "tvl")):
+        with pytest.raises(ValueError):
+            feeds.check_series(bad, value)
+    with pytest.raises(AnalysisException):
+        feeds.read_series(spark, f"{tmp_path}/nothing", "rate")

@@ -168,6 +168,33 @@ def test_paths(spark):
     assert paths.walked(frame.where("false")).count() == 0
 
 
+def test_single_asset_ledger(spark):
+    """Cash and units of long, short and fractional targets, with gaps, against a plain ledger."""
+    rng = random.Random(12)
+    rows, want = [], {}
+    for symbol in "ab":
+        money, units, current, pending = 10_000.0, 0.0, 0.0, None
+        for t in range(50):
+            target = rng.choice([None, -2.0, -1.0, -0.3, 0.0, 0.5, 0.5, 1.0, 1.7])
+            if symbol == "b" and t % 9 == 4:
+                rows.append((1, t, symbol, None, None, target))
+                continue
+            p, close = rng.uniform(50, 60), rng.uniform(50, 60)
+            rows.append((1, t, symbol, p, close, target))
+            if pending is not None and pending != current:
+                delta = pending * (money + units * p) / p - units
+                if abs(delta) >= 1e-12:
+                    price = p * (1 + 0.001 * (1 if delta > 0 else -1))
+                    money -= delta * price + abs(delta) * price * 0.002
+                    units += delta
+                current = pending
+            pending = None if target is None else max(-1.0, min(1.0, target))
+            want[symbol, t] = (units, money + units * close)
+    frame = spark.createDataFrame(rows, "run_id long, bar_idx long, symbol string, open double, close double, target double")
+    got = {(r.symbol, r.bar_idx): (r.units, r.equity) for r in paths.filled(frame.repartition(3), 0.001, 0.002).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_ranks_are_exact(spark, grid):
     tiny = grid.withColumn("x", F.expr("CASE symbol WHEN 'a' THEN 1e-12 WHEN 'b' THEN 2e-12 ELSE 3e-12 END"))
     assert [values(tiny, lambda g: g.rank("x"))[s][0] for s in "abc"] == [round(1 / 3, 9), round(2 / 3, 9), 1.0]
