@@ -113,3 +113,36 @@ def test_near_copies_are_verified(spark):
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert want <= kept  # nothing below 0.8 is dropped
     assert len(kept - want) <= 3  # near all at 0.8 or more is found
+
+
+def test_groups_are_searched_whole(spark):
+    """A dense group whose members are linked in part: every link that connects is found, whatever the chunks."""
+    import pyarrow as pa
+
+    from panelspark.llm.common import shingle_sets
+
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(240)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.sample(range(4, 236, 6), rng.choice([1, 2, 3, 4, 5, 6, 7, 8])):
+            words[at] = f"n{rng.random()}"
+        texts.append(" ".join(words))
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(236)} for t in texts]
+    pairs = [(a, b) for b in range(40) for a in range(b) if 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b])]
+    low = list(range(40))
+    for _ in range(40):
+        for a, b in pairs:
+            low[a] = low[b] = min(low[a], low[b])
+    assert 3 < len(set(low)) < 35
+    rows = []
+    for i, t in enumerate(texts):
+        hashes = shingle_sets(pa.array([t]), 5)[1].view(np.int64).tolist()
+        rows.append((i, i if i else 0, 7, len(hashes), rng.getrandbits(62), hashes))
+    members = spark.createDataFrame(rows, "node long, label long, group long, size long, fp0 long, grams array<long>")
+    for size in (512, 6):
+        links = simhash.in_groups(members, 1, 64, rows=size)
+        found = {r.node: r.component for r in components(links).collect()}
+        assert [found.get(i, i) for i in range(40)] == low
+        assert {(min(r.u, r.v), max(r.u, r.v)) for r in links.collect()} <= set(pairs)
