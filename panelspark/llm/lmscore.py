@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import HashIndex, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, word_bounds
+from panelspark.llm.common import HashIndex, freed, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, word_bounds
 
 #: Words and pairs that go to the tasks; all others are joined.
 FREQUENT_WORDS, FREQUENT_PAIRS = 1_000_000, 2_000_000
@@ -232,7 +232,9 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
     shared = context.broadcast(Vocabulary(known))
     flagged = with_targets(docs, target_ids)
     pairs = saved(count_pairs(flagged.select("text", "is_target"), shared))
+    freed(docs.sparkSession)
     words = saved(word_parts(pairs))
+    freed(docs.sparkSession)
     own = [F.col("own_b"), F.col("own_t")]
     sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in own), *(F.count(F.when(c > 0, 1)) for c in own)).first()
     smoothing = Smoothing((sums[2] if known is None else len(known)) + 2, sums[:2], sums[2:])
@@ -272,6 +274,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
 
     texts = flagged.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "is_target")
     found = saved(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, b double, t double, others array<long>"))
+    freed(docs.sparkSession)
     tokens = found.select("row", F.explode("others").alias("other")).hint("merge")
     t = F.when(F.col("row") % 2 == 1, F.col("t1")).otherwise(F.col("t0"))
     rest = tokens.join(rare_losses(pairs.where(F.col("background") < least), words, frequent, smoothing, least), F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("b").alias("more_b"), F.sum(t).alias("more_t"))
