@@ -161,8 +161,9 @@ class Formula:
         w = self._last(n)
         sa, sb = self.let(f"stddev_samp({a}) OVER {w}"), self.let(f"stddev_samp({b}) OVER {w}")
         ma, mb = self.let(f"max(abs({a})) OVER {w}"), self.let(f"max(abs({b})) OVER {w}")
-        cov = self.ts_cov(x, y, n)
-        return self.let(f"CASE WHEN {sa} > 1e-9 * {ma} AND {sb} > 1e-9 * {mb} THEN {cov} / ({sa} * {sb}) END")
+        corr = self.let(f"{self.ts_cov(x, y, n)} / nullif({sa} * {sb}, 0)")
+        # what is left of a zero by the order of adding is a zero
+        return self.let(f"CASE WHEN {sa} > 1e-9 * {ma} AND {sb} > 1e-9 * {mb} THEN CASE WHEN abs({corr}) < 1e-12 THEN 0e0 ELSE {corr} END END")
 
     def delay(self, x: str, d: int) -> str:
         if d < 1:

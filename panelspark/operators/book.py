@@ -67,7 +67,8 @@ def weights(kind: str = "neutral", top_k: int | str = 5, leverage: float = 1.0)
     elif kind not in ("top", "neutral"):
         centred = f"CASE WHEN {kind} THEN score ELSE score - avg(score) OVER ({x}) END"
     elif kind == "top":
-        up, down = f"row_number() OVER ({x} ORDER BY score DESC NULLS LAST, symbol)", f"row_number() OVER ({x} ORDER BY score NULLS LAST, symbol)"
+        place = digits("score")
+        up, down = f"row_number() OVER ({x} ORDER BY {place} DESC NULLS LAST, symbol)", f"row_number() OVER ({x} ORDER BY {place} NULLS LAST, symbol)"
         centred = f"CASE WHEN score IS NULL THEN NULL WHEN 2 * {top_k} > count(score) OVER ({x}) THEN score - avg(score) OVER ({x}) WHEN {up} <= {top_k} THEN 1.0 WHEN {down} <= {top_k} THEN -1.0 ELSE 0.0 END"
     else:
         centred = f"score - avg(score) OVER ({x})"

@@ -152,7 +152,7 @@ def _series_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate.join(tvl, ["symbol", "ts"], "left")
 
 
-_FEES = _ROWS.format("CAST(round(traded * tax, 2) AS DOUBLE) AS fees")
+_FEES = _ROWS.format("CAST(round(traded * tax, 9) AS DOUBLE) AS fees")
 _SUPPLY = _ROWS.format("CAST(volume AS DOUBLE) AS supply")
 _FILE = "SELECT symbol, ts, open, high, low, close, volume FROM bars"
 _SERIES = {"rate": "SELECT symbol, ts, round((discount - 0.05) / 100, 10) AS rate FROM bars", "tvl": "SELECT symbol, ts, round(traded, 2) AS tvl FROM bars WHERE volume > 25"}
