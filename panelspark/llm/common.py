@@ -6,9 +6,7 @@ Arrow string column and work on all words of a few documents at once.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -55,16 +53,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def freed(spark: SparkSession) -> None:
-    """Have the driver's JVM collect, upon which Spark's cleaner removes the shuffle
-    files of queries that have ended: what they gave is in written tables by then.
-    The plans that the first round lets go of are gone after the second."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with about ``limit`` bytes in ``column`` (one row at least, ``rows`` at most)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
