@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, lmscore, mixing, quality, secrets, simhash, substrings, toxicity, vectors
+from panelspark.llm import chat, decontam, hostrules, lmscore, mixing, quality, secrets, simhash, substrings, toxicity, vectors
 from panelspark.llm.common import ship, table
 
 
@@ -57,6 +57,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), lmscore.good_ids(table(spark, sf_dir, "labels")))
 
 
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(table(spark, sf_dir, "documents"))
+
+
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_vector_links": op9_vector_links,
         "op10_lm_scoring": op10_lm_scoring,
+        "op12_host_rules": op12_host_rules,
     }
     return {name: _shipping(query) for name, query in named.items()}
 
@@ -167,6 +172,42 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) A
 FROM embeddings LEFT JOIN n ON vec_id = n.u LEFT JOIN low ON vec_id = low.u
 """
 
+_SPACE = r"[\x20\x09-\x0D]"
+
+
+def _rate_sql(rule: str) -> str:
+    """One rule's shrunk rate of a host."""
+    noise = f"(k_{rule} / all_n * (1 - k_{rule} / all_n))"
+    room = f"({noise} * (all_n - n_n / all_n - (m - 1)))"
+    like = f"greatest(0, least(1, (kk_{rule} - k_{rule} * k_{rule} / all_n - {noise} * (m - 1)) / {room}))"
+    return f"CASE WHEN {room} > 1e-9 THEN ({like} * {rule} + (1 - {like}) * k_{rule} / all_n) / ({like} * n + 1 - {like}) ELSE k_{rule} / all_n END"
+
+
+OP12_SQL = rf"""
+WITH split AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+parts AS (
+  SELECT *, regexp_extract_all(t, '{hostrules.WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{hostrules.WORD}')) AS ls FROM split),
+windows AS (
+  SELECT r, i, array_to_string(ws[i : i + 2], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM parts WHERE len(ws) > 2)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
+counted AS (
+  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
+  FROM parts p LEFT JOIN covered c ON p.r = c.r),
+hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, {", ".join(f"count(*) FILTER ({rule})::DOUBLE AS {name}" for name, rule in hostrules.RULES.items())} FROM counted GROUP BY source),
+sums AS (
+  SELECT count(*) AS m, sum(n) AS all_n, sum(n * n) AS n_n, {", ".join(f"sum({r}) AS k_{r}, sum({r} * {r} / n) AS kk_{r}" for r in hostrules.RULES)} FROM hosts),
+rated AS (SELECT source, greatest({", ".join(map(_rate_sql, hostrules.RULES))}) AS rate FROM hosts, sums),
+failing AS (SELECT *, {hostrules.RULES["base"]} AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rate <= {hostrules.LIMIT} AS kept, round(rate, 9) AS host_rate
+FROM failing f JOIN rated h ON f.source IS NOT DISTINCT FROM h.source
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -174,4 +215,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scans": OP4_SQL,
         "op8_decontamination": OP8_SQL,
         "op9_vector_links": OP9_SQL,
+        "op12_host_rules": OP12_SQL,
     }
