@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import saved
 
-WORD = r"[^\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = r"[\x20\x09-\x0D]"
+NO_SPACE = r"[^\x20\x09-\x0D]"
+SYMBOL = "[#*$%&|<>]"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Fixed values, name: a condition on the counts. ``base`` fails documents as well as hosts.
 RULES = {
@@ -47,25 +47,25 @@ HOT_SHARE = 0.001
 _PLACE = (1 << 31) - 1
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def _packed(words: Column) -> Column:
+def _packed(words: Column, hashes: Column) -> Column:
     """The three-word windows as sorted numbers, hash before place. Windows whose
     hash has an equal neighbour, few in most texts, are then compared as words."""
-    last = F.size(words) - 3
-    packed = F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))))
-    return F.sort_array(F.coalesce(packed, F.array().cast("array<bigint>")))
+
+    def pack(h: Column, i: Column) -> Column:
+        second, third = F.get(hashes, i + 1), F.get(hashes, i + 2)
+        mixed = h.bitwiseXOR(F.shiftleft(second, 1)).bitwiseXOR(F.shiftleft(third, 2)).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
+        return F.coalesce(mixed, F.lit(0))  # none is null: so the numbers are sorted unboxed
+
+    return F.sort_array(F.transform(F.slice(hashes, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), pack))
 
 
 def _alike(ordered: Column) -> Column:
     """Of sorted packed hashes, those that agree with a neighbour but for the place."""
 
     def same(x: Column, y: Column) -> Column:
-        return F.coalesce(x.bitwiseAND(F.lit(~_PLACE)) == y.bitwiseAND(F.lit(~_PLACE)), F.lit(False))
+        return F.coalesce(F.shiftright(x.bitwiseXOR(y), 31) == 0, F.lit(False))
 
-    return F.filter(ordered, lambda x, j: same(x, F.get(ordered, j + 1)) | F.when(j > 0, same(x, F.get(ordered, j - 1))).otherwise(False))
+    return F.filter(ordered, lambda x, j: same(x, F.get(ordered, j + 1)) | same(x, F.get(ordered, j - 1)))
 
 
 def _windows(words: Column, alike: Column) -> Column:
@@ -82,31 +82,28 @@ def _covered(windows: Column) -> Column:
     """Words inside windows that have an equal neighbour."""
 
     def twice(x: Column, j: Column) -> Column:
-        return F.coalesce(x["w"] == F.get(windows, j + 1)["w"], F.lit(False)) | F.when(j > 0, F.coalesce(x["w"] == F.get(windows, j - 1)["w"], F.lit(False))).otherwise(False)
+        return F.coalesce(x["w"] == F.get(windows, j + 1)["w"], F.lit(False)) | F.coalesce(x["w"] == F.get(windows, j - 1)["w"], F.lit(False))
 
     places = F.array_sort(F.transform(F.filter(windows, twice), lambda x: x["i"]))
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     return F.aggregate(places, start, lambda s, i: F.struct((i + 3).alias("end"), (s["n"] + i + 3 - F.greatest(i, s["end"])).cast("long").alias("n")), lambda s: s["n"])
 
 
-def count_rules(docs: DataFrame) -> DataFrame:
-    """``doc`` (the row of ``docs`` as a struct), ``host`` and the :data:`COUNTS`."""
-    text = F.coalesce(F.col("doc.text"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("doc"))
-    lines = F.filter(F.split(text, "\n"), lambda x: _without(x, SPACES) != "")
-    rows = rows.select("doc", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"), lines.alias("lines"))
-    rows = rows.select("doc", "text", "words", "lines", _packed(F.col("words")).alias("packed"))
-    rows = rows.select("doc", "text", "words", "lines", _alike(F.col("packed")).alias("alike"))
-    rows = rows.select("doc", "text", "words", "lines", _windows(F.col("words"), F.col("alike")).alias("windows"))
-    counts = {
-        "n_words": F.size("words"),
-        "word_chars": F.length(_without(F.col("text"), SPACES)),
-        "n_symbols": F.length("text") - F.length(_without(F.col("text"), SYMBOLS)),
-        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
-        "n_repeat_words": _covered(F.col("windows")),
-        "n_lines": F.size("lines"),
-    }
-    return rows.select("doc", F.col("doc.source").alias("host"), *(counts[c].cast("long").alias(c) for c in COUNTS))
+def count_rules(docs: DataFrame, kept: str = "*") -> DataFrame:
+    """``doc`` (the columns ``kept`` of ``docs`` as a struct), ``host`` and the :data:`COUNTS`."""
+    rows = docs.select(F.struct(kept).alias("doc"), F.struct("source").alias("host"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.col("text")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NO_SPACE))
+    words = F.array_remove(F.split(text, f"{SPACE}+"), "")
+    counts = [F.length(F.array_join("words", "")), F.regexp_count(text, F.lit(SYMBOL)), F.size("lines") - F.size(F.array_distinct("lines")), F.size("lines")]
+    rows = rows.select("doc", "host", "text", words.alias("words"), lines.alias("lines"))
+    rows = rows.select("doc", "host", "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.array(*counts).alias("counts"))
+    rows = rows.select("doc", "host", "words", _packed(F.col("words"), F.col("hashes")).alias("packed"), "counts")
+    rows = rows.select("doc", "host", "words", _alike(F.col("packed")).alias("alike"), "counts")
+    rows = rows.select("doc", "host", "words", _windows(F.col("words"), F.col("alike")).alias("windows"), "counts")
+    counts = {"n_words": F.size("words"), "n_repeat_words": _covered(F.col("windows"))}
+    counts |= {name: F.col("counts")[i] for i, name in enumerate(("word_chars", "n_symbols", "n_dup_lines", "n_lines"))}
+    return rows.select("doc", F.col("host.source").alias("host"), *(counts[c].cast("long").alias(c) for c in COUNTS))
 
 
 def host_rates(counted: DataFrame, limit: float = LIMIT, rules: dict[str, str] = RULES) -> DataFrame:
@@ -151,7 +148,7 @@ def _judged(counted: DataFrame, hosts: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """``doc_id``, the :data:`COUNTS`, ``base_failed, kept, host_rate`` for each row of
     ``docs`` (``doc_id, text, source``)."""
-    counted = saved(count_rules(docs.select("doc_id", "text", "source")).select("doc.doc_id", "host", *COUNTS))
+    counted = saved(count_rules(docs, "doc_id").select("doc.doc_id", "host", *COUNTS))
     hosts = saved(host_rates(counted, limit))
     return _judged(counted, hosts).select("doc_id", *COUNTS[:5], "base_failed", "kept", "host_rate")
 
@@ -159,5 +156,5 @@ def judge(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
 def keep_good(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """The rows of ``docs`` (``text, source`` and any others) that fail neither by
     themselves nor by their host. The texts are counted twice, and not stored."""
-    hosts = saved(host_rates(count_rules(docs.select("text", "source")).drop("doc"), limit))
+    hosts = saved(host_rates(count_rules(docs, "source").drop("doc"), limit))
     return _judged(count_rules(docs), hosts).where("kept").select("doc.*")

@@ -172,9 +172,6 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) A
 FROM embeddings LEFT JOIN n ON vec_id = n.u LEFT JOIN low ON vec_id = low.u
 """
 
-_SPACE = r"[\x20\x09-\x0D]"
-
-
 def _rate_sql(rule: str) -> str:
     """One rule's shrunk rate of a host."""
     noise = f"(k_{rule} / all_n * (1 - k_{rule} / all_n))"
@@ -187,14 +184,14 @@ OP12_SQL = rf"""
 WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 parts AS (
-  SELECT *, regexp_extract_all(t, '{hostrules.WORD}') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{hostrules.WORD}')) AS ls FROM split),
+  SELECT *, regexp_extract_all(t, '{hostrules.NO_SPACE}+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{hostrules.NO_SPACE}+')) AS ls FROM split),
 windows AS (
   SELECT r, i, array_to_string(ws[i : i + 2], ' ') AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM parts WHERE len(ws) > 2)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM windows) WHERE n > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r),
 counted AS (
-  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g'))::BIGINT AS word_chars,
-         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{hostrules.SPACE}', '', 'g'))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '{hostrules.SYMBOL}', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines
   FROM parts p LEFT JOIN covered c ON p.r = c.r),
 hosts AS (
