@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import saved
+from panelspark.llm.hotkeys import HOT_SHARE, join_said
 
 SPACE = r"[\x20\x09-\x0D]"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -41,8 +42,6 @@ RULES = {
 }
 #: Shrunk share of failing documents from which on a host is bad.
 LIMIT = 0.5
-#: Hosts from this share of all rows on go to all tasks (so many of them at most: its inverse).
-HOT_SHARE = 0.001
 #: Low bits of a packed hash that hold a window's place.
 _PLACE = (1 << 31) - 1
 
@@ -129,19 +128,8 @@ def host_rates(counted: DataFrame, limit: float = LIMIT, rules: dict[str, str] =
     return both.select("host", F.col("n").cast("long").alias("n_docs"), F.round(worst, 9).alias("host_rate"), (worst > limit).alias("bad"), (F.col("n") >= HOT_SHARE * F.col("all_n")).alias("hot"))
 
 
-def with_hosts(rows: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``rows`` (with a column ``host``) and what ``hosts``, a written table, says of their host."""
-    said = [c for c in hosts.columns if c not in ("host", "hot")]
-    known = hosts.select(F.col("host").alias("named"), F.struct(*said).alias("said"), "hot")
-    meets = F.col("host").eqNullSafe(F.col("named"))
-    hot = F.broadcast(known.where("hot"))  # at most 1 / HOT_SHARE rows
-    near = rows.join(hot, meets)
-    far = rows.join(hot.select("named"), meets, "left_anti").join(known.where("NOT hot"), meets)
-    return near.select(*rows.columns, "said.*").unionAll(far.select(*rows.columns, "said.*"))
-
-
 def _judged(counted: DataFrame, hosts: DataFrame) -> DataFrame:
-    judged = with_hosts(counted.withColumn("base_failed", F.expr(RULES["base"])), hosts)
+    judged = join_said(counted.withColumn("base_failed", F.expr(RULES["base"])), hosts, ["host"], "hot")
     return judged.withColumn("kept", ~F.col("base_failed") & ~F.col("bad"))
 
 

@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, hostrules, lmscore, mixing, quality, secrets, simhash, substrings, toxicity, vectors
+from panelspark.llm import chat, decontam, hostrules, lmscore, merkle, mixing, quality, secrets, simhash, substrings, toxicity, vectors
 from panelspark.llm.common import ship, table
 
 
@@ -61,6 +61,10 @@ def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_vector_links": op9_vector_links,
         "op10_lm_scoring": op10_lm_scoring,
         "op12_host_rules": op12_host_rules,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
     return {name: _shipping(query) for name, query in named.items()}
 
@@ -206,6 +211,56 @@ FROM failing f JOIN rated h ON f.source IS NOT DISTINCT FROM h.source
 """
 
 
+def _crc32_sql(bytes_list: str) -> str:
+    """CRC-32 of a list of bytes: eight shifts for each."""
+    bits = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bytes_list}), lambda c, b: {bits}), 4294967295)"
+
+
+def _levels_sql(name: str, leaves: str, tree: str) -> str:
+    """All nodes of the trees over ``leaves`` (tree, idx, n, digest)."""
+    return f"""{name} AS (
+  SELECT {tree} AS tree, 0 AS level, idx, n, digest FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 2, n)"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    fields = [n_chars if f == "n_chars" else f for f in merkle.FIELDS]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE digests AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS digest,
+         CASE WHEN {_crc32_sql("list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)")} % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} END AS other FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM digests),
+{_levels_sql("nodes", "leaves", "tree")},
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+{_levels_sql("tops", "subroots", "''")},
+steps AS (
+  SELECT l.r, s.level AS k, l.idx >> s.level & 1 AS side, b.digest
+  FROM leaves l JOIN (SELECT DISTINCT tree, level FROM nodes WHERE n > 1) s ON s.tree = l.tree
+  LEFT JOIN nodes b ON b.tree = l.tree AND b.level = s.level AND b.idx = xor(l.idx >> s.level, 1)
+  UNION ALL
+  SELECT l.r, 1000 + s.level, t.idx >> s.level & 1, b.digest
+  FROM leaves l JOIN subroots t ON t.tree = l.tree CROSS JOIN (SELECT DISTINCT level FROM tops WHERE n > 1) s
+  LEFT JOIN tops b ON b.level = s.level AND b.idx = xor(t.idx >> s.level, 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY k) AS step FROM steps),
+folds AS (
+  SELECT r, 0::BIGINT AS step, coalesce(other, digest) AS digest FROM leaves
+  UNION ALL
+  SELECT f.r, s.step, sha256(CASE WHEN s.side = 1 THEN coalesce(s.digest, '') || f.digest ELSE f.digest || coalesce(s.digest, '') END)
+  FROM folds f JOIN numbered s ON s.r = f.r AND s.step = f.step + 1),
+ends AS (SELECT r, arg_max(digest, step) AS folded FROM folds GROUP BY r),
+proofs AS (SELECT r, string_agg(digest, '' ORDER BY step) AS proof FROM numbered GROUP BY r)
+SELECT l.doc_id, l.digest AS leaf, t.digest AS subroot, (SELECT digest FROM tops WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+       folded AS folded_root, folded = (SELECT digest FROM tops WHERE n = 1) AS verified
+FROM leaves l JOIN subroots t ON t.tree = l.tree JOIN ends e ON e.r = l.r LEFT JOIN proofs p ON p.r = l.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_chat_formatting": OP3_SQL,
@@ -213,4 +268,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": OP8_SQL,
         "op9_vector_links": OP9_SQL,
         "op12_host_rules": OP12_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
