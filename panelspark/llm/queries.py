@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontam, hostrules, lmscore, merkle, mixing, quality, secrets, simhash, substrings, toxicity, vectors
+from panelspark.llm import chat, decontam, hostrules, lmscore, merkle, mixing, quality, secrets, simhash, spelling, substrings, toxicity, vectors
 from panelspark.llm.common import ship, table
 
 
@@ -57,6 +57,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(table(spark, sf_dir, "documents"), lmscore.good_ids(table(spark, sf_dir, "labels")))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontamination,
         "op9_vector_links": op9_vector_links,
         "op10_lm_scoring": op10_lm_scoring,
+        "op11_spelling_variants": op11_spelling_variants,
         "op12_host_rules": op12_host_rules,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
@@ -230,6 +235,28 @@ def _leaf_sql(n_chars: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(strlen({f}::VARCHAR) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
 
 
+OP11_SQL = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS times
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+  WHERE length(run) >= {spelling.MIN_LETTERS} GROUP BY doc_id, run),
+sums AS (
+  SELECT *, {_crc32_sql("flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda d: CASE WHEN ord(d) < 128 THEN [ord(d)::BIGINT] ELSE [195, ord(d)::BIGINT - 64] END))")} AS h FROM runs),
+words AS (
+  SELECT CASE WHEN h % {spelling.ALTERED} = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, sum(times)::BIGINT AS n FROM sums GROUP BY 1),
+known AS (SELECT * FROM words WHERE length(word) >= {spelling.MIN_LETTERS} AND n >= {spelling.MIN_COUNT}),
+less AS (SELECT word, n, i, word[1 : i - 1] || word[i + 1 :] AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM known)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM less a JOIN known b ON a.rest = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM less a JOIN known b ON a.rest = b.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+forms AS (SELECT word, other AS form, other_n AS form_n FROM ranked WHERE place = 1 AND other_n >= {spelling.TIMES} * n),
+ways AS (SELECT word, word AS last, 0 AS steps FROM known UNION ALL SELECT w.word, f.form, steps + 1 FROM ways w JOIN forms f ON f.word = w.last)
+SELECT k.word, f.form, (SELECT arg_max(last, steps) FROM ways w WHERE w.word = k.word) AS root, k.n, coalesce(r.n_near, 0)::BIGINT AS n_near, f.form_n
+FROM known k LEFT JOIN forms f ON f.word = k.word LEFT JOIN ranked r ON r.word = k.word AND r.place = 1
+"""
+
 OP13_SQL = f"""
 WITH RECURSIVE digests AS (
   SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS digest,
@@ -267,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_secret_scans": OP4_SQL,
         "op8_decontamination": OP8_SQL,
         "op9_vector_links": OP9_SQL,
+        "op11_spelling_variants": OP11_SQL,
         "op12_host_rules": OP12_SQL,
         "op13_merkle_manifest": OP13_SQL,
     }
