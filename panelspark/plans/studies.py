@@ -259,7 +259,6 @@ def all_sql() -> dict[str, str]:
         "h08_derisk": w(measured, "SELECT bar_idx, round(CASE WHEN drawdown >= -0.05 THEN 1.0 WHEN drawdown <= -0.20 THEN 0.25 ELSE 1 - 0.75 * (-drawdown - 0.05) / 0.15 END, 6) AS scale FROM bar_returns"),
         "i02_funding_flow": w([*book.scores(), *book.weights(), *book.accounting(funding=RATE)], "SELECT bar_idx, round(flow, 8) AS flow, round(equity, 4) AS equity FROM equity"),
         "i10_round_trips": w(crossover(), "SELECT run_id, symbol, CAST(trip AS BIGINT) AS trip, p_in, p_out, round(f, 8) AS factor FROM trips"),
-        "i11_crossover_study": w(crossover(), f"SELECT run_id, symbol, count(*) AS n_trips, round(10000 * {product('f')}, 4) AS equity FROM trips GROUP BY run_id, symbol"),
         "j08_alpha_beta": w(
             [*measured, *MARKET, ("fit", "SELECT count(*) AS n, regr_slope(b.r, m.m) AS beta, regr_intercept(b.r, m.m) AS alpha, regr_sxx(b.r, m.m) AS sxx, regr_syy(b.r, m.m) AS syy, regr_sxy(b.r, m.m) AS sxy, avg(m.m) AS x FROM bar_returns b JOIN market m ON m.bar_idx = b.bar_idx WHERE b.r IS NOT NULL")],
             "SELECT n, round(beta, 6) AS beta, round(alpha * 52, 6) AS alpha, round(alpha / nullif(sqrt((syy - sxy * sxy / nullif(sxx, 0)) / nullif(n - 2, 0) * (1e0 / nullif(n, 0) + x * x / nullif(sxx, 0))), 0), 5) AS t FROM fit",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import book, paths, significance
-from panelspark.plans import catalog, gauntlet, studies
+from panelspark.plans import catalog, gauntlet, ledgers, studies
 from panelspark.sources import feeds
 from panelspark.sources.panels import PanelQuery, oracle, run_query
 from panelspark.streaming import bars
@@ -27,8 +27,8 @@ def _query(query: PanelQuery | str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(query) for name, query in _named().items()} | feeds.queries() | significance.queries() | paths.queries() | gauntlet.queries() | bars.queries()
+    return {name: _query(query) for name, query in _named().items()} | feeds.queries() | significance.queries() | paths.queries() | ledgers.queries() | gauntlet.queries() | bars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | paths.oracle_sql() | bars.oracle_sql()
+    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | paths.oracle_sql() | ledgers.oracle_sql() | bars.oracle_sql()

@@ -166,20 +166,23 @@ def test_paths(spark):
         for run_id, equity in got.items():
             assert equity == pytest.approx(want[run_id, derisk])
     assert paths.walked(frame.where("false")).count() == 0
+    # one run's symbols lie in several tasks
+    spread = paths._cells(frame.where("run_id = 1"), 3).repartition(4, "run_id", "symbol").withColumn("task", F.spark_partition_id())
+    assert spread.select("task").distinct().count() > 1
 
 
 def test_single_asset_ledger(spark):
     """Cash and units of long, short and fractional targets, with gaps, against a plain ledger."""
     rng = random.Random(12)
     rows, want = [], {}
-    for symbol in "ab":
+    for symbol in "abc":  # c loses all, and goes on below zero
         money, units, current, pending = 10_000.0, 0.0, 0.0, None
         for t in range(50):
             target = rng.choice([None, -2.0, -1.0, -0.3, 0.0, 0.5, 0.5, 1.0, 1.7])
             if symbol == "b" and t % 9 == 4:
                 rows.append((1, t, symbol, None, None, target))
                 continue
-            p, close = rng.uniform(50, 60), rng.uniform(50, 60)
+            p, close = (rng.uniform(50, 60), rng.uniform(50, 60)) if symbol != "c" else (rng.uniform(10, 200), rng.uniform(10, 200))
             rows.append((1, t, symbol, p, close, target))
             if pending is not None and pending != current:
                 delta = pending * (money + units * p) / p - units
@@ -191,8 +194,16 @@ def test_single_asset_ledger(spark):
             pending = None if target is None else max(-1.0, min(1.0, target))
             want[symbol, t] = (units, money + units * close)
     frame = spark.createDataFrame(rows, "run_id long, bar_idx long, symbol string, open double, close double, target double")
-    got = {(r.symbol, r.bar_idx): (r.units, r.equity) for r in paths.filled(frame.repartition(3), 0.001, 0.002).collect()}
+    got = {(r.symbol, r.bar_idx): (r.units, r.equity) for r in paths.ledger(frame.repartition(3), 0.001, 0.002).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert min(e for _, e in want.values()) < 0
+    # accounts of many runs, each with its own costs, as one by one
+    both = frame.unionAll(frame.selectExpr("2", "bar_idx", "symbol", "open", "close", "target / 2"))
+    many = paths.ledger(both, "CASE run_id WHEN 1 THEN 0.001 ELSE 0.0 END", "CASE run_id WHEN 1 THEN 0.002 ELSE 0.003 END")
+    assert {(r.symbol, r.bar_idx): (r.units, r.equity) for r in many.where("run_id = 1").collect()} == pytest.approx(got)
+    alone = {(r.symbol, r.bar_idx): r.equity for r in paths.ledger(both.where("run_id = 2"), 0.0, 0.003).collect()}
+    assert {(r.symbol, r.bar_idx): r.equity for r in many.where("run_id = 2").collect()} == pytest.approx(alone)
+    assert paths.ledger(frame.where("false")).count() == 0
 
 
 def test_ranks_are_exact(spark, grid):
