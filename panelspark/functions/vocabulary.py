@@ -26,6 +26,12 @@ def digits(x: str, n: int = 12) -> str:
     return f"CASE WHEN abs({x}) > 1e-250 THEN floor({x} * {power} + 5e-1) / {power} ELSE {x} * 1e0 END"
 
 
+def place(x: str, by: str) -> str:
+    """Place of ``x`` by ``by``, ties averaged, from one sort."""
+    over = f"OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST"
+    return f"rank() {over}) + (count({x}) {over} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2e0"
+
+
 class Formula:
     def __init__(self, prefix: str = "t"):
         self.columns: list[tuple[str, str]] = []
@@ -41,12 +47,24 @@ class Formula:
         return name
 
     def levels(self) -> list[list[tuple[str, str]]]:
-        """The columns in batches that stand on earlier batches alone: one window
-        stage computes all of a batch."""
-        level: dict[str, int] = {}
+        """The columns in batches that stand on earlier batches alone.
+
+        Batches along the symbols and batches across a bar's symbols alternate as
+        seldom as the formulas allow: each change of side is an exchange, whatever
+        the number of columns, and batches of one side share its layout."""
+        place: dict[str, tuple[int, int]] = {}
         for name, expr in self.columns:
-            level[name] = 1 + max((level[x] for x in re.findall(r"\w+", expr) if x in level), default=-1)
-        return [[c for c in self.columns if level[c[0]] == k] for k in range(max(level.values(), default=-1) + 1)]
+            needs = [place[x] for x in re.findall(r"\w+", expr) if x in place]
+            stage = max((s for s, _ in needs), default=0)
+            if "PARTITION BY symbol" in expr:
+                stage += stage % 2
+            elif "PARTITION BY bar_idx" in expr:
+                stage += 1 - stage % 2
+            place[name] = stage, 1 + max((k for s, k in needs if s == stage), default=-1)
+        batches: dict[tuple[int, int], list[tuple[str, str]]] = {}
+        for c in self.columns:
+            batches.setdefault(place[c[0]], []).append(c)
+        return [batches[k] for k in sorted(batches)]
 
     def apply(self, grid: DataFrame) -> DataFrame:
         for batch in self.levels():
@@ -77,8 +95,7 @@ class Formula:
     def rank(self, x: str) -> str:
         """Share of valid symbols below, ties averaged; in (0, 1]."""
         x = self.let(digits(self.let(x)))
-        place = f"rank() OVER (PARTITION BY bar_idx ORDER BY {x} NULLS LAST) + (count({x}) OVER (PARTITION BY bar_idx, {x}) - 1) / 2e0"
-        return self.let(f"CASE WHEN {x} IS NOT NULL THEN ({place}) / count({x}) OVER (PARTITION BY bar_idx) END")
+        return self.let(f"CASE WHEN {x} IS NOT NULL THEN ({place(x, 'bar_idx')}) / count({x}) OVER (PARTITION BY bar_idx ORDER BY {x} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END")
 
     def zscore(self, x: str) -> str:
         x = self.let(x)

@@ -11,7 +11,7 @@ recursive statement.
 
 from __future__ import annotations
 
-from panelspark.functions.vocabulary import Formula, digits
+from panelspark.functions.vocabulary import Formula, digits, place
 from panelspark.sources.panels import Both, PanelQuery, steps_sql
 
 Steps = list[tuple[str, str]]
@@ -169,16 +169,16 @@ def flagship_sql() -> PanelQuery:
     return steps_sql("w", [*scores(), *weights(), *accounting(), *performance()], _METRICS)
 
 
-def _ic(horizon: int = 1) -> Steps:
-    """``ic``: rank correlation of score and following return in each bar with five pairs."""
-    x = "PARTITION BY run_id, bar_idx"
+AHEAD = "lead(close, {}) OVER (PARTITION BY {}symbol ORDER BY bar_idx) / nullif(close, 0) - 1 AS fwd"
 
-    def rank(c: str) -> str:
-        return f"CASE WHEN {c} IS NOT NULL THEN rank() OVER ({x} ORDER BY {c} NULLS LAST) + (count({c}) OVER (PARTITION BY run_id, bar_idx, {c}) - 1) / 2.0 END"
 
+def _ic(horizon: int = 1, known: bool = False) -> Steps:
+    """``ic``: rank correlation of score and following return in each bar with five
+    pairs. ``known``: ``scored`` has the return as ``fwd``."""
+    rank = lambda c: f"CASE WHEN {c} IS NOT NULL THEN {place(c, 'run_id, bar_idx')} END"
     return [
-        ("ahead", f"SELECT *, lead(close, {horizon}) OVER (PARTITION BY run_id, symbol ORDER BY bar_idx) / nullif(close, 0) - 1 AS fwd FROM scored"),
-        ("rounded", f"SELECT run_id, bar_idx, {digits('score')} AS score, {digits('fwd')} AS fwd FROM ahead"),
+        *([] if known else [("ahead", f"SELECT *, {AHEAD.format(horizon, 'run_id, ')} FROM scored")]),
+        ("rounded", f"SELECT run_id, bar_idx, {digits('score')} AS score, {digits('fwd')} AS fwd FROM {'scored' if known else 'ahead'}"),
         ("ranked", f"SELECT run_id, bar_idx, {rank('score')} AS a, {rank('fwd')} AS b FROM rounded"),
         ("ic", "SELECT run_id, bar_idx, count(*) AS n, CASE WHEN count(*) >= 5 THEN covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) END AS ic FROM ranked WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY run_id, bar_idx"),
         ("ic_stats", "SELECT run_id, count(ic) AS n, avg(ic) AS mean_ic, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(ic)), 0) AS t, avg(ic) / nullif(stddev_samp(ic), 0) AS ir, avg(CASE WHEN ic > 1e-12 THEN 1e0 WHEN ic IS NOT NULL THEN 0e0 END) AS hit FROM ic WHERE bar_idx >= 8 GROUP BY run_id"),

@@ -42,11 +42,14 @@ def _base(lookback: int = 1, sign: int = -1) -> Steps:
 
 
 def bench() -> tuple[Steps, dict[int, str]]:
-    """``scored`` for all alphas, in one batch of window levels."""
+    """``scored`` for all alphas, with the following return: layouts by symbol and by bar alternate, the last is by bar."""
     g, columns = Formula(), {}
     for k, a in enumerate(alphas.ALPHAS.values(), 1):
         columns[k] = f"CASE WHEN bar_idx >= {a.warmup} THEN {g.finite(a.build(g))} END"
-    return strategy_scores(columns, g), {k: a.name for k, a in enumerate(alphas.ALPHAS.values(), 1)}
+    steps, last = g.steps("ahead_grid")
+    wide = ("wide", f"SELECT bar_idx, fwd, {', '.join(f'{x} AS s{k}' for k, x in columns.items())} FROM {last}")
+    scored = ("scored", unpivot("wide", "bar_idx, fwd", {k: f"s{k} * 1e0" for k in columns}))
+    return [("ahead_grid", f"SELECT *, {book.AHEAD.format(1, '')} FROM grid"), *steps, wide, scored], {k: a.name for k, a in enumerate(alphas.ALPHAS.values(), 1)}
 
 
 def vol_target(target: float = 0.10, lookback: int = 20, every: int = 4, most: float = 2.0, per_year: int = 52) -> Steps:
@@ -323,8 +326,8 @@ def bench_sql() -> dict[str, PanelQuery]:
     named = _values("names", "run_id, alpha", [(k, n) for k, n in names.items()])
     themed = _values("themes", "run_id, theme", [(k, t) for k, n in names.items() for t in alphas.ALPHAS[n].theme])
     return {
-        "f05_bench": steps_sql("w", [*scored, *book._ic(), named], "SELECT n.alpha, coalesce(v.n, 0) AS n, round(v.mean_ic, 5) AS mean_ic, round(v.t, 4) AS t, round(v.hit, 5) AS hit, coalesce(v.verdict, 'dead') AS verdict FROM names n LEFT JOIN verdicts v ON v.run_id = n.run_id"),
-        "f08_themes": steps_sql("w", [*scored, *book._ic(), themed], "SELECT t.theme, coalesce(v.verdict, 'dead') AS verdict, count(*) AS n FROM themes t LEFT JOIN verdicts v ON v.run_id = t.run_id GROUP BY t.theme, coalesce(v.verdict, 'dead')"),
+        "f05_bench": steps_sql("w", [*scored, *book._ic(known=True), named], "SELECT n.alpha, coalesce(v.n, 0) AS n, round(v.mean_ic, 5) AS mean_ic, round(v.t, 4) AS t, round(v.hit, 5) AS hit, coalesce(v.verdict, 'dead') AS verdict FROM names n LEFT JOIN verdicts v ON v.run_id = n.run_id"),
+        "f08_themes": steps_sql("w", [*scored, *book._ic(known=True), themed], "SELECT t.theme, coalesce(v.verdict, 'dead') AS verdict, count(*) AS n FROM themes t LEFT JOIN verdicts v ON v.run_id = t.run_id GROUP BY t.theme, coalesce(v.verdict, 'dead')"),
     }
 
 
