@@ -14,6 +14,8 @@ import re
 
 from pyspark.sql import DataFrame
 
+from panelspark.sources.panels import Both, spoken
+
 _SYMBOL = "PARTITION BY symbol ORDER BY bar_idx"
 #: Frames from which a running extreme goes over blocks.
 _LONG = 64
@@ -32,9 +34,15 @@ def place(x: str, by: str) -> str:
     return f"rank() {over}) + (count({x}) {over} RANGE BETWEEN CURRENT ROW AND CURRENT ROW) - 1) / 2e0"
 
 
+def share(x: str, by: str) -> str:
+    """Place of ``x`` over the number of valid values; missing where ``x`` is."""
+    return f"CASE WHEN {x} IS NOT NULL THEN ({place(x, by)}) / count({x}) OVER (PARTITION BY {by} ORDER BY {x} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END"
+
+
 class Formula:
     def __init__(self, prefix: str = "t"):
         self.columns: list[tuple[str, str]] = []
+        self.ranks: dict[str, str] = {}
         self.prefix = prefix
 
     def let(self, expr: str) -> str:
@@ -68,17 +76,44 @@ class Formula:
 
     def apply(self, grid: DataFrame) -> DataFrame:
         for batch in self.levels():
-            grid = grid.selectExpr("*", *(f"{expr} AS {name}" for name, expr in batch))
+            grid = grid.selectExpr("*", *(f"{spoken(expr, 'spark')} AS {name}" for name, expr in batch))
         return grid
 
-    def steps(self, source: str = "grid") -> tuple[list[tuple[str, str]], str]:
-        """SQL steps, and the name of the last."""
-        out = []
-        for k, batch in enumerate(self.levels()):
-            out.append((f"level{k}", f"SELECT *, {', '.join(f'{expr} AS {name}' for name, expr in batch)} FROM {source}"))
+    def steps(self, source: str = "grid", fields: tuple[str, ...] = (), keep: list[str] | None = None) -> tuple[list[tuple[str, str]], str]:
+        """SQL steps, and the name of the last. With ``keep``, a step has but what later
+        ones and ``keep`` (expressions) read of the ``fields`` of the source and of the
+        formula's columns, and several ranks of a batch are one sort of long rows."""
+        out, batches = [], self.levels()
+        held = [f for f in fields if f not in ("bar_idx", "symbol")]
+        for k, batch in enumerate(batches):
+            if keep is None:
+                text: str = f"SELECT *, {', '.join(f'{expr} AS {name}' for name, expr in batch)} FROM {source}"
+            else:
+                later = set(re.findall(r"\w+", " ".join([*keep, *(expr for rest in batches[k + 1 :] for _, expr in rest)])))
+                names = [name for name, _ in batch]
+                here = set(re.findall(r"\w+", " ".join(expr for _, expr in batch)))
+                text = self._narrow(batch, source, [c for c in held if c in later], [c for c in held if c in later | here])
+                held = [c for c in [*held, *names] if c in later]
+            out.append((f"level{k}", text))
             source = f"level{k}"
         return out, source
 
+    def _narrow(self, batch: list[tuple[str, str]], source: str, kept: list[str], read: list[str]) -> str:
+        """One batch; ``kept`` columns go on with it."""
+        ranks = [(name, self.ranks[name]) for name, _ in batch if name in self.ranks]
+        plain = f"SELECT {', '.join(['bar_idx', 'symbol', *kept, *(f'{expr} AS {name}' for name, expr in batch)])} FROM {source}"
+        if len(ranks) < 3:
+            return plain
+        others = [c for c in batch if c[0] not in self.ranks]
+        inner = ", ".join([*read, *(f"{expr} AS {name}" for name, expr in others)])
+        rest = [*kept, *(name for name, _ in others)]
+        rows = ", ".join(f"{i}, {x}, {'rest' if i == 0 else 'NULL'}" for i, (_, x) in enumerate(ranks))
+        long = f"SELECT bar_idx, symbol, stack({len(ranks)}, {rows}) AS (k, x, rest) FROM (SELECT *, struct({', '.join(rest) or '1 AS none'}) AS rest FROM (SELECT bar_idx, symbol, {inner} FROM {source}) s1) s2"
+        placed = f"SELECT bar_idx, symbol, k, rest, {share('x', 'bar_idx, k')} AS p FROM ({long}) s3"
+        back = ", ".join(f"max(CASE WHEN k = {i} THEN p END) AS {name}" for i, (name, _) in enumerate(ranks))
+        spark = f"SELECT bar_idx, symbol, {''.join(f'rest.{c} AS {c}, ' for c in rest)}{', '.join(name for name, _ in ranks)} FROM (SELECT bar_idx, symbol, first(rest, true) AS rest, {back} FROM ({placed}) s4 GROUP BY bar_idx, symbol) s5"
+        return Both(spark, plain)
+
     # windows
 
     def _last(self, n: int) -> str:
@@ -87,15 +122,18 @@ class Formula:
     def _warm(self, n: int, expr: str) -> str:
         return self.let(f"CASE WHEN bar_idx >= {n - 1} THEN {expr} END")
 
-    def _lags(self, x: str, n: int) -> list[str]:
-        return [x, *(self.let(f"lag({x}, {k}) OVER ({_SYMBOL})") for k in range(1, n))]
+    def _listed(self, x: str, n: int) -> str:
+        """The valid values of the last n bars, the oldest first: one frame, where n lags would be n."""
+        return self.let(f"LISTED[{x}|{self._last(n)}]")
 
     # across the symbols of a bar
 
     def rank(self, x: str) -> str:
         """Share of valid symbols below, ties averaged; in (0, 1]."""
         x = self.let(digits(self.let(x)))
-        return self.let(f"CASE WHEN {x} IS NOT NULL THEN ({place(x, 'bar_idx')}) / count({x}) OVER (PARTITION BY bar_idx ORDER BY {x} NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END")
+        name = self.let(share(x, "bar_idx"))
+        self.ranks[name] = x
+        return name
 
     def zscore(self, x: str) -> str:
         x = self.let(x)
@@ -142,27 +180,24 @@ class Formula:
     def ts_min(self, x: str, n: int) -> str:
         return self._extreme(x, n, "min")
 
-    def _arg(self, x: str, n: int, best: str) -> str:
-        lags = self._lags(x, n)
-        since = ", ".join(f"CASE WHEN {v} = {best} THEN {k}e0 ELSE -1e0 END" for k, v in enumerate(lags))
-        return self.let(f"CASE WHEN {best} IS NOT NULL THEN greatest({since}) END")
+    def _arg(self, x: str, n: int, best: str, none: str) -> str:
+        values = self._listed(self.let(f"coalesce({x}, CAST('{none}' AS DOUBLE))"), n)
+        return self.let(f"CASE WHEN {best} IS NOT NULL THEN (LENGTH[{values}] - FIRST[{values}|{best}]) * 1e0 END")
 
     def ts_argmax(self, x: str, n: int) -> str:
         """Bars since the maximum; the oldest of equals."""
         x = self.let(x)
-        return self._arg(x, n, self.ts_max(x, n))
+        return self._arg(x, n, self.ts_max(x, n), "-Infinity")
 
     def ts_argmin(self, x: str, n: int) -> str:
         x = self.let(x)
-        return self._arg(x, n, self.ts_min(x, n))
+        return self._arg(x, n, self.ts_min(x, n), "Infinity")
 
     def ts_rank(self, x: str, n: int) -> str:
         """Place of the current value among the last n, ties averaged, over the valid ones."""
         x = self.let(digits(self.let(x)))
-        lags = self._lags(x, n)
-        below = " + ".join(f"CASE WHEN {v} < {x} THEN 1 WHEN {v} = {x} THEN 5e-1 ELSE 0 END" for v in lags)
-        valid = " + ".join(f"CASE WHEN {v} IS NULL THEN 0 ELSE 1 END" for v in lags)
-        return self._warm(n, f"CASE WHEN {x} IS NOT NULL THEN ({below} + 5e-1) / ({valid}) END")
+        values = self._listed(x, n)
+        return self._warm(n, f"CASE WHEN {x} IS NOT NULL THEN (BELOW[{values}|{x}] + SAME[{values}|{x}] / 2e0 + 5e-1) / LENGTH[{values}] END")
 
     def _pair(self, x: str, y: str) -> tuple[str, str]:
         x, y = self.let(x), self.let(y)
@@ -193,8 +228,8 @@ class Formula:
         return self.let(f"{x} - {self.delay(x, d)}")
 
     def decay_linear(self, x: str, n: int) -> str:
-        lags = self._lags(self.let(x), n)
-        return self._warm(n, f"({' + '.join(f'{n - k} * {v}' for k, v in enumerate(lags))}) / {n * (n + 1) / 2}")
+        values = self._listed(self.let(x), n)
+        return self._warm(n, f"CASE WHEN LENGTH[{values}] = {n} THEN RISING[{values}|{n}] / {n * (n + 1) / 2} END")
 
     # element-wise
 

@@ -46,7 +46,8 @@ def bench() -> tuple[Steps, dict[int, str]]:
     g, columns = Formula(), {}
     for k, a in enumerate(alphas.ALPHAS.values(), 1):
         columns[k] = f"CASE WHEN bar_idx >= {a.warmup} THEN {g.finite(a.build(g))} END"
-    steps, last = g.steps("ahead_grid")
+    fields = ("bar_idx", "symbol", "open", "high", "low", "close", "volume", "fwd")
+    steps, last = g.steps("ahead_grid", fields, ["fwd", *columns.values()])
     wide = ("wide", f"SELECT bar_idx, fwd, {', '.join(f'{x} AS s{k}' for k, x in columns.items())} FROM {last}")
     scored = ("scored", unpivot("wide", "bar_idx, fwd", {k: f"s{k} * 1e0" for k in columns}))
     return [("ahead_grid", f"SELECT *, {book.AHEAD.format(1, '')} FROM grid"), *steps, wide, scored], {k: a.name for k, a in enumerate(alphas.ALPHAS.values(), 1)}
