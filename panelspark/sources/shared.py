@@ -4,10 +4,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark application
+    (as ``--py-files`` does): tasks with Python code import it by name."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent.parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``. Where none is set, a local master
     gets a folder of its own; on a cluster that is an error, as executors would

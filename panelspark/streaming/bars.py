@@ -11,14 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelspark.sources.shared import new_path, saved
-
-#: State: for each symbol of an account its last price and weight, with the
-#: account's equity and the time (microseconds) of its last update.
-STATE = "account string, symbol string, price double, weight double, equity double, last long"
-MARKS = "account string, at long, growth double, turnover double, equity double"
-CASH, COST = 10_000.0, 0.001
-
+from panelspark.sources.shared import saved
+from panelspark.streaming.state import CASH, COST, accounts, finished, watched
 
 def hourly_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour") -> DataFrame:
     """Bars of ``(event_id, ts, symbol, price)`` ticks in event time; null prices are no ticks.
@@ -35,64 +29,6 @@ def hourly_bars(ticks: DataFrame, late: str = "2 hours", width: str = "1 hour")
     )
 
 
-def marked(updates: DataFrame, state: DataFrame, cash: float = CASH, cost: float = COST) -> tuple[DataFrame, DataFrame]:
-    """Marks of one batch of ``(account, at, symbol, price, weight)`` updates in any
-    order, and the accounts' state after it.
-
-    At each update an account earns on the weights it set before, for the symbols
-    that have new prices, and pays for the change of their weights. An update no
-    newer than the account's last one of an earlier batch is no news and changes
-    nothing; of updates of one symbol at the same time, the lowest price and
-    weight count."""
-    rows = updates.where("price > 0 AND at IS NOT NULL").groupBy("account", "symbol", "at").agg(F.min(F.struct("price", F.coalesce("weight", F.lit(0.0)).alias("weight"))).alias("u"))
-    ends = state.groupBy("account").agg(F.max("equity").alias("equity0"), F.max("last").alias("last0"))
-    rows = rows.alias("r").join(ends.alias("s"), F.expr("r.account <=> s.account"), "left").where("s.last0 IS NULL OR at > s.last0").selectExpr("r.account", "r.symbol", "at", "u.price", "u.weight", "s.equity0")
-    held = state.select(F.col("account").alias("of"), F.col("symbol").alias("of_symbol"), F.col("price").alias("price0"), F.col("weight").alias("weight0"))
-    rows = rows.join(held, F.expr("account <=> of AND symbol <=> of_symbol"), "left").drop("of", "of_symbol")
-    by_symbol = Window.partitionBy("account", "symbol").orderBy("at")
-    before = lambda c: F.coalesce(F.lag(c).over(by_symbol), F.col(f"{c}0"))
-    moves = rows.withColumns({"p0": before("price"), "w0": F.coalesce(before("weight"), F.lit(0.0))})
-    growth = F.coalesce(F.col("w0") * (F.col("price") / F.col("p0") - 1), F.lit(0.0))
-    marks = moves.groupBy("account", "at").agg(F.sum(growth).alias("growth"), F.sum(F.abs(F.col("weight") - F.col("w0"))).alias("turnover"), F.coalesce(F.max("equity0"), F.lit(cash)).alias("equity0"))
-    factor = F.greatest((1 + F.col("growth")) * (1 - cost * F.col("turnover")), F.lit(0.0))
-    upto = Window.partitionBy("account").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lost = F.max((factor == 0).cast("int")).over(upto) == 1
-    equity = F.when(lost, 0.0).otherwise(F.col("equity0") * F.exp(F.sum(F.log(factor)).over(upto)))
-    marks = marks.withColumn("equity", equity).select("account", "at", "growth", "turnover", "equity")
-    now = marks.groupBy("account").agg(F.max_by("equity", "at").alias("equity"), F.max("at").alias("last"))
-    newest = rows.groupBy("account", "symbol").agg(F.max_by("price", "at").alias("price"), F.max_by("weight", "at").alias("weight"))
-    kept = state.alias("s").join(newest.alias("n"), F.expr("s.account <=> n.account AND s.symbol <=> n.symbol"), "left_anti").select("account", "symbol", "price", "weight", F.col("equity").alias("old"), F.col("last").alias("old_last"))
-    every = newest.select("account", "symbol", "price", "weight", F.lit(None).cast("double").alias("old"), F.lit(None).cast("long").alias("old_last")).unionAll(kept)
-    after = every.alias("e").join(now.alias("n"), F.expr("e.account <=> n.account"), "left")
-    return marks, after.selectExpr("e.account", "e.symbol", "e.price", "e.weight", "coalesce(n.equity, e.old) AS equity", "coalesce(n.last, e.old_last) AS last")
-
-
-def accounts(spark: SparkSession, updates: DataFrame) -> DataFrame:
-    """A stream of ``(account, at, symbol, price, weight)`` updates, as far as it is
-    there now, to marks. Marks and state of each batch are tables in the shared folder."""
-    path, done = new_path(spark, "stream"), []
-
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        state = session.read.schema(STATE).parquet(f"{path}-accounts/{number - 1}") if number else session.createDataFrame([], STATE)
-        batch = batch.persist()  # marks and state are of the same rows
-        marks, after = marked(batch, state)
-        marks.write.mode("overwrite").parquet(f"{path}/{number}")
-        after.write.mode("overwrite").parquet(f"{path}-accounts/{number}")
-        batch.unpersist()
-        done.append(f"{path}/{number}")
-
-    updates.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(MARKS).parquet(*sorted(set(done))) if done else spark.createDataFrame([], MARKS)
-
-
-def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """All rows that ``stream`` gives for the input that is there now, as a table in the shared folder."""
-    path = new_path(spark, "stream")
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream of ticks, with the user of each."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -107,7 +43,7 @@ _WEIGHT = "((event_id % 5) - 2) / 10e0"
 def streaming_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user is an account that holds kinds of events: an event is a price and sets a weight."""
     updates = event_stream(spark, sf_dir).selectExpr("CAST(user_id AS STRING) AS account", "unix_micros(ts) AS at", "symbol", "1 + price AS price", f"{_WEIGHT} AS weight")
-    marks = accounts(spark, updates)
+    marks = finished(spark, accounts(updates))
     return marks.select("account", "at", *(F.round(c, 6).alias(c) for c in ("growth", "turnover")), F.round("equity", 4).alias("equity"))
 
 
@@ -124,6 +60,26 @@ SELECT account, "at", round(growth, 6) AS growth, round(turnover, 6) AS turnover
 """
 
 
+def streaming_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of each account (a customer) after all days with its orders have come by."""
+    schema = spark.read.parquet(f"{sf_dir}/orders.parquet").schema
+    orders = spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf_dir)
+    statuses = finished(spark, watched(orders.selectExpr("CAST(o_custkey AS STRING) AS account", "CAST(o_orderdate AS TIMESTAMP) AS ts")))
+    newest = statuses.groupBy("account").agg(F.max_by(F.struct("status", "n_updates"), F.struct("since", F.col("status") == "OK")).alias("s"), F.max("since").alias("since"))
+    every = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("account"))
+    return every.join(newest, "account", "left").select("account", F.col("since").cast("string").alias("since"), F.coalesce("s.status", F.lit("MISSING")).alias("status"), F.coalesce("s.n_updates", F.lit(0)).alias("n_updates"))
+
+
+STALENESS_SQL = """
+WITH latest AS (SELECT o_custkey AS account, max(o_orderdate::DATE) AS day, count(DISTINCT o_orderdate::DATE) AS n FROM orders GROUP BY o_custkey),
+aged AS (SELECT *, date_diff('day', day, (SELECT max(day) FROM latest)) AS age FROM latest)
+SELECT c_custkey::VARCHAR AS account, coalesce(n, 0) AS n_updates,
+       CASE WHEN age IS NULL THEN 'MISSING' WHEN age > 45 THEN 'BROKEN' WHEN age >= 30 THEN 'CRITICAL' WHEN age >= 8 THEN 'STALE' ELSE 'OK' END AS status,
+       (day + CASE WHEN age > 45 THEN 46 WHEN age >= 30 THEN 30 WHEN age >= 8 THEN 8 ELSE 0 END)::DATE::VARCHAR AS since
+FROM customer LEFT JOIN aged ON account = c_custkey
+"""
+
+
 def lagged_overlay(ticks: DataFrame, overlay: DataFrame, lag_days: int = 1) -> DataFrame:
     """A stream (or table) of ``(event_id, ts, symbol, price)`` with the newest
     ``value`` of ``overlay`` (``symbol, day, value``) that may be known: a day's
@@ -174,10 +130,11 @@ FROM events WHERE value IS NOT NULL GROUP BY event_type, date_trunc('hour', ts)
 def queries() -> dict:
     return {
         "m02_streaming_accounts": streaming_accounts,
+        "m07_streaming_staleness": streaming_staleness,
         "m09_streaming_bars": lambda spark, sf_dir: whole_bars(spark, sf_dir).drop("open_bar"),
         "m10_streaming_overlay": streaming_overlay,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"m02_streaming_accounts": ACCOUNTS_SQL, "m09_streaming_bars": BARS_SQL, "m10_streaming_overlay": OVERLAY_SQL}
+    return {"m02_streaming_accounts": ACCOUNTS_SQL, "m07_streaming_staleness": STALENESS_SQL, "m09_streaming_bars": BARS_SQL, "m10_streaming_overlay": OVERLAY_SQL}

@@ -1,5 +1,6 @@
 """Significance, streams and studies against plain versions."""
 
+import datetime
 import math
 import os
 import random
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import significance
 from panelspark.plans import studies
 from panelspark.sources.panels import run_query
-from panelspark.streaming import bars
+from panelspark.streaming import bars, state
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
@@ -72,24 +73,47 @@ def plain_marks(rows, cash=10_000.0, cost=0.001):
     return out
 
 
-def test_accounts_go_on_from_their_state(spark):
-    """One batch, and the same updates in three batches, give the plain marks."""
+def stream_of(spark, schema, folder):
+    return spark.readStream.schema(schema).parquet(str(folder))
+
+
+def test_accounts_go_on_from_their_state(spark, tmp_path):
+    """The same updates at once, and in three runs that each start from the checkpoint, give the plain marks."""
     schema = "account string, at long, symbol string, price double, weight double"
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), 10 * t + rng.randrange(3), rng.choice("xyz"), rng.choice([1.0, 2.0, 3.5]), rng.choice([-0.5, 0.0, 0.4, 1.0])) for t in range(60) for _ in range(2)]
     rows += [("c", 1, "x", None, 1.0), ("c", 1, "x", -1.0, 1.0), rows[0], rows[7]]
+    rows += [("d", 1, "x", 2.0, 1.0), ("d", 2, "x", 4.0, 2001.0), ("d", 303, "x", 4.0, 0.0)]  # lost for good
     want = plain_marks(rows)
-    for cuts in ((0, 10**9), (0, 200, 400, 10**9)):
-        state, got = spark.createDataFrame([], bars.STATE), {}
+    assert want["d", 303][2] == 0.0
+    for k, cuts in enumerate(((0, 10**9), (0, 200, 400, 10**9))):
+        folder, path = tmp_path / str(k), str(tmp_path / f"marks{k}")
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             part = [r for r in rows if lo <= r[1] < hi] + [r for r in rows if r[1] < lo][:5]  # old ones are no news
-            marks, state = bars.marked(spark.createDataFrame(part, schema), state)
-            got |= {(r.account, r.at): (r.growth, r.turnover, r.equity) for r in marks.collect()}
-            state = spark.createDataFrame(state.collect(), bars.STATE)
-        assert got.keys() == want.keys()
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(folder))
+            marks = state.finished(spark, state.accounts(stream_of(spark, schema, folder)), path)
+        got = {(r.account, r.at): (r.growth, r.turnover, r.equity) for r in marks.collect()}
+        assert got.keys() == want.keys() and marks.count() == len(got)
         assert all(got[k] == pytest.approx(want[k]) for k in want)
-    marks, _ = bars.marked(spark.createDataFrame([("a", 1, "x", 2.0, 1.0), ("a", 2, "x", 4.0, 2001.0), ("a", 3, "x", 4.0, 0.0)], schema), spark.createDataFrame([], bars.STATE))
-    assert [r.equity for r in marks.orderBy("at").collect()][1:] == [0.0, 0.0]  # lost for good
+
+
+def test_statuses_by_timers(spark, tmp_path):
+    """An account without updates goes down the ladder as the others' days pass, also after a restart."""
+    schema, path = "account string, ts timestamp", str(tmp_path / "statuses")
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    seen = {}
+    for part in ([("a", 0), ("b", 0), ("b", 0)], [("b", 9), ("b", 10)], [("b", 20), ("c", 35), ("b", 3)], [("c", 47), ("b", 100), ("a", 100)]):
+        spark.createDataFrame([(a, day(n)) for a, n in part], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows = state.finished(spark, state.watched(stream_of(spark, schema, tmp_path / "in")), path).collect()
+        for r in rows:
+            seen.setdefault(r.account, set()).add(((r.since - datetime.date(2024, 1, 1)).days, r.status, r.n_updates))
+        assert len(rows) == sum(map(len, seen.values()))  # nothing twice
+        if part[0] == ("b", 9):
+            assert (8, "STALE", 1) in seen["a"] and (30, "CRITICAL", 1) not in seen["a"]
+    assert seen["a"] == {(0, "OK", 1), (8, "STALE", 1), (30, "CRITICAL", 1), (46, "BROKEN", 1), (100, "OK", 2)}
+    assert {x for x in seen["b"] if x[1] != "OK"} == {(8, "STALE", 1), (18, "STALE", 3), (28, "STALE", 4), (50, "CRITICAL", 4), (66, "BROKEN", 4)}
+    assert {x[0] for x in seen["b"] if x[1] == "OK"} == {0, 9, 10, 20, 100} and max(x[2] for x in seen["b"]) == 5
+    assert (55, "STALE", 2) in seen["c"] and (93, "BROKEN", 2) in seen["c"]
 
 
 @needs_tables
