@@ -37,8 +37,8 @@ from panelspark.llm.common import HashIndex, lowered, mixed, pieces, prefix_sums
 
 #: Words and pairs that go to the tasks; all others are joined.
 FREQUENT_WORDS, FREQUENT_PAIRS = 1_000_000, 2_000_000
-#: Occurrences from which a word or pair is frequent in any case: a corpus has few such.
-ALWAYS = 1 << 16
+#: Counts below this are told apart one by one, higher ones by their five leading bits.
+EXACT = 1 << 16
 #: What a word adds to the losses of the pairs that it begins (tokens and kinds of
 #: words after it) and that it ends (its tokens), for the background and the target.
 PARTS = ("after_b", "kinds_b", "after_t", "kinds_t", "own_b", "own_t")
@@ -140,9 +140,13 @@ def word_parts(pairs: DataFrame) -> DataFrame:
 
 
 def frequent_from(table: DataFrame, count: Column, most: int) -> int:
-    """The smallest count that at most ``most`` rows reach (or :data:`ALWAYS`)."""
-    sizes = {r.n: r.rows for r in table.groupBy(F.least(count, F.lit(ALWAYS)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}
-    total, low = 0, ALWAYS
+    """A count that at most ``most`` rows reach: the smallest, or from :data:`EXACT` on
+    the smallest with five leading bits. Where a single one of these has more rows,
+    it is one that none reaches."""
+    shift = F.greatest(F.length(F.bin(count)) - 5, F.lit(0))
+    coarse = F.call_function("shiftleft", F.call_function("shiftright", count, shift), shift)
+    sizes = {r.n: r.rows for r in table.groupBy(F.when(count < EXACT, count).otherwise(coarse).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    total, low = 0, 1 << 62
     for n in sorted(sizes, reverse=True):
         total += sizes[n]
         if total > most:

@@ -101,19 +101,23 @@ def _fold(items: Column, level: int, seed: int) -> Column:
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
     """The rows of ``docs`` that the mix takes, with ``copies``, ``taken``, ``size``,
-    ``source_size`` and ``target`` (which replace columns of these names)."""
+    ``source_size`` and ``target`` (which replace columns of these names). The
+    draws depend on doc_id (a number) and text, not on the layout of the rows; rows
+    that are equal in both are interchangeable, and share a block of the tree."""
     new = ("copies", "taken", "size", "source_size", "target")
     # rows get numbers that are written with them, so that each finds its own copies again
-    kept = saved(docs.withColumn("__row", F.monotonically_increasing_id()))
-    plan = mix_sources(kept.withColumn("doc_id", F.col("__row")), weights, max_copies).where("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("__of"), *new)
-    return kept.drop(*new).join(plan, F.col("__row") == F.col("__of")).select(*[c for c in docs.columns if c not in new], *new)
+    kept = saved(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    plan = mix_sources(kept.select("doc.doc_id", "doc.text", "doc.source", "row"), weights, max_copies, key="row").where("copies > 0")
+    plan = plan.select(F.col("doc_id").alias("of"), *new)
+    return kept.join(plan, F.col("row") == F.col("of")).select(*[F.col("doc")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, fan_in: int = 256, seed: int = 6) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, fan_in: int = 256, seed: int = 6, key: str = "doc_id") -> DataFrame:
     """``doc_id, size, source_size, target, copies, taken`` for each row of ``docs``
-    (``doc_id, text, source``). The draws depend on ``seed`` and the rows alone."""
-    sizes = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("tie")))
+    (``doc_id, text, source``). The draws depend on ``seed`` and the rows alone.
+    With another ``key``, a column of ``docs``, its value is returned as ``doc_id``."""
+    spread = ["tie", "doc_id"] if key == "doc_id" else ["tie"]  # what the blocks are dealt by
+    sizes = saved(docs.select(F.col(key).cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]).alias("tie")))
     targets = saved(source_targets(sizes, weights, max_copies))
     due = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     due = F.least(due, F.lit(float(max_copies)))
@@ -124,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copie
     most = (targets.agg(F.max("source_rows")).first()[0] or 0)
     decided, level = [rows.where("size = 0").select(*place, "doc_id", "size", F.lit(0).alias("extra"))], 0
     while True:
-        block = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "tie", "doc_id"), F.col("blocks"))
+        block = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), *spread), F.col("blocks"))
         item = F.struct("doc_id", "size", "p", "tie")
         ordered = F.array_sort(F.collect_list(item), lambda a, b: F.when(a["size"] > b["size"], -1).when(a["size"] < b["size"], 1).when(a["tie"] < b["tie"], -1).when(a["tie"] > b["tie"], 1).otherwise(0))
         folded = open_rows.withColumn("block", block).groupBy(*place, "block", "blocks").agg(ordered.alias("items")).withColumn("state", _fold(F.col("items"), level, seed)).drop("items")
