@@ -40,6 +40,14 @@ def unpivot(source: str, kept: str, runs: dict[int | str, str], value: str = "sc
     )
 
 
+def within(name: str, rows: str, windows: str, columns: str, lo: str, hi: str) -> tuple[str, str]:
+    """Step ``name``: ``columns`` of rows ``g`` and of the windows ``w`` of bars from ``lo``
+    to before ``hi`` in which they lie. Spark deals each window out to its bars, so the
+    join is on equal numbers; the oracle compares ranges."""
+    spread = f"SELECT *, explode(sequence(CAST({lo} AS BIGINT), CAST({hi} AS BIGINT) - 1)) AS at FROM {windows}"
+    return name, Both(f"SELECT {columns} FROM {rows} g JOIN ({spread}) w ON w.at = g.bar_idx", f"SELECT {columns} FROM {rows} g JOIN {windows} w ON g.bar_idx >= w.{lo} AND g.bar_idx < w.{hi}")
+
+
 CELL = "bar_idx, ts, symbol, close, volume"
 
 
@@ -169,6 +177,13 @@ def flagship_sql() -> PanelQuery:
     return steps_sql("w", [*scores(), *weights(), *accounting(), *performance()], _METRICS)
 
 
+def top_symbols(source: str, value: str, without: str = "", quote: str = "", n: int = 10) -> Steps:
+    """``top_symbols``: symbol, total of the n symbols of most ``value`` that end in ``quote`` and do not begin with ``without``."""
+    tests = [f"symbol LIKE '%{quote}'"] * bool(quote) + [f"symbol NOT LIKE '{without}%'"] * bool(without)
+    where = f" WHERE {' AND '.join(tests)}" if tests else ""
+    return [("totals", f"SELECT symbol, sum({value}) AS total FROM {source}{where} GROUP BY symbol"), ("top_symbols", f"SELECT symbol, total FROM totals ORDER BY total DESC, symbol LIMIT {n}")]
+
+
 AHEAD = "lead(close, {}) OVER (PARTITION BY {}symbol ORDER BY bar_idx) / nullif(close, 0) - 1 AS fwd"
 
 
@@ -210,11 +225,12 @@ def all_sql() -> dict[str, PanelQuery | str]:
         "a11_panel": w([], "SELECT bar_idx, symbol, open, high, low, close, volume FROM grid"),
         "a12_volumes": d([], "SELECT bar_idx, symbol, coalesce(volume, 0.0) AS volume FROM grid"),
         "a13_clean_universe": d([("names", "SELECT concat(symbol, CASE WHEN length(symbol) = 1 THEN '-X' WHEN symbol LIKE '%0' THEN 'usdt' ELSE 'USDT' END) AS symbol, count(*) AS n_bars FROM bars GROUP BY symbol")], f"SELECT symbol, n_bars FROM names WHERE n_bars >= 365 AND symbol NOT IN ({', '.join(map(repr, PEGGED))}) AND MATCHES[symbol|{LISTED};]"),
-        "a14_top_by_volume": d([("totals", "SELECT symbol, sum(volume) AS total FROM bars WHERE symbol NOT LIKE '9%' GROUP BY symbol")], "SELECT symbol, round(total, 4) AS volume FROM totals ORDER BY total DESC, symbol LIMIT 10"),
+        "a14_top_by_volume": d(top_symbols("bars", "volume", "9"), "SELECT symbol, round(total, 4) AS volume FROM top_symbols"),
+        "a14_top_of_quote": w(top_symbols("bars", "traded", "Brand#1", "5", 2), "SELECT symbol, round(total, 2) AS traded FROM top_symbols"),
         "a18_snap_last": _SNAPPED,
         "a24_bars": w([], "SELECT symbol, ts, open, high, low, close, volume FROM bars"),
         "a25_survivors": d([], "SELECT symbol FROM bars GROUP BY symbol HAVING max(ts) = (SELECT max(ts) FROM bars)"),
-        "c05_range_join": w([("windows", "SELECT * FROM (VALUES (0, 0, 60), (1, 60, 120), (2, 120, 180)) AS v(id, lo, hi)")], "SELECT id, symbol, round(avg(close), 6) AS mean_close FROM grid JOIN windows ON bar_idx >= lo AND bar_idx < hi GROUP BY id, symbol"),
+        "c05_range_join": w([("windows", "SELECT * FROM (VALUES (0, 0, 60), (1, 60, 120), (2, 100, 180)) AS v(id, lo, hi)"), within("inside", "grid", "windows", "w.id, g.symbol, g.close", "lo", "hi")], "SELECT id, symbol, round(avg(close), 6) AS mean_close FROM inside GROUP BY id, symbol"),
         "f01_forward_returns": w([*scores(), *_ic()], "SELECT bar_idx, symbol, round(fwd, 6) AS fwd FROM ahead"),
         "f02_rank_ic": w([*scores(), *_ic()], "SELECT bar_idx, n, round(ic, 6) AS ic FROM ic"),
         "f03_information_coefficient": w([*scores((1, 2, 4, 8, 20)), *_ic()], "SELECT run_id, n, round(mean_ic, 6) AS mean_ic, round(t, 6) AS t, round(ir, 6) AS ir, round(hit, 6) AS hit FROM ic_stats"),
@@ -250,7 +266,7 @@ def all_sql() -> dict[str, PanelQuery | str]:
         "l08_pair_return": w([("pairs", "SELECT bar_idx, symbol, (discount - 0.05) / 100 AS funding, tax - 0.04 AS basis FROM grid")], "SELECT bar_idx, symbol, round(funding - coalesce(basis - lag(basis) OVER (PARTITION BY symbol ORDER BY bar_idx), 0.0), 8) AS ret FROM pairs"),
         "l16_market_return": w([("rets", "SELECT bar_idx, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY bar_idx), 0) - 1 AS r FROM grid")], "SELECT bar_idx, round(avg(r), 8) AS r FROM rets GROUP BY bar_idx HAVING count(r) = count(*)"),
         "m05_latest_price": w([], "SELECT symbol, close FROM grid WHERE bar_idx = (SELECT max(bar_idx) FROM grid) AND close IS NOT NULL"),
-        "n01_top_of_book": w([("levels", "SELECT ts, l_linestatus AS side, round(price, 0) AS price, sum(qty) AS qty FROM ticks GROUP BY ts, l_linestatus, round(price, 0)")], "SELECT ts, max(CASE WHEN side = 'O' THEN price END) AS bid, min(CASE WHEN side = 'F' THEN price END) AS ask FROM levels GROUP BY ts"),
+        "n01_top_of_book": w([("levels", "SELECT ts, l_linestatus AS side, round(price, 0) AS price, sum(qty) AS qty FROM ticks GROUP BY ts, l_linestatus, round(price, 0)")], "SELECT ts, bid, ask, (bid + ask) / 2 AS mid, ask - bid AS spread FROM (SELECT ts, max(CASE WHEN side = 'O' THEN price END) AS bid, min(CASE WHEN side = 'F' THEN price END) AS ask FROM levels GROUP BY ts) t"),
         "n02_levels": w([], "SELECT ts, l_linestatus AS side, round(price, 0) AS price, sum(qty) AS qty FROM ticks GROUP BY ts, l_linestatus, round(price, 0)"),
     }
     return out

@@ -103,7 +103,7 @@ def walk(train: int = 120, test: int = 40, step: int = 40, grid: dict[int, str]
     return [
         ("windows", f"SELECT bar_idx AS lo FROM calendar WHERE bar_idx % {step} = 0 AND bar_idx + {train + test} <= (SELECT count(*) FROM calendar)"),
         ("sides", f"SELECT lo, 0 AS side, lo AS a, lo + {train} AS b FROM windows UNION ALL SELECT lo, 1 AS side, lo + {train} AS a, lo + {train + test} AS b FROM windows"),
-        ("cut", "SELECT s.lo * 2 + s.side AS slice, g.bar_idx - s.a AS bar_idx, g.ts, g.symbol, g.close, g.volume, g.discount, g.tax FROM grid g JOIN sides s ON g.bar_idx >= s.a AND g.bar_idx < s.b"),
+        book.within("cut", "grid", "sides", "w.lo * 2 + w.side AS slice, g.bar_idx - w.a AS bar_idx, g.ts, g.symbol, g.close, g.volume, g.discount, g.tax", "a", "b"),
         ("lagged", f"SELECT *, {columns} FROM cut"),
         ("scored", unpivot("lagged", CELL, {f"slice * 100 + {k}": names[x] for k, x in grid.items()})),
         *(weigh or book.weights()),
@@ -297,6 +297,7 @@ def all_sql() -> dict[str, str]:
         "l11_realised_carry": w(carry(), f"SELECT round({product('(1 + carry)')} - 1, 8) AS realised FROM carried WHERE ts > DATE '2000-01-01'"),
         "l12_always_or_timed": w([*carry(), ("always", "SELECT bar_idx, avg(coalesce(funding, 0.0)) AS harvest FROM pairs GROUP BY bar_idx")], "SELECT a.bar_idx, round(a.harvest, 10) AS always_on, round(c.carry, 10) AS timed FROM always a JOIN carried c ON c.bar_idx = a.bar_idx"),
         "l13_adverse_moves": w([("moved", f"SELECT symbol, bar_idx, high / nullif(lag(close) OVER ({SYMBOL}), 0) - 1 AS up FROM grid"), _values("levers", "leverage", [(5,), (10,), (20,)])], "SELECT leverage, count(up) AS n, CAST(sum(CASE WHEN up > 1e0 / leverage THEN 1 ELSE 0 END) AS BIGINT) AS n_liquidated, round(max(up), 8) AS worst FROM moved CROSS JOIN levers GROUP BY leverage"),
+        "l13_worst_moves": w([("moved", f"SELECT symbol, ts, high / nullif(lag(close) OVER ({SYMBOL}), 0) - 1 AS up FROM grid")], "SELECT symbol, ts, round(up, 8) AS up, CASE WHEN up > 0.2 THEN 5 WHEN up > 0.1 THEN 10 WHEN up > 0.05 THEN 20 END AS liquidates_from FROM moved WHERE up IS NOT NULL ORDER BY round(up, 8) DESC, symbol, ts LIMIT 20"),
         "l14_siloed_margin": w([*carry(), ("adverse", f"SELECT bar_idx, ret, lately, high / nullif(lag(close) OVER ({SYMBOL}), 0) - 1 AS up FROM pair_returns"), _values("levers", "leverage", [(5,), (10,), (20,)])], "SELECT leverage, bar_idx, round(avg(CASE WHEN up > 1e0 / leverage THEN -1e0 / leverage ELSE ret END), 10) AS r FROM adverse CROSS JOIN levers WHERE lately > 0 AND ret IS NOT NULL GROUP BY leverage, bar_idx"),
         "l15_macro_timing": w(_macro(), "SELECT t.bar_idx, t.lookback, t.pos, round(t.ret, 8) AS r, CASE WHEN t.bar_idx < 178 THEN 'in' ELSE 'out' END AS side FROM timed_returns t JOIN best_lookback b ON b.lookback = t.lookback"),
         "m01_ledger": w([*book.scores((1, 4, 8)), *book.weights(), *ledger()], "SELECT run_id, bar_idx, round(growth, 8) AS growth, round(turnover, 6) AS turnover, round(equity, 4) AS equity FROM ledgers"),

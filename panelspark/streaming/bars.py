@@ -84,11 +84,16 @@ def lagged_overlay(ticks: DataFrame, overlay: DataFrame, lag_days: int = 1) -> D
     """A stream (or table) of ``(event_id, ts, symbol, price)`` with the newest
     ``value`` of ``overlay`` (``symbol, day, value``) that may be known: a day's
     value counts from ``lag_days`` later on, until the next one does. No value
-    yet: null. One overlay row for each symbol and day."""
-    usable = F.date_add("day", lag_days).cast("timestamp")
-    spans = overlay.select(F.col("symbol").alias("of"), "value", usable.alias("since")).withColumn("until", F.lead("since").over(Window.partitionBy("of").orderBy("since")))
-    known = (F.col("symbol") == F.col("of")) & (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
-    return ticks.join(spans, known, "left").select("event_id", "ts", "symbol", "price", F.col("value").alias("overlay"))
+    yet: null. One overlay row for each symbol and day. The joins are on equal
+    days, so a tick meets one row, whatever the overlay's length."""
+    usable = F.date_add("day", lag_days)
+    by_day = Window.partitionBy("of").orderBy("since")
+    spans = overlay.select(F.col("symbol").alias("of"), "value", usable.alias("since")).withColumn("until", F.coalesce(F.lead("since").over(by_day), F.date_add("since", 1)))
+    # one row for each day; the newest value holds on from its day
+    days = spans.select("of", "value", F.explode(F.sequence("since", F.date_sub("until", 1))).alias("on"))
+    newest = overlay.groupBy(F.col("symbol").alias("known")).agg(F.max(usable).alias("newest"))
+    ticks = ticks.join(newest, F.col("symbol") == F.col("known"), "left").withColumn("day_of", F.least(F.col("ts").cast("date"), F.col("newest")))
+    return ticks.join(days, (F.col("symbol") == F.col("of")) & (F.col("day_of") == F.col("on")), "left").select("event_id", "ts", "symbol", "price", F.col("value").alias("overlay"))
 
 
 #: Mean value of each kind on every third day.
