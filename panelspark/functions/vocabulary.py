@@ -145,34 +145,66 @@ class Formula:
 
     # along the bars of a symbol
 
+    def _runs(self, n: int, aggregates: dict[str, str]) -> tuple[dict[str, str], dict[str, str], str]:
+        """Aggregates of the two runs that make up the last n bars, for frames that
+        Spark would read anew for each row: from the frame's first bar to the end of
+        its block, and from the begin of the current block of n bars to the current
+        bar. The first is empty (null) where the current block is the frame."""
+        block = self.let(f"floor(bar_idx / {n}e0)")
+        run = f"PARTITION BY symbol, {block} ORDER BY bar_idx"
+        upto, onward, whole = {}, {}, f"bar_idx % {n} = {n - 1}"
+        for key, aggregate in aggregates.items():
+            upto[key] = self.let(f"{aggregate} OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+            back = self.let(f"{aggregate} OVER ({run} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+            onward[key] = self.let(f"lag({back}, {n - 1}) OVER ({_SYMBOL})")
+        return {k: self.let(f"CASE WHEN {whole} THEN NULL ELSE {v} END") for k, v in onward.items()}, upto, whole
+
+    def _moments(self, x: str, y: str, n: int) -> dict[str, str]:
+        """Count ``n``, means and central sums ``xx, yy, xy`` of the pairs of the last n
+        bars, merged from two runs: each run's moments are about its own means, so no
+        level is squared. ``x`` and ``y`` are missing together."""
+        each = {"n": f"count({x})", "x": f"avg({x})", "xx": f"var_pop({x})"}
+        if y != x:
+            each |= {"y": f"avg({y})", "yy": f"var_pop({y})", "xy": f"covar_pop({x}, {y})"}
+        a, b, _ = self._runs(n, each)
+        na, nb = f"coalesce({a['n']}, 0)", b["n"]
+        total = self.let(f"{na} + {nb}")
+        out = {"n": total}
+        for m in ("x", "y") if y != x else ("x",):
+            out[m] = self.let(f"(coalesce({na} * {a[m]}, 0) + coalesce({nb} * {b[m]}, 0)) / nullif({total} * 1e0, 0)")
+        for m in ("xx", "yy", "xy") if y != x else ("xx",):
+            apart = f"({a[m[0]]} - {b[m[0]]}) * ({a[m[1]]} - {b[m[1]]}) * {na} * {nb} / nullif({total} * 1e0, 0)"
+            out[m] = self.let(f"coalesce({na} * {a[m]}, 0) + coalesce({nb} * {b[m]}, 0) + coalesce({apart}, 0)")
+        return out
+
     def ts_mean(self, x: str, n: int) -> str:
         x = self.let(x)
-        return self._warm(n, f"avg({x}) OVER {self._last(n)}")
+        return self._warm(n, self._moments(x, x, n)["x"] if n >= _LONG else f"avg({x}) OVER {self._last(n)}")
 
     def ts_sum(self, x: str, n: int) -> str:
         """0 where all are missing."""
         x = self.let(x)
+        if n >= _LONG:
+            a, b, _ = self._runs(n, {"sum": f"sum({x})"})
+            return self._warm(n, f"coalesce({a['sum']}, 0.0) + coalesce({b['sum']}, 0.0)")
         return self._warm(n, f"coalesce(sum({x}) OVER {self._last(n)}, 0.0)")
 
     def ts_std(self, x: str, n: int) -> str:
         if n < 2:
             raise ValueError("a deviation needs two bars")
         x = self.let(x)
+        if n >= _LONG:
+            m = self._moments(x, x, n)
+            return self._warm(n, f"CASE WHEN {m['n']} > 1 THEN sqrt(greatest({m['xx']}, 0e0) / ({m['n']} - 1)) END")
         return self._warm(n, f"stddev_samp({x}) OVER {self._last(n)}")
 
     def _extreme(self, x: str, n: int, side: str) -> str:
-        """The extreme of the last n bars. Over a long frame, which Spark would
-        read anew for each row, it is that of two runs: from the frame's first bar
-        to its block's end, and from the current block's begin to the current bar."""
+        """The extreme of the last n bars; over a long frame, of its two runs."""
         x = self.let(x)
         if n < _LONG:
             return self._warm(n, f"{side}({x}) OVER {self._last(n)}")
-        block = self.let(f"floor(bar_idx / {n}e0)")
-        run = f"PARTITION BY symbol, {block} ORDER BY bar_idx"
-        upto = self.let(f"{side}({x}) OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-        onward = self.let(f"{side}({x}) OVER ({run} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-        before = self.let(f"lag({onward}, {n - 1}) OVER ({_SYMBOL})")
-        return self._warm(n, f"{'greatest' if side == 'max' else 'least'}({before}, {upto})")
+        a, b, _ = self._runs(n, {"best": f"{side}({x})"})
+        return self._warm(n, f"CASE WHEN {a['best']} IS NULL THEN {b['best']} WHEN {b['best']} IS NULL THEN {a['best']} ELSE {'greatest' if side == 'max' else 'least'}({a['best']}, {b['best']}) END")
 
     def ts_max(self, x: str, n: int) -> str:
         return self._extreme(x, n, "max")
@@ -205,17 +237,28 @@ class Formula:
 
     def ts_cov(self, x: str, y: str, n: int) -> str:
         x, y = self._pair(x, y)
+        if n >= _LONG:
+            m = self._moments(x, y, n)
+            return self._warm(n, f"CASE WHEN {m['n']} = {n} THEN {m['xy' if y != x else 'xx']} / {n - 1} END")
         return self._warm(n, f"CASE WHEN count({x}) OVER {self._last(n)} = {n} THEN covar_samp({x}, {y}) OVER {self._last(n)} END")
 
+    def _moved(self, x: str) -> str:
+        """``x`` less a symbol's first value: what is left of a level by rounding is small against it."""
+        return self.let(f"{x} - EARLIEST[{x}] OVER ({_SYMBOL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
     def ts_corr(self, x: str, y: str, n: int) -> str:
-        """Needs n pairs; missing where either side is (numerically) constant."""
-        a, b = self._pair(x, y)
+        """Needs n pairs; missing where either side is constant but for rounding."""
+        a, b = (self._moved(c) for c in self._pair(x, y))
         w = self._last(n)
-        sa, sb = self.let(f"stddev_samp({a}) OVER {w}"), self.let(f"stddev_samp({b}) OVER {w}")
-        ma, mb = self.let(f"max(abs({a})) OVER {w}"), self.let(f"max(abs({b})) OVER {w}")
-        corr = self.let(f"{self.ts_cov(x, y, n)} / nullif({sa} * {sb}, 0)")
+        if n >= _LONG:
+            m = self._moments(a, b, n)
+            sa, sb = (self.let(f"sqrt(greatest({m[c]}, 0e0) / {n - 1})") for c in ("xx", "yy" if b != a else "xx"))
+        else:
+            sa, sb = self.let(f"stddev_samp({a}) OVER {w}"), self.let(f"stddev_samp({b}) OVER {w}")
+        ma, mb = (self._extreme(f"abs({c})", n, "max") for c in (a, b))
+        corr = self.let(f"{self.ts_cov(a, b, n)} / nullif({sa} * {sb}, 0)")
         # what is left of a zero by the order of adding is a zero
-        return self.let(f"CASE WHEN {sa} > 1e-9 * {ma} AND {sb} > 1e-9 * {mb} THEN CASE WHEN abs({corr}) < 1e-12 THEN 0e0 ELSE {corr} END END")
+        return self.let(f"CASE WHEN {sa} > 1e-13 * {ma} AND {sb} > 1e-13 * {mb} THEN CASE WHEN abs({corr}) < 1e-12 THEN 0e0 ELSE {corr} END END")
 
     def delay(self, x: str, d: int) -> str:
         if d < 1:

@@ -23,7 +23,7 @@ from panelspark.sources.shared import saved
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 #: Words for what the dialects name differently. LISTED: the values of a frame; BELOW, SAME: how many of a
-#: list are below or equal a value; FIRST: the place of the first that is equal; RISING: values times 1, 2, 3, ...
+#: list are below or equal a value; FIRST: the place of the first that is equal; EARLIEST: the first valid value; RISING: values times 1, 2, 3, ...
 _TOKENS = {
     "spark": {
         r"LISTED\[([^|]*)\|([^\]]*)\]": r"collect_list(\1) OVER \2",
@@ -31,6 +31,7 @@ _TOKENS = {
         r"SAME\[([^|]*)\|([^\]]*)\]": r"size(filter(\1, v -> v = \2))",
         r"LENGTH\[([^\]]*)\]": r"size(\1)",
         r"FIRST\[([^|]*)\|([^\]]*)\]": r"array_position(\1, \2)",
+        r"EARLIEST\[([^\]]*)\]": r"first_value(\1, true)",
         r"RISING\[([^|]*)\|([^\]]*)\]": r"aggregate(sequence(1, \2), 0D, (s, i) -> s + i * element_at(\1, i))",
         r"MILLIS\[([^\]]*)\]": r"unix_millis(CAST(\1 AS TIMESTAMP))", r"DAYS\[([^|]*)\|([^\]]*)\]": r"datediff(\2, \1)", r"MATCHES\[([^|]*)\|([^;]*);\]": r"\1 RLIKE '\2'"},
     "duckdb": {
@@ -39,6 +40,7 @@ _TOKENS = {
         r"SAME\[([^|]*)\|([^\]]*)\]": r"len(list_filter(\1, lambda v: v = \2))",
         r"LENGTH\[([^\]]*)\]": r"len(\1)",
         r"FIRST\[([^|]*)\|([^\]]*)\]": r"list_position(\1, \2)",
+        r"EARLIEST\[([^\]]*)\]": r"first_value(\1 IGNORE NULLS)",
         r"RISING\[([^|]*)\|([^\]]*)\]": r"list_sum(list_transform(range(1, \2 + 1), lambda i: i * \1[i]))",
         r"MILLIS\[([^\]]*)\]": r"epoch_ms(\1)", r"DAYS\[([^|]*)\|([^\]]*)\]": r"date_diff('day', \1, \2)", r"MATCHES\[([^|]*)\|([^;]*);\]": r"regexp_matches(\1, '\2')"},
 }
