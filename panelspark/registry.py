@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import book, paths, significance
-from panelspark.plans import catalog, gauntlet, ledgers, studies
+from panelspark.plans import audits, catalog, gauntlet, ledgers, studies
 from panelspark.sources import feeds
 from panelspark.sources.panels import PanelQuery, oracle, run_query
 from panelspark.streaming import bars
@@ -19,7 +19,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named() -> dict[str, PanelQuery | str]:
-    return catalog.all_sql() | studies.all_sql() | studies.bench_sql()
+    return catalog.all_sql() | audits.all_sql() | studies.all_sql() | studies.bench_sql()
 
 
 def _query(query: PanelQuery | str) -> Callable[[SparkSession, str], DataFrame]:
