@@ -58,6 +58,7 @@ def gauntlet(spark: SparkSession, sf_dir: str, draws: int = 10, size: int = 12)
     drawn = run(steps_sql("w", _booked(_drawn(draws, size)), "SELECT run_id % 100 AS setting, avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END) AS positive FROM metrics GROUP BY run_id % 100"))
     names = spark.createDataFrame(list(enumerate(HYPOTHESES)), "config long, hypothesis string")
     out = best.join(names, "config").join(oos.select("config", "oos_sharpe"), "config").join(drawn, F.col("run_id") == F.col("setting"))
+    # fixed values
     passed = F.expr("oos_sharpe > 0.5 AND positive > 0.65 AND dsr > 0.6")
     return out.select("hypothesis", "setting", F.round("oos_sharpe", 5).alias("oos_sharpe"), "positive", "psr", "dsr", F.when(passed, "PASS").when(F.col("oos_sharpe") > 0, "weak").otherwise("REJECT").alias("verdict"))
 

@@ -31,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | paths.oracle_sql() | ledgers.oracle_sql() | bars.oracle_sql()
+    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | significance.oracle_sql() | paths.oracle_sql() | ledgers.oracle_sql() | bars.oracle_sql()

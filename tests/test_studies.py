@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import significance
-from panelspark.plans import studies
+from panelspark.plans import gauntlet, studies
 from panelspark.sources.panels import run_query
 from panelspark.streaming import bars, state
 
@@ -39,6 +39,40 @@ def test_significance(spark):
         assert dsr[k] == pytest.approx(NormalDist().cdf((m / s - expected) * math.sqrt(49) / spread))
 
 
+def test_normal_distribution(spark):
+    """Against the standard library, to twelve digits, and its inverse as far out as a billion trials."""
+    xs = [-9.0, -8.0, -7.5, -3.0, -1e-9, 0.0, 0.3, 1.0, 2.5, 5.0, 7.9, 12.0, None]
+    frame = spark.createDataFrame([(x,) for x in xs], "x double")
+    for r in frame.selectExpr("x", f"{significance.normal_cdf('x')} AS p").collect():
+        assert r.p is None if r.x is None else r.p == pytest.approx(0.5 * math.erfc(-r.x / math.sqrt(2)), abs=1e-13)
+    ps = [1e-9, 0.01, 0.3, 0.5, 0.75, 0.99, 1 - 1e-9, 0.0, 1.0, None]
+    frame = spark.createDataFrame([(p,) for p in ps], "p double")
+    for r in frame.selectExpr("p", f"{significance.normal_quantile('p')} AS z").collect():
+        assert r.z is None if r.p in (None, 0.0, 1.0) else r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-7, abs=1e-12)
+
+
+@needs_tables
+def test_gauntlet(spark):
+    """Each figure of the gauntlet from its own query; verdicts by the three thresholds."""
+    rows = gauntlet.gauntlet(spark, SF, draws=3, size=10).collect()
+    assert [r.hypothesis for r in sorted(rows, key=lambda r: r.setting)] == list(gauntlet.HYPOTHESES)
+    steps = gauntlet._booked(gauntlet._full())
+    ratios = {}
+    for r in gauntlet.steps_sql("w", steps, "SELECT run_id, r FROM bar_returns WHERE r IS NOT NULL").run(spark, SF).collect():
+        ratios.setdefault(r.run_id, []).append(r.r)
+    ratios = {k: mean(rs) / stdev(rs) for k, rs in ratios.items()}
+    z = NormalDist().inv_cdf
+    for r in rows:
+        config = r.setting // gauntlet.PER
+        trials = {k: x for k, x in ratios.items() if k // gauntlet.PER == config}
+        assert len(trials) == gauntlet.PER and trials[r.setting] == max(trials.values())
+        assert 0 <= r.dsr <= r.psr <= 1 and 0 <= r.positive <= 1 and (3 * r.positive) == pytest.approx(round(3 * r.positive))
+        expected = stdev(trials.values()) * ((1 - significance.GAMMA) * z(1 - 1 / 3) + significance.GAMMA * z(1 - 1 / (3 * math.e)))
+        assert (r.psr > 0.5) == (trials[r.setting] > 0) and (r.dsr > 0.5) == (trials[r.setting] > expected)
+        passed = r.oos_sharpe > 0.5 and r.positive > 0.65 and r.dsr > 0.6
+        assert r.verdict == ("PASS" if passed else "weak" if r.oos_sharpe > 0 else "REJECT")
+
+
 @needs_tables
 def test_streams_equal_batch(spark):
     batch = {}
