@@ -65,29 +65,30 @@ def scores(lookbacks: tuple[int, ...] = (1,), sign: int = -1) -> Steps:
     return strategy_scores({k: f"{sign} * {g.returns('close', k)}" for k in lookbacks}, g)
 
 
-def weights(kind: str = "neutral", top_k: int | str = 5, leverage: float = 1.0) -> Steps:
+def weights(kind: str = "neutral", top_k: int | str = 5, leverage: float = 1.0, directional: str = "") -> Steps:
     """``weighted``: the score's weight; fewer than two scores in a bar give a flat
-    book. ``top_k`` may be an SQL expression of ``run_id``, and ``kind`` one that
-    tells which runs are directional (the others are neutral)."""
+    book. ``kind`` is neutral, top or directional; ``top_k`` may be an SQL
+    expression of ``run_id``, and ``directional`` one that tells which runs are
+    directional whatever the kind."""
+    if kind not in ("neutral", "top", "directional"):
+        raise ValueError(f"no kind of weights: {kind}")
     x = "PARTITION BY run_id, bar_idx"
-    if kind == "directional":
-        centred = "score"
-    elif kind not in ("top", "neutral"):
-        centred = f"CASE WHEN {kind} THEN score ELSE score - avg(score) OVER ({x}) END"
-    elif kind == "top":
+    centred = "score" if kind == "directional" else f"score - avg(score) OVER ({x})"
+    if kind == "top":
         place = digits("score")
         up, down = f"row_number() OVER ({x} ORDER BY {place} DESC NULLS LAST, symbol)", f"row_number() OVER ({x} ORDER BY {place} NULLS LAST, symbol)"
-        centred = f"CASE WHEN score IS NULL THEN NULL WHEN 2 * {top_k} > count(score) OVER ({x}) THEN score - avg(score) OVER ({x}) WHEN {up} <= {top_k} THEN 1.0 WHEN {down} <= {top_k} THEN -1.0 ELSE 0.0 END"
-    else:
-        centred = f"score - avg(score) OVER ({x})"
+        centred = f"CASE WHEN score IS NULL THEN NULL WHEN 2 * {top_k} > count(score) OVER ({x}) THEN {centred} WHEN {up} <= {top_k} THEN 1.0 WHEN {down} <= {top_k} THEN -1.0 ELSE 0.0 END"
+    if directional:
+        centred = f"CASE WHEN {directional} THEN score ELSE {centred} END"
     return [
         ("centred", f"SELECT *, {centred} AS c, count(score) OVER ({x}) AS n_scores FROM scored"),
         ("weighted", f"SELECT run_id, bar_idx, ts, symbol, close, volume, score, CASE WHEN n_scores < 2 THEN 0.0 ELSE coalesce({leverage} * c / nullif(sum(abs(c)) OVER ({x}), 0), 0.0) END AS w FROM centred"),
     ]
 
 
-def limits(min_volume: float = 0.0, share: float | None = None, capital: float = 1e6, lookback: int = 20) -> Steps:
-    """``weighted`` with shorts only in traded names, and with a cap by traded value."""
+def limits(min_volume: float | str = 0.0, share: float | None = None, capital: float = 1e6, lookback: int = 20) -> Steps:
+    """``limited``: ``weighted`` with shorts only in traded names, and with a cap by traded
+    value. ``min_volume`` may be an SQL expression of ``run_id``."""
     dv = f"avg(close * volume) OVER (PARTITION BY run_id, symbol ORDER BY bar_idx ROWS BETWEEN {lookback - 1} PRECEDING AND CURRENT ROW)"
     w = f"CASE WHEN w < 0 AND NOT coalesce(dv >= {min_volume}, false) THEN 0.0 ELSE w END"
     if share is not None:

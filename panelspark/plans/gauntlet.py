@@ -32,7 +32,7 @@ def _full() -> Steps:
 
 
 def _booked(scored: Steps) -> Steps:
-    return [*scored, *book.weights(_TREND), *book.accounting(cost=0.0005, funding=_FUNDING), *book.performance()]
+    return [*scored, *book.weights(directional=_TREND), *book.accounting(cost=0.0005, funding=_FUNDING), *book.performance()]
 
 
 def _drawn(draws: int, size: int) -> Steps:
@@ -54,7 +54,7 @@ def gauntlet(spark: SparkSession, sf_dir: str, draws: int = 10, size: int = 12)
     stats = significance.moments(returns).withColumn("config", F.floor(F.col("run_id") / PER))
     judged = significance.probabilistic(significance.deflated(stats, ("config",)))
     best = judged.groupBy("config").agg(F.max_by(F.struct("run_id", "psr", "dsr"), F.struct("sr", -F.col("run_id"))).alias("b")).select("config", "b.*")
-    oos = run(PanelQuery(steps_sql("w", [*walk(grid=_SETTINGS, per=PER, weigh=book.weights(_TREND), cost=0.0005, funding=_FUNDING), TESTED], "").steps, STITCHED))
+    oos = run(PanelQuery(steps_sql("w", [*walk(grid=_SETTINGS, per=PER, weigh=book.weights(directional=_TREND), cost=0.0005, funding=_FUNDING), TESTED], "").steps, STITCHED))
     drawn = run(steps_sql("w", _booked(_drawn(draws, size)), "SELECT run_id % 100 AS setting, avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END) AS positive FROM metrics GROUP BY run_id % 100"))
     names = spark.createDataFrame(list(enumerate(HYPOTHESES)), "config long, hypothesis string")
     out = best.join(names, "config").join(oos.select("config", "oos_sharpe"), "config").join(drawn, F.col("run_id") == F.col("setting"))

@@ -53,9 +53,10 @@ def bench() -> tuple[Steps, dict[int, str]]:
     return [("ahead_grid", f"SELECT *, {book.AHEAD.format(1, '')} FROM grid"), *steps, wide, scored], {k: a.name for k, a in enumerate(alphas.ALPHAS.values(), 1)}
 
 
-def vol_target(target: float = 0.10, lookback: int = 20, every: int = 4, most: float = 2.0, per_year: int = 52) -> Steps:
-    """``targeted``: weights scaled to a volatility. The variance w'Cw of a book is
-    that of its past returns under today's weights, so no covariance is built."""
+def vol_target(target: float | str = 0.10, lookback: int = 20, every: int = 4, most: float = 2.0, per_year: int = 52) -> Steps:
+    """``targeted``: weights scaled to a volatility (an SQL expression of ``run_id``; null:
+    as they are). The variance w'Cw of a book is that of its past returns under
+    today's weights, so no covariance is built."""
     return [
         ("engine_returns", f"SELECT bar_idx, symbol, coalesce(close / nullif(lag(close) OVER ({SYMBOL}), 0) - 1, 0.0) AS r FROM grid"),
         _values("offsets", "back", [(k,) for k in range(lookback)]),
@@ -63,7 +64,7 @@ def vol_target(target: float = 0.10, lookback: int = 20, every: int = 4, most: f
         ("past", "SELECT w.run_id, w.bar_idx, w.s, sum(w.w * r.r) AS b FROM reached w JOIN engine_returns r ON r.symbol = w.symbol AND r.bar_idx = w.s WHERE w.s >= 1 GROUP BY w.run_id, w.bar_idx, w.s"),
         ("vols", f"SELECT run_id, bar_idx, count(*) AS n, sqrt(var_samp(b) * {per_year}) AS vol FROM past GROUP BY run_id, bar_idx HAVING count(*) > 1"),
         ("grossed", "SELECT *, sum(abs(w)) OVER (PARTITION BY run_id, bar_idx) AS book_gross FROM weighted"),
-        ("targeted", f"SELECT g.run_id, g.bar_idx, g.ts, g.symbol, g.close, g.volume, g.score, g.w * CASE WHEN v.n >= 5 AND v.vol > 1e-9 THEN least({target} / nullif(v.vol, 0), {most} / nullif(g.book_gross, 0)) ELSE 1.0 END AS w FROM grossed g LEFT JOIN vols v ON v.run_id = g.run_id AND v.bar_idx = g.bar_idx"),
+        ("targeted", f"SELECT g.run_id, g.bar_idx, g.ts, g.symbol, g.close, g.volume, g.score, g.w * CASE WHEN v.n >= 5 AND v.vol > 1e-9 AND ({target}) IS NOT NULL THEN least(({target}) / nullif(v.vol, 0), {most} / nullif(g.book_gross, 0)) ELSE 1.0 END AS w FROM grossed g LEFT JOIN vols v ON v.run_id = g.run_id AND v.bar_idx = g.bar_idx"),
     ]
 
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.operators import book, paths, significance
-from panelspark.plans import audits, catalog, gauntlet, ledgers, studies
-from panelspark.sources import feeds
+from panelspark.plans import audits, catalog, gauntlet, ledgers, sleeves, studies
+from panelspark.sources import feeds, store
 from panelspark.sources.panels import PanelQuery, oracle, run_query
 from panelspark.streaming import bars
 
@@ -19,7 +19,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named() -> dict[str, PanelQuery | str]:
-    return catalog.all_sql() | audits.all_sql() | studies.all_sql() | studies.bench_sql()
+    return catalog.all_sql() | audits.all_sql() | sleeves.all_sql() | studies.all_sql() | studies.bench_sql()
 
 
 def _query(query: PanelQuery | str) -> Callable[[SparkSession, str], DataFrame]:
@@ -27,8 +27,8 @@ def _query(query: PanelQuery | str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(query) for name, query in _named().items()} | feeds.queries() | significance.queries() | paths.queries() | ledgers.queries() | gauntlet.queries() | bars.queries()
+    return {name: _query(query) for name, query in _named().items()} | feeds.queries() | store.queries() | significance.queries() | paths.queries() | ledgers.queries() | gauntlet.queries() | bars.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | significance.oracle_sql() | paths.oracle_sql() | ledgers.oracle_sql() | bars.oracle_sql()
+    return {name: oracle(query) for name, query in _named().items()} | feeds.oracle_sql() | store.oracle_sql() | significance.oracle_sql() | paths.oracle_sql() | ledgers.oracle_sql() | bars.oracle_sql()

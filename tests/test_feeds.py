@@ -1,9 +1,10 @@
 """Landed pages and checked bar files."""
 
+import datetime
 import pytest
 from pyspark.errors import AnalysisException
 
-from panelspark.sources import feeds
+from panelspark.sources import feeds, store
 
 
 def test_pages(spark):
@@ -47,3 +48,18 @@ def test_series_files(spark, tmp_path):
             feeds.check_series(bad, value)
     with pytest.raises(AnalysisException):
         feeds.read_series(spark, f"{tmp_path}/nothing", "rate")
+
+
+def test_bar_store(spark, tmp_path):
+    """Overlapping deliveries add only new bars, the first of several; windows by symbol need no exchange."""
+    schema = "symbol string, ts timestamp, close double, source int"
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    first = [(s, day(t), 10.0 * t, 2) for s in "abc" for t in range(6)] + [("a", day(0), -1.0, 1), (None, day(1), 1.0, 1), ("b", None, 1.0, 1)]
+    assert store.add_bars(spark.createDataFrame(first, schema), "test_bars", ["source"], 4, str(tmp_path / "bars")) == 18
+    again = spark.createDataFrame([(s, day(t), 99.0, 1) for s in "bcd" for t in range(4, 8)], schema)
+    assert store.add_bars(again, "test_bars", ["source"]) == 8 and store.add_bars(again, "test_bars", ["source"]) == 0
+    bars = {(r.symbol, r.ts.day): r.close for r in spark.table("test_bars").collect()}
+    assert len(bars) == 26 and bars["a", 1] == -1.0 and bars["b", 5] == 40.0 and bars["b", 7] == 99.0
+    stored = spark.sql("SELECT symbol, ts, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS before FROM test_bars")
+    assert "Exchange" not in stored._jdf.queryExecution().executedPlan().toString()
+    spark.sql("DROP TABLE test_bars")

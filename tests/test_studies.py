@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import significance
-from panelspark.plans import gauntlet, studies
+from panelspark.plans import gauntlet, sleeves, studies
 from panelspark.sources.panels import run_query
 from panelspark.streaming import bars, state
 
@@ -51,6 +51,33 @@ def test_normal_distribution(spark):
         assert r.z is None if r.p in (None, 0.0, 1.0) else r.z == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-7, abs=1e-12)
 
 
+@needs_tables
+def test_sleeves(spark):
+    """Weights in each sleeve's own universe alone, gates and gross of each, and a book of their sum at equal risk."""
+    formula, own = sleeves._fixture()
+    steps = [*studies.OVERLAY, *sleeves.sleeve_book(formula, own, "aligned", every=4, suffix="1")]
+    run = lambda result: sleeves.steps_sql("w", steps, result).run(spark, SF).collect()
+    rows = [r for r in run("SELECT * FROM sleeve_weights WHERE bar_idx % 4 = 0") if abs(r.w) > 1e-12]
+    member = lambda k, symbol, bar: any(lo <= bar < hi and symbol.startswith(p.rstrip("%")) and (p.endswith("%") or p == symbol) for p, lo, hi in own[k - 1].members)
+    assert {r.run_id for r in rows} == {1, 2, 3, 4} and all(member(r.run_id, r.symbol, r.bar_idx) for r in rows)
+    assert {r.symbol[:7] for r in rows if r.run_id == 3 and r.bar_idx >= 200} <= {"Brand#2", "Brand#3"} and any(r.symbol.startswith("Brand#1") for r in rows if r.run_id == 3)
+    gross = {}
+    for r in rows:
+        gross[r.run_id, r.bar_idx] = gross.get((r.run_id, r.bar_idx), 0.0) + abs(r.w)
+    assert all(g <= (3 if k == 1 else 1) + 1e-9 for (k, _), g in gross.items())
+    shares = {r.run_id: (r.vol, r.share) for r in run("SELECT * FROM sleeve_shares")}
+    assert all(x[1] == pytest.approx(1 / x[0] / sum(1 / v for v, _ in shares.values())) for x in shares.values())
+    last, book = max(r.bar_idx for r in rows), {}
+    for r in rows:
+        if r.bar_idx == last:
+            name = r.symbol[:-1] if r.symbol.endswith("1") else r.symbol
+            book[name] = book.get(name, 0.0) + shares[r.run_id][1] * r.w
+    got = {r.symbol: r.weight for r in run("SELECT * FROM alpha_book")}
+    assert got == pytest.approx({k: v for k, v in book.items() if abs(v) > 1e-6})
+    with pytest.raises(ValueError):
+        sleeves.book.weights("neutrl")
+
+
 @needs_tables
 def test_gauntlet(spark):
     """Each figure of the gauntlet from its own query; verdicts by the three thresholds."""
