@@ -99,6 +99,8 @@ def walk(train: int = 120, test: int = 40, step: int = 40, grid: dict[int, str]
     strategy; each ``per`` settings are one study (``config``) that chooses among
     its own. ``weigh`` are the steps from ``scored`` to ``weighted``."""
     grid = grid or {k: reversal_of(k) for k in (1, 2, 4, 8)}
+    if not all(0 <= k < 100 for k in grid):
+        raise ValueError("settings are numbered from 0 to 99")
     names = {x: f"s{i}" for i, x in enumerate(dict.fromkeys(grid.values()))}
     columns = ", ".join(f"({x}) * 1e0 AS {name}" for x, name in names.items())
     return [

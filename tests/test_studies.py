@@ -74,8 +74,9 @@ def test_sleeves(spark):
             book[name] = book.get(name, 0.0) + shares[r.run_id][1] * r.w
     got = {r.symbol: r.weight for r in run("SELECT * FROM alpha_book")}
     assert got == pytest.approx({k: v for k, v in book.items() if abs(v) > 1e-6})
-    with pytest.raises(ValueError):
-        sleeves.book.weights("neutrl")
+    for wrong in (lambda: sleeves.book.weights("neutrl"), lambda: studies.walk(grid={100: studies.reversal_of(1)})):
+        with pytest.raises(ValueError):
+            wrong()
 
 
 @needs_tables
