@@ -76,13 +76,13 @@ def _cell(counts: list[Column]) -> Column:
 
 
 def _reached(counts: list[Column], cell: Column) -> Column:
-    """The cells that a surplus and a deficit of one can reach."""
+    """The cells of higher number that a surplus and a deficit of one can reach: of
+    two words in different cells the one of the lower cell looks for the other."""
     moves = []
-    for up in range(-1, SHARED):
-        for down in range(-1, SHARED):
-            if up != down or up < 0:
-                allowed = (counts[up] < MOST if up >= 0 else F.lit(True)) & (counts[down] > 0 if down >= 0 else F.lit(True))
-                moves.append(F.when(allowed, cell + ((MOST + 1) ** up if up >= 0 else 0) - ((MOST + 1) ** down if down >= 0 else 0)))
+    for up in range(SHARED):
+        for down in range(-1, up):
+            allowed = (counts[up] < MOST) & (counts[down] > 0 if down >= 0 else F.lit(True))
+            moves.append(F.when(allowed, cell + (MOST + 1) ** up - ((MOST + 1) ** down if down >= 0 else 0)))
     return F.filter(F.array(*moves), lambda c: c.isNotNull())
 
 
@@ -129,12 +129,15 @@ class Trie:
         order = np.lexsort(v.T[::-1])
         self.v, self.words, self.n = v[order], [words[i] for i in order], [n[i] for i in order]
 
-    def search(self, words: list[str]) -> Iterator[tuple[int, int]]:
-        """(place in ``words``, place in the trie) of all pairs one edit apart, where the first is the smaller word."""
+    def search(self, words: list[str], once: bool) -> Iterator[tuple[int, int]]:
+        """(place in ``words``, place in the trie) of all pairs one edit apart; ``once``:
+        where the first is the smaller word."""
         if self.words and words:
             v, none = vectors(words), np.zeros(len(words), np.int32)
             for lo, hi, at, level, surplus, deficit in self._below(0, len(self.words), 0, v, np.arange(len(words)), none, none):
-                yield from self._verified(words, v, lo, hi, at, level, surplus, deficit)
+                for i, j in self._verified(words, v, lo, hi, at, level, surplus, deficit):
+                    if not once or words[i] < self.words[j]:
+                        yield i, j
 
     def _below(self, lo: int, hi: int, level: int, v: np.ndarray, at: np.ndarray, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple]:
         if level == GROUPS or hi - lo <= LEAF:
@@ -151,9 +154,7 @@ class Trie:
 
     def _verified(self, words: list[str], v: np.ndarray, lo: int, hi: int, at: np.ndarray, level: int, surplus: np.ndarray, deficit: np.ndarray) -> Iterator[tuple[int, int]]:
         if level == GROUPS and len(at) * (hi - lo) > DENSE:
-            for k, j in _matched([words[i] for i in at.tolist()], self.words[lo:hi]):
-                if words[at[k]] < self.words[lo + j]:
-                    yield int(at[k]), lo + j
+            yield from ((int(at[k]), lo + j) for k, j in _matched([words[i] for i in at.tolist()], self.words[lo:hi]))
             return
         step = max(1, DENSE * 4 // (hi - lo))
         for a in range(0, len(at), step):
@@ -163,17 +164,17 @@ class Trie:
             d = deficit[a : a + step, None] + np.maximum(-more, 0).sum(axis=2)
             for k, j in zip(*(x.tolist() for x in np.nonzero((s <= 1) & (d <= 1))), strict=True):
                 i = int(part[k])
-                if words[i] < self.words[lo + j] and one_edit(words[i], self.words[lo + j]):
+                if one_edit(words[i], self.words[lo + j]):
                     yield i, lo + j
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks one after the other: the words of each (``asks`` false), then its look-ups."""
+    """Blocks one after the other: the words of each (``asks`` 0), then the look-ups of its own words (1) and of others (2)."""
     block, words, n, trie = None, [], [], None
     for batch in batches:
         out = ([], [], [])
         keys = np.stack([batch.column(c).to_numpy() for c in ("cell", "i", "j")], axis=1)
-        asks = batch.column("asks").to_numpy(zero_copy_only=False)
+        asks = batch.column("asks").to_numpy()
         new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1) | (asks[1:] != asks[:-1])][: len(keys)])
         for a, b in zip(new.tolist(), [*new[1:].tolist(), len(keys)], strict=True):
             key = tuple(keys[a])
@@ -184,7 +185,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words, n, trie = words + these, n + counts, None
                 continue
             trie = trie or Trie(words, n)
-            for i, j in trie.search(these):
+            for i, j in trie.search(these, once=asks[a] == 1):
                 for column, both in zip(out, ((these[i], trie.words[j]), (trie.words[j], these[i]), (trie.n[j], counts[i])), strict=True):
                     column.extend(both)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["word", "other", "other_n"])
@@ -195,19 +196,19 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
     ``vocabulary`` (``word, n``, each word once, a written table) that are one edit apart."""
     counts = _counts(F.col("word"))
     own = vocabulary.select(_cell(counts).alias("cell"), "word", "n")
-    asking = vocabulary.select(F.explode(_reached(counts, _cell(counts))).alias("cell"), "word", "n")
+    above = vocabulary.select(F.explode(_reached(counts, _cell(counts))).alias("cell"), "word", "n", F.lit(2).alias("asks"))
+    asking = above.unionAll(own.select("cell", "word", "n", F.lit(1).alias("asks")))
     held = own.groupBy("cell").agg(F.count(F.lit(1)).alias("held"))
     sizes = asking.groupBy("cell").agg(F.count(F.lit(1)).alias("asked")).join(held, "cell")
     total = sizes.agg(F.sum("asked").alias("total"))
     cells = saved(sizes.crossJoin(F.broadcast(total)).select("cell", F.ceil(F.col("held") / block).alias("is"), F.ceil(F.col("asked") / (8 * block)).alias("js"), (F.col("asked") >= HOT_SHARE * F.col("total")).alias("hot")))
 
-    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
-        mine, every = ("j", "i") if asks else ("i", "j")
+    def dealt(rows: DataFrame, mine: str, every: str) -> DataFrame:
         rows = join_said(rows, cells, ["cell"], "hot")
         pick = F.pmod(F.xxhash64("word"), F.col(f"{mine}s")).alias(mine)
-        return rows.select("cell", pick, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{every}s") - 1)).alias(every), F.lit(asks).alias("asks"), "word", "n").select("cell", "i", "j", "asks", "word", "n")
+        return rows.select("cell", pick, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{every}s") - 1)).alias(every), "asks", "word", "n").select("cell", "i", "j", "asks", "word", "n")
 
-    rows = dealt(own, False).unionAll(dealt(asking, True))
+    rows = dealt(own.withColumn("asks", F.lit(0)), "i", "j").unionAll(dealt(asking, "j", "i"))
     return rows.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "asks").mapInArrow(_search, PAIRS)
 
 

@@ -78,7 +78,8 @@ def test_trie():
     words = some_words(rng, 300)
     trie = spelling.Trie(words, [1] * len(words))
     want = {(a, b) for a in words for b in words if a < b and plain_edit(a, b)}
-    assert {(words[i], trie.words[j]) for i, j in trie.search(words)} == want
+    assert {(words[i], trie.words[j]) for i, j in trie.search(words, once=True)} == want
+    assert len(list(trie.search(words, once=False))) == 2 * len(want)
     assert {(min(a, b), max(a, b)) for k, j in spelling._matched(words, words) for a, b in [(words[k], words[j])]} == want
     assert all(spelling.one_edit(a, b) == plain_edit(a, b) for a in words[:80] for b in words[:80])
 
