@@ -220,7 +220,7 @@ def all_sql() -> dict[str, PanelQuery | str]:
     out = {
         "a04_validate_panel": d([("landed", "SELECT symbol, ts, price FROM ticks UNION ALL SELECT symbol, ts, NULL AS price FROM ticks WHERE qty >= 50")], "SELECT symbol, ts, count(*) AS n, count(*) - count(price) AS n_empty FROM landed GROUP BY symbol, ts HAVING count(*) > 1 OR count(price) < count(*)"),
         "a05_funding_event": d([], "SELECT bar_idx, symbol, round(coalesce((discount - 0.05) / 100, 0.0), 8) AS rate FROM grid"),
-        "a06_funding_prevailing": d([("seen", "SELECT *, count(discount) OVER (PARTITION BY symbol ORDER BY bar_idx) AS block FROM grid")], "SELECT bar_idx, symbol, round(coalesce(max((discount - 0.05) / 100) OVER (PARTITION BY symbol, block), 0.0), 8) AS rate FROM seen"),
+        "a06_funding_prevailing": d([("seen", "SELECT *, count(discount) OVER (PARTITION BY symbol ORDER BY bar_idx) AS block FROM grid")], Both(f"SELECT bar_idx, symbol, round(coalesce(last_value((discount - 0.05) / 100, true) OVER (PARTITION BY symbol ORDER BY bar_idx {LAST}), 0.0), 8) AS rate FROM grid", "SELECT bar_idx, symbol, round(coalesce(max((discount - 0.05) / 100) OVER (PARTITION BY symbol, block), 0.0), 8) AS rate FROM seen")),
         "a09_dense": w([], "SELECT symbol, ts, close FROM bars WHERE ts IN (SELECT ts FROM bars GROUP BY ts HAVING count(*) = (SELECT count(DISTINCT symbol) FROM bars))"),
         "a10_ragged_grid": d([], "SELECT bar_idx, symbol, close FROM grid"),
         "a11_panel": w([], "SELECT bar_idx, symbol, open, high, low, close, volume FROM grid"),

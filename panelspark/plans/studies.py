@@ -13,15 +13,16 @@ from panelspark.functions.vocabulary import Formula
 from panelspark.operators import book
 from panelspark.operators.book import CELL, LAST, RATE, Steps, product, strategy_scores, unpivot
 from panelspark.plans import alphas
-from panelspark.sources.panels import PanelQuery, steps_sql
+from panelspark.sources.panels import Both, PanelQuery, steps_sql
 
 SYMBOL = "PARTITION BY symbol ORDER BY bar_idx"
 
-#: An overlay seen every third bar, filled forward on the bar timeline.
+#: An overlay seen every third bar, filled forward on the bar timeline: in Spark by the last valid value, so
+#: that the window before and after it have one sort.
 OVERLAY: Steps = [
     ("sparse", "SELECT *, CASE WHEN bar_idx % 3 = 0 THEN traded END AS seen FROM grid"),
     ("blocks", f"SELECT *, count(seen) OVER ({SYMBOL}) AS block FROM sparse"),
-    ("aligned", "SELECT *, max(seen) OVER (PARTITION BY symbol, block) AS tvl FROM blocks"),
+    ("aligned", Both(f"SELECT *, last_value(seen, true) OVER ({SYMBOL} {LAST}) AS tvl FROM sparse", "SELECT *, max(seen) OVER (PARTITION BY symbol, block) AS tvl FROM blocks")),
 ]
 
 #: Return of each symbol, and of the market on bars where all have one.
@@ -249,7 +250,7 @@ def all_sql() -> dict[str, str]:
         "b10_slice": w([], "SELECT bar_idx, symbol, close FROM grid WHERE bar_idx >= 100 AND bar_idx < 200"),
         "b11_top_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
         "b12_intersect": "SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey AS nation FROM customer WHERE c_acctbal > 0",
-        "b13_fill_and_drop": d([("runs", f"SELECT *, count(close) OVER ({SYMBOL}) AS block FROM grid"), ("filled", "SELECT bar_idx, symbol, max(close) OVER (PARTITION BY symbol, block) AS close, coalesce(volume, 0.0) AS volume FROM runs")], "SELECT * FROM filled WHERE close IS NOT NULL"),
+        "b13_fill_and_drop": d([("runs", f"SELECT *, count(close) OVER ({SYMBOL}) AS block FROM grid"), ("filled", Both(f"SELECT bar_idx, symbol, last_value(close, true) OVER ({SYMBOL} {LAST}) AS close, coalesce(volume, 0.0) AS volume FROM grid", "SELECT bar_idx, symbol, max(close) OVER (PARTITION BY symbol, block) AS close, coalesce(volume, 0.0) AS volume FROM runs"))], "SELECT * FROM filled WHERE close IS NOT NULL"),
         "c01_left": w([("supply", "SELECT date_trunc('week', o_orderdate) AS ts, sum(o_totalprice) AS minted FROM orders GROUP BY date_trunc('week', o_orderdate)")], "SELECT b.symbol, b.ts, b.close, round(s.minted, 2) AS minted FROM bars b LEFT JOIN supply s ON s.ts = b.ts"),
         "c02_complete_bars": w(
             [("perp", "SELECT ts, symbol, close * (1 + tax - 0.04) AS close FROM bars"), ("paid_rates", "SELECT ts, symbol, (discount - 0.05) / 100 AS rate FROM bars"), ("joined", "SELECT b.ts, b.symbol, b.close AS spot, p.close AS perp, f.rate FROM bars b JOIN perp p ON p.ts = b.ts AND p.symbol = b.symbol JOIN paid_rates f ON f.ts = b.ts AND f.symbol = b.symbol")],

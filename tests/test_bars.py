@@ -4,6 +4,7 @@ import datetime as dt
 
 import pytest
 
+from panelspark import registry
 from panelspark.sources.panels import oracle, run_query, steps_sql
 
 _LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate timestamp"
@@ -42,3 +43,31 @@ def test_ties_of_day_order_and_line(spark, tmp_path, factor):
     path = tables(spark, tmp_path / "t", lines)
     bars = same(spark, path, steps_sql("w", [], "SELECT symbol, ts, open, high, low, close, volume FROM bars"))
     assert [(b.open, b.close) for b in bars] == [(5000 + 10 + 3 - 1, 5000 + 300 + 9 - 2)]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grid_of_gaps(spark, tmp_path):
+    # suppliers with a bar at the begin, in the middle, at the end, at all times, and none but a null key; days with gaps
+    days = {1: (0,), 2: (5, 6), 3: (20,), 4: (0, 5, 6, 9, 20), None: (6, 9)}
+    path = tables(spark, tmp_path / "t", [line(k, 1, s, k + day, day) for s, at in days.items() for k in (1, 2) for day in at])
+    rows = same(spark, path, steps_sql("d", [], "SELECT bar_idx, ts, symbol, open, high, low, close, volume, tax, discount, traded FROM grid"))
+    assert len(rows) == 5 * len(days) and sum(r.close is not None for r in rows) == 9
+    for query in ("a06_funding_prevailing", "a07_overlay_align", "a08_overlay_lag", "b13_fill_and_drop", "d14_delay", "d01_rank"):
+        same(spark, path, registry._named()[query])
+
+
+def test_no_bars(spark, tmp_path):
+    path = tables(spark, tmp_path / "t", [line(1, 1, 1, 1, 1)])
+    spark.read.parquet(f"{path}/lineitem.parquet").where("false").write.parquet(f"{tmp_path}/n/lineitem.parquet")
+    assert run_query(spark, f"{tmp_path}/n", steps_sql("d", [], "SELECT bar_idx, symbol, close FROM grid")).count() == 0
+
+
+def test_empty_cells_are_not_shuffled(spark, tmp_path):
+    path = tables(spark, tmp_path / "t", [line(k, 1, k % 3, k, k) for k in range(9)])
+    for query, sorts in (("d14_delay", 2), ("a08_overlay_lag", 2), ("a06_funding_prevailing", 2), ("b13_fill_and_drop", 2)):
+        plan = planned(run_query(spark, path, registry._named()[query]))
+        # one exchange, of the bars, and one sort of the cells; before, cells were joined and dealt again
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and plan.count("Sort [") == sorts, query
