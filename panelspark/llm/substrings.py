@@ -47,6 +47,8 @@ GRAM = 20
 GROUP = 9
 EDGE = GROUP - 1
 ROUND_KEYS = 6_000_000
+#: Text bytes of one kernel call: its arrays take about 65 bytes for each of them, and smaller ones stay in the cache.
+CALL_BYTES = 1 << 18
 _KEY_BYTES = 5
 _HELD_ROWS = 1 << 20
 
@@ -93,19 +95,19 @@ def shared_keys(docs: DataFrame, bits: int) -> DataFrame:
             shard = (keys >> np.uint64(8 * _KEY_BYTES)).astype(np.int64)
             cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])[: len(keys)]
             raw = np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :_KEY_BYTES])
-            out += [(int(shard[a]), raw[a:b].tobytes(), flag) for a, b in zip(cut, np.r_[cut[1:], len(keys)], strict=True)]
+            out += [(int(shard[a]), raw[a:b].tobytes(), flag) for a, b in zip(cut, np.r_[cut[1:], len(keys)][: len(cut)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.bool_()))], names=["shard", "keys", "many"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=CALL_BYTES):
                 _, row, place, grams, _ = sampled(*text_bytes(part.column("text")))
                 new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])[: len(place)]
                 doc = part.column("doc_id").to_numpy()[row[new]]
                 held.append((grams[new] >> shift, doc))
                 n += len(new)
-                if n > 2 * _HELD_ROWS:
+                if n > _HELD_ROWS:
                     yield blobs(*summed(held))
                     held, n = [], 0
         if n:
@@ -287,7 +289,7 @@ def removed_windows(docs: DataFrame, round_keys: int = ROUND_KEYS) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, n, wanted = [], 0, KeySet(shared.value, bits)
             for batch in batches:
-                for part in pieces(batch):
+                for part in pieces(batch, limit=CALL_BYTES):
                     data, offsets = text_bytes(part.column("text"))
                     row, base, lo, hi, key, before, behind = window_groups(data, offsets, wanted.has, shift)
                     if not len(row):
@@ -363,16 +365,17 @@ def deduplicate(docs: DataFrame, round_keys: int = ROUND_KEYS) -> DataFrame:
     codes = saved(removed_windows(docs, round_keys)).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("code").alias("codes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for text, found in zip(b.column("text"), b.column("codes"), strict=True):
-                data = (text.as_py() or "").encode()
-                spans = removed_spans(data, found.as_py())
-                ends = [0, *(e for _, e in spans)]
-                kept = b"".join(data[a:z] for a, z in zip(ends, [*(s for s, _ in spans), len(data)], strict=True))
-                out.append((len(data), len(data) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        for batch in batches:
+            for b in pieces(batch):  # so that the kept bytes of a whole batch are never held besides it
+                out = []
+                for text, found in zip(b.column("text"), b.column("codes"), strict=True):
+                    data = (text.as_py() or "").encode()
+                    spans = removed_spans(data, found.as_py())
+                    ends = [0, *(e for _, e in spans)]
+                    kept = b"".join(data[a:z] for a, z in zip(ends, [*(s for s, _ in spans), len(data)], strict=True))
+                    out.append((len(data), len(data) - len(kept), len(spans), kept, hashlib.sha256(kept).hexdigest()))
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[i] for x in out], t) for i, t in enumerate(types))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     joined = docs.join(codes, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", "codes")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

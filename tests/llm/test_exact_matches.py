@@ -93,3 +93,39 @@ def test_links(spark, cell, block):
     got = sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, cell=cell, block=block).collect()], key=repr)
     assert got == brute_links(rows)
     assert vectors.near_duplicates(df.where("false")).count() == 0
+
+
+def test_tasks_without_equal_strings(spark):
+    # no key stands in several documents of its task, or all do: either failed
+    apart = "".join(chr(97 + i * i * 7 % 26) + str(i) for i in range(60))
+    for texts, removed in (([apart, "x" * 10], [0, 0]), (["ab" * 40, "ab" * 40], [0, 80])):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        assert [r.n_removed for r in substrings.deduplicate(docs).orderBy("doc_id").collect()] == removed
+
+
+def test_memory_of_a_task_that_samples():
+    """Keys of 8 MB of text: the peak was 106 MB with calls of 1 MB, and is 40 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Captured:
+        tasks = []
+
+        def mapInArrow(self, task, schema):  # noqa: N802
+            self.tasks.append(task)
+            return self
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+    substrings.shared_keys(Captured(), 8)
+    letters = np.random.default_rng(5).integers(97, 123, (8000, 1000), dtype=np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array([x.tobytes().decode() for x in letters])], names=["doc_id", "text"])
+    substrings.prefix_sums(np.zeros(1, np.uint8))  # the tables of powers
+    tracemalloc.start()
+    found = sum(b.num_rows for b in Captured.tasks[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and peak < 50e6
