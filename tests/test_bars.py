@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from panelspark import registry
+from panelspark.sources import panels
 from panelspark.sources.panels import oracle, run_query, steps_sql
 
 _LINES = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_linestatus string, l_shipdate timestamp"
@@ -71,3 +72,14 @@ def test_empty_cells_are_not_shuffled(spark, tmp_path):
         plan = planned(run_query(spark, path, registry._named()[query]))
         # one exchange, of the bars, and one sort of the cells; before, cells were joined and dealt again
         assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan and plan.count("Sort [") == sorts, query
+
+
+def test_ticks_are_dealt_once_and_by_their_number(spark, tmp_path, monkeypatch):
+    path = tables(spark, tmp_path / "t", [line(k, 1, k % 3, k, k) for k in range(90)])
+    monkeypatch.setattr(panels, "SHARE", 3)
+    parts = max(30, spark.sparkContext.defaultParallelism)
+    for query in ("a07_overlay_align", "a06_funding_prevailing"):
+        rows = same(spark, path, registry._named()[query])
+        plan = planned(run_query(spark, path, registry._named()[query]))
+        # before, bars with all their columns were shuffled and written, and then dealt again; parts did not follow the ticks
+        assert "SortAggregate" not in plan and "l_orderkey" not in plan and f", {parts}), REPARTITION_BY_NUM" in plan and rows
