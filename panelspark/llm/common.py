@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.sources.shared import saved, shared_dir
+from panelspark.sources.shared import saved, shared_dir, tidy
 
 #: Text bytes that one kernel call handles (a longer document is one call of its own).
 PIECE_BYTES = 1 << 20
@@ -159,8 +159,18 @@ class HashIndex:
     """Places of 64-bit keys: a directory over the keys' leading bits, then the sorted keys."""
 
     def __init__(self, keys: np.ndarray):
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
+        order = np.argsort(keys, kind="stable")
+        self._put(keys[order], order)
+
+    def __getstate__(self) -> tuple:
+        """What the keys do not give again: all machines keep it on their disks."""
+        return self.keys, None if (self.order == np.arange(len(self.order))).all() else self.order
+
+    def __setstate__(self, state: tuple) -> None:
+        self._put(state[0], np.arange(len(state[0])) if state[1] is None else state[1])
+
+    def _put(self, keys: np.ndarray, order: np.ndarray) -> None:
+        self.keys, self.order = keys, order
         self.bits = max(4, int(len(keys)).bit_length())
         self.shift = np.uint64(64 - self.bits)
         heads = (self.keys >> self.shift).astype(np.int64)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import HashIndex, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, word_bounds
+from panelspark.llm.common import HashIndex, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, tidy, word_bounds
 
 #: Words and pairs that go to the tasks; all others are joined.
 FREQUENT_WORDS, FREQUENT_PAIRS = 1_000_000, 2_000_000
@@ -96,47 +96,157 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before) + word
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+
+
+def widened(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}")
+
+
+def merged(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    """Each pair (word before, word, counts) of the parts once, by its key, with the sums of its counts. Empties ``held``."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    held.clear()
+
+    def ordered(order: np.ndarray) -> np.ndarray:
+        """Puts the columns in order; whether each pair but the first is another than the one before."""
+        for i, c in enumerate(columns):
+            columns[i] = c[order]  # one at a time: the tasks are small
+        return (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+
+    key = pair_keys(*columns[:2])
+    order = np.argsort(key)
+    key, differ = key[order], ordered(order)
+    if (differ & (key[1:] == key[:-1])).any():  # different pairs of one key could lie between each other
+        differ = ordered(np.lexsort((columns[1], columns[0], key)))
+    new = np.flatnonzero(np.r_[True, differ])
+    return [columns[0][new], columns[1][new], *(np.add.reduceat(c, new, dtype=np.int64) for c in columns[2:])]
+
+
+#: Some pairs: their words, then for each pair the step to the place of the word before it, the place of the word, and the counts.
+_PACKED = "shard long, n long, words binary, steps binary, places binary, background binary, target binary"
+_COUNTED = ("before", "word", "background", "target")
+#: Leading bits of a pair's key that tell whether it may have been seen twice: a flag for each value goes to the tasks.
+FLAG_BITS = 26
+
+
+def packed(before: np.ndarray, word: np.ndarray, background: np.ndarray, target: np.ndarray) -> tuple:
+    """The columns of :data:`_PACKED` from ``n`` on."""
+    words, place = np.unique(np.r_[before, word], return_inverse=True)
+    first, last = place[: len(before)], place[len(before) :]
+    order = np.argsort(first, kind="stable")
+    return len(before), words.tobytes(), narrow(np.diff(first[order], prepend=0)), narrow(last[order]), narrow(background[order]), narrow(target[order])
+
+
+def unpacked(n: int, words: bytes, steps: bytes, places: bytes, background: bytes, target: bytes) -> tuple[np.ndarray, ...]:
+    """Words, places of the word before and of the word, and the counts (unsigned, of any width)."""
+    return np.frombuffer(words, np.uint64), np.cumsum(widened(steps, n), dtype=np.int64), widened(places, n), widened(background, n), widened(target, n)
+
+
+def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """What is in each row of packed pairs."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield unpacked(*(batch.column(c)[i].as_py() for c in ("n", "words", "steps", "places", "background", "target")))
+
+
+def counted(batches: Iterator[pa.RecordBatch], least: int = 1, below: int = 1 << 62) -> Iterator[tuple[np.ndarray, ...]]:
+    """``before, word, background, target`` of packed pairs seen from ``least`` to ``below`` - 1 times."""
+    for words, first, last, background, target in blobs(batches):
+        on = np.flatnonzero((background >= least) & (background < below))
+        yield words[first[on]], words[last[on]], background[on].astype(np.int64), target[on].astype(np.int64)
+
+
+def pair_rows(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """A row for each of the packed ``pairs`` seen ``least`` times or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in counted(batches, least):
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=_COUNTED)
+
+    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in _COUNTED))
+
+
+class Flags:
+    """Whether pairs of the leading bits of a key were seen twice: no for sure, or maybe."""
+
+    def __init__(self, pairs: DataFrame):
+        self.flags = np.zeros(1 << (FLAG_BITS - 3), np.uint8)
+        for row in pairs.where("twice is not null").select("shard", "twice").toArrow().to_pylist():
+            at = row["shard"] * len(row["twice"])
+            self.flags[at : at + len(row["twice"])] = np.frombuffer(row["twice"], np.uint8)
+
+    def maybe(self, keys: np.ndarray) -> np.ndarray:
+        at = (keys >> np.uint64(64 - FLAG_BITS)).astype(np.int64)
+        return (self.flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def count_pairs(docs: DataFrame, vocabulary) -> DataFrame:  # noqa: ANN001
-    """``before``, ``word``, ``background``, ``target`` counts of ``docs``
-    (``text``, ``is_target``): all documents are background."""
+    """The packed pairs of ``docs`` (``text``, ``is_target``) with their counts:
+    all documents are background. They stand by ranges of their keys of about
+    2**24 bytes of text; the first row of a range has ``twice``, a flag for each
+    value of the keys' leading bits."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(20, max(5, (total >> 24).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tokens = [], 0
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, limit=1 << 18):
                 before, word, row = vocabulary.value.tokens(part.column("text"))
-                wanted = part.column("is_target").to_numpy(zero_copy_only=False).astype(bool)[row]
-                held.append((before, word, wanted))
+                wanted = part.column("is_target").to_numpy(zero_copy_only=False).astype(np.uint8)[row]
+                held.append((before, word, np.ones(len(word), np.uint8), wanted))
                 tokens += len(word)
                 if tokens > 1 << 21:
-                    yield from summed(held)
-                    held, tokens = [], 0
-        yield from summed(held)
+                    yield summed(held)
+                    tokens = 0
+        if tokens:
+            yield summed(held)
+
+    def summed(held: list) -> pa.RecordBatch:
+        columns = merged(held)
+        shard = (pair_keys(*columns[:2]) >> np.uint64(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        out = [(int(shard[a]), *packed(*(c[a:b] for c in columns))) for a, b in zip(cut, np.r_[cut[1:], len(shard)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s, *row = (c[i].as_py() for c in batch.columns)
+                if s != shard and held:
+                    yield from rows(shard, held)
+                shard = s
+                words, first, last, *counts = unpacked(*row)
+                held.append((words[first], words[last], *counts))
+        if held:
+            yield from rows(shard, held)
 
-    def summed(held: list) -> Iterator[pa.RecordBatch]:
-        before, word, wanted = (np.concatenate(x) for x in zip(*held, strict=True)) if held else ([],) * 3
-        if len(word):
-            key = pair_keys(before, word)
-            order = np.argsort(key)
-            key, before, word, wanted = key[order], before[order], word[order], wanted[order]
-            new = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (word[1:] != word[:-1])])
-            n, target = np.diff(np.r_[new, len(key)]), np.add.reduceat(wanted.astype(np.int64), new)
-            for lo in range(0, len(new), 1 << 18):
-                at = new[lo : lo + (1 << 18)]
-                columns = [before[at].view(np.int64), word[at].view(np.int64), n[lo : lo + len(at)], target[lo : lo + len(at)]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["before", "word", "background", "target"])
-
-    counts = docs.mapInArrow(run, "before long, word long, background long, target long")
-    return counts.groupBy("before", "word").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    def rows(shard: int, held: list) -> Iterator[pa.RecordBatch]:
+        columns = merged(held)
+        twice = np.zeros(1 << (FLAG_BITS - bits), bool)
+        twice[(pair_keys(*columns[:2])[columns[2] > 1] >> np.uint64(64 - FLAG_BITS)).astype(np.int64) - (shard << (FLAG_BITS - bits))] = True
+        for lo in range(0, len(columns[0]), 1 << 19):
+            row = (shard, *packed(*(c[lo : lo + (1 << 19)] for c in columns)), None if lo else np.packbits(twice).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=[c.split()[0] for c in kept.split(", ")])
+
+    kept = f"{_PACKED}, twice binary"
+    return docs.mapInArrow(run, _PACKED).repartition("shard").sortWithinPartitions("shard").mapInArrow(join, kept)
 
 
 def word_parts(pairs: DataFrame) -> DataFrame:
-    """``id`` and its :data:`PARTS`, for each word and the begin-of-text mark."""
-    b, t, none = F.col("background"), F.col("target"), F.lit(0).cast("long")
-    first = (b, (b > 0).cast("long"), t, (t > 0).cast("long"), none, none)
-    last = (none, none, none, none, b, t)
-    both = [pairs.select(F.col(of).alias("id"), *(c.alias(name) for c, name in zip(cols, PARTS, strict=True))) for of, cols in (("before", first), ("word", last))]
-    return both[0].unionAll(both[1]).groupBy("id").agg(*(F.sum(name).alias(name) for name in PARTS))
+    """``id`` and its :data:`PARTS`, for each word and the begin-of-text mark of packed ``pairs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, first, last, background, target in blobs(batches):
+            sums = [np.bincount(at, of, len(words)) for at, of in ((first, background), (first, background > 0), (first, target), (first, target > 0), (last, background), (last, target))]
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], names=["id", *PARTS])
+
+    parts = pairs.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *PARTS)))
+    return parts.groupBy("id").agg(*(F.sum(name).alias(name) for name in PARTS))
 
 
 def frequent_from(table: DataFrame, count: Column, most: int) -> int:
@@ -179,30 +289,27 @@ def rare_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothi
     for pairs with another word. ``frequent`` has the index and the parts of
     frequent words."""
 
-    def found(batch: pa.RecordBatch) -> tuple:
-        index, parts = frequent.value
-        before, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("before", "word"))
-        return before, word, index.find(before), index.find(word), parts
-
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, word, i, j, parts = found(batch)
+        index, parts = frequent.value
+        for before, word, *counts in counted(batches, 2, least):
+            i, j = index.find(before), index.find(word)
             on = (i >= 0) & (j >= 0)
-            n, first, last = [batch.column(c).to_numpy()[on] for c in ("background", "target")], parts[i[on]], parts[j[on]]
+            n, first, last = [c[on] for c in counts], parts[i[on]], parts[j[on]]
             b = smoothing.of(0, n[0], first, last) - smoothing.of(0, 1, first, last)
             t = [smoothing.of(1, n[1], first, last) - smoothing.of(1, once, first, last) for once in (0, 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)[on].view(np.int64)), *map(pa.array, (b, *t))], names=["pair", "b", "t0", "t1"])
+            yield pa.RecordBatch.from_arrays([pa.array(pair_keys(before, word)[on].view(np.int64)), *(pa.array(x.astype(np.float32)) for x in (b, *t))], names=["pair", "b", "t0", "t1"])
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            before, word, i, j, parts = found(batch)
+        index, parts = frequent.value
+        for before, word, *counts in counted(batches, 1, least):
+            i, j = index.find(before), index.find(word)
             on = np.flatnonzero((i < 0) | (j < 0))
             key, i, j = pair_keys(before, word)[on], i[on], j[on]
             # a word that is known here joins under the pair's key: no frequent word is a key of the joins
             left, right = np.where(i < 0, before[on], key), np.where(j < 0, word[on], key)
-            values = [pa.array(parts[at, c], mask=at < 0) for c, at in zip(range(6), (i, i, i, i, j, j), strict=True)]
+            values = [pa.array(parts[at, c].astype(np.int64), mask=at < 0) for c, at in zip(range(6), (i, i, i, i, j, j), strict=True)]
             keys = [pa.array(x.view(np.int64)) for x in (key, left, right)]
-            yield pa.RecordBatch.from_arrays([*keys, *(batch.column(c).take(pa.array(on)) for c in ("background", "target")), *values], names=["pair", "left", "right", "n_b", "n_t", *PARTS])
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c[on]) for c in counts), *values], names=["pair", "left", "right", "n_b", "n_t", *PARTS])
 
     rows = pairs.mapInArrow(rest, "pair long, left long, right long, n_b long, n_t long, " + ", ".join(f"{p} long" for p in PARTS))
     for key, names in (("left", PARTS[:4]), ("right", PARTS[4:])):
@@ -210,14 +317,14 @@ def rare_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothi
         rows = rows.join(other, F.col(key) == F.col("id"), "left").drop("id")
         rows = rows.withColumns({p: F.coalesce(p, f"joined_{p}") for p in names}).drop(*(f"joined_{p}" for p in names))
     b, t = (smoothing.loss(k, F.col(f"n_{x}"), F.col(f"after_{x}"), F.col(f"kinds_{x}"), F.col(f"own_{x}"), F.log, lambda c: F.greatest(c, F.lit(1))) for k, x in enumerate("bt"))
-    whole = rows.select("pair", b.alias("b"), t.alias("t0"), t.alias("t1"))
+    whole = rows.select("pair", *(x.cast("float").alias(name) for x, name in ((b, "b"), (t, "t0"), (t, "t1"))))
     if least <= 2:
         return whole
-    return pairs.where((F.col("background") > 1) & (F.col("background") < least)).mapInArrow(known, "pair long, b double, t0 double, t1 double").unionAll(whole)
+    return pairs.mapInArrow(known, "pair long, b float, t0 float, t1 float").unionAll(whole)
 
 
-def frequent_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothing) -> DataFrame:  # noqa: ANN001
-    """``pair, b, t``: whole losses of ``pairs``; a pair of rarer words joins them."""
+def frequent_losses(pairs: DataFrame, words: DataFrame, smoothing: Smoothing) -> DataFrame:
+    """``before, word, b, t``: whole losses of ``pairs`` (a row for each)."""
     both = pairs
     for key, names in (("before", PARTS[:4]), ("word", PARTS[4:])):
         other = words.select(F.col("id").alias(f"id_{key}"), *names)
@@ -235,20 +342,28 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
         known = [r.word for r in count_words(docs).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()]
     shared = context.broadcast(Vocabulary(known))
     flagged = with_targets(docs, target_ids)
-    pairs = saved(count_pairs(flagged.select("text", "is_target"), shared))
-    words = saved(word_parts(pairs))
+    with tidy(docs.sparkSession, maxBytesPerBatch="4m"):  # rows of packed pairs are large
+        pairs = saved(count_pairs(flagged.select("text", "is_target"), shared))
+        words = saved(word_parts(pairs))
     own = [F.col("own_b"), F.col("own_t")]
     sums = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in own), *(F.count(F.when(c > 0, 1)) for c in own)).first()
     smoothing = Smoothing((sums[2] if known is None else len(known)) + 2, sums[:2], sums[2:])
     often = F.col("after_b") + F.col("own_b")
     some = words.where(often >= frequent_from(words, often, FREQUENT_WORDS)).toArrow()
     parts = np.stack([np.r_[some.column(p).to_numpy(), 0] for p in PARTS], axis=1)  # the last row is for words that are not there
-    frequent = context.broadcast((HashIndex(some.column("id").to_numpy().view(np.uint64)), parts))
-    least = max(2, frequent_from(pairs, F.col("background"), FREQUENT_PAIRS))
-    some = frequent_losses(pairs.where(F.col("background") >= least), words, frequent, smoothing).toArrow()
+    if parts.max() < 1 << 31:
+        parts = parts.astype(np.int32)
+    ids = some.column("id").to_numpy().view(np.uint64)
+    order = np.argsort(ids)
+    frequent = context.broadcast((HashIndex(ids[order]), parts[np.r_[order, len(order)]]))
+    least = max(2, frequent_from(pair_rows(pairs, 2), F.col("background"), FREQUENT_PAIRS))
+    twice = context.broadcast(Flags(pairs) if least > 2 else None)
+    with tidy(docs.sparkSession):
+        some = frequent_losses(pair_rows(pairs, least), words, smoothing).toArrow()
     keys = pair_keys(*(some.column(c).to_numpy().view(np.uint64) for c in ("before", "word")))
-    table = context.broadcast((HashIndex(keys), np.stack([some.column(c).to_numpy() for c in "bt"], axis=1).astype(np.float32)))
-    del some, parts, keys
+    order = np.argsort(keys)
+    table = context.broadcast((HashIndex(keys[order]), np.stack([some.column(c).to_numpy().astype(np.float32)[order] for c in "bt"], axis=1)))
+    del some, parts, keys, ids, order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (index, losses), (word_index, parts) = table.value, frequent.value
@@ -265,8 +380,8 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
                 first, last, single = parts[i[here]], parts[j[here]], row[off][here]
                 once = [smoothing.of(k, n, first, last) for k, n in enumerate((1, flag[single]))]
                 found = [(np.bincount(row[on], losses[at[on], k].astype(np.float64), minlength=rows) + np.bincount(single, once[k], minlength=rows)).astype(np.float64) for k in (0, 1)]
-                if least <= 2:  # every pair seen twice is in the table
-                    off = off[~here]
+                # of the others, those of two frequent words that were seen once are done
+                off = off[~here if least <= 2 else ~here | twice.value.maybe(pair[off])]
                 ends = np.r_[0, np.cumsum(np.bincount(row[off], minlength=rows))].astype(np.int32)
                 others = pa.ListArray.from_arrays(pa.array(ends), pa.array(pair[off].view(np.int64)))
                 ids = (np.arange(number, number + rows) << 1) | flag
@@ -278,7 +393,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
     found = saved(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, b double, t double, others array<long>"))
     tokens = found.select("row", F.explode("others").alias("other")).hint("merge")
     t = F.when(F.col("row") % 2 == 1, F.col("t1")).otherwise(F.col("t0"))
-    rest = tokens.join(rare_losses(pairs.where(F.col("background") < least), words, frequent, smoothing, least), F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("b").alias("more_b"), F.sum(t).alias("more_t"))
+    rest = tokens.join(rare_losses(pairs, words, frequent, smoothing, least), F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("b").alias("more_b"), F.sum(t).alias("more_t"))
     both = found.drop("others").join(rest, F.col("row") == F.col("of"), "left")
     means = [F.when(F.col("n_tokens") > 0, (F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0))) / F.col("n_tokens")) for k in "bt"]
     return both.select("doc_id", "n_tokens", means[0].alias("background_loss"), means[1].alias("target_loss"), (means[0] - means[1]).alias("score"))

@@ -188,3 +188,42 @@ def test_frequent_from(spark):
     for most, reached in ((0, 0), (1, 1), (3, 1), (4, 4), (33, 4), (34, 34), (38, 34), (58, 39), (59, 59), (10**6, 109)):
         low = lmscore.frequent_from(counts, F.col("n"), most)
         assert counts.where(F.col("n") >= low).count() == reached
+
+
+def test_packed_pairs(spark):
+    """Each pair once with its sums, in less than half the bytes of rows; equal keys of different pairs are told apart."""
+    rng = np.random.default_rng(4)
+    words = common.mixed(np.arange(1, 3001, dtype=np.uint64))
+    before, word = words[rng.zipf(1.3, 60_000) % 3000], words[rng.zipf(1.3, 60_000) % 3000]
+    target = rng.integers(0, 2, 60_000)
+    got = lmscore.merged([(before[i::3], word[i::3], np.ones(20_000, np.uint8), target[i::3]) for i in range(3)])
+    want = Counter(zip(before.tolist(), word.tolist(), strict=True))
+    assert {(b, w): n for b, w, n, _ in zip(*(c.tolist() for c in got), strict=True)} == dict(want) and got[3].sum() == target.sum()
+    raw = lmscore.packed(*got)
+    names, first, last, *counts = lmscore.unpacked(*raw)
+    assert sorted(zip(*(c.tolist() for c in (names[first], names[last], *counts)), strict=True)) == sorted(zip(*(c.tolist() for c in got), strict=True))
+    assert sum(map(len, raw[1:])) < len(got[0]) * 10
+    a, b = np.uint64(5), np.uint64(9)
+    w = np.uint64(77)
+    other = (lmscore.pair_keys(np.array([a]), np.array([w])) - common.mixed(np.array([b])))[0]  # with b, it has the key of (a, w)
+    pair = lmscore.merged([(np.array([a, b, a, b]), np.array([w, other, w, other]), np.array([1, 2, 3, 4]))])
+    assert sorted(pair[2].tolist()) == [4, 6]
+    docs = spark.createDataFrame([("x y x y", True), ("y x", False), (None, False)], "text string, is_target boolean")
+    shared = spark.sparkContext.broadcast(lmscore.Vocabulary(None))
+    pairs = lmscore.count_pairs(docs.repartition(3), shared).persist()
+    rows = lmscore.pair_rows(pairs).collect()
+    assert sorted((r.background, r.target) for r in rows) == [(1, 0), (1, 1), (2, 1), (2, 2)]
+    key = lambda rows: lmscore.pair_keys(*(np.array([r[i] for r in rows], np.int64).view(np.uint64) for i in (0, 1)))
+    assert lmscore.Flags(pairs).maybe(key(rows)).tolist() == [r.background > 1 for r in rows]
+    assert sorted(r.background for r in lmscore.pair_rows(pairs, 2).collect()) == [2, 2]
+    assert lmscore.count_pairs(docs.where("text is null"), shared).count() == 0
+
+
+def test_an_index_travels_as_its_keys():
+    import pickle
+
+    keys = np.sort(common.mixed(np.arange(1, 100_001, dtype=np.uint64)))
+    for k in (keys, keys[::-1].copy(), keys[:0]):
+        again = pickle.loads(pickle.dumps(common.HashIndex(k), 5))
+        assert (again.find(keys) == common.HashIndex(k).find(keys)).all() and (again.find(keys + np.uint64(1)) == -1).all()
+    assert len(pickle.dumps(common.HashIndex(keys), 5)) < 100_000 * 9  # about 26 bytes each before
