@@ -6,9 +6,10 @@ Arrow string column and work on all words of a few documents at once.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.sources.shared import saved, shared_dir, tidy
+from panelspark.sources.shared import discard, saved, shared_dir, tidy
 
 #: Text bytes that one kernel call handles (a longer document is one call of its own).
 PIECE_BYTES = 1 << 20
@@ -155,6 +156,20 @@ def _up(n: int) -> np.uint64:
     return np.uint64(pow(int(_BASE), n, 1 << 64))
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``. At its end the worker, which Spark keeps for
+    other tasks, gives the memory that it has freed back to the machine."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 class HashIndex:
     """Places of 64-bit keys: a directory over the keys' leading bits, then the sorted keys."""
 
@@ -164,17 +179,17 @@ class HashIndex:
 
     def __getstate__(self) -> tuple:
         """What the keys do not give again: all machines keep it on their disks."""
-        return self.keys, None if (self.order == np.arange(len(self.order))).all() else self.order
+        return self.keys, self.order
 
     def __setstate__(self, state: tuple) -> None:
-        self._put(state[0], np.arange(len(state[0])) if state[1] is None else state[1])
+        self._put(*state)
 
-    def _put(self, keys: np.ndarray, order: np.ndarray) -> None:
-        self.keys, self.order = keys, order
+    def _put(self, keys: np.ndarray, order: np.ndarray | None) -> None:
+        self.keys, self.order = keys, None if order is None or (order == np.arange(len(order))).all() else order
         self.bits = max(4, int(len(keys)).bit_length())
         self.shift = np.uint64(64 - self.bits)
         heads = (self.keys >> self.shift).astype(np.int64)
-        self.begin = np.searchsorted(heads, np.arange((1 << self.bits) + 1)).astype(np.int64)
+        self.begin = np.searchsorted(heads, np.arange((1 << self.bits) + 1)).astype(np.int32 if len(keys) < 1 << 31 else np.int64)
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         """The row of each wanted key among the keys given, or -1."""
@@ -187,7 +202,7 @@ class HashIndex:
         at, end, key = at[left], end[left], wanted[left]
         while len(left):
             same = self.keys[at] == key
-            out[left[same]] = self.order[at[same]]
+            out[left[same]] = at[same] if self.order is None else self.order[at[same]]
             at = at + 1
             on = ~same & (at < end)
             left, at, end, key = left[on], at[on], end[on], key[on]

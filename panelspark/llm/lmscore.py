@@ -25,7 +25,7 @@ model is uniform; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import HashIndex, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, tidy, word_bounds
+from panelspark.llm.common import HashIndex, discard, giving_back, lowered, mixed, pieces, prefix_sums, range_hashes, saved, text_bytes, tidy, word_bounds
 
 #: Words and pairs that go to the tasks; all others are joined.
 FREQUENT_WORDS, FREQUENT_PAIRS = 1_000_000, 2_000_000
@@ -96,13 +96,31 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before) + word
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on: high bytes are mostly zero and pack well."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unplaned(raw: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"u{width}").ravel()
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Whole numbers in as few bytes each as the largest needs."""
-    return x.astype(np.min_scalar_type(int(x.max(initial=0)))).tobytes()
+    return planes(x.astype(np.min_scalar_type(int(x.max(initial=0)))))
 
 
 def widened(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, f"u{len(raw) // n}")
+    return unplaned(raw, len(raw) // n)
+
+
+def stepped(words: np.ndarray) -> bytes:
+    """Ascending hashes as steps, which have fewer bytes that are not zero."""
+    return planes(np.diff(words, prepend=np.uint64(0)))
+
+
+def unstepped(raw: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(raw, 8), dtype=np.uint64)
 
 
 def merged(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
@@ -128,6 +146,8 @@ def merged(held: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
 #: Some pairs: their words, then for each pair the step to the place of the word before it, the place of the word, and the counts.
 _PACKED = "shard long, n long, words binary, steps binary, places binary, background binary, target binary"
 _COUNTED = ("before", "word", "background", "target")
+#: Unpacked pairs that leave a task at once.
+SLICE = 1 << 16
 #: Leading bits of a pair's key that tell whether it may have been seen twice: a flag for each value goes to the tasks.
 FLAG_BITS = 26
 
@@ -137,12 +157,12 @@ def packed(before: np.ndarray, word: np.ndarray, background: np.ndarray, target:
     words, place = np.unique(np.r_[before, word], return_inverse=True)
     first, last = place[: len(before)], place[len(before) :]
     order = np.argsort(first, kind="stable")
-    return len(before), words.tobytes(), narrow(np.diff(first[order], prepend=0)), narrow(last[order]), narrow(background[order]), narrow(target[order])
+    return len(before), stepped(words), narrow(np.diff(first[order], prepend=0)), narrow(last[order]), narrow(background[order]), narrow(target[order])
 
 
 def unpacked(n: int, words: bytes, steps: bytes, places: bytes, background: bytes, target: bytes) -> tuple[np.ndarray, ...]:
     """Words, places of the word before and of the word, and the counts (unsigned, of any width)."""
-    return np.frombuffer(words, np.uint64), np.cumsum(widened(steps, n), dtype=np.int64), widened(places, n), widened(background, n), widened(target, n)
+    return unstepped(words), np.cumsum(widened(steps, n), dtype=np.int64), widened(places, n), widened(background, n), widened(target, n)
 
 
 def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -155,8 +175,10 @@ def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
 def counted(batches: Iterator[pa.RecordBatch], least: int = 1, below: int = 1 << 62) -> Iterator[tuple[np.ndarray, ...]]:
     """``before, word, background, target`` of packed pairs seen from ``least`` to ``below`` - 1 times."""
     for words, first, last, background, target in blobs(batches):
-        on = np.flatnonzero((background >= least) & (background < below))
-        yield words[first[on]], words[last[on]], background[on].astype(np.int64), target[on].astype(np.int64)
+        some = np.flatnonzero((background >= least) & (background < below))
+        for lo in range(0, len(some), SLICE):
+            on = some[lo : lo + SLICE]
+            yield words[first[on]], words[last[on]], background[on].astype(np.int64), target[on].astype(np.int64)
 
 
 def pair_rows(pairs: DataFrame, least: int = 1) -> DataFrame:
@@ -166,7 +188,20 @@ def pair_rows(pairs: DataFrame, least: int = 1) -> DataFrame:
         for columns in counted(batches, least):
             yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=_COUNTED)
 
-    return pairs.mapInArrow(run, ", ".join(f"{c} long" for c in _COUNTED))
+    return pairs.mapInArrow(giving_back(run), ", ".join(f"{c} long" for c in _COUNTED))
+
+
+def count_rows(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """``n, rows``: how many of the packed ``pairs`` were seen ``n`` times, ``least`` or more (in parts)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, background in zip(batch.column("n"), batch.column("background"), strict=True):
+                seen, rows = np.unique(widened(background.as_py(), n.as_py()), return_counts=True)
+                on = seen >= least
+                yield pa.RecordBatch.from_arrays([pa.array(seen[on].astype(np.int64)), pa.array(rows[on])], names=["n", "rows"])
+
+    return pairs.select("n", "background").mapInArrow(giving_back(run), "n long, rows long")
 
 
 class Flags:
@@ -212,17 +247,12 @@ def count_pairs(docs: DataFrame, vocabulary) -> DataFrame:  # noqa: ANN001
         out = [(int(shard[a]), *packed(*(c[a:b] for c in columns))) for a, b in zip(cut, np.r_[cut[1:], len(shard)], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=[c.split()[0] for c in _PACKED.split(", ")])
 
+    def columns_of(*row) -> tuple[np.ndarray, ...]:  # noqa: ANN002
+        words, first, last, *counts = unpacked(*row)
+        return words[first], words[last], *counts
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s, *row = (c[i].as_py() for c in batch.columns)
-                if s != shard and held:
-                    yield from rows(shard, held)
-                shard = s
-                words, first, last, *counts = unpacked(*row)
-                held.append((words[first], words[last], *counts))
-        if held:
+        for shard, held in by_shard(batches, columns_of):
             yield from rows(shard, held)
 
     def rows(shard: int, held: list) -> Iterator[pa.RecordBatch]:
@@ -234,28 +264,79 @@ def count_pairs(docs: DataFrame, vocabulary) -> DataFrame:  # noqa: ANN001
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], names=[c.split()[0] for c in kept.split(", ")])
 
     kept = f"{_PACKED}, twice binary"
-    return docs.mapInArrow(run, _PACKED).repartition("shard").sortWithinPartitions("shard").mapInArrow(join, kept)
+    return docs.mapInArrow(giving_back(run), _PACKED).repartition("shard").sortWithinPartitions("shard").mapInArrow(giving_back(join), kept)
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], columns_of: Callable[..., tuple]) -> Iterator[tuple[int, list]]:
+    """Each shard of ``batches`` (sorted by it) with the columns of its rows."""
+    shard, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            s, *row = (c[i].as_py() for c in batch.columns)
+            if s != shard and held:
+                yield shard, held
+                held = []
+            shard = s
+            held.append(columns_of(*row))
+    if held:
+        yield shard, held
+
+
+_PARTED = "shard long, n long, words binary, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
 def word_parts(pairs: DataFrame) -> DataFrame:
-    """``id`` and its :data:`PARTS`, for each word and the begin-of-text mark of packed ``pairs``."""
+    """``id`` and its :data:`PARTS`, for each word and the begin-of-text mark of
+    packed ``pairs``. What a task knows of a range of words travels as one row."""
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    bits = min(20, max(5, (total >> 20).bit_length()))
+
+    def summed(held: list) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
+        order = np.argsort(columns[0])
+        words = columns[0][order]
+        new = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
+        return [words[new], *(np.add.reduceat(c[order], new, dtype=np.int64) for c in columns[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for words, first, last, background, target in blobs(batches):
             sums = [np.bincount(at, of, len(words)) for at, of in ((first, background), (first, background > 0), (first, target), (first, target > 0), (last, background), (last, target))]
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(x.astype(np.int64)) for x in sums)], names=["id", *PARTS])
+            held.append((words, *(x.astype(np.int64) for x in sums)))
+            rows += len(words)
+            if rows > 1 << 19:
+                yield from dealt(summed(held))
+                rows = 0
+        if held:
+            yield from dealt(summed(held))
+
+    def dealt(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        shard = (columns[0] >> np.uint64(64 - bits)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]])
+        out = [(int(shard[a]), int(b - a), stepped(columns[0][a:b]), *(narrow(c[a:b]) for c in columns[1:])) for a, b in zip(cut, np.r_[cut[1:], len(shard)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=[c.split()[0] for c in _PARTED.split(", ")])
+
+    def columns_of(n: int, words: bytes, *parts: bytes) -> tuple[np.ndarray, ...]:
+        return unstepped(words), *(widened(x, n) for x in parts)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in by_shard(batches, columns_of):
+            columns = summed(held)
+            for lo in range(0, len(columns[0]), SLICE):
+                yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + SLICE].view(np.int64)) for c in columns], names=["id", *PARTS])
 
-    parts = pairs.mapInArrow(run, ", ".join(f"{c} long" for c in ("id", *PARTS)))
-    return parts.groupBy("id").agg(*(F.sum(name).alias(name) for name in PARTS))
+    parts = pairs.mapInArrow(giving_back(run), _PARTED).repartition("shard").sortWithinPartitions("shard")
+    return parts.mapInArrow(giving_back(join), ", ".join(f"{c} long" for c in ("id", *PARTS)))
 
 
-def frequent_from(table: DataFrame, count: Column, most: int) -> int:
+def frequent_from(table: DataFrame, count: Column, most: int, rows: Column | None = None) -> int:
     """A count that at most ``most`` rows reach: the smallest, or from :data:`EXACT` on
     the smallest with five leading bits. Where a single one of these has more rows,
-    it is one that none reaches."""
+    it is one that none reaches. A row of ``table`` may stand for several (``rows``)."""
     shift = F.greatest(F.length(F.bin(count)) - 5, F.lit(0))
     coarse = F.call_function("shiftleft", F.call_function("shiftright", count, shift), shift)
-    sizes = {r.n: r.rows for r in table.groupBy(F.when(count < EXACT, count).otherwise(coarse).alias("n")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    sizes = {r.n: r.rows for r in table.groupBy(F.when(count < EXACT, count).otherwise(coarse).alias("n")).agg(F.sum(F.lit(1) if rows is None else rows).alias("rows")).collect()}
     total, low = 0, 1 << 62
     for n in sorted(sizes, reverse=True):
         total += sizes[n]
@@ -311,7 +392,7 @@ def rare_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothi
             keys = [pa.array(x.view(np.int64)) for x in (key, left, right)]
             yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c[on]) for c in counts), *values], names=["pair", "left", "right", "n_b", "n_t", *PARTS])
 
-    rows = pairs.mapInArrow(rest, "pair long, left long, right long, n_b long, n_t long, " + ", ".join(f"{p} long" for p in PARTS))
+    rows = pairs.mapInArrow(giving_back(rest), "pair long, left long, right long, n_b long, n_t long, " + ", ".join(f"{p} long" for p in PARTS))
     for key, names in (("left", PARTS[:4]), ("right", PARTS[4:])):
         other = words.select(F.col("id"), *(F.col(p).alias(f"joined_{p}") for p in names)).hint("merge")
         rows = rows.join(other, F.col(key) == F.col("id"), "left").drop("id")
@@ -320,7 +401,7 @@ def rare_losses(pairs: DataFrame, words: DataFrame, frequent, smoothing: Smoothi
     whole = rows.select("pair", *(x.cast("float").alias(name) for x, name in ((b, "b"), (t, "t0"), (t, "t1"))))
     if least <= 2:
         return whole
-    return pairs.mapInArrow(known, "pair long, b float, t0 float, t1 float").unionAll(whole)
+    return pairs.mapInArrow(giving_back(known), "pair long, b float, t0 float, t1 float").unionAll(whole)
 
 
 def frequent_losses(pairs: DataFrame, words: DataFrame, smoothing: Smoothing) -> DataFrame:
@@ -356,7 +437,7 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
     ids = some.column("id").to_numpy().view(np.uint64)
     order = np.argsort(ids)
     frequent = context.broadcast((HashIndex(ids[order]), parts[np.r_[order, len(order)]]))
-    least = max(2, frequent_from(pair_rows(pairs, 2), F.col("background"), FREQUENT_PAIRS))
+    least = max(2, frequent_from(count_rows(pairs, 2), F.col("n"), FREQUENT_PAIRS, F.col("rows")))
     twice = context.broadcast(Flags(pairs) if least > 2 else None)
     with tidy(docs.sparkSession):
         some = frequent_losses(pair_rows(pairs, least), words, smoothing).toArrow()
@@ -390,10 +471,17 @@ def score(docs: DataFrame, target_ids: DataFrame, vocabulary: int | None = None)
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "b", "t", "others"])
 
     texts = flagged.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "is_target")
-    found = saved(texts.mapInArrow(run, "row long, doc_id long, n_tokens long, b double, t double, others array<long>"))
+    found = saved(texts.mapInArrow(giving_back(run), "row long, doc_id long, n_tokens long, b double, t double, others array<long>"))
+    # one table after the other, and no longer on any disk than it is read
+    table.destroy()
+    twice.destroy()
+    rare = saved(rare_losses(pairs, words, frequent, smoothing, least))
+    frequent.destroy()
+    discard(pairs)
     tokens = found.select("row", F.explode("others").alias("other")).hint("merge")
     t = F.when(F.col("row") % 2 == 1, F.col("t1")).otherwise(F.col("t0"))
-    rest = tokens.join(rare_losses(pairs, words, frequent, smoothing, least), F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("b").alias("more_b"), F.sum(t).alias("more_t"))
+    rest = saved(tokens.join(rare, F.col("other") == F.col("pair")).groupBy(F.col("row").alias("of")).agg(F.sum("b").alias("more_b"), F.sum(t).alias("more_t")))
+    discard(rare)
     both = found.drop("others").join(rest, F.col("row") == F.col("of"), "left")
     means = [F.when(F.col("n_tokens") > 0, (F.col(k) + F.coalesce(f"more_{k}", F.lit(0.0))) / F.col("n_tokens")) for k in "bt"]
     return both.select("doc_id", "n_tokens", means[0].alias("background_loss"), means[1].alias("target_loss"), (means[0] - means[1]).alias("score"))

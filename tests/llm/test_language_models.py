@@ -227,3 +227,50 @@ def test_an_index_travels_as_its_keys():
         again = pickle.loads(pickle.dumps(common.HashIndex(k), 5))
         assert (again.find(keys) == common.HashIndex(k).find(keys)).all() and (again.find(keys + np.uint64(1)) == -1).all()
     assert len(pickle.dumps(common.HashIndex(keys), 5)) < 100_000 * 9  # about 26 bytes each before
+
+
+def test_word_parts_travel_packed(spark):
+    """A word's sums over all ranges; what travels is a row for each range of words and task, not one for each word."""
+    rng = np.random.default_rng(6)
+    texts = [(" ".join(f"w{k}" for k in rng.zipf(1.2, 300) % 5000), bool(i % 3)) for i in range(60)]
+    shared = spark.sparkContext.broadcast(lmscore.Vocabulary(None))
+    pairs = lmscore.count_pairs(spark.createDataFrame(texts, "text string, is_target boolean").repartition(3), shared).persist()
+    rows = lmscore.pair_rows(pairs).collect()
+    want = defaultdict(lambda: [0] * 6)
+    for before, word, b, t in rows:
+        for i, x in enumerate((b, b > 0, t, t > 0)):
+            want[before][i] += x
+        for i, x in enumerate((b, t)):
+            want[word][4 + i] += x
+    parts = lmscore.word_parts(pairs)
+    assert {r[0]: list(r[1:]) for r in parts.collect()} == dict(want)
+    assert "HashAggregate" not in parts._jdf.queryExecution().toString()  # 20 million rows of 0.5 GB stood there
+    seen = Counter(r.background for r in rows if r.background > 1)
+    assert {r.n: r.rows for r in lmscore.count_rows(pairs, 2).groupBy("n").agg(F.sum("rows").alias("rows")).collect()} == dict(seen)
+    for most in (0, 100, 10**6):
+        low = lmscore.frequent_from(lmscore.count_rows(pairs, 2), F.col("n"), most, F.col("rows"))
+        assert low == lmscore.frequent_from(lmscore.pair_rows(pairs, 2), F.col("background"), most)
+    assert lmscore.word_parts(pairs.where("false")).count() == 0
+    x = np.array([0, 3, 70_000, 1 << 40], np.uint64)
+    assert (lmscore.unstepped(lmscore.stepped(x)) == x).all() and (lmscore.widened(lmscore.narrow(x), 4) == x).all()
+
+
+def test_tables_go_when_they_were_read(spark, monkeypatch):
+    """Of the pairs and what is joined to texts nothing is left on disk once the scores are known; other files stay."""
+    from pathlib import Path
+
+    from panelspark.sources import shared
+
+    monkeypatch.setattr(lmscore, "FREQUENT_WORDS", 2)
+    monkeypatch.setattr(lmscore, "FREQUENT_PAIRS", 2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(20, 3))], "doc_id long, text string")
+    folder = Path(shared.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    out = lmscore.score(docs, spark.createDataFrame([(1,)], "target_id long"))
+    assert out.count() == 20
+    columns = [set(spark.read.parquet(str(p)).columns) for p in set(folder.iterdir()) - before]
+    assert columns and not any({"shard", "pair"} & c for c in columns)
+    foreign = str(folder / "of-others")
+    docs.write.parquet(foreign)
+    shared.discard(spark.read.parquet(foreign))
+    assert spark.read.parquet(foreign).count() == 20
