@@ -274,3 +274,27 @@ def test_tables_go_when_they_were_read(spark, monkeypatch):
     docs.write.parquet(foreign)
     shared.discard(spark.read.parquet(foreign))
     assert spark.read.parquet(foreign).count() == 20
+
+
+@pytest.mark.parametrize(("parts", "most"), [(1, 10**6), (3, 10**6), (3, 20), (2, 0)])
+def test_kneser_ney_in_parts(spark, monkeypatch, parts, most):
+    """The whole model, by look-up or by join, in one part or several, has the plain probabilities."""
+    monkeypatch.setattr(quality, "PARTS", parts)
+    monkeypatch.setattr(quality, "PART_BYTES", 10)
+    monkeypatch.setattr(quality, "FREQUENT", most)
+    train = [*texts(40, 1), None, "one"]
+    other = [*texts(15, 2), train[0], train[3], "zz a zz B", "", None]
+    frame = spark.createDataFrame(list(enumerate(other)), "of long, text string")
+    got = {r.of: r for r in quality.text_sums(frame, spark.createDataFrame([(t,) for t in train], "text string")).collect()}
+    plain = Plain(train)
+    for i, t in enumerate(other):
+        w = ["<", "<", *low(t)]
+        want = [math.log(plain.p(g)) for g in zip(w, w[1:], w[2:], strict=False)]
+        assert got[i].n == len(want) and got[i].s == pytest.approx(sum(want), abs=1e-8)
+
+
+def test_all_trusted_text_trains(spark):
+    """Nothing but the held-out quarter is left out, however much text there is."""
+    docs = spark.createDataFrame([(i, "w " * 20_000 + f"v{i}") for i in range(200)], "doc_id long, text string")
+    train, apart = quality.trusted_folds(docs, spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int"))
+    assert train.count() + apart.count() == 200 and train.count() > 120  # 4 million words; 1,500,000 were the bound
