@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import mixed, pieces, saved, shingle_sets
+from panelspark.llm.common import giving_back, mixed, pieces, saved, shingle_sets
 from panelspark.llm.components import Forest, components
 
 BITS = 64
@@ -279,6 +280,11 @@ SEEDS = 8
 _SALTS = [mixed(np.array([k + 1], np.uint64)) for k in range(64)]
 #: Ids that go to all tasks in a join with texts; more are joined by shuffles.
 BROADCAST_IDS = 1_000_000
+#: Tables of candidates that are on disk at once: more bands make more tables of
+#: each node (9, 45 or 165 for a fingerprint), these are filled and read in passes.
+PASS_TABLES = 72
+#: Rows in these tables that one task makes.
+TASK_ROWS = 1_000_000
 
 
 def set_fingerprints(row: np.ndarray, hashes: np.ndarray, rows: int, seeds: int) -> np.ndarray:
@@ -325,7 +331,7 @@ def signatures(docs: DataFrame, width: int, seeds: int) -> DataFrame:
                 columns = [*word_digests(b.column("text")).T, np.bincount(row, minlength=b.num_rows), *fps.T]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(np.ascontiguousarray(c)) for c in columns)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(giving_back(run), ", ".join(f"{n} long" for n in names))
 
 
 def shingles(docs: DataFrame, width: int) -> DataFrame:
@@ -339,7 +345,7 @@ def shingles(docs: DataFrame, width: int) -> DataFrame:
                 node = np.ascontiguousarray(word_digests(b.column("text"))[:, 0])
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))], names=["node", "grams"])
 
-    return docs.select("text").mapInArrow(run, "node long, grams array<long>")
+    return docs.select("text").mapInArrow(giving_back(run), "node long, grams array<long>")
 
 
 def _size_class(size: np.ndarray) -> np.ndarray:
@@ -354,41 +360,53 @@ def candidates(nodes: DataFrame, seeds: int, radius: int, bands: int | None = No
     many as connect the same labels.
 
     Each node stands in the tables of its size class and as a visitor in those
-    of the next one; visitors do not meet each other."""
+    of the next one; visitors do not meet each other. At most ``PASS_TABLES`` of
+    the tables are filled at a time, so a node has a bounded number of rows in a
+    shuffle, whatever the number of bands."""
     fps = [f"fp{k}" for k in range(seeds)]
+    size_class = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1.25)).alias("class")
+    most, total = (x or 0 for x in nodes.groupBy(size_class).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first())
     if not bands:
-        size_class = F.floor(F.log(F.greatest("size", F.lit(1))) / math.log(1.25)).alias("class")
         bands = radius + 1
-        most = nodes.groupBy(size_class).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
         while 2 * most > 512 << (BITS * (bands - radius) // bands) and bands < radius + 3:
             bands += 1
     tables = [[(lo, (1 << width) - 1) for lo, width in chosen] for chosen in combinations(_bands(bands), bands - radius)]
+    filled = [(k, number) for k in range(seeds) for number in range(len(tables))]
+    passes = np.array_split(np.array(filled), -(-len(filled) // PASS_TABLES))
 
-    def keys(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """Fingerprint, bucket and side for each table that the nodes stand in."""
+    def keys(b: pa.RecordBatch, some: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Fingerprint, bucket and side for each table of ``some`` that the nodes stand in."""
         own = _size_class(b.column("size").to_numpy()).astype(np.uint64)
-        for k, name in enumerate(fps):
-            fp = b.column(name).to_numpy().view(np.uint64)
-            for number, chosen in enumerate(tables):
-                part = np.full(len(fp), number * seeds + k + 1, np.uint64)
-                for lo, mask in chosen:
-                    part = mixed(part) + ((fp >> np.uint64(lo)) & np.uint64(mask))
-                for side in (0, 1):
-                    yield fp, mixed(mixed(part) + own + np.uint64(side)), side
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bucket, n = np.unique(np.concatenate([x for _, x, _ in keys(b)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(n)], names=["bucket", "n"])
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
-                found = list(keys(b))
-                fp, bucket = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
-                side = np.repeat(np.array([x[2] for x in found], np.int8), b.num_rows)
-                node, label = (np.tile(b.column(c).to_numpy(), len(found)) for c in ("node", "label"))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, label, fp, bucket, side)], names=["node", "label", "fp", "bucket", "visits"])
+        for k, number in some.tolist():
+            fp = b.column(fps[k]).to_numpy().view(np.uint64)
+            part = np.full(len(fp), number * seeds + k + 1, np.uint64)
+            for lo, mask in tables[number]:
+                part = mixed(part) + ((fp >> np.uint64(lo)) & np.uint64(mask))
+            for side in (0, 1):
+                yield fp, mixed(mixed(part) + own + np.uint64(side)), side
+
+    def dealt(some: np.ndarray) -> DataFrame:
+        return compact.repartition(1 + total * 2 * len(some) // TASK_ROWS, "node")
+
+    def counted(some: np.ndarray) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                bucket, n = np.unique(np.concatenate([x for _, x, _ in keys(b, some)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(n)], names=["bucket", "n"])
+
+        return dealt(some).mapInArrow(giving_back(count), "bucket long, n long")
+
+    def expanded(some: np.ndarray) -> DataFrame:
+        def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in (batch.slice(at, 1024) for at in range(0, batch.num_rows, 1024)):
+                    found = list(keys(b, some))
+                    fp, bucket = (np.concatenate([x[i] for x in found]).view(np.int64) for i in (0, 1))
+                    side = np.repeat(np.array([x[2] for x in found], np.int8), b.num_rows)
+                    node, label = (np.tile(b.column(c).to_numpy(), len(found)) for c in ("node", "label"))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, label, fp, bucket, side)], names=["node", "label", "fp", "bucket", "visits"])
+
+        return dealt(some).mapInArrow(giving_back(expand), "node long, label long, fp long, bucket long, visits byte")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         node, label, fp, bucket, side, visits = (t.column(c).to_numpy() for c in ("node", "label", "fp", "bucket", "side", "visits"))
@@ -405,12 +423,16 @@ def candidates(nodes: DataFrame, seeds: int, radius: int, bands: int | None = No
             forest.join(i, j)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (u, v)], names=["u", "v"])
 
+    def met(some: np.ndarray) -> DataFrame:
+        large = counted(some).groupBy("bucket").agg(F.sum("n").alias("n"))
+        large = saved(large.where(F.col("n") > chunk).select(F.col("bucket").alias("of"), F.ceil(F.col("n") / chunk).cast("int").alias("of_cuts")))
+        rows = expanded(some).join(large, F.col("bucket") == F.col("of"), "left").withColumn("cuts", F.coalesce("of_cuts", F.lit(1)))
+        return _met(rows, ["node", "label", "fp", "visits"]).mapInArrow(giving_back(_whole_buckets(compare, 16 * chunk)), "u long, v long").distinct()
+
     compact = nodes.select("node", "label", "size", *fps)
-    large = compact.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    large = saved(large.where(F.col("n") > chunk).select(F.col("bucket").alias("of"), F.ceil(F.col("n") / chunk).cast("int").alias("of_cuts")))
-    rows = compact.mapInArrow(expand, "node long, label long, fp long, bucket long, visits byte")
-    rows = rows.join(large, F.col("bucket") == F.col("of"), "left").withColumn("cuts", F.coalesce("of_cuts", F.lit(1)))
-    return _met(rows, ["node", "label", "fp", "visits"]).mapInArrow(_whole_buckets(compare, 16 * chunk), "u long, v long").distinct()
+    if len(passes) == 1:
+        return met(passes[0])
+    return reduce(DataFrame.unionAll, [saved(met(some)) for some in passes]).distinct()
 
 
 def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
@@ -483,7 +505,7 @@ def in_groups(members: DataFrame, seeds: int, radius: int, tenths: int = 8, rows
 
     sizes = members.groupBy(F.col("group").alias("of")).agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("size") / grams)).cast("int").alias("cuts"))
     placed = members.join(saved(sizes), F.col("group") == F.col("of")).withColumns({"bucket": F.col("group"), "fp": F.col("fp0")})
-    return _met(placed, ["node", "label", "size", *fps, "grams"]).mapInArrow(_whole_buckets(compare, 2 * rows), "u long, v long").distinct()
+    return _met(placed, ["node", "label", "size", *fps, "grams"]).mapInArrow(giving_back(_whole_buckets(compare, 2 * rows)), "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame, nodes: DataFrame, width: int = 5, radius: int = 8, seeds: int = SEEDS) -> DataFrame:

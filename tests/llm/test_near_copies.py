@@ -146,3 +146,25 @@ def test_groups_are_searched_whole(spark):
         found = {r.node: r.component for r in components(links).collect()}
         assert [found.get(i, i) for i in range(40)] == low
         assert {(min(r.u, r.v), max(r.u, r.v)) for r in links.collect()} <= set(pairs)
+
+
+def test_tables_are_filled_in_passes(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    fps = rng.integers(-(1 << 63), 1 << 63, (60, 2))
+    for i in range(20, 60):  # near one of the first twenty in one of the two
+        fps[i, i % 2] = fps[i % 20, i % 2] ^ np.int64(sum(1 << int(b) for b in rng.choice(62, 1 + i % 12, replace=False)))
+    rows = [(i, i, 100 + i % 3, int(a), int(b)) for i, (a, b) in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, label long, size long, fp0 long, fp1 long")
+    wide, met = [], simhash._met
+    monkeypatch.setattr(simhash, "_met", lambda rows, kept: wide.append(rows.count()) or met(rows, kept))
+    bits = lambda x: bin(int(x) & ((1 << 64) - 1)).count("1")
+    close = {(j, i) for i in range(60) for j in range(i) if min(bits(fps[i, k] ^ fps[j, k]) for k in (0, 1)) <= 8}
+    for bands, tables in ((9, 18), (10, 90)):
+        wide.clear()
+        got = {(r.u, r.v) for r in simhash.candidates(nodes, 2, 8, bands=bands).collect()}
+        assert got <= close and len(got) > 10
+        pairs = spark.createDataFrame(sorted(got), "u long, v long")
+        every = spark.createDataFrame(sorted(close), "u long, v long")
+        assert sorted(components(pairs).collect()) == sorted(components(every).collect())
+        assert sum(wide) == 60 * 2 * tables
+        assert max(wide) <= 60 * 2 * 72  # rows in one shuffle
