@@ -95,6 +95,38 @@ def test_links(spark, cell, block):
     assert vectors.near_duplicates(df.where("false")).count() == 0
 
 
+def vector_rows(spark, v, labels):
+    rows = [(i, [float(y) for y in x], int(label)) for i, (x, label) in enumerate(zip(v, labels, strict=True))]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+def test_vectors_in_cells_and_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(8, 16))
+    v = [centers[i % 8] + rng.normal(size=16) * rng.choice([0.05, 0.2, 0.4]) for i in range(240)]
+    rows, df = vector_rows(spark, v, [i % 8 > 6 for i in range(240)])
+    wanted = brute_links(rows)
+    assert sum(r[1] for r in wanted) > 500
+    grouped = []
+    monkeypatch.setattr(vectors, "COPY_COST", 0)
+    for moved, pairs in ((3, 1 << 20), (1, 16)):
+        monkeypatch.setattr(vectors, "MOVED", moved)
+        monkeypatch.setattr(vectors, "PAIRS", pairs)
+        grouped.append(sorted([(r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df, cell=12, block=9).collect()], key=repr))
+    assert grouped == [wanted, wanted]
+
+
+def test_vectors_near_all_planes_are_not_copied(spark):
+    """Pivots that part nothing make no copies: each vector went to nearly all cells of its label."""
+    v = np.random.default_rng(2).normal(size=(2000, 64))
+    v /= np.sqrt((v * v).sum(1, keepdims=True))
+    reps = spark.createDataFrame([(i, 1, "a", x.tobytes()) for i, x in enumerate(v)], "node long, n long, label string, v binary")
+    assert vectors.range_links(reps, cell=50).count() == 0
+    rows = vectors._cells(reps, math.sqrt(0.14), 50, 2048)(["node"])
+    sizes = [r.n for r in rows.groupBy("node").count().withColumnRenamed("count", "n").collect()]
+    assert len(sizes) == 2000 and sum(sizes) < 3 * 2000
+
+
 def test_tasks_without_equal_strings(spark):
     # no key stands in several documents of its task, or all do: either failed
     apart = "".join(chr(97 + i * i * 7 % 26) + str(i) for i in range(60))
